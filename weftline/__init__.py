@@ -1,0 +1 @@
+"""Weftline: an analytics engine on PySpark for the metadata, text and call graphs of code repositories."""
