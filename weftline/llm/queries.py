@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import bpe, chat, embed_dedup, langid, license_scan, line_dedup, minhash, packing, quality, substring
+from weftline.llm import bpe, chat, embed_dedup, langid, license_scan, line_dedup, minhash, oracles, packing, quality, substring
 from weftline.llm.common import cut, read
 
 _RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -68,4 +68,4 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_best_fit_packing, op3_chat_format, op4_quality_rules, op5_embedding_near_dedup, op6_language_id, op7_minhash_near_dedup, op8_line_dedup, op9_substring_dedup, op10_license_scan)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_quality_rules": oracles.OP4, "op8_line_dedup": oracles.OP8, "op9_substring_dedup": oracles.OP9}
