@@ -6,9 +6,9 @@ bits in 16 bits. Empty buckets borrow the register of another, found by a fixed
 banded as well. Bands of six compressed registers propose candidates; a Jaccard estimate from the sketches, corrected for
 chance collisions of registers, thins them out, five standard deviations below the threshold; the full sets decide.
 
-Texts of one shingle set are one class from the start, so that copies meet nothing. In a band's bucket every class is first
-compared with the smallest one; only what is still in different components afterwards is compared pairwise. Sets of up to 5
-shingles are within 0.85 of no other set but themselves; below that they are banded as all others.
+Texts of one shingle set are one class from the start, so that copies meet nothing. A band's bucket emits a spanning forest of
+its candidates, whose components are clusters; each cluster is then searched on the full sets. Neither step emits pairs, and
+buckets or clusters of over 4096 classes are split into blocks that meet in pairs.
 
 Null texts, and texts without words, have no shingles and link with nothing. Rows that share an id are one vertex. Rows
 without an id are classed by their set but link with nothing. An empty table gives an empty result.
@@ -16,7 +16,7 @@ without an id are classed by their set but link with nothing. An empty table giv
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +33,8 @@ BAND_ROWS, BANDS = 6, 42
 EMPTY = np.uint16(0xFFFF)
 #: Expected share of equal registers among those of different hashes, for ten mantissa bits.
 COLLISION = 0.17 * 2.0**-MANTISSA
+#: Rows of a bucket or cluster that one task holds, twice at most.
+BLOCK = 4096
 #: Below this many ids a list of documents to verify is broadcast (8 bytes each); above it is joined by a shuffle.
 BROADCAST_IDS = 500_000
 
@@ -55,12 +57,12 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
             yield W.grams(h[lo:hi], hi - lo) + np.uint64(hi - lo) if hi > lo else h[:0]
 
 
-def registers(s: np.ndarray) -> np.ndarray:
-    """The 256 registers of a sorted set of hashes; EMPTY where a bucket has none."""
-    out = np.full(BUCKETS, EMPTY)
-    bucket = (s >> np.uint64(56)).astype(np.int64)
+def registers(s: np.ndarray, bits: int = 8) -> np.ndarray:
+    """The 2**bits registers of a sorted set of hashes; EMPTY where a bucket has none."""
+    out = np.full(1 << bits, EMPTY)
+    bucket = (s >> np.uint64(64 - bits)).astype(np.int64)
     first = np.concatenate(([True], bucket[1:] != bucket[:-1]))
-    m, e = np.frexp((s[first] << np.uint64(8)).astype(np.float64))
+    m, e = np.frexp((s[first] << np.uint64(bits)).astype(np.float64))
     out[bucket[first]] = (64 - e) * (1 << MANTISSA) + ((2 * m - 1) * (1 << MANTISSA)).astype(np.int64) % (1 << MANTISSA)
     return out
 
@@ -76,16 +78,36 @@ def band_keys(regs: np.ndarray) -> np.ndarray:
     return W.mix((W.mix(token[: BANDS * BAND_ROWS]).reshape(BANDS, BAND_ROWS) * _ODD).sum(1) + _BAND)
 
 
-def estimate(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(collision-corrected Jaccard estimate, registers it rests on) of rows of registers."""
-    used = (a != EMPTY) | (b != EMPTY)
-    n = np.maximum(1, used.sum(1))
-    return ((a == b) & used).sum(1) / n * (1 / (1 - COLLISION)) - COLLISION / (1 - COLLISION), n
+def folded(regs: np.ndarray) -> np.ndarray:
+    """Registers in one byte each, 0 where empty: enough to tell candidates apart."""
+    return np.where(regs == EMPTY, 0, W.mix(regs.astype(np.uint64)) % np.uint64(255) + np.uint64(1)).astype(np.uint8)
+
+
+def likely(a: np.ndarray, b: np.ndarray, empty: int, collision: float, threshold: float) -> np.ndarray:
+    """Whether the Jaccard estimate of the registers a with each row of b, less what collides by chance, is within five standard deviations of the threshold."""
+    n = np.maximum(1, ((a != empty) | (b != empty)).sum(1))
+    j = (((a == b) & (a != empty)).sum(1) / n - collision) / (1 - collision)
+    return j >= threshold - 5 * np.sqrt(threshold * (1 - threshold) / n)
+
+
+def spanning(n: int, linked: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
+    """A spanning forest over 0..n-1 by graph search. ``linked(u, rest)`` says which of the vertices not yet reached link to u."""
+    rest, out = np.arange(n), []
+    while len(rest):
+        queue, rest = [int(rest[0])], rest[1:]
+        while queue and len(rest):
+            u = queue.pop()
+            ok = linked(u, rest)
+            found = rest[ok].tolist()
+            out += [(u, v) for v in found]
+            queue += found
+            rest = rest[~ok]
+    return out
 
 
 def sketches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, n, d1, d2, regs): set size, a 128-bit digest of the set, registers (null for an empty set)."""
-    out = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("regs", pa.binary())])
+    """(id, n, d1, d2, regs, fold): set size, a 128-bit digest of the set, registers in two bytes and in one (null for an empty set)."""
+    out = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("regs", pa.binary()), ("fold", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -93,9 +115,10 @@ def sketches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
                 sets = list(shingle_sets(data, offsets))
                 d1 = np.array([x.sum(dtype=np.uint64) for x in sets], np.uint64).view(np.int64)
                 d2 = np.array([W.mix(x).sum(dtype=np.uint64) for x in sets], np.uint64).view(np.int64)
-                yield batch(out, b.column(0).slice(i, j - i), np.array([len(x) for x in sets]), d1, d2, [registers(x).tobytes() if len(x) else None for x in sets])
+                regs = [registers(x) if len(x) else None for x in sets]
+                yield batch(out, b.column(0).slice(i, j - i), np.array([len(x) for x in sets]), d1, d2, [None if r is None else r.tobytes() for r in regs], [None if r is None else folded(r).tobytes() for r in regs])
 
-    return docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id long, n long, d1 long, d2 long, regs binary")
+    return docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id long, n long, d1 long, d2 long, regs binary, fold binary")
 
 
 def _bands(reps: DataFrame) -> DataFrame:
@@ -111,76 +134,123 @@ def _bands(reps: DataFrame) -> DataFrame:
     return reps.select("id", "regs").mapInArrow(run, "key long, id long")
 
 
-def _likely(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose estimate is not far below the threshold."""
-    regs = reps.select("id", "regs")
-    both = pairs.join(regs.toDF("a", "regs_a"), "a").join(regs.toDF("b", "regs_b"), "b").select("a", "b", "regs_a", "regs_b")
+def _blocks(df: DataFrame, key: str, many: str) -> DataFrame:
+    """``df`` with block numbers i <= j: groups of over BLOCK rows are split, and each pair of blocks is a group of its own, so that no task gets more than two."""
+    n = F.ceil(F.col(many) / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("id"), n).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.struct(F.least(own, k).alias("i"), F.greatest(own, k).alias("j")))
+    return df.select("*", F.explode(pairs).alias("_p")).select(*df.columns, "_p.i", "_p.j").repartition(key, "i", "j").sortWithinPartitions(key, "i", "j")
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
+    """Rows of equal keys together, of batches sorted by them; no more than one batch and one group are held."""
+    tail = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        if tail is not None:
+            b = pa.Table.from_batches([tail, b]).combine_chunks().to_batches()[0]
+        new = np.zeros(b.num_rows - 1, bool)
+        for k in range(keys):
+            x = b.column(k).to_numpy(zero_copy_only=False)
+            new |= x[1:] != x[:-1]
+        at = [0, *(np.flatnonzero(new) + 1).tolist()]
+        for lo, hi in zip(at, at[1:], strict=False):
+            yield b.slice(lo, hi - lo)
+        tail = b.slice(at[-1])
+    if tail is not None:
+        yield tail
+
+
+def _edges(rows: Iterator[tuple[list[int], list[tuple[int, int]]]]) -> Iterator[pa.RecordBatch]:
+    a: list[int] = []
+    b: list[int] = []
+    for ids, pairs in rows:
+        a += [ids[u] for u, _ in pairs]
+        b += [ids[v] for _, v in pairs]
+        if len(a) > 20_000:
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            a, b = [], []
+    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def clusters(reps: DataFrame, threshold: float) -> DataFrame:
+    """(node, component): classes that chains of candidates connect. Candidates share a band, and their estimate is near the threshold.
+
+    A bucket emits a spanning forest of its candidate graph, not its pairs.
+    """
+    bands = _bands(reps)
+    shared = bands.groupBy("key").agg(F.count("*").alias("many")).where("many > 1")
+    members = _blocks(bands.join(shared, "key").join(reps.select("id", "fold"), "id").select("key", "many", "id", "fold"), "key", "many")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for lo in range(0, b.num_rows, 4096):
-                s = b.slice(lo, 4096)
-                x, y = (np.frombuffer(b"".join(s.column(k).to_pylist()), np.uint16).reshape(-1, BUCKETS) for k in (2, 3))
-                j, n = estimate(x, y)
-                yield s.select(["a", "b"]).filter(pa.array(j >= threshold - 5 * np.sqrt(threshold * (1 - threshold) / n)))
+        def each():
+            for g in _groups(batches, 3):
+                x = np.frombuffer(b"".join(g.column(4).to_pylist()), np.uint8).reshape(-1, BUCKETS)
+                yield g.column(3).to_pylist(), spanning(len(x), lambda u, rest: likely(x[u], x[rest], 0, 1 / 255, threshold))
+
+        yield from _edges(each())
 
-    return both.mapInArrow(run, "a long, b long")
+    return components(members.select("key", "i", "j", "id", "fold").mapInArrow(run, "a long, b long"))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, percent: int) -> DataFrame:
-    """The pairs (a, b) with 100 * |intersection| >= percent * |union| on their full sets, which are made anew for these documents alone."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    ids = cut(ids)
-    few = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    src = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).join(few, "id", "left_semi")
-    out = pa.schema([("id", pa.int64()), ("s", pa.binary())])
+def _verified(cluster: DataFrame, docs: DataFrame, doc_id: str, text: str, percent: int) -> DataFrame:
+    """Links (a, b) with 100 * |intersection| >= percent * |union| on the full sets, a spanning forest of each cluster's.
+
+    The sets of the cluster's documents are made anew and shipped once each. A search from document to document tests every
+    pair of which one is not yet reached, thinned out by estimates from 256 and then 1024 registers of the full sets.
+    """
+    ids = cluster.select(F.col("node").alias("id"), F.col("component").alias("c"))
+    sized = cut(ids.join(ids.groupBy("c").agg(F.count("*").alias("many")), "c"))
+    few = F.broadcast(sized) if sized.count() <= BROADCAST_IDS else sized
+    src = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).join(few, "id")
+    out = pa.schema([("c", pa.int64()), ("many", pa.int64()), ("id", pa.int64()), ("s", pa.binary())])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, j, data, offsets in text_slices(b.column(1)):
+            for i, j, data, offsets in text_slices(b.column(3)):
                 got = list(shingle_sets(data, offsets))
-                yield batch(out, b.column(0).slice(i, j - i), binary_rows(np.concatenate(got) if got else np.zeros(0, np.uint64), np.concatenate(([0], np.cumsum([len(x) for x in got])))))
+                part = b.slice(i, j - i)
+                yield batch(out, *part.columns[:3], binary_rows(np.concatenate(got) if got else np.zeros(0, np.uint64), np.concatenate(([0], np.cumsum([len(x) for x in got])))))
 
-    full = src.mapInArrow(sets, "id long, s binary")
-    both = pairs.join(full.toDF("a", "sa"), "a").join(full.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
+    full = _blocks(src.select("c", "many", "id", "text").mapInArrow(sets, "c long, many long, id long, s binary"), "c", "many")
+    threshold = percent / 100
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ok = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-                    ok.append(False)
-                    continue
-                x, y = (x, y) if len(x) <= len(y) else (y, x)
-                at = np.searchsorted(y, x)
-                common = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-                ok.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+        def each():
+            for g in _groups(batches, 3):
+                s = [np.frombuffer(x.as_buffer(), np.uint64) for x in g.column(4)]
+                coarse, fine = (np.stack([registers(x, bits) for x in s]) if len(s) > 2 else None for bits in (8, 10))
+                size = np.array([len(x) for x in s])
+
+                def linked(u, rest, s=s, coarse=coarse, fine=fine, size=size):
+                    ok = 100 * np.minimum(size[u], size[rest]) >= percent * np.maximum(size[u], size[rest])
+                    if coarse is not None:
+                        for r in (coarse, fine):
+                            ok[ok] = likely(r[u], r[rest[ok]], EMPTY, COLLISION, threshold)
+                    for k in np.flatnonzero(ok):
+                        x, y = s[u], s[rest[k]]
+                        x, y = (x, y) if len(x) <= len(y) else (y, x)
+                        common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+                        ok[k] = 100 * common >= percent * (len(x) + len(y) - common)
+                    return ok
 
-    return both.mapInArrow(run, "a long, b long")
+                yield g.column(3).to_pylist(), spanning(len(s), linked)
+
+        yield from _edges(each())
+
+    return full.select("c", "i", "j", "id", "s").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id, kept. Links: Jaccard similarity of at least percent / 100."""
     sketch = cut(sketches(docs, doc_id, text))
-    reps = cut(sketch.where("n > 0 and id is not null").groupBy("d1", "d2", "n").agg(F.min("id").alias("id"), F.first("regs").alias("regs")))
-    bands = _bands(reps)
-    shared = bands.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("many")).where("many > 1").drop("many")
-    members = cut(bands.join(shared, "key"))
-    stars = cut(members.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct())
-    first = cut(_verified(cut(_likely(stars, reps, percent / 100)), docs, doc_id, text, percent))
-    comp = cut(components(first))
-    # What a band's bucket still holds of different components.
-    placed = members.select("key", "id").join(comp.toDF("id", "c"), "id", "left").select("key", "id", F.coalesce("c", "id").alias("c"))
-    mixed = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-    rest = placed.join(mixed, "key")
-    cross = rest.toDF("key", "a", "ca").join(rest.toDF("key", "b", "cb"), "key").where("a < b and ca <> cb").select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
-    second = _verified(cut(_likely(cross, reps, percent / 100)), docs, doc_id, text, percent)
-    whole = components(first.unionByName(second))
+    reps = cut(sketch.where("n > 0 and id is not null").groupBy("d1", "d2", "n").agg(F.min("id").alias("id"), F.first("regs").alias("regs"), F.first("fold").alias("fold")))
+    links = _verified(cut(clusters(reps, percent / 100)), docs, doc_id, text, percent)
+    whole = components(links)
     by_set = reps.select("d1", "d2", "n", "id").join(whole.toDF("id", "c"), "id", "left").select("d1", "d2", "n", F.coalesce("c", "id").alias("c"))
     component = F.when(F.col("id").isNotNull(), F.coalesce("c", "id"))
-    return sketch.drop("regs").join(by_set, ["d1", "d2", "n"], "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(False)).alias("kept"))
+    return sketch.drop("regs", "fold").join(by_set, ["d1", "d2", "n"], "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(False)).alias("kept"))
 
 
 def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
