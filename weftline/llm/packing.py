@@ -24,7 +24,7 @@ from weftline.llm import bpe
 from weftline.llm.common import batch, cut
 
 #: Search nodes for each bin completion and in all; beyond them the incumbent stays. They bound the driver's time, not the rows.
-NODES_A_BIN, NODES = 2000, 2_000_000
+NODES_A_BIN, NODES = 1000, 200_000
 MOST_IN_FILLING = 6
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, ord long"

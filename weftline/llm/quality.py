@@ -96,8 +96,8 @@ def thresholds(sketch: DataFrame) -> DataFrame:
 
 
 def judge(counted: DataFrame, counts: str = "counts", lang: str = "lang", source: str = "source", kept: str = "kept") -> DataFrame:
-    """``counted`` with a boolean ``kept``; the cutoffs come from all its rows, so it is read twice and should be kept by the caller."""
-    names = list(SHARES)
+    """``counted`` with a boolean ``kept``. The cutoffs come from all its rows: it is written once and read twice, so leave the texts out."""
+    counted, names = cut(counted), list(SHARES)
     t = cut(thresholds(sketches(counted, counts, lang, source)))
     overall = t.where("level = 0").select(F.struct("size", *names).alias("t0"))
     small = [t.where("level = 2").select(F.col("lang").alias("_l2"), F.col("source").alias("_s2"), F.struct("size", *names).alias("t2")), t.where("level = 1").select(F.col("lang").alias("_l1"), F.struct("size", *names).alias("t1"))]
@@ -120,7 +120,7 @@ def judge(counted: DataFrame, counts: str = "counts", lang: str = "lang", source
 
 def filter_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that pass; columns stay as they are. Verdicts go by id and hash of the text, so that rows that repeat share theirs."""
-    counted = cut(with_counts(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), "lang", "source")).select("doc_id", F.xxhash64("text").alias("t"), "lang", "source", "counts"))
+    counted = with_counts(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), "lang", "source")).select("doc_id", F.xxhash64("text").alias("t"), "lang", "source", "counts")
     drop = cut(judge(counted).where("not kept").select(F.col("doc_id").alias("_d"), F.col("t").alias("_t")).distinct())
     few = F.broadcast(drop) if drop.count() <= 500_000 else drop
     return docs.join(few, F.col(doc_id).eqNullSafe(F.col("_d")) & (F.xxhash64(F.col(text)) == F.col("_t")), "left_anti")

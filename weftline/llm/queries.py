@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import bpe, chat, embed_dedup, langid, license_scan, line_dedup, minhash, oracles, packing, quality, substring
-from weftline.llm.common import cut, read
+from weftline.llm.common import read
 
 _RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -33,7 +33,7 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    judged = quality.judge(cut(quality.with_counts(docs).drop("text")))
+    judged = quality.judge(quality.with_counts(docs).drop("text"))
     c = F.col("counts")
     return judged.select("doc_id", *[c[k].alias(k) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], quality.base_failed(c).alias("base_failed"), "kept")
 
