@@ -126,7 +126,7 @@ def xml_pages(x: _C) -> Column:
 
 def xml_pages_by_pattern(x: _C) -> Column:
     """XML-02: the same by regular expression, for documents that do not parse."""
-    return F.transform(F.regexp_extract_all(col(x), F.lit(r"(?s)<page\b[^>]*>.*?<title>(.*?)</title>"), 1), F.trim)
+    return F.transform(F.regexp_extract_all(col(x), F.lit(r"(?s)<page\b[^>]*>.*?<title>(.*?)</title>"), 1), lambda x: F.trim(x))
 
 
 def tool_calls(messages: DataFrame, key: str = "conv_id", order: str = "turn", role: str = "role", text: str = "text", longest: int = 500) -> DataFrame:

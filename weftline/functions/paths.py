@@ -109,7 +109,8 @@ def tech_stack(paths: _C) -> Column:
     """STR-19: every technology that any path points to, joined by slashes."""
     low = F.transform(col(paths), F.lower)
     rules = {"ASP.NET Core": ".csproj", "Next.js": "next.config.js", "TypeScript": ".ts", "Python": ".py", "Go": ".go", "Rust": "cargo.toml", "Docker": "dockerfile"}
-    return F.concat_ws("/", *[F.when(F.exists(low, lambda p, e=e: p.endswith(e)), F.lit(k)) for k, e in rules.items()])
+    has = lambda end: F.exists(low, lambda p: p.endswith(end))
+    return F.concat_ws("/", *[F.when(has(end), F.lit(name)) for name, end in rules.items()])
 
 
 def repo_name(url: _C) -> Column:

@@ -19,7 +19,7 @@ def or_default(x: _C, default: _C) -> Column:
 
 def fold_distinct(items: Column) -> Column:
     """SET-05, ARR-04: trimmed, blanks dropped, first of each spelling kept whatever its case."""
-    clean = F.filter(F.transform(items, F.trim), lambda x: x != "")
+    clean = F.filter(F.transform(items, lambda x: F.trim(x)), lambda x: x != "")
     return F.aggregate(clean, F.array().cast("array<string>"), lambda acc, x: F.when(F.exists(acc, lambda y: F.lower(y) == F.lower(x)), acc).otherwise(F.concat(acc, F.array(x))))
 
 
@@ -130,7 +130,7 @@ def cut_with_suffix(x: _C, n: int, suffix: str = "...") -> Column:
 
 def multi_line_list(x: _C) -> Column:
     """STR-23: lines, trimmed, blanks dropped, URL-decoded where that is possible."""
-    return F.transform(F.filter(F.transform(F.split(col(x), r"\r?\n"), F.trim), lambda v: v != ""), lambda v: F.coalesce(F.try_url_decode(v), v))
+    return F.transform(F.filter(F.transform(F.split(col(x), r"\r?\n"), lambda x: F.trim(x)), lambda v: v != ""), lambda v: F.coalesce(F.try_url_decode(v), v))
 
 
 def numbered_outline(plan: _C) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import scoring, text
@@ -10,20 +10,22 @@ from weftline.operators import relational as R
 from weftline.operators import windows as W
 from weftline.plans.catalogue import Tables, query
 
-_TOKENS = F.get_json_object("props", "$.k").cast("bigint")
+
+def _tokens() -> Column:
+    return F.get_json_object("props", "$.k").cast("bigint")
 
 
 @query("""SELECT user_id, count(*) AS n_calls, CAST(coalesce(sum(CAST(props->>'$.k' AS BIGINT)),0) AS BIGINT) AS tokens, round(avg(value),6) AS avg_latency, max(value) AS max_latency,
 count(*) FILTER (WHERE event_type='error') AS failures, round(CASE WHEN count(*)>0 THEN count(*) FILTER (WHERE event_type='error')/count(*)::DOUBLE ELSE 0.0 END,6) AS error_rate FROM events GROUP BY user_id""")
 def task_metrics_summary(t: Tables) -> DataFrame:
     failed = F.col("event_type") == "error"
-    out = t("events").groupBy("user_id").agg(F.count("*").alias("n_calls"), F.coalesce(F.sum(_TOKENS), F.lit(0)).alias("tokens"), F.round(F.avg("value"), 6).alias("avg_latency"), F.max("value").alias("max_latency"), F.count_if(failed).alias("failures"))
+    out = t("events").groupBy("user_id").agg(F.count("*").alias("n_calls"), F.coalesce(F.sum(_tokens()), F.lit(0)).alias("tokens"), F.round(F.avg("value"), 6).alias("avg_latency"), F.max("value").alias("max_latency"), F.count_if(failed).alias("failures"))
     return out.withColumn("error_rate", F.round(scoring.ratio("failures", "n_calls"), 6))
 
 
 @query("""SELECT user_id, event_type, count(*) AS n_calls, CAST(sum(CAST(props->>'$.k' AS BIGINT)) AS BIGINT) AS tokens, round(avg(value),6) AS avg_latency FROM events GROUP BY ALL""")
 def stage_metrics_for_task(t: Tables) -> DataFrame:
-    return t("events").groupBy("user_id", "event_type").agg(F.count("*").alias("n_calls"), F.sum(_TOKENS).alias("tokens"), F.round(F.avg("value"), 6).alias("avg_latency"))
+    return t("events").groupBy("user_id", "event_type").agg(F.count("*").alias("n_calls"), F.sum(_tokens()).alias("tokens"), F.round(F.avg("value"), 6).alias("avg_latency"))
 
 
 @query("""SELECT count(*) AS total, count(*) FILTER (WHERE o_orderstatus='F') AS completed, count(*) FILTER (WHERE o_orderstatus='O') AS active, round(coalesce(sum(o_totalprice),0),2) AS volume,
@@ -261,4 +263,4 @@ def upsert_latest(t: Tables) -> DataFrame:
 def incremented_counters(t: Tables) -> DataFrame:
     from weftline.sources import sinks
 
-    return sinks.increments(t("events").select("event_type", F.when(F.col("event_type") == "error", 0).otherwise(_TOKENS).alias("tokens")), "event_type", ["tokens"])
+    return sinks.increments(t("events").select("event_type", F.when(F.col("event_type") == "error", 0).otherwise(_tokens()).alias("tokens")), "event_type", ["tokens"])

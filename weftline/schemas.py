@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 
+_TYPES = {"string": T.StringType(), "int": T.IntegerType(), "bigint": T.LongType(), "boolean": T.BooleanType(), "double": T.DoubleType(), "timestamp": T.TimestampType(), "array<string>": T.ArrayType(T.StringType())}
+
+
 def ddl(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
+    """A schema from ``name type, ...``, without a session."""
+
+    def kind(t: str) -> T.DataType:
+        return T.DecimalType(*map(int, re.findall(r"\d+", t))) if t.startswith("decimal") else _TYPES[t]
+
+    return T.StructType([T.StructField(n, kind(t)) for n, t in re.findall(r"(\w+) ([^,(]+(?:\([^)]*\))?)", text)])
 
 
 LLM_CALL_METRICS = ddl("id string, task_id string, stage string, provider string, model string, input_tokens int, output_tokens int, cache_hit_tokens int, latency_ms int, success boolean, error_type string, is_estimated boolean, is_streaming boolean, first_token_latency_ms int, created_at timestamp")
@@ -44,6 +54,4 @@ CONTEXT_SEGMENT = ddl("label string, content string, priority int, can_truncate
 
 def snake_case(df: DataFrame) -> DataFrame:
     """SNK-11: PascalCase column names to snake_case."""
-    import re
-
     return df.withColumnsRenamed({c: re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "_", c).lower() for c in df.columns})

@@ -41,7 +41,7 @@ def repository(spark: SparkSession, root: str, glob: str | None = None) -> DataF
     """SRC-03: (file_path, size_bytes, raw): files under a folder, skipped folders and types left out; paths relative to the folder."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     files = (reader.option("pathGlobFilter", glob) if glob else reader).load(root)
-    prefix = F.lit(re.sub(r"^[a-z]+://", "", root).rstrip("/") + "/")
+    prefix = re.sub(r"^[a-z]+://", "", root).rstrip("/") + "/"
     relative = F.substring_index(F.regexp_replace(F.col("path"), r"^[a-z]+:/*", "/"), prefix, -1)
     out = files.select(relative.alias("file_path"), F.col("length").alias("size_bytes"), F.col("content").alias("raw"))
     return out.where(~F.coalesce(paths.skipped("file_path"), F.lit(True)))
