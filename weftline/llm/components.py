@@ -38,28 +38,37 @@ class Forest:
         return [(x, r) for x in list(self.up) if (r := self.root(x)) != x]
 
 
-def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges for edges: stars of what is connected within a bounded number of rows."""
+def forest(pairs: Iterator[tuple[int, int]], names: list[str], most: int = 500_000) -> Iterator[pa.RecordBatch]:
+    """Edges for edges: stars of what is connected within a bounded number of pairs."""
     f, n = Forest(), 0
 
     def out():
         e = f.edges()
-        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in e], pa.int64()), pa.array([r for _, r in e], pa.int64())], names=["u", "v"])
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in e], pa.int64()), pa.array([r for _, r in e], pa.int64())], names=names)
 
-    for b in batches:
-        for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            f.join(u, v)
-        n += b.num_rows
-        if n > 500_000:
+    for u, v in pairs:
+        f.join(u, v)
+        n += 1
+        if n >= most:
             yield out()
             f, n = Forest(), 0
     yield out()
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node long, component long): every node of an edge with the smallest node it is connected to. Null ends and loops link nothing."""
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield from forest(((u, v) for b in batches for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)), ["u", "v"])
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b", thin: bool = False) -> DataFrame:
+    """(node long, component long): every node of an edge with the smallest node it is connected to. Null ends and loops link nothing.
+
+    ``thin``: each task's edges are a forest already, so that no further Python worker is needed to make one.
+    """
     e = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u is not null and v is not null and u <> v")
-    e = cut(e.mapInArrow(_forest, "u long, v long"))
+    if thin:
+        e = cut(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
+    else:
+        e = cut(e.mapInArrow(_forest, "u long, v long"))
     seen = None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm import words as W
 from weftline.llm.common import batch, binary_rows, cut, text_slices
-from weftline.llm.components import components
+from weftline.llm.components import components, forest
 
 SHINGLE, BUCKETS, MANTISSA = 5, 256, 10
 #: At similarity 0.8 a pair shares no band with probability (1 - 0.8**6)**42 < 4e-6, at 0.85 < 3e-9.
@@ -163,15 +163,8 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordB
 
 
 def _edges(rows: Iterator[tuple[list[int], list[tuple[int, int]]]]) -> Iterator[pa.RecordBatch]:
-    a: list[int] = []
-    b: list[int] = []
-    for ids, pairs in rows:
-        a += [ids[u] for u, _ in pairs]
-        b += [ids[v] for _, v in pairs]
-        if len(a) > 20_000:
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-            a, b = [], []
-    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+    """The pairs of all groups of a task as a forest."""
+    yield from forest(((ids[u], ids[v]) for ids, pairs in rows for u, v in pairs), ["a", "b"])
 
 
 def clusters(reps: DataFrame, threshold: float) -> DataFrame:
@@ -191,7 +184,7 @@ def clusters(reps: DataFrame, threshold: float) -> DataFrame:
 
         yield from _edges(each())
 
-    return components(members.select("key", "i", "j", "id", "fold").mapInArrow(run, "a long, b long"))
+    return components(members.select("key", "i", "j", "id", "fold").mapInArrow(run, "a long, b long"), thin=True)
 
 
 def _verified(cluster: DataFrame, docs: DataFrame, doc_id: str, text: str, percent: int) -> DataFrame:
@@ -247,7 +240,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     sketch = cut(sketches(docs, doc_id, text))
     reps = cut(sketch.where("n > 0 and id is not null").groupBy("d1", "d2", "n").agg(F.min("id").alias("id"), F.first("regs").alias("regs"), F.first("fold").alias("fold")))
     links = _verified(cut(clusters(reps, percent / 100)), docs, doc_id, text, percent)
-    whole = components(links)
+    whole = components(links, thin=True)
     by_set = reps.select("d1", "d2", "n", "id").join(whole.toDF("id", "c"), "id", "left").select("d1", "d2", "n", F.coalesce("c", "id").alias("c"))
     component = F.when(F.col("id").isNotNull(), F.coalesce("c", "id"))
     return sketch.drop("regs", "fold").join(by_set, ["d1", "d2", "n"], "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(False)).alias("kept"))

@@ -31,7 +31,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _pow or len(_pow[0]) < n:
-        size = max(n, 1 << 21)
+        size = max(n, 1 << 19)
         _pow[:] = [np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(size, base, np.uint64)))) for base in (_P, _PI)]
     return _pow[0], _pow[1]
 
