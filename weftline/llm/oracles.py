@@ -14,7 +14,7 @@ k AS (SELECT *, CASE WHEN v<128 THEN v ELSE (v >> (floor(log2(v))::INT-6)) << (f
 h AS (SELECT 2 AS level, lang, source, share, bucket, count(*) AS n FROM k WHERE NOT base_failed GROUP BY ALL UNION ALL SELECT 1, lang, NULL, share, bucket, count(*) FROM k WHERE NOT base_failed GROUP BY ALL UNION ALL SELECT 0, NULL, NULL, share, bucket, count(*) FROM k WHERE NOT base_failed GROUP BY ALL),
 u AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, share ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY level, lang, source, share) AS size FROM h),
 q AS (SELECT level, lang, source, share, max(size) AS size, min(bucket) FILTER (WHERE upto*100>=size*50) AS q50, min(bucket) FILTER (WHERE upto*100>=size*75) AS q75 FROM u GROUP BY ALL),
-t AS (SELECT level, lang, source, share, size, greatest(q75+4*(q75-q50), CASE share WHEN 'symbols' THEN 200000 WHEN 'dup_lines' THEN 500000 ELSE 300000 END) AS cutoff FROM q),
+t AS (SELECT level, lang, source, share, size, greatest(q75+4*(q75-q50), CASE share WHEN 'symbols' THEN 80000 WHEN 'dup_lines' THEN 500000 ELSE 300000 END) AS cutoff FROM q),
 p AS (SELECT k.doc_id, bool_and(k.bucket <= CASE WHEN t2.size>=100 THEN t2.cutoff WHEN t1.size>=100 THEN t1.cutoff ELSE t0.cutoff END) AS ok FROM k
 LEFT JOIN (SELECT * FROM t WHERE level=2) t2 ON t2.share=k.share AND t2.lang IS NOT DISTINCT FROM k.lang AND t2.source IS NOT DISTINCT FROM k.source
 LEFT JOIN (SELECT * FROM t WHERE level=1) t1 ON t1.share=k.share AND t1.lang IS NOT DISTINCT FROM k.lang LEFT JOIN (SELECT * FROM t WHERE level=0) t0 ON t0.share=k.share GROUP BY 1)

@@ -20,7 +20,7 @@ from weftline.llm.common import cut
 #: Base rules: fewest words, and the percentage of words in repeated 3-word windows beyond which a text fails.
 LEAST_WORDS, MOST_REPEATED = 50, 50
 #: Share: (its count, the count it is a share of, guard in parts per million).
-SHARES = {"symbols": ("n_symbols", "word_chars", 200_000), "dup_lines": ("n_dup_lines", "n_lines", 500_000), "repeats": ("n_repeat_words", "n_words", 300_000)}
+SHARES = {"symbols": ("n_symbols", "word_chars", 80_000), "dup_lines": ("n_dup_lines", "n_lines", 500_000), "repeats": ("n_repeat_words", "n_words", 300_000)}
 STRETCH, LEAST_GROUP = 4, 100
 #: Thresholds are broadcast up to so many groups; beyond them they are joined by a salted shuffle.
 BROADCAST_GROUPS, SALTS = 100_000, 32
