@@ -23,8 +23,8 @@ def _text_replaced(docs: DataFrame, cleaned: DataFrame) -> DataFrame:
 
 
 def _lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later repeated runs of lines leave the texts; all documents stay."""
-    return _text_replaced(docs, line_dedup.remove(docs))
+    """Later repeats of a line leave the texts, alone or in a run; all documents stay."""
+    return _text_replaced(docs, line_dedup.remove(docs, window=1))
 
 
 def _near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -184,6 +184,27 @@ def test_line_dedup_agrees_with_brute_force(spark, corpus):
     assert sum(w[1] for w in want.values()) > 20
 
 
+def test_single_lines_and_copies_of_one_line_leave_the_texts_of_the_pipeline(spark):
+    import corpus_pipeline
+
+    rows = [(1, "a one\nsubscribe now\nb one"), (2, "c two\nsubscribe now\n\nd two"), (3, "one line " * 60), (4, "one line " * 60), (5, "e\nf\ne"), (6, "subscribe now"), (7, None)]
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline._lines(spark, documents(spark, rows), "").collect()}
+    assert got == {1: rows[0][1], 2: "c two\n\nd two", 3: rows[2][1], 4: "", 5: "e\nf", 6: "", 7: None}
+
+
+def test_every_line_agrees_with_sql(spark):
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    name, folder = "op8_every_line", "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{folder}/documents.parquet'")
+    want = con.execute(f"select doc_id, n_lines, n_removed, kept_sha256 from ({entry.oracle_sql()[name]})").fetchall()
+    got = [tuple(r) for r in entry.queries()[name](spark, folder).select("doc_id", "n_lines", "n_removed", "kept_sha256").collect()]
+    assert sorted(got) == sorted(want) and sum(r[2] for r in got) > 0
+
+
 def test_line_dedup_plan_is_native(spark, corpus):
     plan = line_dedup.remove(documents(spark, corpus))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan

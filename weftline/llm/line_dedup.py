@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Lines of a run from which on a repeat is found; every longer run is.
+#: Lines of a run from which on a repeat is found; every longer run is. With 1, every line that repeats is, alone too.
 WINDOW = 2
 
 

@@ -28,6 +28,13 @@ g AS (SELECT DISTINCT doc_id, unnest([i1, i2]) AS i FROM w WHERE f <> (doc_id, k
 k AS (SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.i) FILTER (WHERE g.i IS NULL) AS kept, count(g.i) AS n_removed FROM l LEFT JOIN g ON g.doc_id=l.doc_id AND g.i=l.i GROUP BY 1)
 SELECT d.doc_id, (SELECT count(*) FROM n WHERE n.doc_id=d.doc_id) AS n_lines, coalesce(k.n_removed, 0) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256 FROM documents d LEFT JOIN k ON k.doc_id=d.doc_id"""
 
+#: Every line but the first of its kind goes, alone or in a run.
+OP8_EVERY_LINE = r"""
+WITH l AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents WHERE text IS NOT NULL),
+w AS (SELECT doc_id, i, row_number() OVER (PARTITION BY line ORDER BY doc_id, i) AS k FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+k AS (SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.i) FILTER (WHERE w.k IS NULL OR w.k = 1) AS kept, count(w.k) AS n_lines, count(w.k) FILTER (WHERE w.k > 1) AS n_removed FROM l LEFT JOIN w ON w.doc_id=l.doc_id AND w.i=l.i GROUP BY 1)
+SELECT d.doc_id, coalesce(k.n_lines, 0) AS n_lines, coalesce(k.n_removed, 0) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256 FROM documents d LEFT JOIN k ON k.doc_id=d.doc_id"""
+
 #: Each window of 50 words keyed by its words; repeats are those that also start in a smaller document.
 OP9 = r"""
 WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text,''), '[\x20\x09-\x0D]+'), lambda x: x<>'') AS w FROM documents),

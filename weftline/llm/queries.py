@@ -57,6 +57,12 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.remove(docs).select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("clean_text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op8_every_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As op8_line_dedup, with runs of one line too."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.remove(docs, window=1).select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("clean_text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return substring.remove(docs, width=50).select("doc_id", "n_words", "n_removed", F.sha2("clean_text_words", 256).alias("kept_sha256"))
@@ -66,6 +72,6 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.summary(license_scan.scan(read(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_best_fit_packing, op3_chat_format, op4_quality_rules, op5_embedding_near_dedup, op6_language_id, op7_minhash_near_dedup, op8_line_dedup, op9_substring_dedup, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_best_fit_packing, op3_chat_format, op4_quality_rules, op5_embedding_near_dedup, op6_language_id, op7_minhash_near_dedup, op8_line_dedup, op8_every_line, op9_substring_dedup, op10_license_scan)}
 
-ORACLE_SQL: dict[str, str] = {"op4_quality_rules": oracles.OP4, "op8_line_dedup": oracles.OP8, "op9_substring_dedup": oracles.OP9}
+ORACLE_SQL: dict[str, str] = {"op4_quality_rules": oracles.OP4, "op8_line_dedup": oracles.OP8, "op8_every_line": oracles.OP8_EVERY_LINE, "op9_substring_dedup": oracles.OP9}
