@@ -135,6 +135,21 @@ def test_plan_beats_best_fit_where_that_wastes():
     assert sum(t for t, _ in packing._best_fit({s: c for s, c in counts.items()}, 10)) >= sum(t for t, _ in packing.plan(counts, 10)) == 4
 
 
+def test_plan_of_short_pieces_comes_near_the_volume_bound():
+    import random
+
+    r = random.Random(0)
+    for n, least, most in ((3000, 150, 290), (20_000, 200, 285)):
+        counts = Counter(r.randint(least, most) for _ in range(n))
+        plan, used = packing.plan(counts, 2048), Counter()
+        for times, chosen in plan:
+            assert sum(chosen) <= 2048
+            for s in chosen:
+                used[s] += times
+        assert used == counts
+        assert sum(t for t, _ in plan) <= 1.005 * -(-sum(s * c for s, c in counts.items()) // 2048)
+
+
 CONTROLS = ["<s>", "</s>", "[INST]", "[/INST]", "[INST|0] ", " [/INST]</s>", "[ANS|1]", "[/SYS]", "[as:x|0]", "\\", "\\\\", "%", "\n", " ", "é", "<", "[", "ok"]
 
 

@@ -25,7 +25,8 @@ from weftline.llm.common import batch, cut
 
 #: Search nodes for each bin completion and in all; beyond them the incumbent stays. They bound the driver's time, not the rows.
 NODES_A_BIN, NODES = 1000, 200_000
-MOST_IN_FILLING = 6
+#: Drawn plans: so many are tried, and each filling takes at most one of so many parts of what is left of a length.
+DRAWS, PARTS = 4, 8
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, ord long"
 
@@ -57,32 +58,29 @@ def pieces(docs: DataFrame, ranks: Broadcast, pattern: str, capacity: int, end_i
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, _PIECES)
 
 
-def fillings(sizes: list[int], left: dict[int, int], gap: int, waste: int, nodes: list[int]) -> Iterator[tuple[int, ...]]:
+def fillings(sizes: list[int], left: dict[int, int], gap: int, waste: int, nodes: list[int], reach: dict[int, int]) -> Iterator[tuple[int, ...]]:
     """Undominated fillings of ``gap`` that leave at most ``waste``, the fullest of each branch first.
 
     A filling is dominated if one of its members, or the room it leaves, could be exchanged for a larger single size that
-    is still there; sizes come in falling order.
+    is still there; sizes come in falling order. ``reach`` has the sums of each size and smaller ones, as bits.
     """
 
     def grow(i: int, room: int, chosen: list[int]) -> Iterator[tuple[int, ...]]:
         nodes[0] -= 1
         if nodes[0] < 0:
             return
-        fits = np.searchsorted(neg, -room, "left")
-        at = max(i, int(fits))
+        at = max(i, int(np.searchsorted(neg, -room, "left")))
         if room <= waste and not (chosen and _dominated(chosen, room, sizes, left, neg)):
             yield tuple(chosen)
             if room == 0:
                 return
-        if len(chosen) >= MOST_IN_FILLING:
-            return
         for j in range(at, len(sizes)):
-            s = sizes[j]
-            if left[s] > chosen.count(s):
-                # With this size as the largest of those to come, no more than this many fit: too much waste is left.
-                if (MOST_IN_FILLING - len(chosen)) * s < room - waste:
-                    return
-                yield from grow(j, room - s, [*chosen, s])
+            s, least = sizes[j], max(0, room - waste)
+            # Sums of the sizes from here on; where none comes near enough, too much waste is left.
+            if not reach[s] >> least & (1 << room - least + 1) - 1:
+                return
+            for k in range(min(left[s], room // s), 0, -1):
+                yield from grow(j + 1, room - k * s, [*chosen, *[s] * k])
                 if nodes[0] < 0:
                     return
 
@@ -90,6 +88,18 @@ def fillings(sizes: list[int], left: dict[int, int], gap: int, waste: int, nodes
     yield from grow(0, gap, [])
 
 
+def _reach(sizes: tuple[int, ...], most: int) -> list[int]:
+    """For each place in ``sizes``, as bits: the sums up to ``most`` of any numbers of the sizes from there on."""
+    bits, out, mask = 1, [], (1 << most + 1) - 1
+    for s in reversed(sizes):
+        step = s
+        while step <= most:
+            bits |= bits << step & mask
+            step *= 2
+        out.append(bits)
+    return out[::-1]
+
+
 def _dominated(chosen: list[int], room: int, sizes: list[int], left: dict[int, int], neg: np.ndarray) -> bool:
     for s in set(chosen):
         i = int(np.searchsorted(neg, -(s + room), "left"))
@@ -101,12 +111,15 @@ def _dominated(chosen: list[int], room: int, sizes: list[int], left: dict[int, i
 def plan(counts: dict[int, int], capacity: int, nodes: int = NODES) -> list[tuple[int, tuple[int, ...]]]:
     """(how many bins, lengths in each) that hold all ``counts`` pieces in as few bins as the search finds.
 
-    Best fit makes the incumbent. Branch and bound then goes on, largest length first, over undominated completions; a branch
+    Best fit makes the incumbent, or a drawn plan where that has fewer bins. Branch and bound then goes on, largest length first, over undominated completions; a branch
     dies once its waste exceeds that of one bin fewer than the incumbent. At the volume bound the incumbent is optimal.
     """
     total = sum(s * c for s, c in counts.items())
     bound = max(-(-total // capacity), sum(c for s, c in counts.items() if 2 * s > capacity))
     best = _best_fit(counts, capacity)
+    for k in range(DRAWS):
+        if sum(m for m, _ in best) > bound:
+            best = min(best, _drawn(counts, capacity, k), key=lambda bins: sum(m for m, _ in bins))
     budget = [nodes]
     while sum(m for m, _ in best) > bound:
         target = sum(m for m, _ in best) - 1
@@ -134,6 +147,45 @@ def _best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, tuple[in
     return out
 
 
+def _drawn(counts: dict[int, int], capacity: int, seed: int) -> list[tuple[int, tuple[int, ...]]]:
+    """Each bin filled as full as sums of the lengths allow, by lengths drawn by what is left of them, so that the mixture lasts.
+
+    Even seeds begin a bin with the largest length, odd ones with any. The number of draws grows with the lengths and the
+    logarithm of their counts.
+    """
+    r = np.random.default_rng(seed)
+    sizes = np.array(sorted(s for s, c in counts.items() if c), np.int64)
+    left = np.array([counts[s] for s in sizes.tolist()], np.int64)
+    out, reach = [], None
+    while len(sizes):
+        if reach is None:
+            bits = _reach(tuple(sizes[::-1].tolist()), capacity)[0]
+            reach = np.array([bits >> x & 1 for x in range(capacity + 1)], bool)
+            under = np.maximum.accumulate(np.where(reach, np.arange(capacity + 1), 0))
+        used, room = np.zeros(len(sizes), np.int64), capacity
+        if seed % 2 == 0:
+            used[-1], room = 1, capacity - int(sizes[-1])
+        while room:
+            fit = int(np.searchsorted(sizes, room, "right"))
+            free = (left - used)[:fit]
+            weight = np.where(reach[under[room] - np.minimum(sizes[:fit], under[room])] & (sizes[:fit] <= under[room]), free, 0)
+            if not weight.any():
+                weight = free
+            total = np.cumsum(weight)
+            if not fit or not total[-1]:
+                break
+            i = int(np.searchsorted(total, r.integers(total[-1]), "right"))
+            used[i] += 1
+            room -= int(sizes[i])
+        took = used > 0
+        times = max(1, int((left[took] // used[took]).min()) // PARTS)
+        out.append((times, tuple(np.repeat(sizes, used)[::-1].tolist())))
+        left = left - times * used
+        if not left[took].all():
+            sizes, left, reach = sizes[left > 0], left[left > 0], None
+    return out
+
+
 def _take(left: dict[int, int], chosen: list[int]) -> tuple[int, tuple[int, ...]]:
     times = min(left[s] // chosen.count(s) for s in set(chosen))
     for s in set(chosen):
@@ -152,12 +204,14 @@ def _complete(counts: dict[int, int], capacity: int, waste: int, budget: list[in
         rest[sizes[0]] -= 1
         nodes = [min(NODES_A_BIN, budget[0])]
         budget[0] -= 1
-        found = sorted(set(fillings([s for s in sizes if rest[s]], rest, capacity - sizes[0], min(waste, capacity), nodes)), key=lambda f: (-sum(f), len(f)))
+        found = sorted(set(fillings([s for s in sizes if rest[s]], rest, capacity - sizes[0], min(waste, capacity), nodes, reach)), key=lambda f: (-sum(f), len(f)))
         budget[0] -= NODES_A_BIN - max(0, nodes[0])
         for f in found:
             yield (sizes[0], *f)
 
     left = {s: c for s, c in counts.items() if c}
+    order = tuple(sorted(left, reverse=True))
+    reach = dict(zip(order, _reach(order, capacity), strict=True))
     stack = [(left, waste, options(left, waste))]
     path: list[tuple[int, tuple[int, ...]]] = []
     while stack:
