@@ -68,6 +68,11 @@ def test_search_filters_and_chunks(spark):
     assert [(c["start_line"], c["end_line"]) for c in chunks] == [(1, 80), (81, 160), (161, 170)]
 
 
+def test_snippets_take_the_whole_file(spark):
+    chunks = search.snippets(spark.createDataFrame([("f", "\n".join(["x" * 5000] * 100))], "p string, c string"), "p", "c").collect()
+    assert [(c["start_line"], c["end_line"], len(c["content"])) for c in chunks] == [(1, 80, 80 * 5001 - 1), (81, 100, 20 * 5001 - 1)]
+
+
 def test_graphs(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (4, 4), (5, 1), (6, 7)], "a int, b int")
     assert {tuple(r["path"]) for r in graph.cycles(edges, "a", "b").collect()} == {(1, 2, 3, 1), (4, 4)}

@@ -86,7 +86,7 @@ def render(hits: DataFrame, query_id: str, path: str, content: str, position: st
 
 def snippets(entries: DataFrame, path: str, content: str, size: int = 80, most: int = 100) -> DataFrame:
     """SCH-07, AST-04: line chunks of each file, up to ``most`` a file, with their line numbers."""
-    chunks = F.slice(tokens.line_windows(F.left(F.col(content), F.lit(200_000)), size, 0), 1, most)
+    chunks = F.slice(tokens.line_windows(content, size, 0), 1, most)
     return entries.select(path, F.posexplode(chunks).alias("_i", "content")).select(path, (F.col("_i") * size + 1).alias("start_line"), (F.col("_i") * size + F.size(F.split("content", "\n"))).alias("end_line"), "content")
 
 
