@@ -23,24 +23,30 @@ def _bucket(v):
 
 
 def _judged(rows):
-    """Brute force: thresholds from sorted lists of the bucketed shares."""
+    """Brute force: thresholds from sorted lists of the bucketed shares; a text's share less four standard errors is held against them."""
     keys = list(quality.SHARES)
     at = {"n_symbols": 2, "word_chars": 1, "n_dup_lines": 4, "n_lines": 3, "n_repeat_words": 5, "n_words": 0}
     shares, groups = [], collections.defaultdict(list)
     for _, t, lang, source in rows:
         c = _counts(t)
         bad = c[0] < 50 or 100 * c[5] > 50 * c[0]
-        s = [_bucket(min(10**6, c[at[a]] * 10**6 // c[at[b]])) if c[at[b]] else 0 for a, b, _ in (quality.SHARES[k] for k in keys)]
-        shares.append((bad, s))
+        s, sure = [], []
+        for k in keys:
+            a, b, together = quality.SHARES[k]
+            a, b = c[at[a]], c[at[b]]
+            s.append(_bucket(min(10**6, a * 10**6 // b)) if b else 0)
+            p = min(1.0, a / b) if b else 0.0
+            sure.append((p - 4 * math.sqrt(p * (1 - p) * together / b)) * 1e6 if b else 0.0)
+        shares.append((bad, sure))
         if not bad:
             for g in ((2, lang, source), (1, lang), (0,)):
                 groups[g].append(s)
     q = lambda v, p: sorted(v)[math.ceil(len(v) * p / 100) - 1]
     out = []
-    for (_, _, lang, source), (bad, s) in zip(rows, shares, strict=True):
+    for (_, _, lang, source), (bad, sure) in zip(rows, shares, strict=True):
         g = next(x for x in ((2, lang, source), (1, lang), (0,)) if x == (0,) or len(groups[x]) >= quality.LEAST_GROUP)
-        limits = [max(q([x[i] for x in groups[g]], 75) + quality.STRETCH * (q([x[i] for x in groups[g]], 75) - q([x[i] for x in groups[g]], 50)), quality.SHARES[k][2]) for i, k in enumerate(keys)]
-        out.append((bad, not bad and all(a <= b for a, b in zip(s, limits, strict=True))))
+        limits = [q([x[i] for x in groups[g]], 75) + 4 * (q([x[i] for x in groups[g]], 75) - q([x[i] for x in groups[g]], 50)) for i in range(len(keys))]
+        out.append((bad, not bad and all(a <= b for a, b in zip(sure, limits, strict=True))))
     return out
 
 
@@ -76,6 +82,31 @@ def test_salted_thresholds_give_the_same(spark, monkeypatch):
     assert sorted(map(str, a)) == sorted(map(str, b))
 
 
+def test_sources_get_cutoffs_and_verdicts_of_their_own(spark):
+    """A source of formulas keeps a text that a source of prose rejects."""
+    r = random.Random(3)
+
+    def text(seed, percent):
+        return " ".join(w + "$" if r.random() * 100 < percent else w for w in prose(seed, 80).split())
+
+    rows = [(i, text(i, 0), "en", "prose") for i in range(150)] + [(1000 + i, text(i, r.randint(0, 60)), "en", "maths") for i in range(150)]
+    rows += [(5000, text(7, 50), "en", "prose"), (5001, text(7, 50), "en", "maths")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    counted = quality.with_counts(df)
+    cutoffs = {x["source"]: x["symbols"] for x in quality.thresholds(quality.sketches(counted)).where("level = 2").collect()}
+    assert cutoffs["prose"] == 0 < cutoffs["maths"]
+    kept = {x["doc_id"]: x["kept"] for x in quality.judge(counted).collect()}
+    assert not kept[5000] and kept[5001] and all(kept[i] for i in range(150))
+
+
+def test_columns_that_clash(spark):
+    df = spark.createDataFrame([(i, prose(i, 80), "en", "a", i, i, i, i, i, i, i) for i in range(5)], "doc_id long, text string, lang string, source string, t int, w int, row int, c int, s2 int, key int, d int")
+    judged = quality.judge(quality.with_counts(df)).collect()
+    assert all((x["t"], x["w"], x["row"], x["c"], x["s2"], x["key"], x["d"]) == (x["doc_id"],) * 7 and x["kept"] for x in judged)
+    out = quality.filter_documents(df)
+    assert out.columns == df.columns and sorted(map(str, out.collect())) == sorted(map(str, df.collect()))
+
+
 def test_quality_is_native_and_takes_nothing(spark):
     df = documents(spark, [])
     judged = quality.judge(quality.with_counts(df))

@@ -7,7 +7,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that a Python operator holds as numpy arrays at a time. One longer document is a slice of its own.
 SLICE_BYTES = 1 << 18
@@ -18,11 +19,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``; only where that is unset (tests) a local one is made."""
+    """The folder that the cluster names in ``spark.checkpoint.dir``; only on a local master, where that is unset (tests), one is made."""
     sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="weftline-"))
-    return sc.getConf().get("spark.checkpoint.dir") or sc._jsc.sc().getCheckpointDir().get()
+        if not named and not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="weftline-"))
+    return named or sc._jsc.sc().getCheckpointDir().get()
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -31,6 +35,29 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def nested(df: DataFrame, **columns: Column) -> DataFrame:
+    """The rows of ``df`` as one struct ``row``, with columns of the operator's own beside it, so that no name of ``df`` can clash.
+
+    Column names inside ``columns`` are those of ``df``.
+    """
+    return df.select(F.struct("*").alias("row"), *[c.alias(k) for k, c in columns.items()])
+
+
+def unnested(df: DataFrame, **columns: Column) -> DataFrame:
+    """Back to the columns of the struct ``row``, and ``columns``, which replace those of their names."""
+    fields = [f for f in df.schema["row"].dataType.names if f not in columns]
+    return df.select(*[F.col("row")[f].alias(f) for f in fields], *[c.alias(k) for k, c in columns.items()])
+
+
+def own_exchange(key: str) -> Column:
+    """The long column ``key`` unchanged, as an expression that Spark takes for another one.
+
+    A join of an aggregate by its key uses the aggregate's exchange, and adaptive execution splits a hot key only where both
+    sides of a join come straight from exchanges of their own.
+    """
+    return F.col(key).bitwiseXOR(F.lit(0).cast("long")).alias(key)
+
+
 def text_slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets of rows and end) of consecutive rows; null texts are empty."""
     column = column.cast(pa.large_binary())

@@ -1,6 +1,6 @@
 """SQL (DuckDB) for the operators that SQL can express. The others are tested against brute force."""
 
-#: Base counts, then the histogram sketch: bucket = seven leading bits of the share in parts per million.
+#: Base counts, then the histogram sketch: bucket = seven leading bits of the share in parts per million. Verdict: the share less four standard errors against the group's cutoff.
 OP4 = r"""
 WITH d AS (SELECT doc_id, lang, source, coalesce(text,'') AS t FROM documents),
 w AS (SELECT doc_id, lang, source, t, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x<>'') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
@@ -9,13 +9,14 @@ r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_i
 rw AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest([i, i+1, i+2]) AS j FROM r) GROUP BY 1),
 c AS (SELECT w.doc_id, lang, source, len(w)::BIGINT AS n_words, length(array_to_string(w,''))::BIGINT AS word_chars, (length(t)-length(regexp_replace(t,'[#*$%&|<>]','','g')))::BIGINT AS n_symbols, len(l)::BIGINT AS n_lines, (len(l)-len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(rw.n,0)::BIGINT AS n_repeat_words FROM w LEFT JOIN rw USING (doc_id)),
 b AS (SELECT *, n_words<50 OR 100*n_repeat_words>50*n_words AS base_failed FROM c),
-s AS (SELECT doc_id, lang, source, base_failed, unnest(['symbols','dup_lines','repeats']) AS share, unnest([CASE WHEN word_chars>0 THEN least(1000000, n_symbols*1000000//word_chars) ELSE 0 END, CASE WHEN n_lines>0 THEN least(1000000, n_dup_lines*1000000//n_lines) ELSE 0 END, CASE WHEN n_words>0 THEN least(1000000, n_repeat_words*1000000//n_words) ELSE 0 END])::BIGINT AS v FROM b),
-k AS (SELECT *, CASE WHEN v<128 THEN v ELSE (v >> (floor(log2(v))::INT-6)) << (floor(log2(v))::INT-6) END AS bucket FROM s),
+s AS (SELECT doc_id, lang, source, base_failed, unnest([{'share': 'symbols', 'a': n_symbols, 'b': word_chars, 'g': 1}, {'share': 'dup_lines', 'a': n_dup_lines, 'b': n_lines, 'g': 1}, {'share': 'repeats', 'a': n_repeat_words, 'b': n_words, 'g': 3}], recursive := true) FROM b),
+v AS (SELECT *, CASE WHEN b>0 THEN least(1000000, a*1000000//b) ELSE 0 END::BIGINT AS v, least(1.0::DOUBLE, a::DOUBLE/b::DOUBLE) AS p FROM s),
+k AS (SELECT *, CASE WHEN b>0 THEN (p-4*sqrt(p*(1-p)*g/b))*1000000 ELSE 0 END AS sure, CASE WHEN v<128 THEN v ELSE (v >> (floor(log2(v))::INT-6)) << (floor(log2(v))::INT-6) END AS bucket FROM v),
 h AS (SELECT 2 AS level, lang, source, share, bucket, count(*) AS n FROM k WHERE NOT base_failed GROUP BY ALL UNION ALL SELECT 1, lang, NULL, share, bucket, count(*) FROM k WHERE NOT base_failed GROUP BY ALL UNION ALL SELECT 0, NULL, NULL, share, bucket, count(*) FROM k WHERE NOT base_failed GROUP BY ALL),
 u AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, share ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY level, lang, source, share) AS size FROM h),
 q AS (SELECT level, lang, source, share, max(size) AS size, min(bucket) FILTER (WHERE upto*100>=size*50) AS q50, min(bucket) FILTER (WHERE upto*100>=size*75) AS q75 FROM u GROUP BY ALL),
-t AS (SELECT level, lang, source, share, size, greatest(q75+4*(q75-q50), CASE share WHEN 'symbols' THEN 80000 WHEN 'dup_lines' THEN 500000 ELSE 300000 END) AS cutoff FROM q),
-p AS (SELECT k.doc_id, bool_and(k.bucket <= CASE WHEN t2.size>=100 THEN t2.cutoff WHEN t1.size>=100 THEN t1.cutoff ELSE t0.cutoff END) AS ok FROM k
+t AS (SELECT level, lang, source, share, size, q75+4*(q75-q50) AS cutoff FROM q),
+p AS (SELECT k.doc_id, bool_and(k.sure <= CASE WHEN t2.size>=100 THEN t2.cutoff WHEN t1.size>=100 THEN t1.cutoff ELSE t0.cutoff END) AS ok FROM k
 LEFT JOIN (SELECT * FROM t WHERE level=2) t2 ON t2.share=k.share AND t2.lang IS NOT DISTINCT FROM k.lang AND t2.source IS NOT DISTINCT FROM k.source
 LEFT JOIN (SELECT * FROM t WHERE level=1) t1 ON t1.share=k.share AND t1.lang IS NOT DISTINCT FROM k.lang LEFT JOIN (SELECT * FROM t WHERE level=0) t0 ON t0.share=k.share GROUP BY 1)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(ok, false) AS kept FROM b JOIN p USING (doc_id)"""

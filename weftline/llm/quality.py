@@ -2,12 +2,16 @@
 
 Counts of each text are turned into shares in parts per million. For each language and source a mergeable quantile sketch of
 each share is kept: counts of logarithmic buckets (64 for each doubling, so that a quantile is within 1/64 of its value), which
-add up over tasks, sources and languages. A share is too high if it lies ``STRETCH`` times the distance from median to
-upper quartile above the upper quartile, and above a guard under which no text is rejected. Groups of fewer than
-``LEAST_GROUP`` texts use the sketch of their language, and those of a small language that of all texts.
+add up over tasks, sources and languages. A group's cutoff lies ``STRETCH`` times the distance from median to upper quartile
+above the upper quartile; no constant stands beside it. Where most texts of a group have nothing to count, its cutoff is 0.
+
+A text is too high if its share is so for certain: what is compared with the cutoff is the share less ``SURE`` standard
+errors, so that two equal lines of four say little, and forty of eighty much. Groups of fewer than ``LEAST_GROUP`` texts use
+the sketch of their language, and those of a small language that of all texts.
 
 Null texts have no words and fail the base rules. A null language or source is a group of its own. Repeated rows are judged
-as often as they occur. Ties need no order: every text at a threshold is kept.
+as often as they occur. Ties need no order: every text at a threshold is kept. An empty table gives an empty result. Other
+columns pass through, whatever their names; only one named as the result is replaced.
 """
 
 from __future__ import annotations
@@ -15,13 +19,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.common import cut
+from weftline.llm.common import cut, nested, unnested
 
 #: Base rules: fewest words, and the percentage of words in repeated 3-word windows beyond which a text fails.
 LEAST_WORDS, MOST_REPEATED = 50, 50
-#: Share: (its count, the count it is a share of, guard in parts per million).
-SHARES = {"symbols": ("n_symbols", "word_chars", 80_000), "dup_lines": ("n_dup_lines", "n_lines", 500_000), "repeats": ("n_repeat_words", "n_words", 300_000)}
-STRETCH, LEAST_GROUP = 4, 100
+#: Share: (its count, the count it is a share of, how many of the count come together: a repeated window counts three words).
+SHARES = {"symbols": ("n_symbols", "word_chars", 1), "dup_lines": ("n_dup_lines", "n_lines", 1), "repeats": ("n_repeat_words", "n_words", 3)}
+STRETCH, SURE, LEAST_GROUP = 4, 4, 100
 #: Thresholds are broadcast up to so many groups; beyond them they are joined by a salted shuffle.
 BROADCAST_GROUPS, SALTS = 100_000, 32
 
@@ -34,26 +38,26 @@ def with_counts(docs: DataFrame, text: str = "text", counts: str = "counts") ->
     Words in repeated windows: window hashes are sorted with their positions, equal neighbours are repeated windows, and the
     words that their positions reach are added up. Texts of which no window repeats skip that.
     """
-    t = F.coalesce(F.col(text), F.lit(""))
-    lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    words = F.filter(F.split(t, SPACES), lambda x: x != "")
-    out = docs.withColumns({"_w": words, "_l": lines})
-    window = lambda i: F.xxhash64(F.get("_w", i), F.get("_w", i + 1), F.get("_w", i + 2))
-    out = out.withColumn("_h", F.when(F.size("_w") >= 3, F.transform(F.sequence(F.lit(0), F.size("_w") - 3), window)).otherwise(F.array().cast("array<bigint>")))
-    again = F.size(F.array_distinct("_h")) < F.size("_h")
-    out = out.withColumn("_s", F.when(again, F.sort_array(F.transform("_h", lambda h, i: F.struct(h.alias("h"), i.alias("p"))))))
-    same = lambda x, i: (F.get("_s", i - 1)["h"] == x["h"]) | (F.get("_s", i + 1)["h"] == x["h"])
-    out = out.withColumn("_p", F.sort_array(F.transform(F.filter("_s", lambda x, i: F.coalesce(same(x, i), (i > 0) & (F.get("_s", i - 1)["h"] == x["h"]), F.lit(False))), lambda x: x["p"])))
-    reached = F.aggregate("_p", F.struct(F.lit(0).cast("long").alias("n"), F.lit(-3).alias("last")), lambda a, p: F.struct((a["n"] + F.least(F.lit(3), p - a["last"])).alias("n"), p.alias("last")), lambda a: a["n"])
+    out = nested(docs, t=F.coalesce(F.col(text), F.lit("")))
+    lines = F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    words = F.filter(F.split("t", SPACES), lambda x: x != "")
+    out = out.withColumns({"w": words, "l": lines})
+    window = lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2))
+    out = out.withColumn("h", F.when(F.size("w") >= 3, F.transform(F.sequence(F.lit(0), F.size("w") - 3), window)).otherwise(F.array().cast("array<bigint>")))
+    again = F.size(F.array_distinct("h")) < F.size("h")
+    out = out.withColumn("s", F.when(again, F.sort_array(F.transform("h", lambda h, i: F.struct(h.alias("h"), i.alias("p"))))))
+    same = lambda x, i: (F.get("s", i - 1)["h"] == x["h"]) | (F.get("s", i + 1)["h"] == x["h"])
+    out = out.withColumn("p", F.sort_array(F.transform(F.filter("s", lambda x, i: F.coalesce(same(x, i), (i > 0) & (F.get("s", i - 1)["h"] == x["h"]), F.lit(False))), lambda x: x["p"])))
+    reached = F.aggregate("p", F.struct(F.lit(0).cast("long").alias("n"), F.lit(-3).alias("last")), lambda a, p: F.struct((a["n"] + F.least(F.lit(3), p - a["last"])).alias("n"), p.alias("last")), lambda a: a["n"])
     c = {
-        "n_words": F.size("_w"),
-        "word_chars": F.length(F.array_join("_w", "")),
-        "n_symbols": F.length(t) - F.length(F.regexp_replace(t, r"[#*$%&|<>]", "")),
-        "n_lines": F.size("_l"),
-        "n_dup_lines": F.size("_l") - F.size(F.array_distinct("_l")),
+        "n_words": F.size("w"),
+        "word_chars": F.length(F.array_join("w", "")),
+        "n_symbols": F.length("t") - F.length(F.regexp_replace("t", r"[#*$%&|<>]", "")),
+        "n_lines": F.size("l"),
+        "n_dup_lines": F.size("l") - F.size(F.array_distinct("l")),
         "n_repeat_words": F.coalesce(reached, F.lit(0)),
     }
-    return out.withColumn(counts, F.struct(*[v.cast("long").alias(k) for k, v in c.items()])).drop("_w", "_l", "_h", "_s", "_p")
+    return unnested(out, **{counts: F.struct(*[v.cast("long").alias(k) for k, v in c.items()])})
 
 
 def base_failed(c: Column) -> Column:
@@ -65,6 +69,13 @@ def share(c: Column, name: str) -> Column:
     return F.when(c[whole] > 0, F.least(F.lit(1_000_000).cast("long"), F.floor(c[part] * 1_000_000 / c[whole]).cast("long"))).otherwise(F.lit(0).cast("long"))
 
 
+def sure_share(c: Column, name: str) -> Column:
+    """The share less ``SURE`` standard errors of a share of that many, in parts per million."""
+    part, whole, together = SHARES[name]
+    p = F.least(F.lit(1.0), c[part] / c[whole])
+    return F.when(c[whole] > 0, (p - SURE * F.sqrt(p * (1 - p) * together / c[whole])) * 1_000_000).otherwise(F.lit(0.0))
+
+
 def bucket(ppm: Column) -> Column:
     """The lower end of the logarithmic bucket: seven leading bits are kept."""
     shift = F.greatest(F.lit(0), F.length(F.bin(ppm)) - 7)
@@ -84,43 +95,44 @@ def sketches(counted: DataFrame, counts: str = "counts", lang: str = "lang", sou
 
 
 def thresholds(sketch: DataFrame) -> DataFrame:
-    """(level, lang, source, size, one column for each share): the highest bucket that is kept."""
+    """(level, lang, source, size, one column for each share): the highest share that is kept, in parts per million."""
     key = ["level", "lang", "source", "share"]
     w = Window.partitionBy(*key)
     placed = sketch.withColumns({"upto": F.sum("n").over(w.orderBy("bucket")), "size": F.sum("n").over(w)})
     at = lambda percent: F.min(F.when(F.col("upto") * 100 >= F.col("size") * percent, F.col("bucket")))
     q = placed.groupBy(*key).agg(at(50).alias("q50"), at(75).alias("q75"), F.first("size").alias("size"))
     cutoff = F.col("q75") + STRETCH * (F.col("q75") - F.col("q50"))
-    columns = [F.max(F.when(F.col("share") == k, F.greatest(cutoff, F.lit(guard).cast("long")))).alias(k) for k, (_, _, guard) in SHARES.items()]
+    columns = [F.max(F.when(F.col("share") == k, cutoff)).alias(k) for k in SHARES]
     return q.groupBy("level", "lang", "source").agg(F.max("size").alias("size"), *columns)
 
 
 def judge(counted: DataFrame, counts: str = "counts", lang: str = "lang", source: str = "source", kept: str = "kept") -> DataFrame:
     """``counted`` with a boolean ``kept``. The cutoffs come from all its rows: it is written once and read twice, so leave the texts out."""
-    counted, names = cut(counted), list(SHARES)
-    t = cut(thresholds(sketches(counted, counts, lang, source)))
+    rows, names = cut(nested(counted, c=F.col(counts), lang=F.col(lang).cast("string"), source=F.col(source).cast("string"))), list(SHARES)
+    t = cut(thresholds(sketches(rows, "c")))
     overall = t.where("level = 0").select(F.struct("size", *names).alias("t0"))
-    small = [t.where("level = 2").select(F.col("lang").alias("_l2"), F.col("source").alias("_s2"), F.struct("size", *names).alias("t2")), t.where("level = 1").select(F.col("lang").alias("_l1"), F.struct("size", *names).alias("t1"))]
+    by_source = t.where("level = 2").select(F.col("lang").alias("l2"), F.col("source").alias("s2"), F.struct("size", *names).alias("t2"))
+    by_lang = t.where("level = 1").select(F.col("lang").alias("l1"), F.struct("size", *names).alias("t1"))
     fits = t.count() <= BROADCAST_GROUPS
-    groups = small[0].join(F.broadcast(small[1]) if fits else small[1], F.col("_l2").eqNullSafe(F.col("_l1"))).join(F.broadcast(overall))
+    groups = by_source.join(F.broadcast(by_lang) if fits else by_lang, F.col("l2").eqNullSafe(F.col("l1"))).join(F.broadcast(overall))
     pick = F.when(F.col("t2.size") >= LEAST_GROUP, F.col("t2")).when(F.col("t1.size") >= LEAST_GROUP, F.col("t1")).otherwise(F.col("t0"))
-    groups = groups.select("_l2", "_s2", pick.alias("_t"))
-    on = F.col(lang).eqNullSafe(F.col("_l2")) & F.col(source).eqNullSafe(F.col("_s2"))
+    groups = groups.select("l2", "s2", pick.alias("t"))
+    on = F.col("lang").eqNullSafe(F.col("l2")) & F.col("source").eqNullSafe(F.col("s2"))
     if fits:
-        joined = counted.join(F.broadcast(groups), on, "left")
+        joined = rows.join(F.broadcast(groups), on, "left")
     else:
-        salted = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = counted.withColumn("_in", F.pmod(F.xxhash64(counts, lang), F.lit(SALTS)).cast("int")).join(salted, on & (F.col("_in") == F.col("_salt")), "left").drop("_in", "_salt")
-    c = F.col(counts)
-    ok = ~base_failed(c)
+        salted = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = rows.withColumn("own", F.pmod(F.xxhash64("c", "lang"), F.lit(SALTS)).cast("int")).join(salted, on & (F.col("own") == F.col("salt")), "left")
+    ok = ~base_failed(F.col("c"))
     for k in names:
-        ok = ok & (bucket(share(c, k)) <= F.col("_t")[k])
-    return joined.withColumn(kept, F.coalesce(ok, F.lit(False))).drop("_l2", "_s2", "_t")
+        ok = ok & (sure_share(F.col("c"), k) <= F.col("t")[k])
+    return unnested(joined, **{kept: F.coalesce(ok, F.lit(False))})
 
 
-def filter_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def filter_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """The documents that pass; columns stay as they are. Verdicts go by id and hash of the text, so that rows that repeat share theirs."""
-    counted = with_counts(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), "lang", "source")).select("doc_id", F.xxhash64("text").alias("t"), "lang", "source", "counts")
-    drop = cut(judge(counted).where("not kept").select(F.col("doc_id").alias("_d"), F.col("t").alias("_t")).distinct())
+    src = docs.select(F.col(doc_id).alias("d"), F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(source).alias("source"))
+    counted = with_counts(src).select("d", F.xxhash64("text").alias("t"), "lang", "source", "counts")
+    drop = cut(judge(counted).where("not kept").select("d", "t").distinct())
     few = F.broadcast(drop) if drop.count() <= 500_000 else drop
-    return docs.join(few, F.col(doc_id).eqNullSafe(F.col("_d")) & (F.xxhash64(F.col(text)) == F.col("_t")), "left_anti")
+    return nested(docs, key=F.col(doc_id), hash=F.xxhash64(F.col(text))).join(few, F.col("key").eqNullSafe(F.col("d")) & (F.col("hash") == F.col("t")), "left_anti").select("row.*")
