@@ -258,7 +258,7 @@ def test_license_scan_agrees_with_brute_force(spark):
 
     words = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     mit = license_scan.NOTICES[0][0]
-    rows = [*EDGES, (20, "MIT License; the mit license"), (21, "gnu general public gnu General-Public license"), (22, "CC BY cc by\ncc\tBY 4.0"), (23, "pre " + mit.upper() + " post"), (24, " ".join(w for i, w in enumerate(mit.split()) if i % 9)), (25, "apache license apache license"), (26, None), (22, "mit license")]
+    rows = [*EDGES, (20, "MIT License; the mit license"), (21, "gnu general public gnu General-Public license"), (22, "CC BY cc by\ncc\tBY 4.0"), (23, "pre " + mit.upper() + " post"), (24, " ".join(w for i, w in enumerate(mit.split()) if i % 9)), (25, "apache license apache license"), (26, None), (22, "mit license"), (27, "licensed under the apache license version 2 0 " * 3), (28, "permission to use copy x modify and or distribute y this software for any z purpose with"), (29, "this software this program is free software you can the software redistribute it and or modify")]
     want = []
     for d, t, *_ in rows:
         w = words.findall((t or "").translate(UPPER))
@@ -266,11 +266,48 @@ def test_license_scan_agrees_with_brute_force(spark):
         want.append((str(d), len(w), len(hits), str(hits[0][0] if hits else None), str(max(h[0] for h in hits) if hits else None), ",".join(sorted({h[1] for h in hits}))))
     got = license_scan.summary(license_scan.scan(documents(spark, rows))).collect()
     assert sorted((str(r["doc_id"]), r["n_words"], r["n_base"], str(r["first_word"]), str(r["last_word"]), r["base_labels"]) for r in got) == sorted(want)
+    def standing(w, notice):
+        """The largest share of the notice's word pairs in a chain of rising positions within 12 of some offset, by dynamic programming."""
+        n = notice.split()
+        pairs = [(p, q) for p in range(len(w) - 1) for q in range(len(n) - 1) if w[p : p + 2] == n[q : q + 2]]
+        best = 0
+        for d in {p - q for p, q in pairs}:
+            near = [(p, q) for p, q in pairs if abs(p - q - d) <= 12]
+            length = {}
+            for p, q in near:
+                length[p, q] = 1 + max((length[x] for x in length if x[0] < p and x[1] < q), default=0)
+            best = max(best, *length.values())
+        return best / (len(n) - 1) if best >= 3 and best >= 0.5 * (len(n) - 1) else 0
+
     labels = {r["doc_id"]: r["labels"] for r in got}
+    by_row = {(r["doc_id"], r["n_words"]): (r["labels"], r["score"]) for r in got}
+    for d, t, *_ in rows:
+        w = words.findall((t or "").translate(UPPER))
+        if len(w) < 5000:
+            held = {label: standing(w, notice) for notice, label in license_scan.NOTICES}
+            base = {label for p, label in license_scan.PHRASES if any(w[i : i + len(p.split())] == p.split() for i in range(len(w)))}
+            assert by_row[d, len(w)] == (",".join(sorted(base | {k for k, v in held.items() if v})), pytest.approx(max([*held.values(), float(bool(base))]))), t
     assert "mit-text" in labels[23] and "mit-text" in labels[24] and labels[8] == ""
     assert all(0 <= r["score"] <= 1 for r in got)
 
 
+def test_words_that_are_said_again_and_again_are_no_notice(spark):
+    texts = ["of the " * 20, "the software " * 20, "and or " * 12, "apache license a b c " * 4, "the software " * 3000]
+    got = license_scan.summary(license_scan.scan(documents(spark, list(enumerate(texts))))).collect()
+    assert {r["doc_id"]: r["labels"] for r in got} == {0: "", 1: "", 2: "", 3: "apache", 4: ""}
+    assert {r["score"] for r in got if r["doc_id"] != 3} == {0.0}
+
+
+def test_notices_in_a_row_are_spans_of_their_own(spark):
+    short, long = "licensed under the apache license version 2 0", license_scan.NOTICES[0][0]
+    cut_in = " ".join([*long.split()[:9], "x y z", *long.split()[9:]])
+    df = documents(spark, [(1, " ".join([short] * 5)), (2, f"{long} {cut_in} {long}")]).withColumnsRenamed({"lang": "found", "source": "row", "n_chars": "template"})
+    got = {r["doc_id"]: [(s["first"], s["last"], round(s["score"], 2)) for s in r["spans"] if s["label"] in ("apache-notice", "mit-text")] for r in license_scan.scan(df).collect()}
+    n = len(long.split())
+    assert got[1] == [(8 * i, 8 * i + 7, 1.0) for i in range(5)]
+    assert [x[:2] for x in got[2]] == [(0, n - 1), (n, 2 * n + 2), (2 * n + 3, 3 * n + 2)]
+
+
 def test_license_scan_nothing(spark):
     assert license_scan.scan(spark.createDataFrame([], DDL)).count() == 0
 
