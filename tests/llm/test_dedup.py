@@ -184,6 +184,39 @@ def test_line_dedup_agrees_with_brute_force(spark, corpus):
     assert sum(w[1] for w in want.values()) > 20
 
 
+@pytest.mark.parametrize("window", [1, 3])
+def test_winnowed_runs_of_other_lengths(spark, window):
+    """All windows of so many lines, against the selected minima; and fewer lines selected than there are."""
+    r = random.Random(window)
+    rows = [(k, "\n".join(r.choice("abcdefgh") if r.random() < 0.7 else f"{k} {i}" for i in range(40))) for k in range(30)]
+    seen, want = {}, {}
+    for d, t in rows:
+        lines, gone = t.split("\n"), set()
+        for i in range(len(lines) - window + 1):
+            if seen.setdefault(tuple(lines[i : i + window]), (d, i)) != (d, i):
+                gone |= set(range(i, i + window))
+        want[d] = "\n".join(x for i, x in enumerate(lines) if i not in gone)
+    df = documents(spark, rows)
+    assert {x["doc_id"]: x["clean_text"] for x in line_dedup.remove(df, window=window).collect()} == want
+    n = line_dedup.fingerprints(df, window).count()
+    assert n == 1200 if window == 1 else n < 900
+
+
+def test_lines_of_fingerprints_alone_are_found(spark, monkeypatch):
+    """Without the selected lines nothing is found: they are not a filter beside another path."""
+    real = line_dedup.fingerprints
+    monkeypatch.setattr(line_dedup, "fingerprints", lambda *a: real(*a).where("false"))
+    assert line_dedup.repeats(documents(spark, [(1, "a\nb\nc"), (2, "a\nb\nc")])).count() == 0
+
+
+def test_line_dedup_nothing_and_clashing_columns(spark):
+    assert line_dedup.remove(documents(spark, [])).count() == 0
+    df = documents(spark, [(1, "a\nb"), (2, "a\nb\nc")]).withColumnsRenamed({"lang": "gone", "source": "d", "n_chars": "t"})
+    df = df.withColumn("row", df["d"]).withColumn("n_removed", df["d"])
+    got = {x["doc_id"]: (x["clean_text"], x["n_removed"], x["gone"], x["d"], x["row"]) for x in line_dedup.remove(df).collect()}
+    assert got == {1: ("a\nb", 0, "en", "src0", "src0"), 2: ("c", 2, "en", "src0", "src0")}
+
+
 def test_single_lines_and_copies_of_one_line_leave_the_texts_of_the_pipeline(spark):
     import corpus_pipeline
 
