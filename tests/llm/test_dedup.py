@@ -124,8 +124,31 @@ def test_substring_agrees_with_all_windows(spark, corpus, shard, monkeypatch):
 
 def test_substring_nothing(spark):
     assert substring.remove(documents(spark, [])).count() == 0
-    got = substring.remove(documents(spark, [(1, "a  b\n c")]).withColumnsRenamed({"lang": "spans", "source": "_spans2"})).first()
-    assert got["clean_text"] == "a  b\n c" and got["n_removed"] == 0
+    df = documents(spark, [(1, "a  b\n c")])
+    df = df.withColumns({n: df["doc_id"] for n in ("spans", "_spans", "_d", "_kd", "row", "key", "d", "t", "n_words")})
+    got = substring.remove(df).first()
+    assert got["clean_text"] == "a  b\n c" and got["n_removed"] == 0 and got["n_words"] == 3 and all(got[n] == 1 for n in ("spans", "_spans", "_d", "_kd", "row", "key", "d", "t"))
+
+
+@pytest.mark.parametrize("width", [51, 65, 100])
+def test_substring_of_other_widths(spark, width):
+    """Texts that agree for longer than 64 words before they differ, and in all of them."""
+    base, rows, r = prose(3, 400, 3).split(), [], random.Random(width)
+    for k in range(60):
+        words = list(base[: r.randint(120, 400)])
+        for _ in range(k % 5):
+            words[r.randrange(len(words))] = f"edit{r.randrange(4)}"
+        rows.append((k, " ".join(words)))
+    texts, gone = _windows(rows, width)
+    for x in substring.remove(documents(spark, rows), width=width).collect():
+        k = (x["doc_id"], x["text"])
+        assert x["clean_text_words"] == " ".join(w for w, g in zip(texts[k], gone[k], strict=True) if not g)
+
+
+def test_exact_copies_are_found_by_the_index(spark, monkeypatch):
+    monkeypatch.setattr(substring, "_search", lambda table, width: (np.zeros(0, np.int64),) * 3)
+    rows = [(k, prose(4, 80)) for k in range(3)]
+    assert {x["n_removed"] for x in substring.remove(documents(spark, rows)).collect()} == {0}
 
 
 @settings(max_examples=60, deadline=None)
@@ -135,9 +158,18 @@ def test_fm_index_finds_what_a_scan_finds(texts, width):
     size = np.array([len(t) for t in texts])
     begin = np.concatenate(([0], np.cumsum(size + 1)))
     owner = np.repeat(np.arange(len(texts), dtype=np.int32), size + 1)
-    index = fm_index.FMIndex(symbols, owner, 4)
+    index = fm_index.FMIndex(symbols, owner, 4, width)
     ask = np.flatnonzero(size >= width)
-    mark = fm_index.covered_windows(index, symbols, owner, begin[ask], begin[ask] + size[ask], width)
+    lengths = fm_index.matching_statistics(index, symbols, owner, begin[ask], begin[ask] + size[ask], width)
+    for at in np.flatnonzero(lengths >= 0).tolist():
+        own = owner[at]
+        earlier = [x for t in texts[:own] for x in [",".join(map(str, ["", *t, ""]))]]
+        t, e = texts[own], at - begin[own]
+        longest = max(n for n in range(min(width, e + 1) + 1) if n == 0 or any("," + ",".join(map(str, t[e + 1 - n : e + 1])) + "," in x for x in earlier))
+        assert lengths[at] == longest
+    mark = np.zeros(len(symbols), bool)
+    for a, b in zip(*fm_index.intervals(lengths, width), strict=True):
+        mark[a:b] = True
     _, gone = _windows([(d, " ".join(map(str, t))) for d, t in enumerate(texts)], width)
     for d, t in enumerate(texts):
         assert mark[begin[d] : begin[d] + len(t)].tolist() == gone[d, " ".join(map(str, t))]
@@ -147,7 +179,7 @@ def test_fm_index_finds_what_a_scan_finds(texts, width):
 @given(st.lists(st.integers(0, 4), min_size=1, max_size=80), st.lists(st.integers(1, 4), min_size=1, max_size=5))
 def test_fm_index_counts(text, pattern):
     symbols = np.array([*text, 0], np.int64)
-    index = fm_index.FMIndex(symbols, np.zeros(len(symbols), np.int32), 5)
+    index = fm_index.FMIndex(symbols, np.zeros(len(symbols), np.int32), 5, 8)
     lo, hi = np.array([0]), np.array([len(symbols)])
     for c in reversed(pattern):
         lo, hi = index.step(np.array([c]), lo, hi)
@@ -157,6 +189,20 @@ def test_fm_index_counts(text, pattern):
     assert max(0, int(hi[0] - lo[0])) == n
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.integers(1, 400), st.integers(0, 10**6))
+def test_fm_index_knows_the_smallest_owner(n, seed):
+    r = np.random.default_rng(seed)
+    symbols = np.append(r.integers(1, 4, n), 0)
+    owner = r.integers(0, 1000, n + 1).astype(np.int32)
+    index = fm_index.FMIndex(symbols, owner, 4, 4)
+    lo = r.integers(0, n + 1, 50)
+    hi = r.integers(lo + 1, n + 2)
+    assert index.smallest(lo, hi).tolist() == [int(index.owner[a:b].min()) for a, b in zip(lo, hi, strict=True)]
+    with pytest.raises(ValueError):
+        fm_index.matching_statistics(index, symbols, owner, lo, hi, 5)
+
+
 def test_line_dedup_agrees_with_brute_force(spark, corpus):
     import re
 

@@ -2,7 +2,8 @@
 
 The Burrows-Wheeler transform lies in a wavelet tree stored level by level as packed bits with a running count for every 64
 of them (a wavelet matrix), so that a rank costs two lookups a level. Suffixes are sorted by their first ``depth`` symbols or
-more, which makes the intervals of patterns up to that length exact.
+more, which makes the intervals of patterns up to that length exact; longer patterns are refused. Besides, an index of n
+symbols keeps the owner of each suffix and minima over blocks of owners: about three integers of 32 bits a symbol.
 """
 
 from __future__ import annotations
@@ -10,6 +11,8 @@ from __future__ import annotations
 import numpy as np
 
 _ONE, _LOW = np.uint64(1), np.uint64(63)
+#: Rows of a block of owners, as a power of two.
+_BLOCK = 5
 
 
 class Bits:
@@ -31,9 +34,9 @@ class Bits:
 class FMIndex:
     """Of ``symbols`` (0 to sigma - 1; 0 separates texts). ``owner``: a number for each position; intervals know their smallest."""
 
-    def __init__(self, symbols: np.ndarray, owner: np.ndarray, sigma: int, depth: int = 64) -> None:
+    def __init__(self, symbols: np.ndarray, owner: np.ndarray, sigma: int, depth: int) -> None:
         n = len(symbols)
-        self.n = n
+        self.n, self.depth = n, depth
         order = _sorted_suffixes(symbols, depth)
         bwt = symbols[order - 1]  # before position 0 stands the last symbol, a separator
         self.starts = np.concatenate(([0], np.cumsum(np.bincount(symbols, minlength=sigma))))
@@ -48,12 +51,17 @@ class FMIndex:
         at_foot = _foot_order(sigma, len(self.shifts))
         self.foot = np.empty(sigma, np.int64)
         self.foot[at_foot] = np.concatenate(([0], np.cumsum(np.bincount(cur, minlength=sigma)[at_foot])))[:-1]
-        # Smallest owner of any interval: minima of 2**k rows, padded to one width so that a lookup needs no loop over k.
-        self.floor = np.full((max(1, n.bit_length()), n), np.iinfo(owner.dtype).max, owner.dtype)
-        self.floor[0] = owner[order]
-        for k in range(1, n.bit_length()):
-            half, m = 1 << (k - 1), n - (1 << k) + 1
-            self.floor[k, :m] = np.minimum(self.floor[k - 1, :m], self.floor[k - 1, half : half + m])
+        # Smallest owner of any interval: from each row to the ends of its block, and minima of 2**k whole blocks.
+        size = 1 << _BLOCK
+        padded = np.full(-(-n // size) * size, np.iinfo(owner.dtype).max, owner.dtype)
+        padded[:n] = owner[order]
+        self.owner = padded
+        grid = padded.reshape(-1, size)
+        self.to_end = np.minimum.accumulate(grid[:, ::-1], 1)[:, ::-1].ravel()
+        self.from_start = np.minimum.accumulate(grid, 1).ravel()
+        self.blocks = [grid.min(1)] if n else []
+        while len(self.blocks[-1:]) and len(self.blocks[-1]) > (half := 1 << (len(self.blocks) - 1)):
+            self.blocks.append(np.minimum(self.blocks[-1][:-half], self.blocks[-1][half:]))
 
     def step(self, c: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The intervals of the patterns after the symbols c are put before them."""
@@ -68,8 +76,23 @@ class FMIndex:
 
     def smallest(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         """The smallest owner in each interval, none of which is empty."""
-        k = np.frexp((hi - lo).astype(np.float64))[1] - 1
-        return np.minimum(self.floor[k, lo], self.floor[k, hi - (1 << k)])
+        last = hi - 1
+        a, b = lo >> _BLOCK, last >> _BLOCK
+        out = np.minimum(self.to_end[lo], self.from_start[last])
+        inside = np.flatnonzero(a == b)
+        if len(inside):
+            first, size = lo[inside], hi[inside] - lo[inside]
+            least = self.owner[first]
+            for k in range(1, int(size.max())):
+                least = np.minimum(least, self.owner[first + np.minimum(k, size - 1)])
+            out[inside] = least
+        between = b - a - 1
+        level = np.frexp(between.astype(np.float64))[1] - 1
+        for k in np.unique(level[between > 0]).tolist():
+            rows = np.flatnonzero((level == k) & (between > 0))
+            m = self.blocks[k]
+            out[rows] = np.minimum(out[rows], np.minimum(m[a[rows] + 1], m[b[rows] - (1 << k)]))
+        return out
 
 
 def _foot_order(sigma: int, bits: int) -> np.ndarray:
@@ -101,14 +124,17 @@ def _sorted_suffixes(symbols: np.ndarray, depth: int) -> np.ndarray:
         size *= 2
 
 
-def covered_windows(index: FMIndex, symbols: np.ndarray, owner: np.ndarray, first: np.ndarray, end: np.ndarray, width: int) -> np.ndarray:
-    """A mark for each position of ``symbols`` that a window of ``width`` covers which also stands at a smaller owner.
+def matching_statistics(index: FMIndex, symbols: np.ndarray, owner: np.ndarray, first: np.ndarray, end: np.ndarray, width: int) -> np.ndarray:
+    """For positions of ``symbols``: the length, up to ``width``, of the longest match that ends there and also stands at a smaller owner.
 
-    Streams are symbols[first:end], each of one owner. A window is searched from its end: once no smaller owner holds the
-    part read, no window over that part can match, and the next one starts behind its first symbol. After a match the search
-    leaps a whole width, and half as far each time that the leap fails, so that nothing between is left untried.
+    Streams are symbols[first:end], each of one owner. Positions that can add nothing to what matches of ``width`` cover hold
+    -1 and are not searched: once a match that ends at e is shorter than ``width``, none of that length holds the symbol
+    before it, and the next end tried lies ``width`` behind that symbol. After a match of ``width`` the search leaps a whole
+    width, and half as far each time that the leap fails, so that nothing between is left untried.
     """
-    mark = np.zeros(len(symbols) + 1, np.int64)
+    if width > index.depth:
+        raise ValueError(f"the index is exact for patterns of up to {index.depth} symbols, not {width}")
+    lengths = np.full(len(symbols), -1, np.int32)
     # At: start of the window. Held: start of the last window that matched, or -1. Leap: how far the window is from it.
     at, held, leap = first.astype(np.int64), np.full(len(first), -1, np.int64), np.zeros(len(first), np.int64)
     stop = end.astype(np.int64) - width
@@ -130,8 +156,8 @@ def covered_windows(index: FMIndex, symbols: np.ndarray, owner: np.ndarray, firs
         if len(new):
             won = done[new]
             w, f = new[won], new[~won]
-            np.add.at(mark, at[w], 1)
-            np.add.at(mark, at[w] + width, -1)
+            lengths[at[w] + width - 1] = width
+            lengths[at[f] + width - 1] = at[f] + width - 1 - pos[f]
             leap[w] = np.where(held[w] < 0, width, np.maximum(1, leap[w]))
             held[w] = at[w]
             at[w] = held[w] + leap[w]
@@ -151,4 +177,15 @@ def covered_windows(index: FMIndex, symbols: np.ndarray, owner: np.ndarray, firs
             if (at[new] > stop[new]).any():
                 live = at <= stop
                 at, held, leap, stop, own, pos, lo, hi = (x[live] for x in (at, held, leap, stop, own, pos, lo, hi))
-    return np.cumsum(mark[:-1]) > 0
+    return lengths
+
+
+def intervals(lengths: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(start, end) of what matches of at least ``least`` cover, given the matching statistics by end; overlapping ones are one."""
+    at = np.flatnonzero(lengths >= least)
+    step = np.zeros(len(lengths) + 2, np.int64)
+    np.add.at(step, at - lengths[at] + 1, 1)
+    np.add.at(step, at + 1, -1)
+    inside = np.concatenate(([False], np.cumsum(step) > 0))
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    return edges[::2], edges[1::2]

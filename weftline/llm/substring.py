@@ -4,14 +4,17 @@ A word goes if a window of ``width`` consecutive words covers it whose word sequ
 
 1. Winnowing: each window's smallest 8-word hash is an anchor, so that equal windows share an anchor at the same place.
    Anchors are grouped to the smallest document that holds them (the hub); those of a single document go.
-2. Around each shared anchor lies every window that it stands for. A document's stretches of one hub are joined to segments;
-   equal segments of a hub become one, of the smallest document: all others are covered by it.
-3. Segments are dealt to shards by their hub, as many as the words need, so that whatever can match shares a shard. A hub with
-   more words than a shard holds is split: its segments are indexed in blocks and streamed against each block.
-4. A shard builds an FM-index and streams its segments against it; the intervals found are joined to the documents.
+2. Around each shared anchor lies every window that it stands for. A document's stretches of one hub are joined to segments.
+   Equal segments of a hub are indexed once, for the smallest document that holds them, and streamed at most twice: for that
+   document, and once for all later ones, which find at least that copy.
+3. Segments are dealt to shards by their hub, up to a number of words each, so that whatever can match shares a shard. A hub
+   with more words than a shard holds is split: its segments are indexed in blocks and streamed against each block.
+4. A shard builds an FM-index, computes the matching statistics of the segments streamed against it by backward search, and
+   reports the intervals that matches of ``width`` words cover; they are joined to the documents.
 
 A document's own repeats do not count, nor do documents without an id. Rows that share an id count as one document, each
-judged by its own text. Null texts have no words. Texts are read whole; every other column passes through ``remove``.
+judged by its own text. Null texts have no words. Texts are read whole. An empty table gives an empty result. Every other
+column passes through ``remove``, whatever its name; only those named as results are replaced.
 """
 
 from __future__ import annotations
@@ -20,15 +23,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.llm import words as W
-from weftline.llm.common import batch, cut, text_slices
-from weftline.llm.fm_index import FMIndex, covered_windows
+from weftline.llm.common import batch, cut, nested, own_exchange, text_slices
+from weftline.llm.fm_index import FMIndex, intervals, matching_statistics
 
 ANCHOR_WORDS = 8
-#: Words that one FM-index takes, about; and words that a segment is cut into for streaming at a time.
+#: Words that one FM-index takes, twice at most; and words that a segment is cut into for streaming at a time.
 SHARD_WORDS, STREAM_WORDS = 600_000, 512
 
 
@@ -102,7 +105,7 @@ def _segments(marked: DataFrame, width: int) -> DataFrame:
 
 
 def _search(table: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(segment, start, end) of the covered intervals of the rows that are streamed, of a table (d, hub, body, indexed, streamed)."""
+    """(row, start, end) of the intervals found for the rows that are streamed, of a table (d, body, indexed, streamed)."""
     bodies = table["body"].combine_chunks()
     parts = []
     for _, _, data, offsets in text_slices(bodies):
@@ -122,7 +125,7 @@ def _search(table: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray, np.nda
     _, rank = np.unique(d, return_inverse=True)
     owner = np.repeat(rank.astype(np.int32), size + 1)
     part = np.repeat(indexed, size + 1)
-    index = FMIndex(symbols[part], owner[part], int(symbols.max()) + 1)
+    index = FMIndex(symbols[part], owner[part], int(symbols.max()) + 1, width)
     ask = np.flatnonzero(table["streamed"].to_numpy() & (size >= width))
     first, end = [], []
     for r in ask.tolist():
@@ -130,75 +133,86 @@ def _search(table: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray, np.nda
         cuts = range(0, max(1, n - width + 1), STREAM_WORDS)
         first += [a + c for c in cuts]
         end += [min(a + n, a + c + STREAM_WORDS + width - 1) for c in cuts]
-    mark = covered_windows(index, symbols, owner, np.array(first, np.int64), np.array(end, np.int64), width)
-    up = np.flatnonzero(mark & ~np.concatenate(([False], mark[:-1])))
-    down = np.flatnonzero(mark & ~np.concatenate((mark[1:], [False]))) + 1
+    up, down = intervals(matching_statistics(index, symbols, owner, np.array(first, np.int64), np.array(end, np.int64), width), width)
     row = np.searchsorted(begin, up, "right") - 1
     return row, up - begin[row], down - begin[row]
 
 
+def _shards(distinct: DataFrame) -> DataFrame:
+    """(hub, blocks, shard): hubs of one block are packed into shards of SHARD_WORDS to twice as many words; those of more have shards of their own.
+
+    Hubs are dealt to so many groups that each has a few shards' words on average, and counted off within their group.
+    """
+    per_hub = cut(distinct.groupBy("hub").agg(F.sum(F.col("n") * F.when(F.col("copied"), 2).otherwise(1)).alias("words")))
+    total = per_hub.agg(F.sum("words")).first()[0] or 0
+    group = F.pmod(F.xxhash64("hub"), F.lit(max(1, -(-total // (4 * SHARD_WORDS)))))
+    small = per_hub.where(F.col("words") <= SHARD_WORDS).withColumn("group", group)
+    upto = F.sum("words").over(Window.partitionBy("group").orderBy("hub"))
+    packed = small.select("hub", F.lit(1).cast("long").alias("blocks"), F.xxhash64("group", F.floor(upto / SHARD_WORDS)).alias("shard"))
+    large = per_hub.where(F.col("words") > SHARD_WORDS).select("hub", F.ceil(F.col("words") / SHARD_WORDS).cast("long").alias("blocks"), F.lit(None).cast("long").alias("shard"))
+    return packed.unionByName(large)
+
+
 def repeats(docs: DataFrame, width: int = 50, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(d, t, spans array<struct(start, end)>): word intervals to remove, by document id and hash of its text; disjoint, in order."""
     src = _keyed(docs, doc_id, text)
     anchors = _found_anchors(src, width)
-    hubs = anchors.groupBy("a").agg(F.min("d").alias("hub"), F.max("d").alias("far")).where("hub < far").drop("far")
+    hubs = anchors.groupBy("a").agg(F.min("d").alias("hub"), F.max("d").alias("far")).where("hub < far").select(own_exchange("a"), "hub")
     marks = anchors.join(hubs, "a").groupBy("d", "t").agg(F.collect_set(F.struct("hub", "p")).alias("marks"))
     marked = src.join(marks.hint("shuffle_hash"), ["d", "t"]).select("d", "t", "text", "marks")
     # Repeated rows of one id and text give one segment.
     found = cut(_segments(marked, width))
-    distinct = found.groupBy("hub", "digest").agg(F.min("d").alias("least"), F.min_by("body", "d").alias("body"), F.first("n").alias("n"))
-    distinct = cut(distinct)
-    per_hub = distinct.groupBy("hub").agg(F.sum("n").alias("words"), F.count("*").alias("many"))
-    total = per_hub.agg(F.sum("words")).first()[0] or 0
-    shards = max(1, -(-total // SHARD_WORDS))
-    blocks = F.ceil(F.col("words") / SHARD_WORDS).cast("long")
-    # A hub's segments that all are one text need no search.
-    sized = distinct.join(per_hub.where("many > 1"), "hub").select("hub", "digest", F.col("least").alias("d"), "body", blocks.alias("blocks"), F.pmod(F.xxhash64("digest"), blocks).alias("own"))
-    role = lambda i, j, indexed, streamed: F.struct(i.alias("i"), j.alias("j"), F.lit(indexed).alias("indexed"), F.lit(streamed).alias("streamed"))
-    every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
-    roles = F.when(F.col("blocks") == 1, F.array(F.struct(F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), F.lit(True).alias("indexed"), (F.col("d") > F.col("hub")).alias("streamed")))).otherwise(
-        F.concat(
-            F.transform(F.filter(every, lambda k: k != F.col("own")), lambda k: role(F.col("own"), k, True, False)),
-            F.transform(F.filter(every, lambda k: k != F.col("own")), lambda k: role(k, F.col("own"), False, True)),
-            F.array(role(F.col("own"), F.col("own"), True, True)),
-        )
+    distinct = found.groupBy("hub", "digest").agg(F.min("d").alias("d"), F.max("d").alias("far"), F.min_by("body", "d").alias("body"), F.first("n").alias("n"))
+    distinct = cut(distinct.withColumn("copied", F.col("far") > F.col("d")))
+    shards = _shards(distinct)
+    sized = distinct.join(shards, "hub").withColumn("own", F.pmod(F.xxhash64("digest"), F.col("blocks")))
+    # A segment is streamed for its first document (later: false) unless that is the hub's, and for later ones if there are any.
+    # In the block of its own it is indexed as well, in the others of a split hub streamed alone, and there indexed for theirs.
+    role = lambda shard, indexed, streamed, later: F.struct(shard.alias("shard"), indexed.alias("indexed"), streamed.alias("streamed"), F.lit(later).alias("later"))
+    yes, no = F.lit(True), F.lit(False)
+    at = lambda i, j: F.when(F.col("blocks") == 1, F.col("shard")).otherwise(F.xxhash64("hub", i, j))
+    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda k: k != F.col("own"))
+    own = F.col("own")
+    first = F.col("d") > F.col("hub")
+    roles = F.concat(
+        F.array(role(at(own, own), yes, first, False), role(at(own, own), no, F.col("copied"), True)),
+        F.transform(others, lambda k: role(at(own, k), yes, no, False)),
+        F.transform(others, lambda k: role(at(k, own), no, first, False)),
     )
-    dealt = sized.select("hub", "digest", "d", "body", "blocks", F.explode(roles).alias("r")).select("hub", "digest", "d", "body", "r.indexed", "r.streamed", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("hub"), F.lit(shards))).otherwise(F.xxhash64("hub", "r.i", "r.j")).alias("shard"))
-    out = pa.schema([("hub", pa.int64()), ("digest", pa.binary()), ("start", pa.int32()), ("end", pa.int32())])
+    roles = F.filter(roles, lambda r: r["indexed"] | r["streamed"])
+    dealt = sized.select("hub", "digest", "d", "far", "body", F.explode(roles).alias("r")).select("hub", "digest", F.when(F.col("r.later"), F.col("far")).otherwise(F.col("d")).alias("d"), "body", "r.*")
+    out = pa.schema([("hub", pa.int64()), ("digest", pa.binary()), ("later", pa.bool_()), ("start", pa.int32()), ("end", pa.int32())])
 
     def search(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         row, start, end = _search(table, width)
         rows = pa.array(row)
-        return pa.table([table["hub"].take(rows).combine_chunks(), table["digest"].take(rows).combine_chunks(), pa.array(start, pa.int32()), pa.array(end, pa.int32())], schema=out)
+        return pa.table([*(table[c].take(rows).combine_chunks() for c in ("hub", "digest", "later")), pa.array(start, pa.int32()), pa.array(end, pa.int32())], schema=out)
 
-    hits = dealt.groupBy("shard").applyInArrow(search, "hub long, digest binary, start int, end int").groupBy("hub", "digest").agg(F.collect_set(F.struct("start", "end")).alias("hits"))
-    least = distinct.select("hub", "digest", "least").join(hits, ["hub", "digest"], "left")
-    whole = F.array(F.struct(F.lit(0).alias("start"), F.col("n").alias("end")))
-    back = found.drop("body").join(least, ["hub", "digest"]).select("d", "t", F.col("start").alias("s"), F.when(F.col("d") > F.col("least"), whole).otherwise(F.col("hits")).alias("hits")).where("hits is not null")
-    return back.select("d", "t", F.explode("hits").alias("h"), "s").groupBy("d", "t").agg(F.collect_set(F.struct((F.col("h.start") + F.col("s")).alias("start"), (F.col("h.end") + F.col("s")).alias("end"))).alias("spans"))
+    hits = dealt.groupBy("shard").applyInArrow(search, "hub long, digest binary, later boolean, start int, end int").groupBy("hub", "digest", "later").agg(F.collect_set(F.struct("start", "end")).alias("hits"))
+    least = distinct.select("hub", "digest", F.col("d").alias("least"))
+    back = found.drop("body").join(least, ["hub", "digest"]).withColumn("later", F.col("d") > F.col("least")).join(hits, ["hub", "digest", "later"])
+    return back.select("d", "t", F.explode("hits").alias("h"), F.col("start").alias("s")).groupBy("d", "t").agg(F.collect_set(F.struct((F.col("h.start") + F.col("s")).alias("start"), (F.col("h.end") + F.col("s")).alias("end"))).alias("spans"))
 
 
 def remove(docs: DataFrame, width: int = 50, doc_id: str = "doc_id", text: str = "text", clean: str = "clean_text", total: str = "n_words", removed: str = "n_removed") -> DataFrame:
     """``docs`` with the text left over (all between kept words stays as it is), its words joined by one blank, and the counts of words and of removed ones."""
     from pyspark.sql import types as T
 
-    names = docs.columns
-    spans = repeats(docs, width, doc_id, text).toDF("_d", "_t", "_spans")
-    keyed = docs.withColumns({"_kd": F.col(doc_id).cast("long"), "_kt": F.xxhash64(F.col(text))})
-    joined = keyed.join(spans.hint("shuffle_hash"), (F.col("_kd") == F.col("_d")) & (F.col("_kt") == F.col("_t")), "left").select(*names, "_spans")
+    spans = repeats(docs, width, doc_id, text)
+    keyed = nested(docs, key=F.col(doc_id).cast("long"), hash=F.xxhash64(F.col(text)), text=F.col(text))
+    joined = keyed.join(spans.hint("shuffle_hash"), (F.col("key") == F.col("d")) & (F.col("hash") == F.col("t")), "left").select("row", "text", "spans")
     extra = [T.StructField(clean, T.StringType()), T.StructField(f"{clean}_words", T.StringType(), False), T.StructField(total, T.LongType(), False), T.StructField(removed, T.LongType(), False)]
-    schema = T.StructType([*(f for f in docs.schema if f.name not in {e.name for e in extra}), *extra])
-    keep = [n for n in names if n not in {e.name for e in extra}]
+    keep = [f.name for f in docs.schema if f.name not in {e.name for e in extra}]
+    schema = T.StructType([*(docs.schema[n] for n in keep), *extra])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at = b.schema.get_field_index(text)
             for lo in range(0, b.num_rows, 1024):
                 s = b.slice(lo, 1024)
-                spans = s.column(len(names)).to_pylist()
+                spans = s.column(2).to_pylist()
                 left, joined_words, n_words, n_removed = [], [], [], []
-                for x, cuts in zip(s.column(at).to_pylist(), spans, strict=True):
+                for x, cuts in zip(s.column(1).to_pylist(), spans, strict=True):
                     raw = (x or "").encode()
                     found = raw.split()
                     n_words.append(len(found))
@@ -218,7 +232,7 @@ def remove(docs: DataFrame, width: int = 50, doc_id: str = "doc_id", text: str =
                     edges = np.flatnonzero(np.diff(np.concatenate(([True], gone, [True]))))
                     bounds = np.append(starts, len(raw))
                     left.append(b"".join(raw[bounds[i] if k else (0 if i == 0 else bounds[i]) : bounds[j]] for k, (i, j) in enumerate(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))).decode())
-                arrays = [s.column(names.index(n)) for n in keep] + [pa.array(left, pa.string()), pa.array(joined_words, pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())]
+                arrays = [s.column(0).field(n) for n in keep] + [pa.array(left, pa.string()), pa.array(joined_words, pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*keep, *(e.name for e in extra)])
 
     return joined.mapInArrow(run, schema)
