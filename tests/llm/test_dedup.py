@@ -60,6 +60,7 @@ def test_minhash_agrees_with_all_pairs(spark, corpus, percent):
 
 def test_minhash_blocks_of_a_large_group(spark, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK", 4)
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 500)
     base = prose(1, 120).split()
     rows = []
     for k in range(30):
@@ -76,6 +77,35 @@ def test_minhash_nothing_and_clashing_columns(spark):
     assert [r["doc_id"] for r in minhash.keep_one(df).collect()] == [1]
 
 
+@pytest.mark.parametrize("percent", [85, 80])
+def test_minhash_recall_on_the_documents(spark, percent):
+    """Every link between different texts of a whole table, against all pairs that share a shingle; and the components."""
+    import pyarrow.parquet as pq
+
+    table = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["doc_id", "text"]).to_pydict()
+    rows, r = list(zip(table["doc_id"], table["text"], strict=True)), random.Random(percent)
+    for d, t in rows[:400]:  # planted copies, from a word changed to far below the threshold
+        words = (t or "").split(" ")
+        for k in range(3):
+            copy = list(words)
+            for _ in range(r.randint(1, 1 + len(copy) // 30)):
+                copy[r.randrange(len(copy))] = f"edit{r.randrange(10**9)}"
+            rows.append((10**6 + 10 * d + k, " ".join(copy)))
+    sets = {d: frozenset(_shingles(t)) for d, t in rows}
+    first, by_shingle = {}, {}
+    for d in sorted(sets):
+        first.setdefault(sets[d], d)
+    for s, d in first.items():
+        for x in s:
+            by_shingle.setdefault(x, []).append(d)
+    pairs = {(a, b) for ids in by_shingle.values() if len(ids) > 1 for i, a in enumerate(ids) for b in ids[i + 1 :]}
+    links = [(a, b) for a, b in pairs if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
+    assert len(links) > 400
+    want = components([*links, *((d, first[s]) for d, s in sets.items() if s)], sets)
+    docs = documents(spark, rows).repartition(4)
+    assert {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs, percent=percent).collect()} == want
+
+
 def test_sketch_estimates_are_close():
     a = np.unique(W.mix(np.arange(1, 2001, dtype=np.uint64)))
     b = np.unique(W.mix(np.arange(201, 2201, dtype=np.uint64)))

@@ -1,7 +1,8 @@
 """Connected components of an edge table by alternating large and small stars; every round is written to the checkpoint folder.
 
-Groups are never collected: a round is two minimum aggregations and two joins on the node, which adaptive execution can
-split where a node has very many edges. Before the first round each task replaces its edges by a spanning forest.
+Groups are never collected: a round is two minimum aggregations, which add up by task first, and two joins on the node, whose
+sides come from exchanges of their own, so that adaptive execution splits a node of very many edges. Before the first round
+each task replaces its edges by a spanning forest.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import cut
+from weftline.llm.common import cut, own_exchange
 
 
 class Forest:
@@ -72,9 +73,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", thin: bool = False)
     seen = None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select(own_exchange("u"), F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = large.groupBy("u").agg(F.min("v").alias("m")).select(own_exchange("u"), "m")
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u > v").distinct()
         e = cut(small)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

@@ -7,8 +7,9 @@ banded as well. Bands of six compressed registers propose candidates; a Jaccard
 chance collisions of registers, thins them out, five standard deviations below the threshold; the full sets decide.
 
 Texts of one shingle set are one class from the start, so that copies meet nothing. A band's bucket emits a spanning forest of
-its candidates, whose components are clusters; each cluster is then searched on the full sets. Neither step emits pairs, and
-buckets or clusters of over 4096 classes are split into blocks that meet in pairs.
+its candidates, whose components are clusters; each cluster is then searched on the full sets. Neither step emits pairs.
+Buckets of over ``BLOCK`` sketches, and clusters of over ``BLOCK_SHINGLES`` shingles, are split into blocks that meet in pairs,
+so that a task holds two blocks (a text of its own is never split); a cluster of N blocks ships each of its sets N times.
 
 Null texts, and texts without words, have no shingles and link with nothing. Rows that share an id are one vertex. Rows
 without an id are classed by their set but link with nothing. An empty table gives an empty result.
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm import words as W
-from weftline.llm.common import batch, binary_rows, cut, text_slices
+from weftline.llm.common import batch, binary_rows, cut, nested, own_exchange, text_slices
 from weftline.llm.components import components, forest
 
 SHINGLE, BUCKETS, MANTISSA = 5, 256, 10
@@ -33,8 +34,8 @@ BAND_ROWS, BANDS = 6, 42
 EMPTY = np.uint16(0xFFFF)
 #: Expected share of equal registers among those of different hashes, for ten mantissa bits.
 COLLISION = 0.17 * 2.0**-MANTISSA
-#: Rows of a bucket or cluster that one task holds, twice at most.
-BLOCK = 4096
+#: Sketches of a bucket (256 bytes each), and shingles of a cluster (8 bytes each), in a block; a task holds two.
+BLOCK, BLOCK_SHINGLES = 4096, 2_000_000
 #: Below this many ids a list of documents to verify is broadcast (8 bytes each); above it is joined by a shuffle.
 BROADCAST_IDS = 500_000
 
@@ -134,9 +135,9 @@ def _bands(reps: DataFrame) -> DataFrame:
     return reps.select("id", "regs").mapInArrow(run, "key long, id long")
 
 
-def _blocks(df: DataFrame, key: str, many: str) -> DataFrame:
-    """``df`` with block numbers i <= j: groups of over BLOCK rows are split, and each pair of blocks is a group of its own, so that no task gets more than two."""
-    n = F.ceil(F.col(many) / BLOCK).cast("int")
+def _blocks(df: DataFrame, key: str, size: str, most: int) -> DataFrame:
+    """``df`` with block numbers i <= j: groups of a size over ``most`` are split, and each pair of blocks is a group of its own."""
+    n = F.ceil(F.col(size) / most).cast("int")
     own = F.pmod(F.xxhash64("id"), n).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.struct(F.least(own, k).alias("i"), F.greatest(own, k).alias("j")))
     return df.select("*", F.explode(pairs).alias("_p")).select(*df.columns, "_p.i", "_p.j").repartition(key, "i", "j").sortWithinPartitions(key, "i", "j")
@@ -173,8 +174,8 @@ def clusters(reps: DataFrame, threshold: float) -> DataFrame:
     A bucket emits a spanning forest of its candidate graph, not its pairs.
     """
     bands = _bands(reps)
-    shared = bands.groupBy("key").agg(F.count("*").alias("many")).where("many > 1")
-    members = _blocks(bands.join(shared, "key").join(reps.select("id", "fold"), "id").select("key", "many", "id", "fold"), "key", "many")
+    shared = bands.groupBy("key").agg(F.count("*").alias("many")).where("many > 1").select(own_exchange("key"), "many")
+    members = _blocks(bands.join(shared, "key").join(reps.select("id", "fold"), "id").select("key", "many", "id", "fold"), "key", "many", BLOCK)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def each():
@@ -190,11 +191,11 @@ def clusters(reps: DataFrame, threshold: float) -> DataFrame:
 def _verified(cluster: DataFrame, docs: DataFrame, doc_id: str, text: str, percent: int) -> DataFrame:
     """Links (a, b) with 100 * |intersection| >= percent * |union| on the full sets, a spanning forest of each cluster's.
 
-    The sets of the cluster's documents are made anew and shipped once each. A search from document to document tests every
+    ``cluster`` has node, component, and the number n of the node's shingles. The sets of the cluster's documents are made anew and shipped once each. A search from document to document tests every
     pair of which one is not yet reached, thinned out by estimates from 256 and then 1024 registers of the full sets.
     """
-    ids = cluster.select(F.col("node").alias("id"), F.col("component").alias("c"))
-    sized = cut(ids.join(ids.groupBy("c").agg(F.count("*").alias("many")), "c"))
+    ids = cluster.select(F.col("node").alias("id"), F.col("component").alias("c"), "n")
+    sized = cut(ids.drop("n").join(ids.groupBy("c").agg(F.sum("n").alias("many")).select(own_exchange("c"), "many"), "c"))
     few = F.broadcast(sized) if sized.count() <= BROADCAST_IDS else sized
     src = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).join(few, "id")
     out = pa.schema([("c", pa.int64()), ("many", pa.int64()), ("id", pa.int64()), ("s", pa.binary())])
@@ -206,7 +207,7 @@ def _verified(cluster: DataFrame, docs: DataFrame, doc_id: str, text: str, perce
                 part = b.slice(i, j - i)
                 yield batch(out, *part.columns[:3], binary_rows(np.concatenate(got) if got else np.zeros(0, np.uint64), np.concatenate(([0], np.cumsum([len(x) for x in got])))))
 
-    full = _blocks(src.select("c", "many", "id", "text").mapInArrow(sets, "c long, many long, id long, s binary"), "c", "many")
+    full = _blocks(src.select("c", "many", "id", "text").mapInArrow(sets, "c long, many long, id long, s binary"), "c", "many", BLOCK_SHINGLES)
     threshold = percent / 100
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,7 +240,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """One row a document: doc_id, n_shingles, component_id, kept. Links: Jaccard similarity of at least percent / 100."""
     sketch = cut(sketches(docs, doc_id, text))
     reps = cut(sketch.where("n > 0 and id is not null").groupBy("d1", "d2", "n").agg(F.min("id").alias("id"), F.first("regs").alias("regs"), F.first("fold").alias("fold")))
-    links = _verified(cut(clusters(reps, percent / 100)), docs, doc_id, text, percent)
+    cluster = clusters(reps, percent / 100).join(reps.select(F.col("id").alias("node"), "n"), "node")
+    links = _verified(cut(cluster), docs, doc_id, text, percent)
     whole = components(links, thin=True)
     by_set = reps.select("d1", "d2", "n", "id").join(whole.toDF("id", "c"), "id", "left").select("d1", "d2", "n", F.coalesce("c", "id").alias("c"))
     component = F.when(F.col("id").isNotNull(), F.coalesce("c", "id"))
@@ -248,6 +250,5 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
     """The documents that are the smallest id of their component (among rows that share that id, all); columns stay as they are. Rows without an id stay."""
-    out = near_duplicates(docs, percent=percent)
-    drop = out.where("not kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(drop, "doc_id", "left_anti")
+    drop = near_duplicates(docs, percent=percent).where("not kept and doc_id is not null").select("doc_id").distinct()
+    return nested(docs, key=F.col("doc_id").cast("long")).join(drop, F.col("key") == F.col("doc_id"), "left_anti").select("row.*")
