@@ -5,7 +5,8 @@ many documents there are. Its plan (patterns of lengths, each with a multiplicit
 among those of its length, which two bounded passes find without a global sort.
 
 Null texts count as empty; every document ends with one id 0, so that each has a piece. Rows that repeat are packed as often
-as they occur. Columns other than the id and the text are not carried.
+as they occur; pieces of one length are dealt out by their partition and their order there. A null id is an id like others.
+An empty table gives an empty result. Columns other than the id and the text are not carried, whatever their names.
 """
 
 from __future__ import annotations
@@ -111,11 +112,16 @@ def _dominated(chosen: list[int], room: int, sizes: list[int], left: dict[int, i
 def plan(counts: dict[int, int], capacity: int, nodes: int = NODES) -> list[tuple[int, tuple[int, ...]]]:
     """(how many bins, lengths in each) that hold all ``counts`` pieces in as few bins as the search finds.
 
-    Best fit makes the incumbent, or a drawn plan where that has fewer bins. Branch and bound then goes on, largest length first, over undominated completions; a branch
-    dies once its waste exceeds that of one bin fewer than the incumbent. At the volume bound the incumbent is optimal.
+    Branch and bound completes bin after bin, largest length first, over undominated fillings; a branch dies once its waste
+    exceeds that of the number of bins aimed at. It first aims at the volume bound, where a plan is optimal. If the nodes end
+    before, best fit is the incumbent, or a drawn plan where that has fewer bins, and the search aims at one bin fewer again
+    and again; the incumbent stands where it finds none.
     """
     total = sum(s * c for s, c in counts.items())
     bound = max(-(-total // capacity), sum(c for s, c in counts.items() if 2 * s > capacity))
+    found = _complete(counts, capacity, bound * capacity - total, [nodes])
+    if found is not None:
+        return found
     best = _best_fit(counts, capacity)
     for k in range(DRAWS):
         if sum(m for m, _ in best) > bound:
@@ -195,51 +201,66 @@ def _take(left: dict[int, int], chosen: list[int]) -> tuple[int, tuple[int, ...]
     return times, tuple(chosen)
 
 
-def _complete(counts: dict[int, int], capacity: int, waste: int, budget: list[int]) -> list[tuple[int, tuple[int, ...]]] | None:
-    """A plan that wastes at most ``waste`` in all, or None if there is none within the node budget. Depth first, on a stack of its own."""
-
-    def options(left: dict[int, int], waste: int) -> Iterator[tuple[int, ...]]:
-        sizes = sorted(left, reverse=True)
-        rest = dict(left)
-        rest[sizes[0]] -= 1
-        nodes = [min(NODES_A_BIN, budget[0])]
-        budget[0] -= 1
-        found = sorted(set(fillings([s for s in sizes if rest[s]], rest, capacity - sizes[0], min(waste, capacity), nodes, reach)), key=lambda f: (-sum(f), len(f)))
-        budget[0] -= NODES_A_BIN - max(0, nodes[0])
-        for f in found:
-            yield (sizes[0], *f)
+def _option(left: dict[int, int], capacity: int, waste: int, number: int, budget: list[int], reach: dict[int, int]) -> tuple[int, ...] | None:
+    """The bin with the largest length of ``left`` that is tried as number ``number``: full bins in the order of the search, then the fullest. None if there are no more."""
+    sizes = sorted(left, reverse=True)
+    largest, gap = sizes[0], capacity - sizes[0]
+    nodes = [given := min(NODES_A_BIN, budget[0])]
+    left[largest] -= 1
+    others = []
+    try:
+        for f in fillings([s for s in sizes if left[s]], left, gap, min(waste, capacity), nodes, reach):
+            if sum(f) < gap:
+                others.append(f)
+            elif number == 0:
+                return (largest, *f)
+            else:
+                number -= 1
+    finally:
+        left[largest] += 1
+        budget[0] -= 1 + given - max(0, nodes[0])
+    others.sort(key=lambda f: (-sum(f), len(f)))
+    return (largest, *others[number]) if number < len(others) else None
+
 
+def _complete(counts: dict[int, int], capacity: int, waste: int, budget: list[int]) -> list[tuple[int, tuple[int, ...]]] | None:
+    """A plan that wastes at most ``waste`` in all, or None if there is none within the node budget. Depth first; a bin is as often repeated as the counts allow."""
     left = {s: c for s, c in counts.items() if c}
+    volume = sum(s * c for s, c in left.items())
     order = tuple(sorted(left, reverse=True))
     reach = dict(zip(order, _reach(order, capacity), strict=True))
-    stack = [(left, waste, options(left, waste))]
-    path: list[tuple[int, tuple[int, ...]]] = []
-    while stack:
-        left, waste, more = stack[-1]
-        f = next(more, None) if budget[0] > 0 else None
+    path: list[tuple[int, tuple[int, ...], int]] = []
+    number = 0
+
+    def put(f: tuple[int, ...], times: int) -> None:
+        for s in f:
+            left[s] = left.get(s, 0) - times
+        for s in set(f):
+            if not left[s]:
+                del left[s]
+
+    while left:
+        f = _option(left, capacity, waste, number, budget, reach) if budget[0] > 0 else None
         if f is None:
-            stack.pop()
-            if path:
-                path.pop()
-            if budget[0] <= 0:
+            if budget[0] <= 0 or not path:
                 return None
+            times, f, number = path.pop()
+            put(f, -times)
+            volume += times * sum(f)
+            waste += times * (capacity - sum(f))
+            number += 1
             continue
-        rest = dict(left)
         idle = capacity - sum(f)
         times = min(min(left[s] // f.count(s) for s in set(f)), waste // idle if idle else 1 << 60)
-        for s in set(f):
-            rest[s] -= times * f.count(s)
-            if not rest[s]:
-                del rest[s]
-        path.append((times, f))
-        if not rest:
-            return path
-        lack = -sum(s * c for s, c in rest.items()) % capacity
-        if waste - times * idle < lack:
-            path.pop()
+        after = volume - times * sum(f)
+        if waste - times * idle < -after % capacity:
+            number += 1
             continue
-        stack.append((rest, waste - times * idle, options(rest, waste - times * idle)))
-    return None
+        put(f, times)
+        volume, waste = after, waste - times * idle
+        path.append((times, f, number))
+        number = 0
+    return [(times, f) for times, f, _ in path]
 
 
 def _slots(bins: list[tuple[int, tuple[int, ...]]]) -> dict[int, tuple[np.ndarray, ...]]:
