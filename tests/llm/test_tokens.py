@@ -13,6 +13,7 @@ from tests.llm.common import EDGES, documents, prose
 from weftline.llm import bpe, chat, packing
 
 RANKS = P.path("byte_bpe_50k.tiktoken")
+_TOKENIZER: list = []
 
 
 @pytest.fixture(scope="module")
@@ -54,8 +55,25 @@ def test_ids_agree_with_the_tokenizers_library(enc):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    for t in [x for _, x in EDGES if x is not None] + [prose(1, 500), "it's we'll  don't\n\n x"]:
-        assert tok.encode(t, add_special_tokens=False).ids == enc.encode_ordinary(t)
+    tok.encode_special_tokens = True
+    import pyarrow.parquet as pq
+
+    texts = [x for _, x in EDGES if x is not None] + [prose(1, 500), "it's we'll  don't\n\n x", "a<|endoftext|>b", "\u2028x\u3000 y\u00a0 z\t\n  \r\n1234567 ½ ² ٣"]
+    texts += [x for x in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist() if x]
+    for t, got in zip(texts, tok.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert got.ids == bpe.encode_text(enc, t)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(max_size=60))
+def test_ids_of_any_text_agree_with_the_tokenizers_library(text):
+    from tokenizers import Tokenizer
+
+    if not _TOKENIZER:
+        with open(RANKS, "rb") as f:
+            _TOKENIZER.extend((Tokenizer.from_file(P.path("byte_bpe_50k.json")), bpe.encoding(f.read(), P.PATTERN)))
+        _TOKENIZER[0].encode_special_tokens = True
+    assert _TOKENIZER[0].encode(text, add_special_tokens=False).ids == _TOKENIZER[1].encode_ordinary(text)
 
 
 def test_packing(spark, enc):
@@ -90,6 +108,18 @@ def test_packing(spark, enc):
     assert -(-total // 512) <= len(by_seq) <= sum(t for t, _ in packing._best_fit(counts, 512))
 
 
+def test_packing_clashing_columns(spark):
+    docs = documents(spark, [(1, "a b"), (None, "c")]).withColumnsRenamed({"lang": "length", "source": "part", "n_chars": "rank"})
+    got = packing.pack(docs, bpe.load_ranks(docs, RANKS), P.PATTERN).collect()
+    assert sorted((str(r["doc_id"]), r["piece"], r["length"]) for r in got) == [("1", 0, 3), ("None", 0, 2)]
+
+
+def test_encoding_nothing(spark):
+    docs = documents(spark, [])
+    ranks = bpe.load_ranks(docs, RANKS)
+    assert bpe.digests(bpe.decode(bpe.encode(docs, ranks, P.PATTERN), ranks, P.PATTERN)).count() == 0
+
+
 def test_packing_nothing(spark):
     docs = documents(spark, [])
     assert packing.pack(docs, bpe.load_ranks(docs, RANKS), P.PATTERN).count() == 0
@@ -135,6 +165,13 @@ def test_plan_beats_best_fit_where_that_wastes():
     assert sum(t for t, _ in packing._best_fit({s: c for s, c in counts.items()}, 10)) >= sum(t for t, _ in packing.plan(counts, 10)) == 4
 
 
+def test_plan_is_that_of_the_search_where_it_reaches_the_bound(monkeypatch):
+    monkeypatch.setattr(packing, "_best_fit", lambda *a: 1 / 0)
+    counts = {1000 + k: 3 + k % 5 for k in range(0, 1000, 7)} | {48 + k: 9 for k in range(900)}
+    total = sum(s * c for s, c in counts.items())
+    assert sum(t for t, _ in packing.plan(counts, 2048)) == -(-total // 2048)
+
+
 def test_plan_of_short_pieces_comes_near_the_volume_bound():
     import random
 
@@ -165,6 +202,37 @@ def test_chat_refuses_what_is_not_in_the_grammar(text):
         chat.parse(text)
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "tool", "é|"]), st.lists(st.sampled_from(CONTROLS), max_size=6).map("".join)), max_size=5), st.integers(1, 9))
+def test_chat_parser_takes_pieces_of_any_length(turns, size):
+    text, parser, got = "".join(chat.render_turn(r, t) for r, t in turns), chat.Parser(), []
+    for i in range(0, len(text), size):
+        got += parser.feed(text[i : i + size])
+    parser.close()
+    assert got == turns
+
+
+def test_chat_reads_a_conversation_as_one_text(spark, monkeypatch):
+    """Rows are cut elsewhere than between turns; a lost or changed turn is noticed; a very long text is a turn like others."""
+    rows = [(1, k, "user" if k % 2 == 0 else "assistant", f"text {k} </s>" * (k + 1)) for k in range(40)] + [(2, 0, "assistant", "x [/INST]" * 300_000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    formatted = chat.format_conversations(df).collect()
+    whole = "".join(r["formatted"] for r in formatted if r["conv_id"] == 1)
+    assert chat.parse(whole) == [(r, t) for c, _, r, t in rows if c == 1]
+    sources = [r["source"] for r in formatted if r["conv_id"] == 1]
+    cuts = [whole[i : i + 1000] for i in range(0, len(whole), 1000)]
+    cuts = [*cuts, *[""] * (len(sources) - len(cuts))][: len(sources) - 1] + ["".join(cuts[len(sources) - 1 :])]
+    ddl = "conv_id long, formatted string, source binary"
+    again = spark.createDataFrame([(1, f, s) for f, s in zip(cuts, sources, strict=True)], ddl).coalesce(1)
+    want = {r["conv_id"]: tuple(r) for r in chat.read_back(chat.format_conversations(df)).collect()}
+    # Its rows end where they like: texts are not those of the turns of the same rows.
+    got = chat.read_back(again).first()
+    assert tuple(got) == want[1] and want[2][3] == 9 * 300_000
+    for bad in (cuts[:-1] + [cuts[-1] + chat.render_turn("user", "more")], [cuts[0].replace("text 0", "text X"), *cuts[1:]]):
+        with pytest.raises(Exception, match="formatted|lost|start"):
+            chat.read_back(spark.createDataFrame([(1, f, s) for f, s in zip(bad, sources, strict=True)], ddl).coalesce(1)).collect()
+
+
 def test_chat_digests(spark):
     rows = [(1, 1, "assistant", "b</s>"), (1, 0, "user", None), (1, 2, "assistant", "\\c"), (2, None, None, "x"), (None, 0, "user", "y"), (1, 1, "assistant", "b</s>"), (3, 0, "assistant", "")]
     df = spark.createDataFrame([(*r, "extra") for r in rows], "conv_id long, turn long, role string, text string, formatted string")
