@@ -1,16 +1,19 @@
 """Near-duplicate vectors by an epsilon grid order join.
 
 Unit vectors with cosine c lie sqrt(2 - 2c) apart, and no further in any projection. Vectors are projected to the leading
-principal axes of a bounded sample, sorted by their grid cells of that size, and cut into sequence intervals of a fixed
-number of rows. Interval pairs whose bounding boxes are within reach meet in one task each, which halves both intervals
-recursively and skips sub-blocks that are provably distant; what remains is compared by matrix products in single
+principal axes of a bounded sample, and to the length of what these leave out (which differs by no more either); they are
+sorted by their grid cells of that size on the first axes and cut into sequence intervals of a fixed number of rows. Interval
+pairs whose bounding boxes are within reach meet in one task each, which halves both intervals recursively and skips
+sub-blocks, then rows, that are provably distant from the other block; what remains is compared by matrix products in single
 precision, and all that come near the threshold again in double.
 
-The axes only decide what is skipped: the links are exact. Where the leading axes hold little of the spread, boxes overlap
-and little can be skipped.
+The axes only decide what is skipped: the links are exact. Where the leading axes hold little of the spread, boxes overlap,
+little can be skipped, and the work grows with the square of the number of different vectors.
 
 Equal vectors are one class from the start. Vectors that are null, empty, zero, hold a null or a non-finite component, or
 have no id link with nothing; nor do vectors of different lengths. Rows that share an id are one vertex each time they link.
+A cosine equal to the threshold links. An empty table gives an empty result. Other columns are not carried, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.llm.common import batch, cut
-from weftline.llm.components import Forest, components
+from weftline.llm.components import components
 
 #: Rows of the sample for the axes, axes kept, rows of a sequence interval (a task holds two) and of the smallest block.
 SAMPLE_ROWS, AXES, INTERVAL_ROWS, BLOCK_ROWS = 4096, 8, 8192, 512
@@ -42,12 +45,33 @@ def _axes(vectors: DataFrame) -> np.ndarray:
 
 
 def _project(x: np.ndarray, axes: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(x), AXES))
+    """Coordinates on the axes, and in a last column the length of the rest."""
+    out = np.zeros((len(x), AXES + 1))
     if x.shape[1] == len(axes):
         out[:, : axes.shape[1]] = x @ axes
+        out[:, AXES] = np.sqrt(np.maximum(0, 1 - (out[:, :AXES] ** 2).sum(1)))
     return out
 
 
+def _within(p: np.ndarray, box: np.ndarray, reach: float) -> np.ndarray:
+    """The rows of p within reach of the bounding box of the rows of ``box``."""
+    gap = np.maximum(0, np.maximum(p - box.max(0), box.min(0) - p))
+    return np.flatnonzero((gap * gap).sum(1) <= reach * reach)
+
+
+def _connect(least: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Joins what i and j are connected to; ``least`` holds for each vertex the smallest it is connected to."""
+    while True:
+        a, b = least[i], least[j]
+        apart = a != b
+        if not apart.any():
+            return
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        np.minimum.at(least, np.maximum(a, b), np.minimum(a, b))
+        while (least[least] != least).any():
+            least[:] = least[least]
+
+
 def _unit(raw: list[bytes]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """By vector length: rows, and their vectors scaled to length 1 in double precision."""
     sizes = np.array([len(r) // 4 for r in raw])
@@ -80,7 +104,9 @@ def _recurse(a: slice, b: slice, boxes, reach: float) -> Iterator[tuple[slice, s
 
 def _compare(ids: np.ndarray, sizes: np.ndarray, side: np.ndarray, raw: list[bytes], axes: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(id, linked vectors found here, smallest connected id) of the rows that link, of intervals 0 and 1 or of 0 with itself."""
-    links, forest = np.zeros(len(ids), np.int64), Forest()
+    links = np.zeros(len(ids), np.int64)
+    vertices, vertex = np.unique(ids, return_inverse=True)
+    least = np.arange(len(vertices))
     alone = not (side == 1).any()
     reach = float(np.sqrt(max(0.0, 2 - 2 * cosine))) + 1e-6
     for rows, x in _unit(raw).values():
@@ -93,6 +119,9 @@ def _compare(ids: np.ndarray, sizes: np.ndarray, side: np.ndarray, raw: list[byt
             if alone and a.start > b.start:
                 continue
             i, j = first[a], second[b]
+            i, j = i[_within(p[i], p[j], reach)], j[_within(p[j], p[i], reach)]
+            if not len(i) or not len(j):
+                continue
             near = np.argwhere(low[i] @ low[j].T >= cosine - 1e-4)
             i, j = i[near[:, 0]], j[near[:, 1]]
             if alone:
@@ -101,13 +130,9 @@ def _compare(ids: np.ndarray, sizes: np.ndarray, side: np.ndarray, raw: list[byt
             i, j = rows[i[exact >= cosine]], rows[j[exact >= cosine]]
             np.add.at(links, i, sizes[j])
             np.add.at(links, j, sizes[i])
-            roots: dict[int, int] = {}
-            for u, v in zip(ids[i].tolist(), ids[j].tolist(), strict=True):
-                if roots.get(u) != v:
-                    forest.join(u, v)
-                    roots[u] = v
+            _connect(least, vertex[i], vertex[j])
     linked = np.flatnonzero(links)
-    return ids[linked], links[linked], np.array([forest.root(x) for x in ids[linked].tolist()], np.int64)
+    return ids[linked], links[linked], vertices[least[vertex[linked]]]
 
 
 def near_duplicates(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", cosine: float = 0.9) -> DataFrame:
@@ -126,7 +151,7 @@ def near_duplicates(df: DataFrame, vec_id: str = "vec_id", embedding: str = "emb
             for lo in range(0, b.num_rows, 4096):
                 s = b.slice(lo, 4096)
                 raw = [np.array(x, np.float32).tobytes() for x in s.column(0).to_pylist()]
-                p = np.zeros((len(raw), AXES))
+                p = np.zeros((len(raw), AXES + 1))
                 for i, x in _unit(raw).values():
                     p[i] = _project(x, axes)
                 yield batch(packed, s.column(1), s.column(2), raw, p.tolist())
@@ -148,13 +173,13 @@ def near_duplicates(df: DataFrame, vec_id: str = "vec_id", embedding: str = "emb
     # One row for each partition.
     starts = spots.groupBy("part").agg(F.count("*").alias("n")).select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("first"))
     ranked = spots.join(F.broadcast(starts), "part").select("id", "size", "raw", "p", F.floor((F.col("first") + F.col("ord")) / INTERVAL_ROWS).alias("block"))
-    ends = [f(F.col("p")[k]).alias(f"{n}{k}") for k in range(AXES) for n, f in (("lo", F.min), ("hi", F.max))]
+    ends = [f(F.col("p")[k]).alias(f"{n}{k}") for k in range(AXES + 1) for n, f in (("lo", F.min), ("hi", F.max))]
     boxes = cut(ranked.groupBy("block").agg(*ends))
     # Boxes meet by an equi-join on the cells that the first axis' range reaches, then in all axes.
     reached = lambda lo, hi: F.explode(F.sequence(F.floor(lo / cell).cast("long"), F.floor(hi / cell).cast("long")))
     left = boxes.select("*", reached(F.col("lo0"), F.col("hi0")).alias("cell"))
     right = boxes.select(*[F.col(c).alias(f"r_{c}") for c in boxes.columns], reached(F.col("lo0") - cell, F.col("hi0") + cell).alias("cell"))
-    gap = sum((F.pow(F.greatest(F.lit(0.0), F.col(f"lo{k}") - F.col(f"r_hi{k}"), F.col(f"r_lo{k}") - F.col(f"hi{k}")), 2) for k in range(AXES)), F.lit(0.0))
+    gap = sum((F.pow(F.greatest(F.lit(0.0), F.col(f"lo{k}") - F.col(f"r_hi{k}"), F.col(f"r_lo{k}") - F.col(f"hi{k}")), 2) for k in range(AXES + 1)), F.lit(0.0))
     pairs = left.join(right, "cell").where((F.col("block") <= F.col("r_block")) & (gap <= cell * cell + 1e-6)).select(F.col("block").alias("i"), F.col("r_block").alias("j")).distinct()
     sides = pairs.select("i", "j", F.explode(F.when(F.col("i") == F.col("j"), F.array(F.struct(F.col("i").alias("block"), F.lit(0).alias("side")))).otherwise(F.array(F.struct(F.col("i").alias("block"), F.lit(0).alias("side")), F.struct(F.col("j").alias("block"), F.lit(1).alias("side"))))).alias("s")).select("i", "j", "s.*")
     found = pa.schema([("id", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
