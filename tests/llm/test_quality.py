@@ -2,6 +2,8 @@ import collections
 import math
 import random
 
+import pytest
+
 from tests.llm.common import EDGES, SPACE, documents, prose
 from weftline.llm import langid, quality
 
@@ -138,6 +140,64 @@ def test_language_id(spark):
     assert special == {900: "und", 901: "und", 902: "und", 903: "aa", None: "bb"}
 
 
+def _bayes(train, texts):
+    """Multinomial naive Bayes spelled out: counts of hashed 1- to 4-grams, half a count of smoothing, log posterior."""
+
+    def grams(t):
+        t = "".join(c if c.isalpha() else " " for c in f" {t.lower()} ")
+        while "  " in t:
+            t = t.replace("  ", " ")
+        for n in (1, 2, 3, 4):
+            for i in range(len(t) - n + 1):
+                h = n
+                for c in t[i : i + n]:
+                    h = (h ^ ord(c)) * 0x9E3779B97F4A7C15 % 2**64
+                    h ^= h >> 29
+                yield h % 65536
+
+    counts, docs = collections.defaultdict(collections.Counter), collections.Counter()
+    for t, k in train:
+        counts[k].update(grams(t))
+        docs[k] += 1
+    total = {k: sum(c.values()) + 65536 / 2 for k, c in counts.items()}
+    for t in texts:
+        logs = {k: math.log(docs[k] / sum(docs.values())) + sum(math.log((counts[k][g] + 0.5) / total[k]) for g in grams(t)) for k in sorted(docs)}
+        best = max(logs, key=logs.get)
+        yield best, 1 / sum(math.exp(v - logs[best]) for v in logs.values())
+
+
+def test_language_id_agrees_with_bayes_spelled_out(spark):
+    r = random.Random(9)
+    rows = [(i, " ".join("".join(r.choice("abcdeéßñ漢") for _ in range(r.randint(1, 6))) for _ in range(r.randint(1, 12))) + r.choice(["", "!", " 12", "\n"]), r.choice(["aa", "bb", "bb", "cc"]), "s") for i in range(80)]
+    df = documents(spark, rows)
+    got = {x["doc_id"]: (x["lang_pred"], x["score"]) for x in langid.predict(df, langid.train(df.where("doc_id < 50"))).collect()}
+    for (i, *_), (k, p) in zip(rows, _bayes([x[1:3] for x in rows[:50]], [x[1] for x in rows]), strict=True):
+        assert abs(got[i][1] - p) < 1e-9 and (got[i][0] == k or p < 0.5 + 1e-9), i
+
+
+def test_language_id_on_texts_held_out(spark):
+    """The registered query: at least 99 of 100 texts of the fold that training never saw."""
+    from weftline.llm import queries
+
+    truth = {x["doc_id"]: x["lang"] for x in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang is not null and text is not null").select("doc_id", "lang").collect()}
+    got = [(x["lang_pred"], truth[x["doc_id"]]) for x in queries.op6_language_id(spark, "/root/testdata/sf0.01").where("held_out").collect() if x["doc_id"] in truth and x["lang_pred"] != "und"]
+    assert len(got) > 200 and sum(a == b for a, b in got) >= 0.99 * len(got)
+
+
+def test_very_long_and_repeated_texts_and_many_labels(spark, monkeypatch):
+    long = "nop qrs " * 40_000
+    df = documents(spark, [(1, "abc de " * 9, "aa", "s"), (1, "abc de " * 9, "aa", "s"), (2, long, "bb", "s"), (3, long, None, "s")]).withColumnsRenamed({"n_chars": "bucket"})
+    got = sorted((x["doc_id"], x["lang_pred"]) for x in langid.predict(df, langid.train(df)).collect())
+    assert got == [(1, "aa"), (1, "aa"), (2, "bb"), (3, "bb")]
+    monkeypatch.setattr(langid, "MOST_CELLS", 2048)
+    langs, logp = langid.train(df)
+    assert logp.shape == (2, 1025) and sorted((x["doc_id"], x["lang_pred"]) for x in langid.predict(df, (langs, logp)).collect()) == got
+    monkeypatch.setattr(langid, "MOST_CELLS", 256)
+    with pytest.raises(ValueError):
+        langid.train(df)
+    assert langid.predict(df.where("false"), langid.train(df.where("false"))).count() == 0
+
+
 def test_language_id_without_training(spark):
     df = documents(spark, [(1, "abc", None, "s")])
     got = langid.predict(df, langid.train(df)).first()

@@ -1,10 +1,13 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 Training counts every n-gram of every labelled text; a task adds up a matrix (languages x buckets) and only its nonzero
-cells are shuffled. The log-probability matrix that is broadcast has a fixed number of buckets and a row for each language.
+cells are shuffled. The log-probability matrix that is collected and broadcast has at most ``MOST_CELLS`` cells: beyond 128
+languages it has fewer buckets, and a column of over 32,768 different labels is refused, as it can't be one of languages.
 
 Null texts, and texts without a letter, are ``und`` with score 0; so is every text if nothing was learned. Labels that are
-null teach nothing. Ties go to the language first in alphabetical order. Texts are read whole, in slices.
+null teach nothing. Ties go to the language first in alphabetical order. Texts are read whole, in slices, however long.
+Repeated rows teach and are judged as often as they occur. An empty table gives an empty result. Other columns pass through,
+whatever their names; only those named as results are replaced.
 """
 
 from __future__ import annotations
@@ -20,6 +23,8 @@ from pyspark.sql import types as T
 from weftline.llm.common import batch
 
 BUCKETS, ORDERS, SMOOTHING = 1 << 16, (1, 2, 3, 4), 0.5
+#: Cells of the matrix at most (8 bytes each), and the fewest buckets that are left to tell languages apart.
+MOST_CELLS, LEAST_BUCKETS = 1 << 23, 1 << 8
 #: Characters of texts that are handled as one array.
 SLICE_CHARS = 1 << 17
 
@@ -99,14 +104,20 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list[s
             at = np.flatnonzero(t)
             yield batch(out, [name] * len(at), at.astype(np.int32), t[at])
 
-    counted = src.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    # At most a row for each language and bucket.
-    rows = counted.toPandas()
+    languages = src.select("lang").distinct().count()
+    buckets = BUCKETS
+    while languages * buckets > MOST_CELLS:
+        buckets //= 2
+    if buckets < LEAST_BUCKETS:
+        raise ValueError(f"{languages} different values of {lang} are no languages")
+    # At most a row for each cell. The last bucket, of the number of texts, keeps a place of its own.
+    bucket = F.when(F.col("bucket") == BUCKETS, buckets).otherwise(F.col("bucket").bitwiseAND(F.lit(buckets - 1))).alias("bucket")
+    rows = src.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", bucket).agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(rows["lang"].unique())
-    counts = np.zeros((len(langs), BUCKETS + 1))
+    counts = np.zeros((len(langs), buckets + 1))
     if langs:
         counts[np.searchsorted(langs, rows["lang"]), rows["bucket"]] = rows["n"]
-    grams, docs = counts[:, :BUCKETS] + SMOOTHING, counts[:, BUCKETS:]
+    grams, docs = counts[:, :buckets] + SMOOTHING, counts[:, buckets:]
     return langs, np.hstack([np.log(grams) - np.log(grams.sum(1, keepdims=True)), np.log(docs / docs.sum()) if langs else docs])
 
 
@@ -118,6 +129,7 @@ def predict(df: DataFrame, model: tuple[list[str], np.ndarray], text: str = "tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
+        buckets = len(table) - 1
         for b in batches:
             keep = [i for i, n in enumerate(b.schema.names) if n not in (pred, score)]
             texts = b.column(b.schema.get_field_index(text)).to_pylist()
@@ -127,7 +139,8 @@ def predict(df: DataFrame, model: tuple[list[str], np.ndarray], text: str = "tex
                 known = [bool(langs) and has_letter(t) for t in part]
                 if any(known):
                     row, bucket = _features(part)
-                    logs = np.stack([np.bincount(row, table[bucket, k], minlength=len(part)) for k in range(len(langs))], 1) + table[BUCKETS]
+                    bucket &= buckets - 1
+                    logs = np.stack([np.bincount(row, table[bucket, k], minlength=len(part)) for k in range(len(langs))], 1) + table[buckets]
                     best = logs.argmax(1)
                     p = 1 / np.exp(logs - logs.max(1, keepdims=True)).sum(1)
                 for k, ok in enumerate(known):
