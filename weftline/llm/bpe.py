@@ -1,6 +1,8 @@
 """Byte-level BPE encoding and decoding with the tiktoken library and a local rank file.
 
-Null texts count as empty: no ids, empty bytes. Other columns pass through untouched, whatever their names.
+Null texts count as empty: no ids, empty bytes. Very long texts are cut before the regular expression sees them, at places
+that no match reaches over. Rows that repeat are encoded as often as they occur; an empty table gives an empty result. Other
+columns pass through untouched, whatever their names; only one named as the result is replaced.
 """
 
 from __future__ import annotations

@@ -35,6 +35,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared store that no plan reads any more."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def nested(df: DataFrame, **columns: Column) -> DataFrame:
     """The rows of ``df`` as one struct ``row``, with columns of the operator's own beside it, so that no name of ``df`` can clash.
 
