@@ -1,4 +1,10 @@
-"""From raw documents to packed sequences: five stages, each written as Parquet and read again before the next."""
+"""From raw documents to packed sequences: five stages, each written as Parquet and read again before the next.
+
+Null texts fail the quality rules, and so leave with the first stage; later stages take them, and leave them, as their
+operators do. Documents without an id are judged by their text, lose no lines or passages, are no near-duplicates of
+anything, and are packed. Rows that repeat share their verdicts; near-duplicate rows of one id stay together. Every stage
+takes an empty table. Columns beside doc_id, text, lang and source pass through up to the last stage, whatever their names.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import bpe, line_dedup, minhash, packing, quality, substring
-from weftline.llm.common import read, shared_folder
+from weftline.llm.common import drop_folder, read, shared_folder
 
 
 def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,10 +54,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over the documents; each result lies in the shared folder before the next stage starts."""
-    docs = read(spark, sf_dir, "documents")
+    """The stages over the documents; each result lies in the shared folder before the next stage starts, and until that has ended."""
+    docs, last = read(spark, sf_dir, "documents"), None
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if last:
+            drop_folder(spark, last)
+        last = f"{folder}/{name}"
     return STAGES[-1][1](spark, docs, sf_dir)
