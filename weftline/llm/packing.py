@@ -114,8 +114,8 @@ def plan(counts: dict[int, int], capacity: int, nodes: int = NODES) -> list[tupl
 
     Branch and bound completes bin after bin, largest length first, over undominated fillings; a branch dies once its waste
     exceeds that of the number of bins aimed at. It first aims at the volume bound, where a plan is optimal. If the nodes end
-    before, best fit is the incumbent, or a drawn plan where that has fewer bins, and the search aims at one bin fewer again
-    and again; the incumbent stands where it finds none.
+    before, best fit is the incumbent, or drawn plans as long as each has fewer bins, and the search aims at one bin fewer
+    again and again; the incumbent stands where it finds none.
     """
     total = sum(s * c for s, c in counts.items())
     bound = max(-(-total // capacity), sum(c for s, c in counts.items() if 2 * s > capacity))
@@ -124,11 +124,12 @@ def plan(counts: dict[int, int], capacity: int, nodes: int = NODES) -> list[tupl
         return found
     best = _best_fit(counts, capacity)
     for k in range(DRAWS):
-        if sum(m for m, _ in best) > bound:
-            best = min(best, _drawn(counts, capacity, k), key=lambda bins: sum(m for m, _ in bins))
+        drawn = _drawn(counts, capacity, k) if sum(m for m, _ in best) > bound else best
+        if sum(m for m, _ in drawn) >= sum(m for m, _ in best):
+            break
+        best = drawn
     budget = [nodes]
-    while sum(m for m, _ in best) > bound:
-        target = sum(m for m, _ in best) - 1
+    while (target := sum(m for m, _ in best) - 1) > bound:
         found = _complete(counts, capacity, target * capacity - total, budget)
         if found is None:
             break
