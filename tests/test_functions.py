@@ -76,19 +76,39 @@ def test_small_text_functions(spark):
     assert one(spark, text.applies("a", "X"), a=["x"]) and one(spark, text.applies("a", "X"), a=[]) and not one(spark, text.applies("a", "X"), a=["y"])
 
 
-@pytest.mark.parametrize("path,kind,lang,score", [("src/main.go", "source", "go", 17), ("a/tests/x.py", "test", "python", 2), ("docs/a.md", "doc", "markdown", 3), ("Dockerfile", "config", "unknown", 4), ("x/.env", "config", "unknown", 4), ("x/a.g.cs", "generated", "csharp", 1), ("Program.cs", "source", "csharp", 15)])
+@pytest.mark.parametrize("path,kind,lang,score", [("src/main.go", "source", "go", 17), ("a/tests/x.py", "test", "python", 2), ("docs/a.md", "doc", "markdown", 3), ("Dockerfile", "config", "text", 4), ("x/.env", "config", "text", 4), ("x/a.g.cs", "generated", "csharp", 1), ("Program.cs", "source", "csharp", 15), ("x/.eslintrc.js", "source", "javascript", 5), ("a/spec/b.rb", "test", "ruby", 2), ("x/docs/b.cs", "doc", "csharp", 3), ("src/startup.cs", "source", "csharp", 15), ("a/x.yml", "config", "yaml", 4), ("A/Generated/b.cs", "generated", "csharp", 1)])
 def test_paths(spark, path, kind, lang, score):
     assert (one(spark, paths.file_type("x"), x=path), one(spark, paths.language("x"), x=path), one(spark, paths.importance("x"), x=path)) == (kind, lang, score)
 
 
+@pytest.mark.parametrize(
+    "path,kind,lang,score,module",
+    [("src/core/main.go", "source", "go", 15, "core"), ("lib/a.rb", "source", "ruby", 8, "root"), ("tests/a/b.py", "test", "python", 2, "a"), ("README.md", "doc", "other", 1, "root"), ("a/x.gen.go", "generated", "go", 5, "a"), ("interfaces/IUser.cs", "source", "csharp", 7, "interfaces"), ("web/app.tsx", "source", "typescript", 15, "web"), ("src/latest.cs", "test", "csharp", 5, "root"), ("a/b.scala", "source", "scala", 5, "a"), ("x.config", "source", "other", 5, "root")],
+)
+def test_paths_of_the_analysing_index(spark, path, kind, lang, score, module):
+    got = (paths.file_type_analysis("x"), paths.language("x", "index"), paths.importance_analysis("x"), paths.module_second("x"))
+    assert tuple(one(spark, f, x=path) for f in got) == (kind, lang, score, module)
+
+
 def test_projects_and_urls(spark):
-    assert one(spark, paths.project_type("x"), x=["a/Cargo.toml"]) == "rust"
-    assert one(spark, paths.tech_stack("x"), x=["a.ts", "Dockerfile"]) == "TypeScript/Docker"
+    assert one(spark, paths.project_type("x"), x=["Cargo.toml"]) == "rust" and one(spark, paths.project_type("x"), x=["a/Cargo.toml"]) == "generic"
+    assert one(spark, paths.project_type("x"), x=["a.py", "b/x.CSPROJ", "go.mod"]) == "dotnet"
+    assert one(spark, paths.tech_stack("x"), x=["a.tsx", "b.csproj", "next.config.js"]) == ".NET/React+TypeScript/Next.js" and one(spark, paths.tech_stack("x"), x=[]) == "未知"
+    assert tuple(one(spark, paths.detected("x"), x="a/Dockerfile")) == ("Containerized", "Docker") and tuple(one(spark, paths.detected("x"), x="a/b.csproj")) == (".NET", "C# / .NET") and one(spark, paths.detected("x"), x="a.txt") is None
+    assert [one(spark, paths.language("x", "analysis"), x=f"a{e}") for e in (".tsx", ".cshtml", ".md")] == ["tsx", "razor", ""]
     url = "https://github.com/Own/Repo.git"
     assert [one(spark, f("x"), x=url) for f in (paths.repo_name, paths.repo_owner, paths.provider, paths.provider_key)] == ["Repo", "Own", "github", "github:own/repo"]
     assert one(spark, paths.file_url("u", "k", "b", "p"), u=url, k="github", b="main", p="a.cs") == "https://github.com/Own/Repo/blob/main/a.cs"
+    raw = lambda u: one(spark, paths.raw_file_url("u", "b", "p"), u=u, b="main", p="src/a b.cs")
+    assert raw(url) == "https://api.github.com/repos/Own/Repo/contents/src/a b.cs"
+    assert raw("https://gitlab.com/g/sub/r.git/") == "https://gitlab.com/api/v4/projects/g%2Fsub%2Fr/repository/files/src%2Fa%20b.cs/raw?ref=main"
+    assert raw("https://bitbucket.org/o/r") == "https://api.bitbucket.org/2.0/repositories/o/r/src/main/src/a b.cs" and raw("/local/x") is None
+    assert one(spark, paths.owner_path("u"), u="https://gitlab.com/g/sub/r.git") == "g/sub"
     assert [one(spark, f("x"), x="src/core/a/b.cs") for f in (paths.module_first, paths.module_second, paths.module_last, paths.module_dir)] == ["src", "core", "a", "src/core/a"]
-    assert one(spark, paths.skipped("x"), x="a/node_modules/b.js") and not one(spark, paths.skipped("x"), x="a/b.js")
+    assert one(spark, paths.module_of("x", F.array(F.lit("b"), F.lit("core"))), x="src/core/a/b.cs") == "core"
+    assert one(spark, paths.skipped("x"), x="a/node_modules/b.js") and one(spark, paths.skipped("x"), x="TMP/a.cs") and not one(spark, paths.skipped("x"), x="a/b.js")
+    assert one(spark, paths.skipped_analysis("x"), x="a/.gradle/b.js") and one(spark, paths.skipped_analysis("x"), x="a.pdb") and not one(spark, paths.skipped_analysis("x"), x="tmp/b.js")
+    assert one(spark, paths.skipped_document("x"), x="a/.git/b") and one(spark, paths.skipped_document("x"), x=".x/b") and not one(spark, paths.skipped_document("x"), x="node_modules/b.js")
 
 
 def test_scores(spark):

@@ -25,8 +25,12 @@ def test_repository(spark, repo):
     assert idx["src/core/main.py"]["is_entry_point"] and idx["src/core/main.py"]["module_name"] == "src"
     assert [r["file_path"] for r in files.source_files(found, 2).collect()] == ["src/core/b.cs", "src/core/main.py"]
     assert [r["file_path"] for r in files.project_files(spark, repo).collect()] == ["a.csproj"]
-    tree = files.listing(found).first()
-    assert tree["tree"].split("\n")[0] == "a.csproj" and tree["readme"].startswith("# Title")
+    assert [r["file_path"] for r in files.listing(found).orderBy("position").collect()] == ["a.csproj", "docs/architecture.md", "README.md", "src/core/b.cs", "src/core/main.py", "tests/test_a.py"]
+    assert files.readme(found).first()["content"].startswith("# Title")
+    other = {r["file_path"]: r for r in files.index(found, analysing=True).collect()}
+    assert other["src/core/main.py"]["module_name"] == "core" and other["tests/test_a.py"]["file_type"] == "test" and not other["README.md"]["is_entry_point"] and other["src/core/b.cs"]["is_entry_point"]
+    assert tuple(files.technology(found).first()) == (".NET", "C# / .NET")
+    assert files.by_key(found, "file_path", "a.csproj").count() == 1 and files.by_key(found, "file_path", "none").count() == 0
     assert [r["file_path"] for r in files.known_documents(found).collect()] == ["README.md", "docs/architecture.md"]
     assert files.corpus(found).where("is_implementation").count() == 2
     c = files.content(found)

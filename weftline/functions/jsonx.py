@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -30,6 +31,11 @@ def block(x: _C) -> Column:
     return F.trim(F.coalesce(F.try_element_at(fence, F.lit(-1)), F.try_element_at(other, F.lit(-1)), F.nullif(braces, F.lit(""))), F.lit(" \n\t\r"))
 
 
+#: A string, to its end or that of the text, or a mark of structure.
+_JSON_MARKS = re.compile(r'"(?:[^"\\]|\\.)*(?:"|\\?$)|[{}\[\],]', re.DOTALL)
+_JSON_STRING = re.compile(r'"(?:[^"\\]|\\.)*"', re.DOTALL)
+
+
 def repair(text: str | None) -> str | None:
     """JSN-05: JSON that was cut off or closed wrongly, made valid; null if nothing can be saved.
 
@@ -41,38 +47,36 @@ def repair(text: str | None) -> str | None:
     stack: list[str] = []
     out: list[str] = []
     ends: list[tuple[int, str]] = []
-    quoted = escaped = False
-    for c in text.strip():
-        if quoted:
-            out.append(c)
-            if escaped:
-                escaped = False
-            elif c == "\\":
-                escaped = True
-            elif c == '"':
-                quoted = False
-                ends.append((len(out), "".join(reversed(stack))))
-            continue
-        if c == '"':
-            quoted = True
-        elif c in "{[":
-            stack.append("}" if c == "{" else "]")
-        elif c in "}]":
+    n, at, text = 0, 0, text.strip()
+    tail = ""
+
+    def closers() -> str:
+        return "".join(reversed(stack))
+
+    for m in _JSON_MARKS.finditer(text):
+        out.append(text[at : m.start()])
+        n += m.start() - at
+        at, c = m.end(), m[0]
+        if c in "}]":
             if not stack:
                 continue
             c = stack.pop()
-            out.append(c)
-            ends.append((len(out), "".join(reversed(stack))))
-            if not stack:
-                break
-            continue
+        elif c in "{[":
+            stack.append("}" if c == "{" else "]")
         elif c == ",":
-            ends.append((len(out), "".join(reversed(stack))))
+            ends.append((n, closers()))
+        elif not _JSON_STRING.fullmatch(c):
+            tail = '\\"' if (len(c) - len(c.rstrip("\\"))) % 2 else '"'
         out.append(c)
-    whole = "".join(out)
-    if quoted:
-        whole += '"' if not escaped else '\\"'
-    for candidate in (whole + "".join(reversed(stack)), *(whole[:n] + closers for n, closers in reversed(ends[-200:]))):
+        n += len(c)
+        if c in "}]" or c[0] == '"' and not tail:
+            ends.append((n, closers()))
+        if c in "}]" and not stack:
+            at = len(text)
+            break
+    out.append(text[at:])
+    whole = "".join(out) + tail
+    for candidate in (whole + closers(), *(whole[:k] + rest for k, rest in reversed(ends[-200:]))):
         try:
             json.loads(candidate)
             return candidate

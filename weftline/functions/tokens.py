@@ -14,8 +14,9 @@ SEPARATORS = r"[\s.,;:!?()\[\]{}<>\"'`/\\|@#$%^&*+=~-]+"
 
 
 def count_cjk(x: _C) -> Column:
-    """STR-04."""
-    return F.length(col(x)) - F.length(F.regexp_replace(col(x), CJK, ""))
+    """STR-04. Texts of ASCII alone, whose bytes are as many as their characters, are not searched."""
+    n = F.length(col(x))
+    return F.when(F.octet_length(col(x)) == n, 0).otherwise(n - F.length(F.regexp_replace(col(x), CJK, "")))
 
 
 def estimate(x: _C) -> Column:

@@ -1,8 +1,15 @@
-"""Source analysis by regular expressions, and by Python's own parser for Python files."""
+"""Source analysis by regular expressions, and by Python's own parser for Python files.
+
+Native parsers of other languages are not at hand; their declarations are found by patterns, their ends by brackets, by
+``end``, or by indentation. A file is analysed on its own, its first MOST_CHARS characters, as the rule has it; files are
+independent rows.
+"""
 
 from __future__ import annotations
 
 import ast
+import bisect
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,18 +19,37 @@ from pyspark.sql import functions as F
 from weftline.functions import paths, tokens
 from weftline.functions.text import _C, col
 
-#: AST-02, fixed values: for each language, patterns of one group for types, functions and imports.
+_BRACES_TYPE = r"\b(?:class|interface|struct|record|enum|trait|protocol)\s+(\w+)"
+_JS_FUNCTION = r"\bfunction\s+(\w+)"
+_JS_IMPORT = r"(?:\bfrom\s+|require\(|\bimport\s+)['\"]([^'\"]+)['\"]"
+#: AST-02: for each of the 13 languages, patterns of one group for types, functions, imports and calls.
 PATTERNS = {
-    "csharp": (r"\b(?:class|interface|struct|record|enum)\s+(\w+)", r"\b(?:public|private|protected|internal|static|async|override|virtual)\s+[\w<>\[\],?]+\s+(\w+)\s*\(", r"(?m)^\s*using\s+([\w.]+)\s*;"),
-    "typescript": (r"\b(?:class|interface|enum|type)\s+(\w+)", r"\bfunction\s+(\w+)", r"\bfrom\s+['\"]([^'\"]+)['\"]"),
-    "javascript": (r"\bclass\s+(\w+)", r"\bfunction\s+(\w+)", r"(?:\bfrom\s+|require\()['\"]([^'\"]+)['\"]"),
-    "python": (r"(?m)^\s*class\s+(\w+)", r"(?m)^\s*(?:async\s+)?def\s+(\w+)", r"(?m)^\s*(?:from|import)\s+([\w.]+)"),
-    "go": (r"(?m)^type\s+(\w+)\s+(?:struct|interface)", r"(?m)^func\s+(?:\([^)]*\)\s*)?(\w+)\s*\(", r"(?m)^\s*(?:import\s+)?\"([\w./-]+)\"\s*$"),
-    "java": (r"\b(?:class|interface|enum|record)\s+(\w+)", r"\b(?:public|private|protected|static)\s+[\w<>\[\]]+\s+(\w+)\s*\(", r"(?m)^\s*import\s+(?:static\s+)?([\w.]+)\s*;"),
+    "csharp": (_BRACES_TYPE, r"\b(?:public|private|protected|internal|static|async|override|virtual)\s+[\w<>\[\],?]+\s+(\w+)\s*\(", r"(?m)^\s*using\s+([\w.]+)\s*;", r"(\w+)\s*\("),
+    "typescript": (r"\b(?:class|interface|enum|type)\s+(\w+)", _JS_FUNCTION, _JS_IMPORT, r"(\w+)\s*\("),
+    "javascript": (r"\bclass\s+(\w+)", _JS_FUNCTION, _JS_IMPORT, r"(\w+)\s*\("),
+    "python": (r"(?m)^\s*class\s+(\w+)", r"(?m)^\s*(?:async\s+)?def\s+(\w+)", r"(?m)^\s*(?:from|import)\s+([\w.]+)", r"(\w+)\s*\("),
+    "go": (r"(?m)^type\s+(\w+)\s+(?:struct|interface)", r"(?m)^func\s+(?:\([^)]*\)\s*)?(\w+)\s*\(", r"(?m)^\s*(?:import\s+)?\"([\w./-]+)\"\s*$", r"(\w+)\s*\("),
+    "rust": (r"\b(?:struct|trait|enum)\s+(\w+)", r"\bfn\s+(\w+)", r"(?m)^\s*(?:pub\s+)?use\s+([\w:]+)", r"(\w+)\s*\("),
+    "java": (_BRACES_TYPE, r"\b(?:public|private|protected|static)\s+[\w<>\[\]]+\s+(\w+)\s*\(", r"(?m)^\s*import\s+(?:static\s+)?([\w.]+)\s*;", r"(\w+)\s*\("),
+    "cpp": (r"\b(?:class|struct)\s+(\w+)", r"(?m)^[\w:<>*&~ \t]+[\s*&](\w+)\s*\([^;{}]*\)\s*(?:const\s*)?\{", r"(?m)^\s*#include\s+[<\"]([^>\"]+)[>\"]", r"(\w+)\s*\("),
+    "c": (r"\bstruct\s+(\w+)\s*\{", r"(?m)^[\w* \t]+[\s*](\w+)\s*\([^;{}]*\)\s*\{", r"(?m)^\s*#include\s+[<\"]([^>\"]+)[>\"]", r"(\w+)\s*\("),
+    "php": (r"\b(?:class|interface|trait)\s+(\w+)", _JS_FUNCTION, r"\b(?:require|include)(?:_once)?\s*\(?\s*['\"]([^'\"]+)['\"]", r"(\w+)\s*\("),
+    "ruby": (r"(?m)^\s*(?:class|module)\s+(\w+)", r"(?m)^\s*def\s+(?:self\.)?(\w+[?!]?)", r"(?m)^\s*require(?:_relative)?\s+['\"]([^'\"]+)['\"]", r"(\w+[?!]?)\s*\("),
+    "swift": (r"\b(?:class|struct|protocol|enum)\s+(\w+)", r"\bfunc\s+(\w+)", r"(?m)^\s*import\s+([\w.]+)", r"(\w+)\s*\("),
+    "scala": (r"\b(?:class|trait|object)\s+(\w+)", r"\bdef\s+(\w+)", r"(?m)^\s*import\s+([\w.]+)", r"(\w+)\s*\("),
 }
+#: Words before brackets that are no calls, and words before a declaration's keyword or name that modify it.
+NO_CALLS = frozenset(["if", "for", "foreach", "while", "switch", "catch", "return", "using", "lock", "fixed", "sizeof", "typeof", "nameof", "function", "func", "fn", "def", "new", "elif", "except", "with", "and", "or", "not", "in", "match", "when", "guard", "print"])
+MODIFIERS = frozenset(["public", "private", "protected", "internal", "static", "async", "override", "virtual", "abstract", "sealed", "partial", "readonly", "final", "export", "default", "pub", "open", "unsafe", "const", "extern", "inline", "fileprivate", "synchronized"])
 #: Symbols, imports and chunks that one file yields at most, types and functions apart.
 MOST_TYPES, MOST_FUNCTIONS, MOST_IMPORTS, CHUNK_LINES, MOST_CHUNKS = 50, 50, 30, 80, 50
 MOST_CHARS = 100_000
+#: Symbols and calls that one file yields at most.
+MOST_SYMBOLS, MOST_CALLS = 500, 500
+
+
+def _language(path: _C) -> Column:
+    return F.replace(paths.language(path, "analysis"), F.lit("tsx"), F.lit("typescript"))
 
 
 def _by_language(lang: _C, source: _C, which: int, most: int) -> Column:
@@ -35,7 +61,7 @@ def _by_language(lang: _C, source: _C, which: int, most: int) -> Column:
 
 def analyse(files: DataFrame, path: str = "file_path", source: str = "content", lang: str | None = None) -> DataFrame:
     """AST-01, STR-29: path, language, types, functions, imports, chunks; languages without patterns have chunks alone."""
-    named = files.withColumn("language", F.col(lang) if lang else paths.language(path))
+    named = files.withColumn("language", F.col(lang) if lang else _language(path))
     arrays = {"types": (0, MOST_TYPES), "functions": (1, MOST_FUNCTIONS), "imports": (2, MOST_IMPORTS)}
     return named.select(path, "language", *[F.array_distinct(_by_language("language", source, w, m)).alias(k) for k, (w, m) in arrays.items()], F.slice(tokens.line_windows(source, CHUNK_LINES, 0), 1, MOST_CHUNKS).alias("chunks"))
 
@@ -46,6 +72,179 @@ def symbols(analysed: DataFrame, path: str = "file_path") -> DataFrame:
     return each("type", "types").unionByName(each("function", "functions"))
 
 
+def _end(text: str, language: str, start: int, head: int) -> int:
+    """Where a declaration that starts at ``start`` ends, its header reaching to ``head``."""
+    if language in ("python", "ruby"):
+        line = text.rfind("\n", 0, start) + 1
+        indent = len(text[line:]) - len(text[line:].lstrip(" \t"))
+        at, last = text.find("\n", head), head
+        while at >= 0:
+            end = text.find("\n", at + 1)
+            row = text[at + 1 : end if end >= 0 else len(text)]
+            if row.strip():
+                deep = len(row) - len(row.lstrip(" \t"))
+                if deep < indent or deep == indent and not (language == "ruby" and row.strip() == "end"):
+                    break
+                last = at + 1 + len(row)
+                if deep == indent:
+                    break
+            at = end
+        return last
+    depth, opened = 0, False
+    for m in re.compile(r"[{};]").finditer(text, head):
+        if m[0] == ";":
+            if not opened:
+                return m.end()
+        else:
+            depth += 1 if m[0] == "{" else -1
+            opened = True
+            if depth <= 0:
+                return m.end()
+    return len(text) if opened else head
+
+
+def _declared(text: str, language: str) -> list[dict]:
+    """The declarations of one text, in the order of their places."""
+    out = []
+    for group, kind in ((0, "type"), (1, "function")):
+        for m in re.finditer(PATTERNS[language][group], text):
+            line = text.rfind("\n", 0, m.start(1)) + 1
+            stop = re.compile({"python": r":\s*(?:#.*)?$", "ruby": r"$"}.get(language, r"[{;]|=>|:\s*$"), re.M).search(text, m.end(1))
+            head = stop.start() if stop else len(text)
+            signature = " ".join(text[line:head].split())
+            before = re.findall(r"\w+", text[line : m.start(1)])
+            word = next((w for w in reversed(before) if w in ("class", "interface", "struct", "record", "enum", "trait", "protocol", "module", "object", "type")), "class")
+            kind_name = "function" if kind == "function" else {"trait": "interface", "protocol": "interface", "module": "class", "object": "class", "type": "class"}.get(word, word)
+            bases = []
+            if kind == "type":
+                rest = re.sub(r"^\s*<[^<>]*>", "", text[m.end(1) : head]) if language != "ruby" else text[m.end(1) : head]
+                named = re.search(r"(?::|\bextends\b|\bimplements\b|\bwith\b|<|\()(.*)", rest, re.S) if language != "go" else None
+                if named and (language == "ruby" or not named[0].startswith("<")):
+                    bases = re.findall(r"[A-Za-z_][\w.]*(?:<[^<>]*>)?", re.sub(r"\b(?:extends|implements|with|public|private|protected|virtual|where)\b", " ", named[1]))
+            marks = []
+            at = line
+            while at > 0:
+                prior = text.rfind("\n", 0, at - 1) + 1
+                row = text[prior : at - 1].strip()
+                if not re.match(r"\[\w|@\w|#\[", row):
+                    break
+                marks.append(row)
+                at = prior
+            out.append({"name": m[1], "kind": kind_name, "signature": signature, "start": m.start(1), "end": _end(text, language, line, m.end(1) if language in ("python", "ruby") else head), "modifiers": [w for w in before if w in MODIFIERS], "bases": bases, "attributes": marks[::-1]})
+    return sorted(out, key=lambda d: d["start"])
+
+
+def analysed_rows(path: str | None, text: str | None, language: str) -> Iterator[tuple]:
+    """Rows of one file: a declaration each, then a call each, with the callable around it; none for a language without patterns."""
+    text = (text or "")[:MOST_CHARS]
+    if language not in PATTERNS:
+        return
+    breaks = [m.start() for m in re.finditer("\n", text)]
+    line = lambda at: bisect.bisect_left(breaks, at) + 1
+    found = _declared(text, language)
+    around = lambda at, kinds: min((d for d in found if d["start"] < at < d["end"] and (d["kind"] == "function") == kinds), key=lambda d: d["end"] - d["start"], default=None)
+    seen = set()
+    for d in found:
+        key = (line(d["start"]), line(d["end"]), d["name"])
+        if key in seen or len(seen) >= MOST_SYMBOLS:
+            continue
+        seen.add(key)
+        parent = around(d["start"], False)
+        yield path, language, d["kind"], d["name"], d["signature"], key[0], max(key[0], key[1]), parent["name"] if parent else "", d["modifiers"], d["bases"], d["attributes"], None
+    places, calls = {d["start"] for d in found}, set()
+    for m in re.finditer(PATTERNS[language][3], text):
+        if m[1] in NO_CALLS or m.start(1) in places or m[1][0].isdigit():
+            continue
+        caller = around(m.start(1), True)
+        if caller and (caller["name"], m[1]) not in calls and len(calls) < MOST_CALLS:
+            calls.add((caller["name"], m[1]))
+            owner = around(caller["start"], False)
+            name = f"{owner['name']}.{caller['name']}" if owner else caller["name"]
+            yield path, language, "call", name, None, line(m.start(1)), line(m.start(1)), None, [], [], [], m[1]
+
+
+_SYMBOL = "file_path string, language string, kind string, name string, signature string, start_line int, end_line int, parent string, modifiers array<string>, bases array<string>, attributes array<string>, callee string"
+
+
+def source_symbols(files: DataFrame, path: str = "file_path", source: str = "content") -> DataFrame:
+    """AST-01, AST-03, AST-05 for all languages of PATTERNS: a row for each declaration (kind class, interface, struct, record, enum or function) and each distinct call (kind call, name of the callable around it).
+
+    Null or empty texts, and languages without patterns, give no rows.
+    """
+    names = [x.split()[0] for x in _SYMBOL.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame([r for x in zip(b["p"], b["s"], b["g"], strict=True) for r in analysed_rows(*x)], columns=names)
+
+    return files.select(F.col(path).alias("p"), F.col(source).alias("s"), _language(path).alias("g")).mapInPandas(run, _SYMBOL)
+
+
+#: AST-06, fixed values: pattern, confidence, pattern of a type's name (case aside), and of a text that must be there as well.
+HEURISTICS = [
+    ("Factory", 0.9, "factory", r"\bnew\s+\w"),
+    ("Observer", 0.8, "", r"\bevent\s"),
+    ("Builder", 0.85, "builder", r"(?i)\bbuild\("),
+    ("Repository", 0.95, "repository", ""),
+    ("Mediator", 0.8, "mediator|orchestrator|coordinator", ""),
+]
+STRATEGY = ("Strategy", 0.85, "strategy|policy|handler|processor", 2)
+SINGLETON, MEDIATOR_FIELDS = ("Singleton", 0.9), 3
+
+
+def pattern_hints(symbol_rows: DataFrame, files: DataFrame, path: str = "file_path", source: str = "content") -> DataFrame:
+    """AST-06: (file_path, pattern, confidence, detail): the seven heuristics, each at most once a file, with the first type it holds for.
+
+    ``symbol_rows`` as of ``source_symbols``. Types are in the order of their lines; Repository takes any type, Strategy an
+    interface with two classes of the same file or more that have it as a base, the others a class.
+    """
+    types = symbol_rows.where(F.col("kind").isin("class", "interface", "record", "struct"))
+    kept = F.struct("start_line", "name", "kind", "bases")
+    by_file = types.groupBy("file_path").agg(F.array_sort(F.collect_set(kept)).alias("types")).join(files.select(F.col(path).alias("file_path"), F.col(source).alias("_x")), "file_path")
+    classes = F.filter("types", lambda t: t["kind"] == "class")
+    first = lambda items, pattern: F.get(F.transform(F.filter(items, lambda t: F.lower(t["name"]).rlike(pattern)), lambda t: t["name"]), 0)
+    fields = F.size(F.regexp_extract_all("_x", F.lit(r"(?m)^\s*(?:(?:private|public|protected|internal|static|readonly)\s+)+[\w<>\[\],?]+\s+\w+\s*(?:=[^;\n]*)?;"), 0))
+    hints = []
+    for name, confidence, pattern, also in HEURISTICS:
+        detail = first(F.col("types") if name == "Repository" else classes, pattern)
+        ok = F.col("_x").rlike(also) if also else fields >= MEDIATOR_FIELDS if name == "Mediator" else F.lit(True)
+        hints.append((name, confidence, F.when(ok, detail)))
+    only = first(classes, "")
+    holds = lambda x: F.regexp_like("_x", F.concat(F.lit(x[0]), only, F.lit(x[1])))
+    hints.append((*SINGLETON, F.when(holds((r"private\s+", r"\s*\(")) & holds((r"static\s+(?:readonly\s+)?", r"\s+\w*Instance")), only)))
+    name, confidence, pattern, least = STRATEGY
+    implementers = lambda i: F.filter(classes, lambda c: F.exists(c["bases"], lambda b: F.lower(b) == F.lower(i["name"])))
+    interface = F.get(F.filter("types", lambda t: (t["kind"] == "interface") & F.lower(t["name"]).rlike(pattern)), 0)
+    hints.append((name, confidence, F.when(F.size(implementers(interface)) >= least, interface["name"])))
+    each = F.array(*[F.struct(F.lit(n).alias("pattern"), F.lit(c).alias("confidence"), d.alias("detail")) for n, c, d in hints])
+    return by_file.select("file_path", F.explode(F.filter(each, lambda h: h["detail"].isNotNull())).alias("h")).select("file_path", "h.*")
+
+
+def call_report(edges: DataFrame, most: int = 30, callees: int = 10) -> DataFrame:
+    """AGG-14 as text: (position, line) of the callers with most calls: name, first file, first callees, highest confidence."""
+    from weftline.operators import graph
+
+    e = edges.where("caller_symbol <> '' and callee_symbol <> ''")
+    top = graph.top_callers(e, "caller_symbol", "callee_symbol", most, callees, "caller_file_path", "confidence")
+    quoted = F.array_join(F.transform("callees", lambda c: F.concat(F.lit("`"), c, F.lit("`"))), ", ")
+    text = F.concat(F.lit("- `"), "caller_symbol", F.lit("` ("), paths.base_name("first_file"), F.lit(") → "), quoted, F.lit(" ["), F.round(F.col("confidence") * 100).cast("int").cast("string"), F.lit(" %]"))
+    return top.select(F.struct(-F.col("n_calls"), "caller_symbol").alias("position"), text.alias("line"))
+
+
+def hierarchy_report(symbol_rows: DataFrame, most: int = 20) -> DataFrame:
+    """JN-10 as text: (file_path, text) of a file's types with their bases and their first methods' signatures."""
+    types = symbol_rows.where(F.col("kind").isin("class", "interface", "struct", "record", "enum")).select("file_path", F.col("name").alias("type"), "kind", "bases", F.col("start_line").alias("_at"))
+    methods = symbol_rows.where("kind = 'function' and parent <> ''").groupBy("file_path", F.col("parent").alias("type")).agg(F.transform(F.array_sort(F.collect_set(F.struct("start_line", "signature"))), lambda x: x["signature"]).alias("methods"))
+    j = types.join(methods, ["file_path", "type"], "left")
+    none = F.array().cast("array<string>")
+    head = F.concat(F.lit("- "), "kind", F.lit(" `"), "type", F.lit("`"), F.when(F.size("bases") > 0, F.concat(F.lit(" : "), F.array_join("bases", ", "))).otherwise(F.lit("")))
+    rows = F.transform(F.slice(F.coalesce("methods", none), 1, most), lambda m: F.concat(F.lit("  - `"), m, F.lit("`")))
+    more = F.size(F.coalesce("methods", none)) - most
+    tail = F.when(more > 0, F.array(F.concat(F.lit("  - ... "), more.cast("string"), F.lit(" more")))).otherwise(none)
+    lines = F.array_join(F.concat(F.array(head), rows, tail), "\n")
+    return j.select("file_path", F.struct("_at", "type", lines.alias("_t")).alias("_s")).groupBy("file_path").agg(F.array_join(F.transform(F.array_sort(F.collect_list("_s")), lambda x: x["_t"]), "\n").alias("text"))
+
+
 def python_symbols(files: DataFrame, path: str = "file_path", source: str = "content") -> DataFrame:
     """AST-03, AST-05 for Python: (file_path, kind, name, parent, start_line, end_line, callee) by its own parser; files that do not parse give no row.
 
@@ -88,18 +287,10 @@ def call_edges(symbol_rows: DataFrame, calls: DataFrame) -> DataFrame:
     return j.select(F.col("name").alias("caller_symbol"), F.col("file_path").alias("caller_file_path"), F.col("callee").alias("callee_symbol"), F.when(F.col("_here"), F.col("file_path")).otherwise(F.col("_any")).alias("callee_file_path"), F.when(F.col("_here"), 0.9).otherwise(0.7).alias("confidence"))
 
 
-def patterns(symbol_rows: DataFrame, bases: DataFrame) -> DataFrame:
-    """AST-06, AGG-24: (pattern, module, confidence): by names, and Strategy where an interface has two implementers or more.
-
-    ``symbol_rows``: (file_path, kind, name); ``bases``: (name, base).
-    """
-    rules = {"Factory": r"Factory$", "Repository": r"Repository$", "Singleton": r"(?i)singleton", "Observer": r"(?:Observer|Listener|Handler)$", "Builder": r"Builder$", "Decorator": r"Decorator$"}
-    named = [symbol_rows.where((F.col("kind") == "type") & F.col("name").rlike(r)).select(F.lit(k).alias("pattern"), paths.module_first("file_path").alias("module"), F.lit(0.8).alias("confidence")) for k, r in rules.items()]
-    strategy = bases.groupBy("base").agg(F.countDistinct("name").alias("n")).where("n >= 2").select(F.lit("Strategy").alias("pattern"), F.col("base").alias("module"), F.lit(0.7).alias("confidence"))
-    out = strategy
-    for df in named:
-        out = out.unionByName(df)
-    return out.groupBy("pattern", "module").agg(F.max("confidence").alias("confidence"))
+def patterns(hints: DataFrame) -> DataFrame:
+    """AGG-24: (pattern, module, confidence, n_files, evidence): hints of files by pattern and module, with the first of their details."""
+    named = hints.withColumn("module", paths.module_last("file_path"))
+    return named.groupBy("pattern", "module").agg(F.max("confidence").alias("confidence"), F.countDistinct("file_path").alias("n_files"), F.slice(F.array_sort(F.collect_set("detail")), 1, 5).alias("evidence"))
 
 
 def project_references(files: DataFrame, path: str = "file_path", source: str = "content") -> DataFrame:

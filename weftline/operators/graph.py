@@ -2,17 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def _cut(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="weftline-"))
-    return df.checkpoint(eager=True)
+from weftline.operators.checkpoints import cut as _cut
 
 
 def symmetric(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -20,49 +13,64 @@ def symmetric(edges: DataFrame, a: str, b: str) -> DataFrame:
     return edges.select(a, b).union(edges.select(F.col(b).alias(a), F.col(a).alias(b))).distinct()
 
 
-def levels(nodes: DataFrame, node: str, parent: str, deepest: int = 64) -> DataFrame:
-    """GRF-04, GRF-05: (node, root, level): distance from the root; nodes under a cycle are not reached.
+def climbed(nodes: DataFrame, node: str, parent: str) -> DataFrame:
+    """(node, at, distance, done): from each node up to its root, by doubling, so that rounds grow with the logarithm of the depth.
 
-    One join a level against a frontier that is written each time; ends when a level is empty.
+    ``done`` rows are at their root. What is left stands on or under a cycle, at a node of it; nodes under a parent that does
+    not exist are left out. Each node has one parent at most.
     """
-    front = _cut(nodes.where(F.col(parent).isNull()).select(F.col(node), F.col(node).alias("root"), F.lit(0).alias("level")))
-    out, n = front, 0
-    while n < deepest:
-        n += 1
-        front = _cut(nodes.select(node, F.col(parent).alias("_p")).join(front.select(F.col(node).alias("_p"), "root"), "_p").select(node, "root", F.lit(n).alias("level")))
-        if front.isEmpty():
+    no_parent = F.col(parent).isNull()
+    state = _cut(nodes.select(F.col(node).alias("node"), F.when(no_parent, F.col(node)).otherwise(F.col(parent)).alias("at"), F.when(no_parent, 0).otherwise(1).alias("distance"), no_parent.alias("done")))
+    for _ in range(max(1, state.count()).bit_length() + 1):
+        if state.where(~F.col("done")).isEmpty():
             break
-        out = out.unionByName(front)
-    return out
+        up = state.select(F.col("node").alias("at"), F.col("at").alias("_at"), F.col("distance").alias("_more"), F.col("done").alias("_done"))
+        moved = state.where(~F.col("done")).join(up, "at").select("node", F.col("_at").alias("at"), (F.col("distance") + F.col("_more")).alias("distance"), F.col("_done").alias("done"))
+        state = _cut(state.where("done").unionByName(moved))
+    return state
+
 
+def levels(nodes: DataFrame, node: str, parent: str) -> DataFrame:
+    """GRF-04, GRF-05: (node, root, level): distance from the root, however deep; nodes under a cycle, or under a parent that does not exist, are not reached."""
+    return climbed(nodes, node, parent).where("done").select(F.col("node").alias(node), F.col("at").alias("root"), F.col("distance").alias("level"))
 
-def ancestors(nodes: DataFrame, node: str, parent: str, deepest: int = 64) -> DataFrame:
-    """GRF-08: (node, ancestor, distance) by doubling: paths of 2**k edges from two of half the length. Cycles end at ``deepest``."""
-    step = _cut(nodes.where(F.col(parent).isNotNull()).select(F.col(node), F.col(parent).alias("ancestor"), F.lit(1).alias("distance")))
-    reach, span = step, 1
-    while span < deepest:
+
+def ancestors(nodes: DataFrame, node: str, parent: str) -> DataFrame:
+    """GRF-08: (node, ancestor, distance) by doubling: paths of up to 2**k edges from two of half the length, until none is new. Nodes of a cycle have each other, and themselves, as ancestors."""
+    reach = _cut(nodes.where(F.col(parent).isNotNull()).select(F.col(node), F.col(parent).alias("ancestor"), F.lit(1).alias("distance")))
+    n = reach.count()
+    while True:
         far = reach.alias("x").join(reach.alias("y"), F.col("x.ancestor") == F.col(f"y.{node}")).select(F.col(f"x.{node}").alias(node), F.col("y.ancestor").alias("ancestor"), (F.col("x.distance") + F.col("y.distance")).alias("distance"))
-        grown = _cut(reach.unionByName(far).groupBy(node, "ancestor").agg(F.min("distance").alias("distance")))
-        if grown.count() == reach.count():
-            break
-        reach, span = grown, span * 2
-    return reach
+        reach = _cut(reach.unionByName(far).groupBy(node, "ancestor").agg(F.min("distance").alias("distance")))
+        now = reach.count()
+        if now == n:
+            return reach
+        n = now
 
 
-def on_cycle(edges: DataFrame, a: str, b: str, rounds: int = 200) -> DataFrame:
-    """GRF-02, GRF-06: nodes that may lie on a cycle: what is left after nodes without an edge in, or without one out, go again and again.
+def trees(nodes: DataFrame, node: str, parent: str) -> DataFrame:
+    """GRF-08: (node, children, depth): each node with its children in order and its distance from the root: a tree as nested lists, a row for each node."""
+    lists = nodes.where(F.col(parent).isNotNull()).groupBy(F.col(parent).alias(node)).agg(F.array_sort(F.collect_set(node)).alias("children"))
+    none = F.array().cast(lists.schema["children"].dataType)
+    return levels(nodes, node, parent).join(lists, node, "left").select(node, F.coalesce("children", none).alias("children"), F.col("level").alias("depth"))
 
-    For graphs in which each node has one edge out (a parent), these are exactly the nodes on cycles.
+
+def on_cycle(edges: DataFrame, a: str, b: str) -> DataFrame:
+    """GRF-02, GRF-06: nodes on cycles.
+
+    Where each node has one edge out (a parent), these are where the nodes stand that climb without an end. Else nodes without
+    an edge in, or without one out, go again and again until none does; what is left are nodes on cycles or between them.
     """
-    e, n = _cut(edges.select(a, b).where(F.col(a).isNotNull() & F.col(b).isNotNull()).distinct()), -1
-    for _ in range(rounds):
-        now = e.count()
-        if now == n:
-            break
+    e = _cut(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null").distinct())
+    if e.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        ends = e.select(F.col("b").alias("a")).join(e.select("a"), "a", "left_anti").distinct().select("a", F.lit(None).cast(e.schema["b"].dataType).alias("b"))
+        return climbed(e.unionByName(ends), "a", "b").where(~F.col("done")).select(F.col("at").alias("node")).distinct()
+    n = -1
+    while (now := e.count()) != n:
         n = now
-        heads, tails = e.select(F.col(b).alias("_n")).distinct(), e.select(F.col(a).alias("_n")).distinct()
-        e = _cut(e.join(heads, F.col(a) == F.col("_n"), "left_semi").join(tails, F.col(b) == F.col("_n"), "left_semi"))
-    return e.select(F.col(a).alias("node")).distinct()
+        heads, tails = e.select(F.col("b").alias("_n")).distinct(), e.select(F.col("a").alias("_n")).distinct()
+        e = _cut(e.join(heads, F.col("a") == F.col("_n"), "left_semi").join(tails, F.col("b") == F.col("_n"), "left_semi"))
+    return e.select(F.col("a").alias("node")).distinct()
 
 
 def cycles(edges: DataFrame, a: str, b: str, longest: int = 10) -> DataFrame:
@@ -80,16 +88,20 @@ def cycles(edges: DataFrame, a: str, b: str, longest: int = 10) -> DataFrame:
 
 
 def longest_path(edges: DataFrame, a: str, b: str, roots: int = 100, deepest: int = 30) -> DataFrame:
-    """GRF-03: (root, depth): edges on the longest walk from each of the first roots that meets no node twice, up to a depth.
+    """GRF-03, fixed values 100 and 30: (root, depth): edges on the longest walk from each of the first roots that meets no node twice, up to a depth.
 
-    Walks of one end are not merged, so that the number of rows is that of simple paths: for small graphs, as the roots and the depth bound it.
+    Without cycles every walk is one, and walks of one root that meet at a node after as many edges are one row: at most roots
+    x nodes rows a step. Only where the roots' graph has cycles are walks kept apart, with their nodes.
     """
-    e = _cut(edges.select(a, b).distinct())
-    starts = e.select(F.col(a).alias("root")).distinct().join(e.select(F.col(b).alias("root")).distinct(), "root", "left_anti").orderBy("root").limit(roots)
-    front = _cut(starts.select("root", F.array("root").alias("path")))
+    e = _cut(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).distinct())
+    starts = e.select(F.col("a").alias("root")).distinct().join(e.select(F.col("b").alias("root")).distinct(), "root", "left_anti").orderBy("root").limit(roots)
+    free = on_cycle(e, "a", "b").isEmpty()
+    front = _cut(starts.select("root", F.col("root").alias("at"), F.array("root").alias("path")))
     out = front.select("root", F.lit(0).alias("depth"))
     for n in range(1, deepest + 1):
-        front = _cut(front.join(e, F.element_at("path", -1) == F.col(a)).where(~F.array_contains("path", F.col(b))).select("root", F.concat("path", F.array(b)).alias("path")))
+        far = front.join(e, F.col("at") == F.col("a"))
+        far = far.select("root", F.col("b").alias("at"), "path").dropDuplicates(["root", "at"]) if free else far.where(~F.array_contains("path", F.col("b"))).select("root", F.col("b").alias("at"), F.concat("path", F.array("b")).alias("path"))
+        front = _cut(far)
         if front.isEmpty():
             break
         out = out.unionByName(front.select("root", F.lit(n).alias("depth")).distinct())
@@ -117,6 +129,15 @@ def ranked(df: DataFrame, order: list[Column], out: str) -> DataFrame:
     return placed.withColumn("_part", F.shiftright("_m", 33)).join(F.broadcast(before), "_part").withColumn(out, (F.col("_before") + inside + 1).cast("int")).drop("_part", "_m", "_before")
 
 
+def running_total(df: DataFrame, order: list[Column], value: str, out: str) -> DataFrame:
+    """Sum of ``value`` over the rows before each one in one complete order, without a task that holds all rows: as ``ranked``."""
+    placed = _cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_m", 33)))
+    parts = placed.groupBy("_part").agg(F.sum(value).alias("_n"))
+    before = parts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    inside = F.coalesce(F.sum(value).over(Window.partitionBy("_part").orderBy("_m").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return placed.join(F.broadcast(before), "_part").withColumn(out, F.col("_before") + inside).drop("_part", "_m", "_before")
+
+
 def tree_order(nodes: DataFrame, node: str, parent: str, order: list[str]) -> DataFrame:
     """GRF-04, SET-07: breadth-first position; siblings in order; nodes that no root reaches come last."""
     lv = levels(nodes, node, parent)
@@ -136,18 +157,21 @@ def usages(edges: DataFrame, a: str, b: str, name, most: int = 25) -> DataFrame:
     return edges.where((F.col(a) == name) | (F.col(b) == name)).select(a, b).distinct().orderBy(a, b).limit(most)
 
 
-def top_callers(edges: DataFrame, caller: str, callee: str, k: int = 10, most: int = 10) -> DataFrame:
-    """AGG-14: callers by number of calls, with their first callees."""
-    n = edges.groupBy(caller).agg(F.count("*").alias("n_calls"), F.slice(F.array_sort(F.collect_set(callee)), 1, most).alias("callees"))
+def top_callers(edges: DataFrame, caller: str, callee: str, k: int = 10, most: int = 10, file: str | None = None, confidence: str | None = None) -> DataFrame:
+    """AGG-14: callers by number of calls, with their first callees; given their columns, with their first file and highest confidence too."""
+    more = [F.min(file).alias("first_file")] * bool(file) + [F.max(confidence).alias("confidence")] * bool(confidence)
+    n = edges.groupBy(caller).agg(F.count("*").alias("n_calls"), F.slice(F.array_sort(F.collect_set(callee)), 1, most).alias("callees"), *more)
     return n.orderBy(F.col("n_calls").desc(), caller).limit(k)
 
 
+#: Words in module names, one of each kind for a layered architecture.
+LAYERS = [["Api", "Controller"], ["Core", "Service"], ["Repository", "Data"]]
+
+
 def architecture(modules: DataFrame, name: str) -> DataFrame:
-    """GRF-11: the style that the module names show."""
-    has = lambda *w: F.bool_or(F.lower(name).rlike("|".join(w)))
-    hits = modules.agg(has("controller", "api", "web").alias("front"), has("service", "core", "domain").alias("middle"), has("repository", "infrastructure", "data").alias("back"))
-    style = F.when(F.col("front") & F.col("middle") & F.col("back"), "layered").when(F.col("front") & F.col("back"), "two-tier").when(F.col("middle"), "modular").otherwise("flat")
-    return hits.select(F.coalesce(style, F.lit("flat")).alias("architecture"))
+    """GRF-11: layered where module names show all three layers, else modular."""
+    hits = modules.agg(*[F.coalesce(F.bool_or(F.col(name).rlike("|".join(words))), F.lit(False)).alias(f"l{i}") for i, words in enumerate(LAYERS)])
+    return hits.select(F.when(F.col("l0") & F.col("l1") & F.col("l2"), "layered").otherwise("modular").alias("architecture"))
 
 
 def module_edges(imports: DataFrame, modules: DataFrame, file_module: str, target: str, module: str) -> DataFrame:

@@ -92,12 +92,24 @@ def cascade(df: DataFrame, lookups: list[tuple[DataFrame, list[str], str]], out:
     return df.withColumn(out, F.coalesce(*names)).drop(*names)
 
 
-def contains_join(df: DataFrame, needles: DataFrame, hay: str, needle: str, most: int = 10_000) -> DataFrame:
-    """JN-13: rows whose text holds a needle, whatever the case. Needles are a lookup list: their number is checked."""
-    n = needles.count()
-    if n > most:
-        raise ValueError(f"{n} needles; a containment join takes {most} at most")
-    return df.join(F.broadcast(needles), F.contains(F.lower(hay), F.lower(needle)))
+def contains_join(df: DataFrame, needles: DataFrame, hay: str, needle: str, gram: int = 6) -> DataFrame:
+    """JN-13: rows whose text holds a needle, whatever the case, for any number of needles.
+
+    A needle's first characters, ``gram`` at most, are joined to all pieces of that length of the texts, each once a text; then
+    the whole needle is looked for. Null needles are held by nothing, empty ones by every text.
+    """
+    n = needles.select(F.struct("*").alias("_n"), F.lower(needle).alias("_needle")).where("_needle is not null")
+    n = n.withColumn("_gram", F.left("_needle", F.lit(gram)))
+    sizes = sorted(r[0] for r in n.select(F.length("_gram")).distinct().collect())  # at most one for each length up to ``gram``
+    h = df.select(F.struct("*").alias("_h"), F.lower(hay).alias("_hay")).where("_hay is not null")
+
+    def pieces(size: int) -> Column:
+        starts = F.sequence(F.lit(1), F.length("_hay") - (size - 1))
+        return F.when(F.length("_hay") >= size, F.transform(starts, lambda i: F.substr("_hay", i, F.lit(size)))).otherwise(F.array().cast("array<string>"))
+
+    at = [pieces(size) for size in sizes if size]
+    grams = F.array_distinct(F.concat(*at, F.array(F.lit("")))) if at else F.array(F.lit(""))
+    return h.withColumn("_gram", F.explode(grams)).join(n, "_gram").where(F.contains("_hay", "_needle")).select("_h.*", "_n.*")
 
 
 def compare(a: DataFrame, b: DataFrame, key: str, content: str) -> DataFrame:

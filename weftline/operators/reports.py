@@ -21,9 +21,12 @@ def counts_by(df: DataFrame, key: str, least: int = 1) -> DataFrame:
     return df.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 
-def count_map(df: DataFrame, key: str) -> DataFrame:
-    """AGG-08, MAP-01: the counts as one map. For keys of a bounded number, such as modules or kinds."""
-    return counts_by(df.where(F.col(key).isNotNull()), key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, "n")))).alias("counts"))
+def count_map(df: DataFrame, key: str, most: int = 100_000) -> DataFrame:
+    """AGG-08, MAP-01: the counts as one map, which is one value: for keys such as modules or kinds. More keys than ``most`` are refused."""
+    counted = counts_by(df.where(F.col(key).isNotNull()), key)
+    if counted.limit(most + 1).count() > most:
+        raise ValueError(f"{key} has over {most} values; use counts_by")
+    return counted.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, "n")))).alias("counts"))
 
 
 def projection_totals(files: DataFrame) -> DataFrame:

@@ -1,8 +1,10 @@
 """Full-text search: postings, BM25, boosts, budgets.
 
-The index is two frames: postings (one row for each document and distinct token, with the document's length) and corpus
-statistics (one row). Queries join their tokens to the postings; documents that share no token with a query are never read
-past the join. Token frequency is 1 by default, as tokens are made distinct first (Q-01); ``tf="count"`` counts them.
+The index is two frames: documents with their tokens, made once and written, and corpus statistics (one row). A query's tokens
+select and weight the tokens of the documents where these lie: with a table of asked tokens that fits a broadcast, checked by
+its number of rows, a document's score for a query is complete in one task, so that one sum a document and query is shuffled,
+and of these the best of each task alone; beyond that size tokens are joined by a shuffle. Token frequency is 1 by default, as
+tokens are made distinct first (Q-01); ``tf="count"`` counts them.
 """
 
 from __future__ import annotations
@@ -14,40 +16,54 @@ from pyspark.sql import functions as F
 
 from weftline.functions import scoring, tokens
 from weftline.operators import windows
+from weftline.operators.checkpoints import cut
+from weftline.sources import sinks
+
+
+#: Asked tokens, with their queries, of up to so many rows are broadcast (about 40 bytes each).
+BROADCAST_TOKENS = 500_000
 
 
 @dataclass
 class Index:
-    """SCH-01. ``docs``: the stored fields; ``postings``: (doc, token, tf, length); ``stats``: (n, mean)."""
+    """SCH-01. ``docs``: the stored fields; ``tokens``: (doc, length, tokens array<struct(token, tf)>); ``stats``: (n, mean)."""
 
     docs: DataFrame
-    postings: DataFrame
+    tokens: DataFrame
     stats: DataFrame
     key: str
+    path: str | None = None
 
-    def persist(self) -> Index:
-        self.postings.persist()
-        return self
+    @property
+    def postings(self) -> DataFrame:
+        """(doc, length, token, tf): one row for each document and distinct token."""
+        return self.tokens.select("doc", "length", F.explode("tokens").alias("_t")).select("doc", "length", "_t.*")
 
     def drop(self) -> None:
-        """SCH-03."""
-        self.postings.unpersist()
+        """SCH-03: the folder of a stored index goes."""
+        if self.path:
+            sinks.delete_folder(self.docs.sparkSession, self.path)
+
 
+def build(docs: DataFrame, key: str, text: Column, tf: str = "binary", last: list[Column] | None = None, path: str | None = None) -> Index:
+    """SCH-01, AGG-12. With ``last``, the last row of a key in that order replaces the others (Q-02).
 
-def build(docs: DataFrame, key: str, text: Column, tf: str = "binary", last: list[Column] | None = None) -> Index:
-    """SCH-01, AGG-12. With ``last``, the last row of a key in that order replaces the others (Q-02)."""
+    Texts are read and cut into tokens once: what comes of it is written to ``path``, an index that stays until it is dropped
+    and is taken as it is if it lies there, or to the checkpoint folder.
+    """
     if last:
         rest = [c for c in docs.columns if c != key]
         docs = docs.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(*last)).alias("_r")).select(key, "_r.*")
-    toks = docs.select(F.col(key).alias("doc"), tokens.search_tokens(text).alias("t"), F.coalesce(text, F.lit("")).alias("_x"))
-    each = toks.select("doc", F.size("t").alias("length"), F.explode("t").alias("token"), "_x")
+    toks = docs.select(F.col(key).alias("doc"), tokens.search_tokens(text).alias("t"), text.alias("_x"))
     if tf == "count":
-        n = F.size(F.filter(F.split(F.lower("_x"), tokens.SEPARATORS), lambda w: w == F.col("token")))
-        each = each.withColumn("tf", F.greatest(F.lit(1), n))
+        words = F.split(F.lower("_x"), tokens.SEPARATORS)
+        each = F.transform("t", lambda w: F.struct(w.alias("token"), F.greatest(F.lit(1), F.size(F.filter(words, lambda x: x == w))).alias("tf")))
     else:
-        each = each.withColumn("tf", F.lit(1))
-    stats = toks.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("mean"))
-    return Index(docs, each.select("doc", "token", "tf", "length"), stats, key)
+        each = F.transform("t", lambda w: F.struct(w.alias("token"), F.lit(1).alias("tf")))
+    made = toks.select("doc", F.coalesce(F.size("t"), F.lit(0)).alias("length"), each.alias("tokens"))
+    stored = sinks.cached(docs.sparkSession, path, lambda: made) if path else cut(made)
+    stats = stored.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
+    return Index(docs, stored, stats, key, path)
 
 
 def search(index: Index, queries: DataFrame, query_id: str, query: str, k: int = 20, keep: Column | None = None) -> DataFrame:
@@ -55,18 +71,29 @@ def search(index: Index, queries: DataFrame, query_id: str, query: str, k: int =
 
     ``keep`` filters documents (module, path) without changing the statistics, which are those of the whole index.
     """
-    asked = queries.select(F.col(query_id).alias("qid"), F.explode(tokens.search_tokens(query)).alias("token"))
+    asked = cut(queries.select(F.col(query_id).alias("qid"), F.explode(tokens.search_tokens(query)).alias("token")))
+    small = asked.count() <= BROADCAST_TOKENS
+    fit = F.broadcast if small else (lambda df: df)
     wanted = asked.select("token").distinct()
-    hits = index.postings.join(wanted, "token", "left_semi")
-    df = hits.groupBy("token").agg(F.count("*").alias("df"))
+    df = index.postings.join(fit(wanted), "token", "left_semi").groupBy("token").agg(F.count("*").alias("df"))
+    weighted = cut(asked.join(df, "token").join(F.broadcast(index.stats)).select("qid", "token", scoring.idf("n", "df").alias("idf"), "mean"))
+    hits = index.postings
     if keep is not None:
         hits = hits.join(index.docs.where(keep).select(F.col(index.key).alias("doc")), "doc", "left_semi")
-    weight = scoring.idf("n", "df") * scoring.saturation("tf", "length", "mean")
-    scored = hits.join(df, "token").join(F.broadcast(index.stats)).withColumn("w", weight).join(asked, "token").groupBy("qid", "doc").agg(F.sum("w").alias("score"))
+    scored = hits.join(fit(weighted), "token").groupBy("qid", "doc").agg(F.sum(F.col("idf") * scoring.saturation("tf", "length", "mean")).alias("score"))
     ranked = windows.ordinal(scored.where("score > 0"), ["qid"], [F.col("score").desc(), F.col("doc")], "rank")
     return ranked.where(F.col("rank") <= k).withColumnRenamed("qid", query_id)
 
 
+def cached_search(index: Index, queries: DataFrame, query_id: str, query: str, k: int, root: str) -> DataFrame:
+    """SCH-05: results by index, queries and k, computed once and kept under ``root``. Unlike a cache in memory, what else decides the result is part of the key (Q-04)."""
+    asked = queries.select(F.col(query_id).alias("q"), F.col(query).alias("t"))
+    digest = asked.agg(F.sum(F.xxhash64("q", "t").cast("decimal(38,0)")), F.count("*")).first()
+    built = index.tokens.agg(F.sum(F.xxhash64("doc", "length").cast("decimal(38,0)")), F.count("*")).first()
+    name = sinks.fingerprint(queries=[str(x) for x in digest], index=[str(x) for x in built], k=k)
+    return sinks.cached(queries.sparkSession, f"{root}/{name}", lambda: search(index, queries, query_id, query, k))
+
+
 def hybrid(index: Index, queries: DataFrame, query_id: str, query: str, boosted: Column, cost: Column, k: int = 20, max_tokens: int = 20_000, boost: float = 2.0) -> DataFrame:
     """SCH-04: twice k by BM25, a boost for key files, k by the new score, then the token budget (WIN-07)."""
     first = search(index, queries, query_id, query, 2 * k).drop("rank")
@@ -98,6 +125,15 @@ def symbols(frame: DataFrame, query: str, kind: str | None = None, k: int = 10)
     return found.orderBy("name", "file_path", "start_line").limit(k)
 
 
+#: Kinds of symbols that are types.
+TYPES = ["class", "interface", "struct", "record", "enum"]
+
+
 def definitions(frame: DataFrame, name: str, k: int = 5) -> DataFrame:
     """SCH-09: types of exactly that name, whatever the case (Q-23: over the symbols)."""
-    return frame.where((F.lower("name") == name.lower()) & F.col("kind").isin("class", "interface", "struct", "record", "enum")).orderBy("file_path", "start_line").limit(k)
+    return frame.where((F.lower("name") == name.lower()) & F.col("kind").isin(TYPES)).orderBy("file_path", "start_line").limit(k)
+
+
+def definitions_like(index: DataFrame, name: str, exported: str = "exported_symbols", k: int = 5) -> DataFrame:
+    """SCH-09: the first files of which an exported symbol contains the name, whatever the case."""
+    return index.where(F.exists(exported, lambda s: F.contains(F.lower(s), F.lit(name.lower())))).orderBy("file_path").limit(k)

@@ -1,10 +1,18 @@
-"""Windows and ordered folds."""
+"""Windows and ordered folds.
+
+Greedy folds are not associative: the rows of a key stream in order through one task, which holds one batch and a few numbers.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.operators import graph
+
 
 def top_and_rest(df: DataFrame, key: str, order: list[Column], k: int = 3, least: int = 3) -> DataFrame:
     """WIN-03: the first k of each group stand alone, the others share a bucket; a group of up to ``least`` rows is one bucket."""
@@ -30,53 +38,97 @@ def numbered_duplicates(df: DataFrame, name: str, order: list[Column], out: str,
     return df.withColumn(out, F.when(n > 1, F.concat(F.col(name), F.lit(left), n.cast("string"), F.lit(right))).otherwise(F.col(name)))
 
 
+def _folded(df: DataFrame, key: str, order: list[str], columns: list[str], fresh: Callable[[], Callable], out: str) -> DataFrame:
+    """Rows of each key in order through a function of its own that ``fresh`` makes: from the values of ``columns`` to the result's values after key and id, or None for no row."""
+    src = df.select(F.col(key).alias("_key"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(columns)], *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)])
+    src = src.repartition("_key").sortWithinPartitions("_key", *[f"_o{i}" for i in range(len(order))]).select("_key", *[f"_c{i}" for i in range(len(columns))])
+    schema = f"{key} {src.schema['_key'].dataType.simpleString()}, {columns[0]} {src.schema['_c0'].dataType.simpleString()}, {out}"
+    names = [key, columns[0], *[x.split()[0] for x in out.split(", ")]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, step = None, None
+        for b in batches:
+            rows: list[tuple[int, tuple]] = []
+            for i, (k, *values) in enumerate(zip(*(c.to_pylist() for c in b.columns), strict=True)):
+                if step is None or k != now:
+                    now, step = k, fresh()
+                got = step(*values)
+                if got is not None:
+                    rows.append((i, got))
+            at = pa.array([i for i, _ in rows], pa.int64())
+            results = [pa.array([g[n] for _, g in rows], {"int": pa.int32(), "long": pa.int64(), "string": pa.string()}[x.split()[1]]) for n, x in enumerate(out.split(", "))]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), *results], names=names)
+
+    return src.mapInArrow(run, schema)
+
+
 def budget(df: DataFrame, key: str, order: list[str], cost: str, ids: str, limit: int) -> DataFrame:
-    """WIN-07: greedy budget that skips what does not fit and goes on; the first item is always kept. One row a kept item.
+    """WIN-07: greedy budget that skips what does not fit and goes on; the first item is always kept. One row a kept item: key, id, position."""
 
-    The fold is not associative. It holds one struct of order, id and cost for each item of a key, never a payload.
-    """
-    items = F.array_sort(F.collect_list(F.struct(*order, F.col(ids).alias("_id"), F.col(cost).cast("long").alias("_cost"))))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast(df.select(F.array(F.col(ids))).schema[0].dataType).alias("kept"))
+    def fresh() -> Callable:
+        used = n = 0
 
-    def merge(acc: Column, x: Column) -> Column:
-        fits = (F.size(acc["kept"]) == 0) | (acc["used"] + x["_cost"] <= limit)
-        return F.struct(F.when(fits, acc["used"] + x["_cost"]).otherwise(acc["used"]).alias("used"), F.when(fits, F.concat(acc["kept"], F.array(x["_id"]))).otherwise(acc["kept"]).alias("kept"))
+        def step(_: object, c: int | None) -> tuple | None:
+            nonlocal used, n
+            if n and (c is None or used + c > limit):
+                return None
+            used, n = used + (c or 0), n + 1
+            return (n - 1,)
 
-    return df.groupBy(key).agg(F.aggregate(items, start, merge, lambda a: a["kept"]).alias("_kept")).select(key, F.posexplode("_kept").alias("position", ids))
+        return step
+
+    return _folded(df.withColumn("_cost", F.col(cost).cast("long")), key, [*order, ids, "_cost"], [ids, "_cost"], fresh, "position int").select(key, "position", ids)
 
 
 def pack(df: DataFrame, key: str, order: list[str], cost: str, ids: str, limit: int, may_cut: str, least: int = 100) -> DataFrame:
     """WIN-08: (id, action, tokens): taken if it fits, cut if that is allowed and over ``least`` remains, else dropped; once nothing remains, the fold ends."""
-    items = F.array_sort(F.collect_list(F.struct(*order, F.col(ids).alias("_id"), F.col(cost).cast("long").alias("_cost"), F.col(may_cut).alias("_cut"))))
-    id_type = df.schema[ids].dataType.simpleString()
-    start = F.struct(F.lit(limit).cast("long").alias("left"), F.array().cast(f"array<struct<id:{id_type},action:string,tokens:bigint>>").alias("out"))
 
-    def merge(acc: Column, x: Column) -> Column:
-        left = acc["left"]
-        taken, cut = x["_cost"] <= left, x["_cut"] & (left > least)
-        used = F.when(taken, x["_cost"]).when(cut, left).otherwise(F.lit(0).cast("long"))
-        row = F.struct(x["_id"].alias("id"), F.when(taken, "taken").when(cut, "cut").otherwise("dropped").alias("action"), used.alias("tokens"))
-        return F.struct((left - F.when(left > 0, used).otherwise(F.lit(0).cast("long"))).alias("left"), F.when(left > 0, F.concat(acc["out"], F.array(row))).otherwise(acc["out"]).alias("out"))
+    def fresh() -> Callable:
+        left = limit
+
+        def step(_: object, c: int, may: bool) -> tuple | None:
+            nonlocal left
+            if left <= 0:
+                return None
+            action, used = ("taken", c) if c <= left else ("cut", left) if may and left > least else ("dropped", 0)
+            left -= used
+            return action, used
 
-    return df.groupBy(key).agg(F.aggregate(items, start, merge, lambda a: a["out"]).alias("_out")).select(key, F.explode("_out").alias("_o")).select(key, F.col("_o.id").alias(ids), "_o.action", "_o.tokens")
+        return step
+
+    return _folded(df.withColumn("_cost", F.col(cost).cast("long")), key, [*order, ids, "_cost"], [ids, "_cost", may_cut], fresh, "action string, tokens long")
 
 
 def batches(df: DataFrame, key: str, order: list[str], cost: str, ids: str, capacity: int, fill: float = 0.8) -> DataFrame:
-    """WIN-09: (id, batch_no): a new batch starts where the next item would overflow, or once ``fill`` of the capacity is used."""
-    items = F.array_sort(F.collect_list(F.struct(*order, F.col(ids).alias("_id"), F.col(cost).cast("long").alias("_cost"))))
-    id_type = df.schema[ids].dataType.simpleString()
-    start = F.struct(F.lit(1).alias("batch"), F.lit(0).cast("long").alias("used"), F.array().cast(f"array<struct<id:{id_type},batch:int>>").alias("out"))
+    """WIN-09, UDF-05: (id, batch_no): a new batch starts where the next item would overflow, or once ``fill`` of the capacity is used. ``cost`` names any column: an estimator is an expression of the caller."""
+
+    def fresh() -> Callable:
+        batch, used = 1, 0
+
+        def step(_: object, c: int) -> tuple:
+            nonlocal batch, used
+            if used > 0 and (used + c > capacity or used >= int(capacity * fill)):
+                batch, used = batch + 1, 0
+            used += c
+            return (batch,)
+
+        return step
+
+    return _folded(df.withColumn("_cost", F.col(cost).cast("long")), key, [*order, ids, "_cost"], [ids, "_cost"], fresh, "batch_no int")
 
-    def merge(acc: Column, x: Column) -> Column:
-        fresh = (acc["used"] > 0) & ((acc["used"] + x["_cost"] > capacity) | (acc["used"] >= int(capacity * fill)))
-        batch = F.when(fresh, acc["batch"] + 1).otherwise(acc["batch"])
-        return F.struct(batch.alias("batch"), F.when(fresh, x["_cost"]).otherwise(acc["used"] + x["_cost"]).alias("used"), F.concat(acc["out"], F.array(F.struct(x["_id"].alias("id"), batch.alias("batch")))).alias("out"))
 
-    return df.groupBy(key).agg(F.aggregate(items, start, merge, lambda a: a["out"]).alias("_out")).select(key, F.explode("_out").alias("_o")).select(key, F.col("_o.id").alias(ids), F.col("_o.batch").alias("batch_no"))
+def assigned(modules: DataFrame, entries: DataFrame, module: str, path: str, score: str, each: int = 2, most: int = 30) -> DataFrame:
+    """WIN-15: (worker, modules, key_files, n_files): every ``each`` modules in order of name are one worker's, with the files of highest score."""
+    placed = graph.ranked(modules.select(module).distinct(), [F.col(module)], "_at").withColumn("worker", F.floor((F.col("_at") - 1) / each).cast("int") + 1)
+    files = entries.join(placed.select(module, "worker"), module)
+    ranked = ordinal(files, ["worker"], [F.col(score).desc(), F.col(path)], "_rank")
+    lists = ranked.groupBy("worker").agg(F.transform(F.array_sort(F.collect_list(F.when(F.col("_rank") <= most, F.struct("_rank", path)))), lambda x: x[path]).alias("key_files"), F.count("*").alias("n_files"))
+    names = placed.groupBy("worker").agg(F.array_sort(F.collect_set(module)).alias("modules"))
+    return names.join(lists, "worker", "left").select("worker", "modules", F.coalesce("key_files", F.array().cast("array<string>")).alias("key_files"), F.coalesce("n_files", F.lit(0)).cast("long").alias("n_files"))
 
 
 def fixed_batches(df: DataFrame, key: str, order: list[Column], size: int, out: str = "batch_no") -> DataFrame:
-    """WIN-11, WIN-15: every ``size`` rows of a group are a batch."""
+    """WIN-11: every ``size`` rows of a group are a batch."""
     return df.withColumn(out, F.floor((F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1) / size))
 
 
@@ -107,12 +159,11 @@ def merge_least(df: DataFrame, section: str, order: list[Column], low: Column, t
     Section s may merge as many as still have to go after the sections before it: a running sum, no loop. Merged pages of a
     section share the bucket 0, which counts as a page; others have a bucket each.
     """
-    w = Window.partitionBy(section)
     flagged = df.withColumns({"_low": F.coalesce(low, F.lit(False))})
     ranked = flagged.withColumn("_k", F.when(F.col("_low"), F.row_number().over(Window.partitionBy(section, "_low").orderBy(*order))))
     sizes = ranked.groupBy(section).agg(F.count("*").alias("_n"), F.count_if("_low").alias("_l")).withColumn("_save", F.greatest(F.lit(0), F.col("_l") - 1))
-    total = F.sum("_n").over(Window.partitionBy())
-    before = F.coalesce(F.sum("_save").over(Window.orderBy(section).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    quota = sizes.select(section, F.greatest(F.lit(0), F.least(F.col("_save"), total - target - before)).alias("_quota"))
+    saved = graph.running_total(sizes, [F.col(section)], "_save", "_before")
+    total = saved.agg(F.sum("_n").alias("_total"))
+    quota = saved.join(F.broadcast(total)).select(section, F.greatest(F.lit(0), F.least(F.col("_save"), F.col("_total") - target - F.col("_before"))).alias("_quota"))
     merged = F.col("_low") & (F.col("_quota") > 0) & (F.col("_k") <= F.col("_quota") + 1)
-    return ranked.join(quota, section).withColumn("bucket", F.when(merged, 0).otherwise(F.row_number().over(w.orderBy(*order)))).drop("_low", "_k", "_quota")
+    return ranked.join(quota, section).withColumn("bucket", F.when(merged, 0).otherwise(F.row_number().over(Window.partitionBy(section).orderBy(*order)))).drop("_low", "_k", "_quota")

@@ -39,10 +39,14 @@ def bfs_order(t: Tables) -> DataFrame:
     return graph.tree_order(_tree(t), "id", "parent", ["parent"]).select("id", "position")
 
 
-@query("SELECT n_nationkey AS node FROM nation WHERE n_nationkey<>24")
+@query("SELECT o_orderkey AS node FROM orders WHERE o_orderkey%10<>9")
 def nodes_on_cycle(t: Tables) -> DataFrame:
-    ring = t("nation").select(F.col("n_nationkey").alias("a"), F.when(F.col("n_nationkey") == 24, 0).otherwise((F.col("n_nationkey") + 1) % 24).alias("b"))
-    return graph.on_cycle(ring, "a", "b")
+    """Orders in rings of nine; every tenth leads into one."""
+    k = F.col("o_orderkey")
+    begin = k - k % 10
+    known = t("orders").select(k.alias("a"), F.when(k % 10 == 9, begin).when(k % 10 == 8, begin).otherwise(k + 1).alias("b"))
+    rings = known.join(known.select(F.col("a").alias("b")), "b", "left_semi").select("a", "b")
+    return graph.on_cycle(rings, "a", "b")
 
 
 @query("SELECT n_nationkey//5 AS start_of, string_agg(n_nationkey::VARCHAR, '>' ORDER BY n_nationkey)||'>'||min(n_nationkey) AS cycle FROM nation GROUP BY 1")
@@ -53,9 +57,16 @@ def simple_cycles(t: Tables) -> DataFrame:
     return c.select(F.floor(F.get("path", 0) / 5).cast("int").alias("start_of"), F.array_join(F.col("path").cast("array<string>"), ">").alias("cycle"))
 
 
-@query("SELECT 'r'||r_regionkey AS root, CASE WHEN EXISTS (SELECT 1 FROM nation JOIN customer ON c_nationkey=n_nationkey WHERE n_regionkey=r_regionkey) THEN 2 ELSE 1 END AS depth FROM region WHERE EXISTS (SELECT 1 FROM nation WHERE n_regionkey=r_regionkey)")
+@query("""WITH e AS (SELECT DISTINCT l_suppkey AS a, l_suppkey*1000000+l_partkey AS b FROM lineitem UNION SELECT DISTINCT l_suppkey*1000000+l_partkey, (l_suppkey*1000000+l_partkey)*10+l_linenumber FROM lineitem UNION SELECT (l_suppkey*1000000+l_partkey)*10+l_linenumber, -l_orderkey FROM lineitem WHERE l_returnflag='R'),
+r AS (SELECT DISTINCT a AS root FROM e WHERE a NOT IN (SELECT b FROM e) ORDER BY 1 LIMIT 100)
+SELECT root, max(d)::INT AS depth FROM (SELECT root, CASE WHEN z.a IS NOT NULL THEN 3 WHEN y.a IS NOT NULL THEN 2 ELSE 1 END AS d FROM r JOIN e x ON x.a=root LEFT JOIN e y ON y.a=x.b LEFT JOIN e z ON z.a=y.b) GROUP BY 1""")
 def max_call_depth(t: Tables) -> DataFrame:
-    return graph.longest_path(_tree(t).where("parent is not null"), "parent", "id")
+    """Suppliers call parts, these their lines, and lines that came back their orders: walks that part and meet again."""
+    li = t("lineitem")
+    mid = F.col("l_suppkey") * 1000000 + F.col("l_partkey")
+    low = mid * 10 + F.col("l_linenumber")
+    e = li.select(F.col("l_suppkey").alias("a"), mid.alias("b")).unionByName(li.select(mid.alias("a"), low.alias("b"))).unionByName(li.where("l_returnflag = 'R'").select(low.alias("a"), (-F.col("l_orderkey")).alias("b")))
+    return graph.longest_path(e, "a", "b")
 
 
 @query("(SELECT DISTINCT 'callee' AS direction, l_suppkey AS neighbour FROM lineitem WHERE l_partkey=7 ORDER BY neighbour LIMIT 20) UNION ALL (SELECT DISTINCT 'caller', l_partkey FROM lineitem WHERE l_suppkey=7 ORDER BY l_partkey LIMIT 20)")

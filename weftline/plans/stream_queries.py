@@ -2,32 +2,22 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.operators import checkpoints
 from weftline.plans.catalogue import ORACLE_SQL, QUERIES, Tables, query
 from weftline.sources import files, sinks
 from weftline.streaming import tasks
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    """A new folder that all executors share: under the cluster's checkpoint folder, or a temporary one where none is named."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = tempfile.mkdtemp(prefix="weftline-")
-        atexit.register(shutil.rmtree, base, True)
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+_folder = checkpoints.new_folder
 
 
-def _streamed(spark: SparkSession, src: str, pattern: str, schema, build, mode: str) -> DataFrame:
-    """What a stream over one Parquet table has written when all of it is read; a later batch's row replaces an earlier one's in update mode."""
+def _streamed(spark: SparkSession, table: str, schema, build, mode: str) -> DataFrame:
+    """What a stream over one Parquet table, a file or a folder of part files, has written when all of it is read; a later batch's row replaces an earlier one's in update mode."""
     base = _folder(spark, "stream")
-    stream = build(spark.readStream.schema(schema).option("pathGlobFilter", pattern).option("recursiveFileLookup", True).parquet(src))
+    stream = build(spark.readStream.schema(schema).parquet(table))
     q = tasks.run_once(stream, f"{base}/state", lambda b, i: b.withColumn("batch_id", F.lit(i)).write.mode("overwrite").parquet(f"{base}/out/{i}"), mode)
     if q.exception():
         raise q.exception()
@@ -37,7 +27,7 @@ def _streamed(spark: SparkSession, src: str, pattern: str, schema, build, mode:
 def _stream_query(name: str, sql: str, build, mode: str, finish) -> None:
     def run(spark: SparkSession, folder: str) -> DataFrame:
         events = files.table(spark, folder, "events")
-        return finish(_streamed(spark, folder, "events.parquet", events.schema, build, mode))
+        return finish(_streamed(spark, f"{folder}/events.parquet", events.schema, build, mode))
 
     QUERIES[name] = run
     ORACLE_SQL[name] = sql

@@ -27,10 +27,10 @@ def bm25_topk(t: Tables) -> DataFrame:
 
 @query(_BM25 + """, a AS (SELECT item_id, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS r FROM s) WHERE r<=10),
 b AS (SELECT item_id, score+CASE WHEN source='src0' THEN 2.0 ELSE 0.0 END AS score, ceil(n_chars/4.0)::BIGINT AS cost, row_number() OVER (PARTITION BY item_id ORDER BY score+CASE WHEN source='src0' THEN 2.0 ELSE 0.0 END DESC, doc_id) AS r FROM a JOIN documents USING (doc_id))
-SELECT item_id, count(*)::BIGINT AS n, round(max(score),6) AS best FROM b WHERE r<=5 GROUP BY 1""")
+SELECT item_id, round(score,6) AS score, (r-1)::INT AS position FROM b WHERE r<=5""")
 def hybrid_rerank(t: Tables) -> DataFrame:
     hits = search.hybrid(_bm25_index(t), t("benchmark"), "item_id", "text", F.col("source") == "src0", F.ceil(F.col("n_chars") / 4.0), k=5, max_tokens=1_000_000)
-    return hits.groupBy("item_id").agg(F.count("*").alias("n"), F.round(F.max("score"), 6).alias("best"))
+    return hits.select("item_id", F.round("score", 6).alias("score"), "position")
 
 
 @query(r"""SELECT doc_id, (ceil(length(text)/4.0))::INT AS tokens_a, CASE WHEN length(text)>0 THEN greatest(1,length(text)//4) ELSE 0 END::INT AS tokens_b, (length(text)//4)::INT AS tokens_c FROM documents""")
@@ -43,10 +43,10 @@ def slug_and_human(t: Tables) -> DataFrame:
     return t("part").select("p_partkey", text.slug(F.concat("p_name", F.lit(" / "), "p_brand")).alias("slug"), text.humanize(F.concat("p_brand", F.lit("_FooBar"))).alias("human"))
 
 
-@query(r"""SELECT conv_id, turn, role, length(trim(regexp_replace(regexp_replace('<think>'||role||'</think>'||text,'<think>[\s\S]*?</think>','','g'),'(?m)^```[a-zA-Z]*[ \t]*\n?','','g'), E' \n\t\r')) AS n FROM conversations""")
+@query(r"""SELECT conv_id, turn, role, sha256(trim(regexp_replace(regexp_replace('<think>'||role||'</think>'||text,'<think>[\s\S]*?</think>','','g'),'(?m)^```[a-zA-Z]*[ \t]*\n?','','g'), E' \n\t\r')) AS normal FROM conversations""")
 def markdown_normalise(t: Tables) -> DataFrame:
     marked = F.concat(F.lit("<think>"), "role", F.lit("</think>"), "text")
-    return t("conversations").select("conv_id", "turn", "role", F.length(text.normalise_markdown(marked)).cast("long").alias("n"))
+    return t("conversations").select("conv_id", "turn", "role", F.sha2(text.normalise_markdown(marked), 256).alias("normal"))
 
 
 @query(r"""SELECT page_id, trim(regexp_extract(html,'<title>(.*?)</title>',1)) AS title, len(regexp_extract_all(html,'<li>')) AS n_links FROM pages""")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,10 +13,13 @@ from pyspark.sql import types as T
 
 from weftline import schemas
 from weftline.functions import paths, text, tokens
+from weftline.operators import graph
 
 #: Extensions of source files and of documents.
 SOURCE_EXTENSIONS = [".cs", ".ts", ".tsx", ".js", ".jsx", ".py", ".go", ".java", ".rs", ".rb"]
 DOC_EXTENSIONS = [".md", ".txt", ".rst", ".json", ".yaml", ".yml"]
+#: Folders that the source loader leaves out.
+SOURCE_SKIP_DIRS = ["node_modules", "bin", "obj", r"\.git", "dist", "vendor"]
 #: Well-known documents in the order in which they are wanted.
 KNOWN_DOCS = ["readme.md", "architecture.md", "contributing.md", "changelog.md"]
 
@@ -37,30 +41,49 @@ def by_key(df: DataFrame, key: str, value) -> DataFrame:
     return df.where(F.col(key) == F.lit(value)).limit(1)
 
 
-def repository(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
-    """SRC-03: (file_path, size_bytes, raw): files under a folder, skipped folders and types left out; paths relative to the folder."""
+def repository(spark: SparkSession, root: str, glob: str | None = None, skip: Callable[[str], Column] = paths.skipped) -> DataFrame:
+    """SRC-03, FLT-10: (file_path, size_bytes, raw): files under a folder but those that one of the three skip rules leaves out; paths relative to the folder."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     files = (reader.option("pathGlobFilter", glob) if glob else reader).load(root)
     prefix = re.sub(r"^[a-z]+://", "", root).rstrip("/") + "/"
     relative = F.substring_index(F.regexp_replace(F.col("path"), r"^[a-z]+:/*", "/"), prefix, -1)
     out = files.select(relative.alias("file_path"), F.col("length").alias("size_bytes"), F.col("content").alias("raw"))
-    return out.where(~F.coalesce(paths.skipped("file_path"), F.lit(True)))
+    return out.where(~F.coalesce(skip("file_path"), F.lit(True)))
 
 
-def content(files: DataFrame, longest: int = 50_000) -> DataFrame:
-    """The files' text, cut to a length; bytes that are no UTF-8 become replacement characters."""
-    return files.withColumn("content", F.left(F.decode("raw", "UTF-8"), F.lit(longest))).drop("raw")
+def content(files: DataFrame, longest: int | None = None) -> DataFrame:
+    """The files' text, whole or cut to a length; bytes that are no UTF-8 become replacement characters."""
+    text = F.decode("raw", "UTF-8")
+    return files.withColumn("content", F.left(text, F.lit(longest)) if longest else text).drop("raw")
 
 
-def index(files: DataFrame) -> DataFrame:
-    """SRC-03, STR-14 to STR-18: one row a file with module, type, language, importance, entry point."""
+def index(files: DataFrame, analysing: bool = False) -> DataFrame:
+    """SRC-03, STR-14 to STR-18: one row a file with module, type, language, importance, entry point, by the rules of the structure index or of the analysing one."""
     p = F.col("file_path")
-    return files.select("file_path", "size_bytes", paths.module_first(p).alias("module_name"), paths.file_type(p).alias("file_type"), paths.language(p).alias("language"), paths.importance(p).alias("importance_score"), paths.is_entry_point(p).alias("is_entry_point"))
+    if analysing:
+        columns = {"module_name": paths.module_second(p), "file_type": paths.file_type_analysis(p), "language": paths.language(p, "index"), "importance_score": paths.importance_analysis(p)}
+        rows = files.select("file_path", "size_bytes", *[c.alias(k) for k, c in columns.items()])
+        best = top_scored(rows).select("file_path", F.lit(True).alias("_entry"))
+        return rows.join(best, "file_path", "left").withColumn("is_entry_point", F.coalesce("_entry", F.lit(False))).drop("_entry")
+    columns = {"module_name": paths.module_first(p), "file_type": paths.file_type(p), "language": paths.language(p, "index"), "importance_score": paths.importance(p), "is_entry_point": paths.is_entry_point(p)}
+    return files.select("file_path", "size_bytes", *[c.alias(k) for k, c in columns.items()])
+
+
+def top_scored(rows: DataFrame, least: int = 8, most: int = 10) -> DataFrame:
+    """STR-18, fixed values 8 and 10: the source and configuration files of highest importance, at which programs are taken to start."""
+    return rows.where(F.col("file_type").isin("source", "config") & (F.col("importance_score") >= least)).orderBy(F.col("importance_score").desc(), "file_path").limit(most)
+
+
+def technology(files: DataFrame) -> DataFrame:
+    """STR-19, the structure index: one row (project, technology) of the last path that points to one; unknown ones are null."""
+    d = files.select("file_path", paths.detected("file_path").alias("d")).where("d is not null")
+    return d.agg(F.max_by("d", "file_path").alias("d")).select("d.project", "d.technology")
 
 
 def source_files(files: DataFrame, most: int = 500) -> DataFrame:
-    """SRC-04, LIM-05: source files in path order."""
-    return content(files.where(paths.extension("file_path").isin(SOURCE_EXTENSIONS))).orderBy("file_path").limit(most)
+    """SRC-04, LIM-05: the first source files in path order, outside of six folders, each cut; both limits and the list are the rule's own."""
+    inside = F.coalesce(~F.col("file_path").rlike("|".join(f"{d}/" for d in SOURCE_SKIP_DIRS)), F.lit(False))
+    return content(files.where(paths.extension("file_path").isin(SOURCE_EXTENSIONS) & inside), 50_000).orderBy("file_path").limit(most)
 
 
 def project_files(spark: SparkSession, root: str) -> DataFrame:
@@ -70,7 +93,7 @@ def project_files(spark: SparkSession, root: str) -> DataFrame:
 
 def corpus(files: DataFrame, most_code: int = 81_920, most_doc: int = 8_192) -> DataFrame:
     """SRC-06: code and documents within their token limits."""
-    c = content(files, 10_000_000)
+    c = content(files.where(~F.coalesce(paths.skipped_document("file_path"), F.lit(True))))
     ext = paths.extension("file_path")
     c = c.withColumns({"is_code": ext.isin(SOURCE_EXTENSIONS), "token_count": tokens.estimate("content")}).where(F.col("is_code") | ext.isin(DOC_EXTENSIONS))
     c = c.where(F.col("token_count") <= F.when(F.col("is_code"), most_code).otherwise(most_doc))
@@ -78,10 +101,13 @@ def corpus(files: DataFrame, most_code: int = 81_920, most_doc: int = 8_192) ->
 
 
 def listing(files: DataFrame) -> DataFrame:
-    """SRC-07, SRT-04: (tree, readme): paths in one text, whatever the case of letters in order; the first README."""
-    readme = F.lower(paths.base_name("file_path")).startswith("readme")
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct(F.lower("file_path").alias("k"), F.col("file_path").alias("p")))), lambda x: x["p"])
-    return files.agg(F.array_join(ordered, "\n").alias("tree"), F.min_by(F.when(readme, F.decode("raw", "UTF-8")), F.when(readme, F.struct(F.length("file_path"), F.col("file_path")))).alias("readme"))
+    """SRC-07, SRT-04: (position, file_path): the tree in order of its paths, whatever the case of letters, dealt out by range and sorted where it lies."""
+    return graph.ranked(files.select("file_path"), [F.lower("file_path"), F.col("file_path")], "position").select("position", "file_path")
+
+
+def readme(files: DataFrame) -> DataFrame:
+    """SRC-07: (file_path, content) of the README of the shortest path, then the first."""
+    return content(files.where(F.lower(paths.base_name("file_path")).startswith("readme")).orderBy(F.length("file_path"), "file_path").limit(1)).select("file_path", "content")
 
 
 def known_documents(files: DataFrame) -> DataFrame:

@@ -69,6 +69,12 @@ def _read_text(spark: SparkSession, path: str) -> str | None:
     return body
 
 
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """A folder of the store goes, with all in it."""
+    fs, p = _files(spark, path)
+    fs.delete(p, True)
+
+
 def publish(frames: dict[str, DataFrame], root: str) -> str:
     """SNK-07: all tables into a new version's folder, then one pointer: readers see all of them or none. Returns the version."""
     spark = next(iter(frames.values())).sparkSession
