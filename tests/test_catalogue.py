@@ -41,6 +41,13 @@ def test_query_agrees_with_sql(spark, db, name):
     assert sorted(tuple(map(_plain, r)) for r in df.select(*cols).collect()) == expected
 
 
+@pytest.mark.parametrize("name", ["stream_dedup", "stream_stage_state", "task_metrics_summary", "source_symbols"])
+def test_tables_may_be_folders(spark, tmp_path, db, name):
+    for f in glob.glob(f"{FOLDER}/*.parquet"):
+        spark.read.parquet(f).repartition(3).write.parquet(f"{tmp_path}/{os.path.basename(f)}")
+    assert catalogue.QUERIES[name](spark, str(tmp_path)).count() == db.execute(f"select count(*) from ({catalogue.ORACLE_SQL[name]})").fetchone()[0]
+
+
 def test_contract():
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert set(catalogue.QUERIES) <= set(entry.queries())

@@ -133,16 +133,16 @@ def running_total(df: DataFrame, order: list[Column], value: str, out: str) -> D
     """Sum of ``value`` over the rows before each one in one complete order, without a task that holds all rows: as ``ranked``."""
     placed = _cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_m", 33)))
     parts = placed.groupBy("_part").agg(F.sum(value).alias("_n"))
-    before = parts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    before = parts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_upto"))
     inside = F.coalesce(F.sum(value).over(Window.partitionBy("_part").orderBy("_m").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return placed.join(F.broadcast(before), "_part").withColumn(out, F.col("_before") + inside).drop("_part", "_m", "_before")
+    return placed.join(F.broadcast(before), "_part").withColumn(out, F.col("_upto") + inside).drop("_part", "_m", "_upto")
 
 
 def tree_order(nodes: DataFrame, node: str, parent: str, order: list[str]) -> DataFrame:
     """GRF-04, SET-07: breadth-first position; siblings in order; nodes that no root reaches come last."""
     lv = levels(nodes, node, parent)
-    placed = nodes.join(lv.drop("root"), node, "left").withColumn("level", F.coalesce("level", F.lit(1_000_000)))
-    return ranked(placed, [F.col(c).asc_nulls_first() for c in ("level", *order, node)], "position")
+    placed = nodes.join(lv.drop("root"), node, "left")
+    return ranked(placed, [F.col("level").asc_nulls_last(), *[F.col(c).asc_nulls_first() for c in (*order, node)]], "position")
 
 
 def neighbourhood(edges: DataFrame, a: str, b: str, name, most: int = 20) -> DataFrame:

@@ -38,7 +38,7 @@ def numbered_duplicates(df: DataFrame, name: str, order: list[Column], out: str,
     return df.withColumn(out, F.when(n > 1, F.concat(F.col(name), F.lit(left), n.cast("string"), F.lit(right))).otherwise(F.col(name)))
 
 
-def _folded(df: DataFrame, key: str, order: list[str], columns: list[str], fresh: Callable[[], Callable], out: str) -> DataFrame:
+def folded(df: DataFrame, key: str, order: list[str], columns: list[str], fresh: Callable[[], Callable], out: str) -> DataFrame:
     """Rows of each key in order through a function of its own that ``fresh`` makes: from the values of ``columns`` to the result's values after key and id, or None for no row."""
     src = df.select(F.col(key).alias("_key"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(columns)], *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)])
     src = src.repartition("_key").sortWithinPartitions("_key", *[f"_o{i}" for i in range(len(order))]).select("_key", *[f"_c{i}" for i in range(len(columns))])
@@ -77,7 +77,7 @@ def budget(df: DataFrame, key: str, order: list[str], cost: str, ids: str, limit
 
         return step
 
-    return _folded(df.withColumn("_cost", F.col(cost).cast("long")), key, [*order, ids, "_cost"], [ids, "_cost"], fresh, "position int").select(key, "position", ids)
+    return folded(df.withColumn("_cost", F.col(cost).cast("long")), key, [*order, ids, "_cost"], [ids, "_cost"], fresh, "position int").select(key, "position", ids)
 
 
 def pack(df: DataFrame, key: str, order: list[str], cost: str, ids: str, limit: int, may_cut: str, least: int = 100) -> DataFrame:
@@ -96,7 +96,7 @@ def pack(df: DataFrame, key: str, order: list[str], cost: str, ids: str, limit:
 
         return step
 
-    return _folded(df.withColumn("_cost", F.col(cost).cast("long")), key, [*order, ids, "_cost"], [ids, "_cost", may_cut], fresh, "action string, tokens long")
+    return folded(df.withColumn("_cost", F.col(cost).cast("long")), key, [*order, ids, "_cost"], [ids, "_cost", may_cut], fresh, "action string, tokens long")
 
 
 def batches(df: DataFrame, key: str, order: list[str], cost: str, ids: str, capacity: int, fill: float = 0.8) -> DataFrame:
@@ -114,7 +114,7 @@ def batches(df: DataFrame, key: str, order: list[str], cost: str, ids: str, capa
 
         return step
 
-    return _folded(df.withColumn("_cost", F.col(cost).cast("long")), key, [*order, ids, "_cost"], [ids, "_cost"], fresh, "batch_no int")
+    return folded(df.withColumn("_cost", F.col(cost).cast("long")), key, [*order, ids, "_cost"], [ids, "_cost"], fresh, "batch_no int")
 
 
 def assigned(modules: DataFrame, entries: DataFrame, module: str, path: str, score: str, each: int = 2, most: int = 30) -> DataFrame:

@@ -26,4 +26,4 @@ def query(sql: str | None = None) -> Callable[[Callable[[Tables], DataFrame]], C
 
 
 def load() -> None:
-    from weftline.plans import composite_queries, fold_queries, graph_queries, relational_queries, report_queries, stream_queries, text_queries  # noqa: F401
+    from weftline.plans import composite_queries, fold_queries, graph_queries, relational_queries, report_queries, repository_queries, stream_queries, text_queries, tool_queries  # noqa: F401

@@ -57,15 +57,15 @@ def simple_cycles(t: Tables) -> DataFrame:
     return c.select(F.floor(F.get("path", 0) / 5).cast("int").alias("start_of"), F.array_join(F.col("path").cast("array<string>"), ">").alias("cycle"))
 
 
-@query("""WITH e AS (SELECT DISTINCT l_suppkey AS a, l_suppkey*1000000+l_partkey AS b FROM lineitem UNION SELECT DISTINCT l_suppkey*1000000+l_partkey, (l_suppkey*1000000+l_partkey)*10+l_linenumber FROM lineitem UNION SELECT (l_suppkey*1000000+l_partkey)*10+l_linenumber, -l_orderkey FROM lineitem WHERE l_returnflag='R'),
+@query("""WITH e AS (SELECT DISTINCT l_suppkey AS a, (l_suppkey+1)*1000000+l_partkey AS b FROM lineitem UNION SELECT DISTINCT (l_suppkey+1)*1000000+l_partkey, -((l_suppkey+1)*1000000+l_partkey)*10-l_linenumber FROM lineitem UNION SELECT -((l_suppkey+1)*1000000+l_partkey)*10-l_linenumber, 1000000000000000+l_orderkey FROM lineitem WHERE l_returnflag='R'),
 r AS (SELECT DISTINCT a AS root FROM e WHERE a NOT IN (SELECT b FROM e) ORDER BY 1 LIMIT 100)
 SELECT root, max(d)::INT AS depth FROM (SELECT root, CASE WHEN z.a IS NOT NULL THEN 3 WHEN y.a IS NOT NULL THEN 2 ELSE 1 END AS d FROM r JOIN e x ON x.a=root LEFT JOIN e y ON y.a=x.b LEFT JOIN e z ON z.a=y.b) GROUP BY 1""")
 def max_call_depth(t: Tables) -> DataFrame:
     """Suppliers call parts, these their lines, and lines that came back their orders: walks that part and meet again."""
     li = t("lineitem")
-    mid = F.col("l_suppkey") * 1000000 + F.col("l_partkey")
-    low = mid * 10 + F.col("l_linenumber")
-    e = li.select(F.col("l_suppkey").alias("a"), mid.alias("b")).unionByName(li.select(mid.alias("a"), low.alias("b"))).unionByName(li.where("l_returnflag = 'R'").select(low.alias("a"), (-F.col("l_orderkey")).alias("b")))
+    mid = (F.col("l_suppkey") + 1) * 1000000 + F.col("l_partkey")
+    low = -mid * 10 - F.col("l_linenumber")
+    e = li.select(F.col("l_suppkey").alias("a"), mid.alias("b")).unionByName(li.select(mid.alias("a"), low.alias("b"))).unionByName(li.where("l_returnflag = 'R'").select(low.alias("a"), (F.col("l_orderkey") + 1000000000000000).alias("b")))
     return graph.longest_path(e, "a", "b")
 
 

@@ -17,7 +17,8 @@ _folder = checkpoints.new_folder
 def _streamed(spark: SparkSession, table: str, schema, build, mode: str) -> DataFrame:
     """What a stream over one Parquet table, a file or a folder of part files, has written when all of it is read; a later batch's row replaces an earlier one's in update mode."""
     base = _folder(spark, "stream")
-    stream = build(spark.readStream.schema(schema).parquet(table))
+    # As a pattern, so that the path may be a file as well as a folder.
+    stream = build(spark.readStream.schema(schema).parquet(f"{table[:-1]}[{table[-1]}]"))
     q = tasks.run_once(stream, f"{base}/state", lambda b, i: b.withColumn("batch_id", F.lit(i)).write.mode("overwrite").parquet(f"{base}/out/{i}"), mode)
     if q.exception():
         raise q.exception()

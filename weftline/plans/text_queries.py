@@ -11,7 +11,7 @@ from weftline.plans.catalogue import Tables, query
 
 _SQL_TOKENS = r"""list_distinct(list_concat(list_filter(regexp_split_to_array(lower(X), '[\s.,;:!?()\[\]{}<>"''`/\\|@#$%^&*+=~-]+'), lambda w: length(w)>=2),
 list_filter(flatten(list_transform(list_filter(regexp_split_to_array(lower(X), '[\s.,;:!?()\[\]{}<>"''`/\\|@#$%^&*+=~-]+'), lambda w: length(w)>=2 AND contains(w,'_')), lambda w: string_split(w,'_'))), lambda w: length(w)>=2)))"""
-_BM25 = f"""WITH t AS (SELECT doc_id, {_SQL_TOKENS.replace("X", "text")} AS ts FROM documents), st AS (SELECT count(*) AS n, avg(len(ts)) AS mean FROM t), p AS (SELECT doc_id, len(ts) AS l, unnest(ts) AS token FROM t),
+BM25 = f"""WITH t AS (SELECT doc_id, {_SQL_TOKENS.replace("X", "text")} AS ts FROM documents), st AS (SELECT count(*) AS n, avg(len(ts)) AS mean FROM t), p AS (SELECT doc_id, len(ts) AS l, unnest(ts) AS token FROM t),
 df AS (SELECT token, count(*) AS df FROM p GROUP BY 1), q AS (SELECT item_id, unnest({_SQL_TOKENS.replace("X", "text")}) AS token FROM benchmark),
 s AS (SELECT item_id, doc_id, sum(ln((n-df+0.5)/(df+0.5)+1.0)*2.5/(1+1.5*(0.25+0.75*l/mean))) AS score FROM q JOIN p USING (token) JOIN df USING (token), st GROUP BY 1,2)"""
 
@@ -20,12 +20,12 @@ def _bm25_index(t: Tables) -> search.Index:
     return search.build(t("documents").select("doc_id", "text", "source", "n_chars"), "doc_id", F.col("text"))
 
 
-@query(_BM25 + """ SELECT item_id, round(score,6) AS score, rank FROM (SELECT item_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM s) WHERE rank<=20""")
+@query(BM25 + """ SELECT item_id, round(score,6) AS score, rank FROM (SELECT item_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM s) WHERE rank<=20""")
 def bm25_topk(t: Tables) -> DataFrame:
     return search.search(_bm25_index(t), t("benchmark"), "item_id", "text", 20).select("item_id", F.round("score", 6).alias("score"), "rank")
 
 
-@query(_BM25 + """, a AS (SELECT item_id, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS r FROM s) WHERE r<=10),
+@query(BM25 + """, a AS (SELECT item_id, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS r FROM s) WHERE r<=10),
 b AS (SELECT item_id, score+CASE WHEN source='src0' THEN 2.0 ELSE 0.0 END AS score, ceil(n_chars/4.0)::BIGINT AS cost, row_number() OVER (PARTITION BY item_id ORDER BY score+CASE WHEN source='src0' THEN 2.0 ELSE 0.0 END DESC, doc_id) AS r FROM a JOIN documents USING (doc_id))
 SELECT item_id, round(score,6) AS score, (r-1)::INT AS position FROM b WHERE r<=5""")
 def hybrid_rerank(t: Tables) -> DataFrame:

@@ -52,7 +52,8 @@ def _files(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
-def _write_text(spark: SparkSession, path: str, body: str) -> None:
+def write_text(spark: SparkSession, path: str, body: str) -> None:
+    """One small text file of the store."""
     fs, p = _files(spark, path)
     out = fs.create(p, True)
     out.write(bytearray(body.encode()))
@@ -81,7 +82,7 @@ def publish(frames: dict[str, DataFrame], root: str) -> str:
     version = uuid.uuid4().hex
     for name, df in frames.items():
         df.write.parquet(f"{root}/versions/{version}/{name}")
-    _write_text(spark, f"{root}/current.json", json.dumps({"version": version, "tables": sorted(frames)}))
+    write_text(spark, f"{root}/current.json", json.dumps({"version": version, "tables": sorted(frames)}))
     return version
 
 

@@ -9,12 +9,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from weftline.operators.windows import folded
+
 
 def read(spark: SparkSession, folder: str, schema: T.StructType, format: str = "parquet", files_a_batch: int | None = None) -> DataFrame:
     """A folder as a stream. STM-08: ``files_a_batch`` bounds what one micro-batch takes."""
@@ -93,3 +95,51 @@ def write_by_batch(path: str, key: str, content: str) -> Callable[[DataFrame, in
         batch.withColumn("content_hash", F.sha2(F.coalesce(F.col(content).cast("string"), F.lit("")), 256)).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
     return each
+
+
+def fan_out(*subscribers: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
+    """SNK-10: each batch to every subscriber; one that fails is dropped and the others go on. The batch is computed once."""
+    alive = list(subscribers)
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()
+        try:
+            for s in list(alive):
+                try:
+                    s(batch, batch_id)
+                except Exception:  # noqa: BLE001 - whatever ends a subscriber ends it alone
+                    alive.remove(s)
+        finally:
+            batch.unpersist()
+
+    return each
+
+
+def admitted(tasks: DataFrame, status: str, order: list[Column], slots: int = 3) -> DataFrame:
+    """STM-08, fixed value 3: the waiting tasks that start now: the first in order, as many as running ones leave of the slots."""
+    free = tasks.agg(F.greatest(F.lit(0), F.lit(slots) - F.count_if(F.col(status) == "running")).alias("_free"))
+    first = tasks.where(F.col(status) == "pending").orderBy(*order).limit(slots)
+    ranked = first.withColumn("_n", F.row_number().over(Window.orderBy(*order)))  # of at most ``slots`` rows
+    return ranked.join(F.broadcast(free)).where(F.col("_n") <= F.col("_free")).drop("_n", "_free")
+
+
+def allowed_calls(calls: DataFrame, key: str, order: list[str], ids: str, known: str, ok: str, most: int = 8, errors: int = 5) -> DataFrame:
+    """UDF-04, fixed values 8 and 5: the calls that are made of a conversation's requests: so many at most, none after an unknown tool or after so many errors in a row. One row a call: key, id, outcome."""
+
+    def fresh() -> Callable:
+        n, bad, ended = 0, 0, False
+
+        def step(_: object, is_known: bool, is_ok: bool) -> tuple | None:
+            nonlocal n, bad, ended
+            if ended or n >= most:
+                return None
+            if not is_known:
+                ended = True
+                return ("unknown",)
+            n, bad = n + 1, 0 if is_ok else bad + 1
+            ended = bad >= errors
+            return ("ok" if is_ok else "error",)
+
+        return step
+
+    return folded(calls, key, [*order, ids], [ids, known, ok], fresh, "outcome string")
