@@ -33,31 +33,37 @@ def occurrence_suffix(t: Tables) -> DataFrame:
     return W.numbered_duplicates(t("part"), "p_name", [F.col("p_partkey")], "nav_title").select("p_partkey", "nav_title")
 
 
-@query("""WITH RECURSIVE d AS (SELECT conv_id AS source, turn AS doc_id, ceil(length(text)/4.0)::BIGINT AS cost, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS r FROM conversations),
+_D = "d AS (SELECT source, doc_id, ceil(length(text)/4.0)::BIGINT AS cost, lang='en' AS cut, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents WHERE text IS NOT NULL)"
+
+
+def _costed(t: Tables) -> DataFrame:
+    """Documents by source, the hot one among them, in order of their ids."""
+    d = t("documents").where("text is not null")
+    return d.select("source", "doc_id", F.ceil(F.length("text") / 4.0).alias("cost"), (F.col("lang") == "en").alias("cut"))
+
+
+@query(f"""WITH RECURSIVE {_D},
 f AS (SELECT source, r, doc_id, cost AS used, true AS kept FROM d WHERE r=1 UNION ALL
-SELECT d.source, d.r, d.doc_id, CASE WHEN f.used+d.cost<=500 THEN f.used+d.cost ELSE f.used END, f.used+d.cost<=500 FROM f JOIN d ON d.source=f.source AND d.r=f.r+1)
-SELECT source AS conv_id, doc_id AS turn, (row_number() OVER (PARTITION BY source ORDER BY r)-1)::INT AS position FROM f WHERE kept""")
+SELECT d.source, d.r, d.doc_id, CASE WHEN f.used+d.cost<=20000 THEN f.used+d.cost ELSE f.used END, f.used+d.cost<=20000 FROM f JOIN d ON d.source IS NOT DISTINCT FROM f.source AND d.r=f.r+1)
+SELECT source, doc_id, (row_number() OVER (PARTITION BY source ORDER BY r)-1)::INT AS position FROM f WHERE kept""")
 def greedy_token_budget(t: Tables) -> DataFrame:
-    c = t("conversations").withColumn("cost", F.ceil(F.length("text") / 4.0))
-    return W.budget(c, "conv_id", ["turn", "text"], "cost", "turn", 500).select("conv_id", "turn", "position")
+    return W.budget(_costed(t), "source", ["doc_id"], "cost", "doc_id", 20_000).select("source", "doc_id", "position")
 
 
-@query("""WITH RECURSIVE d AS (SELECT conv_id, turn, ceil(length(text)/4.0)::BIGINT AS cost, role='assistant' AS cut, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS r FROM conversations),
-f AS (SELECT conv_id, r, turn, 600::BIGINT AS before, cost, cut, CASE WHEN cost<=600 THEN cost WHEN cut THEN 600 ELSE 0 END::BIGINT AS tokens FROM d WHERE r=1 UNION ALL
-SELECT d.conv_id, d.r, d.turn, f.before-f.tokens, d.cost, d.cut, CASE WHEN f.before-f.tokens<=0 THEN 0 WHEN d.cost<=f.before-f.tokens THEN d.cost WHEN d.cut AND f.before-f.tokens>100 THEN f.before-f.tokens ELSE 0 END::BIGINT FROM f JOIN d ON d.conv_id=f.conv_id AND d.r=f.r+1)
-SELECT conv_id, turn, tokens, CASE WHEN cost<=before THEN 'taken' WHEN cut AND before>100 THEN 'cut' ELSE 'dropped' END AS action FROM f WHERE before>0""")
+@query(f"""WITH RECURSIVE {_D},
+f AS (SELECT source, r, doc_id, 30000::BIGINT AS before, cost, cut, CASE WHEN cost<=30000 THEN cost WHEN cut THEN 30000 ELSE 0 END::BIGINT AS tokens FROM d WHERE r=1 UNION ALL
+SELECT d.source, d.r, d.doc_id, f.before-f.tokens, d.cost, d.cut, CASE WHEN f.before-f.tokens<=0 THEN 0 WHEN d.cost<=f.before-f.tokens THEN d.cost WHEN d.cut AND f.before-f.tokens>100 THEN f.before-f.tokens ELSE 0 END::BIGINT FROM f JOIN d ON d.source IS NOT DISTINCT FROM f.source AND d.r=f.r+1)
+SELECT source, doc_id, tokens, CASE WHEN cost<=before THEN 'taken' WHEN cut AND before>100 THEN 'cut' ELSE 'dropped' END AS action FROM f WHERE before>0""")
 def priority_packing(t: Tables) -> DataFrame:
-    c = t("conversations").withColumns({"cost": F.ceil(F.length("text") / 4.0), "cut": F.col("role") == "assistant"})
-    return W.pack(c, "conv_id", ["turn", "text"], "cost", "turn", 600, "cut").select("conv_id", "turn", "tokens", "action")
+    return W.pack(_costed(t), "source", ["doc_id"], "cost", "doc_id", 30_000, "cut").select("source", "doc_id", "tokens", "action")
 
 
-@query("""WITH RECURSIVE d AS (SELECT conv_id, turn, ceil(length(text)/4.0)::BIGINT AS cost, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS r FROM conversations),
-f AS (SELECT conv_id, r, turn, cost AS used, 1 AS batch_no FROM d WHERE r=1 UNION ALL
-SELECT d.conv_id, d.r, d.turn, CASE WHEN f.used>0 AND (f.used+d.cost>500 OR f.used>=400) THEN d.cost ELSE f.used+d.cost END, CASE WHEN f.used>0 AND (f.used+d.cost>500 OR f.used>=400) THEN f.batch_no+1 ELSE f.batch_no END FROM f JOIN d ON d.conv_id=f.conv_id AND d.r=f.r+1)
-SELECT conv_id, turn, batch_no FROM f""")
+@query(f"""WITH RECURSIVE {_D},
+f AS (SELECT source, r, doc_id, cost AS used, 1 AS batch_no FROM d WHERE r=1 UNION ALL
+SELECT d.source, d.r, d.doc_id, CASE WHEN f.used>0 AND (f.used+d.cost>2000 OR f.used>=1600) THEN d.cost ELSE f.used+d.cost END, CASE WHEN f.used>0 AND (f.used+d.cost>2000 OR f.used>=1600) THEN f.batch_no+1 ELSE f.batch_no END FROM f JOIN d ON d.source IS NOT DISTINCT FROM f.source AND d.r=f.r+1)
+SELECT source, doc_id, batch_no FROM f""")
 def greedy_batches(t: Tables) -> DataFrame:
-    c = t("conversations").withColumn("cost", F.ceil(F.length("text") / 4.0))
-    return W.batches(c, "conv_id", ["turn", "text"], "cost", "turn", 500).select("conv_id", "turn", "batch_no")
+    return W.batches(_costed(t), "source", ["doc_id"], "cost", "doc_id", 2000).select("source", "doc_id", "batch_no")
 
 
 @query(r"""WITH w AS (SELECT item_id, list_filter(regexp_split_to_array(text,'\s+'), lambda x: x<>'') AS ws FROM benchmark), s AS (SELECT item_id, ws, unnest(range(0, greatest(0, ceil((len(ws)-20)/15.0)::INT*15)+1, 15)) AS i FROM w WHERE len(ws)>0)
@@ -84,9 +90,10 @@ def fixed_batches(t: Tables) -> DataFrame:
     return W.fixed_batches(t("orders"), "o_orderstatus", [F.col("o_orderkey")], 250).groupBy("o_orderstatus", "batch_no").agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first_key"))
 
 
-@query("""SELECT conv_id, turn FROM (SELECT conv_id, turn, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn, text ROWS UNBOUNDED PRECEDING) AS s FROM conversations) WHERE s<=2000""")
+@query("""SELECT source, doc_id FROM (SELECT source, doc_id, sum(length(text)) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS s FROM documents WHERE text IS NOT NULL) WHERE s<=50000""")
 def char_budget_prefix(t: Tables) -> DataFrame:
-    return W.prefix_within(t("conversations"), "conv_id", [F.col("turn"), F.col("text")], F.length("text"), 2000).select("conv_id", "turn")
+    d = t("documents").where("text is not null").select("source", "doc_id", F.length("text").alias("n"))
+    return W.prefix_within(d, "source", [F.col("doc_id")], F.col("n"), 50_000).select("source", "doc_id")
 
 
 @query("""SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_partkey, l_suppkey, l_linenumber) AS r FROM lineitem) WHERE r<=2""")
