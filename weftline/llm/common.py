@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.operators.checkpoints import cut, shared_folder  # noqa: F401
+from weftline.sources.sinks import delete_folder as drop_folder  # noqa: F401
+
 #: Bytes of text that a Python operator holds as numpy arrays at a time. One longer document is a slice of its own.
 SLICE_BYTES = 1 << 18
 
@@ -18,29 +20,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``; only on a local master, where that is unset (tests), one is made."""
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir")
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        if not named and not sc.master.startswith("local[") and sc.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="weftline-"))
-    return named or sc._jsc.sc().getCheckpointDir().get()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared folder: lost executors take nothing with them, and Spark's cleaner may drop it once nothing refers to it."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def drop_folder(spark: SparkSession, path: str) -> None:
-    """Deletes a folder of the shared store that no plan reads any more."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def nested(df: DataFrame, **columns: Column) -> DataFrame:
     """The rows of ``df`` as one struct ``row``, with columns of the operator's own beside it, so that no name of ``df`` can clash.
 
