@@ -178,3 +178,45 @@ def connector_urls(t: Tables) -> DataFrame:
     k = F.col("n_nationkey")
     url = F.when(k % 2 == 0, F.concat(F.lit("https://gitlab.com/g/sub/n"), k, F.lit(".git"))).otherwise(F.concat(F.lit("https://github.com/own/n"), k, F.lit("/")))
     return t("nation").select(paths.raw_file_url(url, F.lit("main"), F.lit("src/a.cs")).alias("base"))
+
+
+@query("""SELECT n_nationkey, CASE n_nationkey%4 WHEN 0 THEN 'https://h/o/r/blob/main/a'||n_nationkey||'.cs' WHEN 1 THEN 'https://h/o/r/-/blob/main/a'||n_nationkey||'.cs' WHEN 2 THEN 'https://h/o/r/src/main/a'||n_nationkey||'.cs' ELSE 'a'||n_nationkey||'.cs' END AS url FROM nation""")
+def file_urls(t: Tables) -> DataFrame:
+    from weftline.functions import paths
+
+    k = F.col("n_nationkey")
+    kind = F.element_at(F.array(*map(F.lit, ("github", "gitlab", "bitbucket", "local"))), (k % 4 + 1).cast("int"))
+    return t("nation").select("n_nationkey", paths.file_url(F.lit("https://h/o/r.git"), kind, F.lit("main"), F.concat(F.lit("a"), k, F.lit(".cs"))).alias("url"))
+
+
+@query("""SELECT 'r'||r_regionkey AS id, NULL::VARCHAR AS provider_type, r_name AS repo_name, true AS stamped FROM region""")
+def conformed_rows(t: Tables) -> DataFrame:
+    """Columns in another case brought to the schema of a table, with audit columns."""
+    from weftline import schemas
+
+    raw = t("region").select(F.concat(F.lit("r"), "r_regionkey").alias("Id"), F.col("r_name").alias("RepoName"), F.lit(1).alias("Other"))
+    rows = sinks.stamped(sinks.conform(schemas.snake_case(raw), schemas.REPOSITORIES))
+    return rows.select("id", F.col("provider_type").cast("string").alias("provider_type"), "repo_name", (F.col("created_at").isNotNull() & (F.col("updated_at") == F.col("created_at"))).alias("stamped"))
+
+
+@query("""SELECT n_name AS name, n_regionkey AS start_line FROM nation""")
+def symbol_array_file(t: Tables) -> DataFrame:
+    """One file that holds an array of symbols, of 25 nations, written and read back."""
+    n = t("nation")
+    spark = n.sparkSession
+    path = checkpoints.new_folder(spark, "symbols") + "/symbols.json"
+    body = n.agg(F.to_json(F.collect_list(F.struct(F.col("n_name").alias("name"), F.col("n_regionkey").alias("start_line")))).alias("j")).first()["j"]
+    sinks.write_text(spark, path, body)
+    return sources.symbol_file(spark, path).select("name", "start_line")
+
+
+_RULES = "('a.cs'),('src/core/x/b.cs'),('web/c.ts'),('tests/d.py'),('lib/e/f.go')"
+
+
+@query(f"""WITH p(p) AS (VALUES {_RULES}), s AS (SELECT p, string_split(p,'/') AS x FROM p) SELECT p, x[1] AS first, CASE WHEN len(x)=1 THEN 'root' WHEN x[1] NOT IN ('src','tests','lib') THEN x[1] WHEN len(x)>2 THEN x[2] ELSE 'root' END AS second, CASE WHEN len(x)=1 THEN 'root' ELSE x[len(x)-1] END AS last,
+CASE WHEN p LIKE '%core/%' THEN 'core' WHEN p LIKE 'web/%' THEN 'web' END AS known, CASE right(p,2) WHEN 'cs' THEN 'csharp' WHEN 'ts' THEN 'typescript' WHEN 'py' THEN 'python' ELSE 'go' END AS analysis FROM s""".replace("x[1] AS first", "CASE WHEN len(x)=1 THEN 'root' ELSE x[1] END AS first"))
+def module_rules(t: Tables) -> DataFrame:
+    from weftline.functions import paths
+
+    p = t("region").limit(1).select(F.explode(F.array(*map(F.lit, ("a.cs", "src/core/x/b.cs", "web/c.ts", "tests/d.py", "lib/e/f.go")))).alias("p"))
+    return p.select("p", paths.module_first("p").alias("first"), paths.module_second("p").alias("second"), paths.module_last("p").alias("last"), paths.module_of("p", F.array(F.lit("core"), F.lit("web"))).alias("known"), paths.language("p", "analysis").alias("analysis"))
