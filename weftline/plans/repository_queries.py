@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions import jsonx, text, tokens
-from weftline.operators import checkpoints, code, graph, search, windows
+from weftline.operators import checkpoints, code, graph, reports, search, windows
 from weftline.plans.catalogue import Tables, query
 from weftline.sources import files as sources
 from weftline.sources import sinks
@@ -196,7 +196,8 @@ def symbol_lookups(t: Tables) -> DataFrame:
     return out.unionByName(search.definitions_like(exported, "SUPPLIER1").select(F.lit("like").alias("tool"), F.get("exported_symbols", 0).alias("name"), "file_path"))
 
 
-@query("""SELECT CASE WHEN count(*) FILTER (WHERE n_name IN ('NATION_1'))>=0 THEN 'layered' END AS architecture FROM nation""")
+@query("""WITH m AS (SELECT CASE n_nationkey%3 WHEN 0 THEN 'Web.Api' WHEN 1 THEN 'Core' ELSE 'Data' END AS n FROM nation)
+SELECT CASE WHEN bool_or(regexp_matches(n,'Api|Controller')) AND bool_or(regexp_matches(n,'Core|Service')) AND bool_or(regexp_matches(n,'Repository|Data')) THEN 'layered' ELSE 'modular' END AS architecture FROM m""")
 def architecture(t: Tables) -> DataFrame:
     names = F.element_at(F.array(F.lit("Web.Api"), F.lit("Core"), F.lit("Data")), (F.col("n_nationkey") % 3 + 1).cast("int"))
     return graph.architecture(t("nation").select(names.alias("n")), "n")
@@ -239,18 +240,16 @@ def repository_scan(t: Tables) -> DataFrame:
     return f.select("file_path", F.regexp_extract("content", "^# (.*)$", 1).alias("content"), "size_bytes")
 
 
-@query("""SELECT s_nationkey AS module, count(*)*2 AS symbols, count(*) AS files FROM supplier GROUP BY 1""")
+@query("""SELECT s_nationkey AS module, count(*)*2 AS symbols, count(*) AS files FROM supplier GROUP BY 1 UNION ALL SELECT -1, count(*)*2, count(*) FROM supplier""")
 def analysis_artifacts(t: Tables) -> DataFrame:
-    """Artifacts of files written as JSON and scanned by their fixed schema; totals by module."""
+    """Artifacts of files written as JSON and scanned by their fixed schema; totals by module, and of all (module -1)."""
     s = t("supplier")
     spark = s.sparkSession
     symbol = lambda p: F.struct(F.concat(F.lit(p), "s_suppkey").alias("name"), F.lit("class").alias("kind"))
     path = checkpoints.new_folder(spark, "artifacts")
     sinks.json_lines(s.select(F.concat("s_nationkey", F.lit("/x.cs")).alias("file_path"), F.array(symbol("A"), symbol("B")).alias("symbols")), path)
     scanned = spark.read.schema(sources.schemas.AST_FILE).json(path)
-    from weftline.operators import reports
-
     keyed = scanned.withColumn("module", F.split("file_path", "/")[0].cast("int"))
     by = keyed.groupBy("module").agg(F.sum(F.size("symbols")).cast("long").alias("symbols"), F.count("*").alias("files"))
-    whole = reports.projection_totals(scanned)
-    return by.join(F.broadcast(whole.select(F.col("files").alias("_all")))).where("_all >= files").drop("_all")
+    whole = reports.projection_totals(scanned).select(F.lit(-1).alias("module"), F.col("symbols").cast("long").alias("symbols"), "files")
+    return by.unionByName(whole)

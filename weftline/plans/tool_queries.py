@@ -140,7 +140,7 @@ def allowed_calls(t: Tables) -> DataFrame:
     return tasks.allowed_calls(e, "user_id", ["ts"], "event_id", "known", "ok")
 
 
-@query("""SELECT DISTINCT 'caller' AS direction, 'p'||l_partkey AS neighbour FROM lineitem WHERE l_suppkey=7 UNION SELECT DISTINCT 'callee', 's'||l_suppkey FROM lineitem WHERE 's'||l_suppkey='none' ORDER BY 1,2 LIMIT 40""")
+@query("""SELECT DISTINCT 'caller' AS direction, 'p'||l_partkey AS neighbour FROM lineitem WHERE l_suppkey=7 ORDER BY 1,2 LIMIT 40""")
 def tool_functions(t: Tables) -> DataFrame:
     """A registered table function, called by name as a stage allows it."""
     li = t("lineitem")
@@ -213,8 +213,8 @@ def symbol_array_file(t: Tables) -> DataFrame:
 _RULES = "('a.cs'),('src/core/x/b.cs'),('web/c.ts'),('tests/d.py'),('lib/e/f.go')"
 
 
-@query(f"""WITH p(p) AS (VALUES {_RULES}), s AS (SELECT p, string_split(p,'/') AS x FROM p) SELECT p, x[1] AS first, CASE WHEN len(x)=1 THEN 'root' WHEN x[1] NOT IN ('src','tests','lib') THEN x[1] WHEN len(x)>2 THEN x[2] ELSE 'root' END AS second, CASE WHEN len(x)=1 THEN 'root' ELSE x[len(x)-1] END AS last,
-CASE WHEN p LIKE '%core/%' THEN 'core' WHEN p LIKE 'web/%' THEN 'web' END AS known, CASE right(p,2) WHEN 'cs' THEN 'csharp' WHEN 'ts' THEN 'typescript' WHEN 'py' THEN 'python' ELSE 'go' END AS analysis FROM s""".replace("x[1] AS first", "CASE WHEN len(x)=1 THEN 'root' ELSE x[1] END AS first"))
+@query(f"""WITH p(p) AS (VALUES {_RULES}), s AS (SELECT p, string_split(p,'/') AS x FROM p) SELECT p, CASE WHEN len(x)=1 THEN 'root' ELSE x[1] END AS first, CASE WHEN len(x)=1 THEN 'root' WHEN x[1] NOT IN ('src','tests','lib') THEN x[1] WHEN len(x)>2 THEN x[2] ELSE 'root' END AS second, CASE WHEN len(x)=1 THEN 'root' ELSE x[len(x)-1] END AS last,
+CASE WHEN p LIKE '%core/%' THEN 'core' WHEN p LIKE 'web/%' THEN 'web' END AS known, CASE right(p,2) WHEN 'cs' THEN 'csharp' WHEN 'ts' THEN 'typescript' WHEN 'py' THEN 'python' ELSE 'go' END AS analysis FROM s""")
 def module_rules(t: Tables) -> DataFrame:
     from weftline.functions import paths
 
