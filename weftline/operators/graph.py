@@ -159,7 +159,7 @@ def usages(edges: DataFrame, a: str, b: str, name, most: int = 25) -> DataFrame:
 
 def top_callers(edges: DataFrame, caller: str, callee: str, k: int = 10, most: int = 10, file: str | None = None, confidence: str | None = None) -> DataFrame:
     """AGG-14: callers by number of calls, with their first callees; given their columns, with their first file and highest confidence too."""
-    more = [F.min(file).alias("first_file")] * bool(file) + [F.max(confidence).alias("confidence")] * bool(confidence)
+    more = [f(c).alias(n) for f, c, n in ((F.min, file, "first_file"), (F.max, confidence, "confidence")) if c]
     n = edges.groupBy(caller).agg(F.count("*").alias("n_calls"), F.slice(F.array_sort(F.collect_set(callee)), 1, most).alias("callees"), *more)
     return n.orderBy(F.col("n_calls").desc(), caller).limit(k)
 
