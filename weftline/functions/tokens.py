@@ -65,7 +65,10 @@ def search_tokens(x: _C) -> Column:
     pairs = F.transform(F.slice(cjk, 1, F.greatest(F.size(cjk) - 1, F.lit(0))), lambda a, i: F.concat(a, F.get(cjk, i + 1)))
     many = F.size(cjk) >= 2
     none = F.array().cast("array<string>")
-    return F.array_distinct(F.concat(parts, snake, F.when(many, pairs).otherwise(none), F.when(many, cjk).otherwise(none)))
+    # Most texts have neither, and each costs a pass over the text: bytes as many as characters leave no room for CJK.
+    whole = F.when(F.contains(low, F.lit("_")), F.concat(parts, snake)).otherwise(parts)
+    ascii_only = F.octet_length(col(x)) == F.length(col(x))
+    return F.when(ascii_only, F.array_distinct(whole)).otherwise(F.array_distinct(F.concat(whole, F.when(many, pairs).otherwise(none), F.when(many, cjk).otherwise(none))))
 
 
 def windows(items: Column, size: int, overlap: int) -> Column:
