@@ -437,3 +437,29 @@ def test_word_hashes_tell_words_apart():
     raw = " ".join(words).encode()
     h, *_ = W.words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
     assert len(np.unique(h)) == len(words)
+
+
+def test_word_hashes_have_no_structure():
+    """Words of two letters that collide under any polynomial modulo a power of two, and words that differ in one place."""
+    a = "a"
+    while len(a) < 4096:
+        a += a.translate(str.maketrans("ab", "ba"))
+    words = [w[:n] for n in (64, 100, 1024, 2048, 4096) for w in (a, a.translate(str.maketrans("ab", "ba")))]
+    words += ["x" * i + "y" + "x" * (n - i - 1) for n in (7, 8, 9, 16, 17, 127, 128, 129) for i in range(n)] + ["x" * n for n in range(1, 300)]
+    raw = " ".join(words).encode()
+    h, *_ = W.words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+    assert len(np.unique(h)) == len(set(words))
+    again, *_ = W.words(np.frombuffer(raw.upper(), np.uint8), np.array([0, len(raw)]), lower=True)
+    assert (again == h).all()
+
+
+def test_words_without_a_common_shingle_do_not_meet(spark):
+    a = "a"
+    while len(a) < 1024:
+        a += a.translate(str.maketrans("ab", "ba"))
+    b = a.translate(str.maketrans("ab", "ba"))
+    one = documents(spark, [(1, a), (2, b)])
+    assert {r["component_id"] for r in minhash.near_duplicates(one, percent=85).collect()} == {1, 2}
+    fill = prose(1, 49)
+    many = documents(spark, [(1, f"{fill} {a}"), (2, f"{fill} {b}")])
+    assert {r["n_removed"] for r in substring.remove(many, width=50).collect()} == {0}

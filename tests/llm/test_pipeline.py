@@ -104,3 +104,16 @@ def test_stages_against_brute_force(spark, tmp_path):
 def test_pipeline_takes_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], DDL).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_columns_named_as_results_stay(spark, tmp_path):
+    """Whatever a stage calls its results, columns of the user pass through with their values."""
+    text = "\n".join(prose(k, 12) for k in range(8))
+    ddl = DDL + ", clean_text string, clean_text_words string, n_lines long, n_words long, n_removed long, _clean string, __x string, kept boolean, n_shingles long"
+    rows = [(d, t, "en", "s", len(t), "mine", "words", 7, 8, 9, "c", "x", False, 5) for d, t in ((1, text), (2, text), (3, text + "\n" + prose(9, 60)))]
+    docs = spark.createDataFrame(rows, ddl)
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+        assert docs.columns == spark.createDataFrame([], ddl).columns
+        assert {tuple(r)[5:] for r in docs.collect()} == {("mine", "words", 7, 8, 9, "c", "x", False, 5)}

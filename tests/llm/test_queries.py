@@ -11,6 +11,7 @@ import duckdb
 import numpy as np
 import public_tokenizers as P
 import pytest
+from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
 from tests.llm.common import SPACE, UPPER, components
@@ -72,11 +73,12 @@ def test_rows_are_those_of_the_sql(db, results, name):
 def test_ids_and_pieces(db, results):
     with open(P.path("byte_bpe_50k.tiktoken"), "rb") as f:
         enc = bpe.encoding(f.read(), P.PATTERN)
+    tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     digests, pieces, total = {}, set(), 0
     for d, t in db.execute("select doc_id, text from documents").fetchall():
         ids = enc.encode_ordinary(t or "")
         digests[d] = (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest())
-        ids = np.array([*ids, 0], "<u4")
+        ids = np.array([*tok.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
         cuts = [0, *range(len(ids) % 2048 or 2048, len(ids), 2048), len(ids)]
         pieces |= {(d, k, a, b - a, zlib.crc32(ids[a:b].tobytes())) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))}
         total += len(ids)

@@ -1,13 +1,15 @@
 """Byte-level BPE encoding and decoding with the tiktoken library and a local rank file.
 
 Null texts count as empty: no ids, empty bytes. Very long texts are cut before the regular expression sees them, at places
-that no match reaches over. Rows that repeat are encoded as often as they occur; an empty table gives an empty result. Other
+that no match reaches over; very long runs of white space, which hold no such place, never reach it: each is one match, but for
+its last character where a word follows, and goes to the library as such. Rows that repeat are encoded as often as they occur; an empty table gives an empty result. Other
 columns pass through untouched, whatever their names; only one named as the result is replaced.
 """
 
 from __future__ import annotations
 
 import base64
+import json
 import re
 
 import pyarrow as pa
@@ -20,6 +22,8 @@ from pyspark.sql import types as T
 LONG_CHARS = 1 << 16
 #: Between a non-space and a blank or line feed no match of the pattern can reach over: none has white space after other characters.
 _SAFE = re.compile(r"(?<=\S)[ \n]")
+#: White space of the pattern's regular expressions, in runs that these can't take.
+_BLANKS = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % LONG_CHARS)
 _made: dict[int, object] = {}
 
 
@@ -52,10 +56,27 @@ def safe_pieces(text: str, limit: int = LONG_CHARS) -> list[str]:
     return [*out, text[at:]] if out else [text]
 
 
-def encode_text(enc, text: str) -> list[int]:
+def added_tokens(path: str) -> dict[str, int]:
+    """Tokens that a tokenizer file of the tokenizers library adds to its vocabulary; that library finds them in texts before all else."""
+    with open(path, encoding="utf-8") as f:
+        return {t["content"]: t["id"] for t in json.load(f).get("added_tokens", [])}
+
+
+def encode_text(enc, text: str, added: dict[str, int] | None = None) -> list[int]:
+    """Ids of the whole text; the texts between ``added`` tokens are encoded each by itself."""
+    if added:
+        found = re.split("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")", text)
+        if len(found) > 1:
+            return [i for k, x in enumerate(found) for i in ([added[x]] if k % 2 else encode_text(enc, x))]
     if len(text) <= LONG_CHARS:
         return enc.encode_ordinary(text)
-    return [i for x in safe_pieces(text) for i in enc.encode_ordinary(x)]
+    out, at = [], 0
+    for m in _BLANKS.finditer(text):
+        end = m.end() if m.end() == len(text) else m.end() - 1
+        out += [i for x in safe_pieces(text[at : m.start()]) for i in enc.encode_ordinary(x)]
+        out += enc._encode_single_piece(text[m.start() : end])
+        at = end
+    return out + [i for x in safe_pieces(text[at:]) for i in enc.encode_ordinary(x)]
 
 
 def encode(df: DataFrame, ranks: Broadcast, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:

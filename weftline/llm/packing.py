@@ -32,7 +32,7 @@ DRAWS, PARTS = 4, 8
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, ord long"
 
 
-def pieces(docs: DataFrame, ranks: Broadcast, pattern: str, capacity: int, end_id: int = 0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def pieces(docs: DataFrame, ranks: Broadcast, pattern: str, capacity: int, end_id: int = 0, doc_id: str = "doc_id", text: str = "text", added: dict[str, int] | None = None) -> DataFrame:
     """The pieces of each document, with their checksums and their place among the pieces of the same length in their partition.
 
     Documents of over ``capacity`` ids are cut so that all pieces but the first are full.
@@ -48,7 +48,7 @@ def pieces(docs: DataFrame, ranks: Broadcast, pattern: str, capacity: int, end_i
                 rows = []
                 s = b.slice(lo, 512)
                 for d, t in zip(s.column(0).to_pylist(), s.column(1).to_pylist(), strict=True):
-                    ids = np.array([*bpe.encode_text(enc, t or ""), end_id], "<u4")
+                    ids = np.array([*bpe.encode_text(enc, t or "", added), end_id], "<u4")
                     cuts = [0, *range(len(ids) % capacity or capacity, len(ids), capacity), len(ids)]
                     for k, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False)):
                         rows.append((d, k, x, y - x, zlib.crc32(ids[x:y].tobytes()), part, int(seen[y - x])))
@@ -280,10 +280,10 @@ def _slots(bins: list[tuple[int, tuple[int, ...]]]) -> dict[int, tuple[np.ndarra
     return {s: tuple(np.array(x, np.int64).T) for s, x in runs.items()}
 
 
-def pack(docs: DataFrame, ranks: Broadcast, pattern: str, capacity: int = 2048, end_id: int = 0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Every piece with its ``sequence_id`` and its ``offset`` there."""
+def pack(docs: DataFrame, ranks: Broadcast, pattern: str, capacity: int = 2048, end_id: int = 0, doc_id: str = "doc_id", text: str = "text", added: dict[str, int] | None = None) -> DataFrame:
+    """Every piece with its ``sequence_id`` and its ``offset`` there. ``added``: tokens beside the ranks, as `bpe.added_tokens` reads them."""
     cols = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
-    all_pieces = cut(pieces(docs, ranks, pattern, capacity, end_id, doc_id, text))
+    all_pieces = cut(pieces(docs, ranks, pattern, capacity, end_id, doc_id, text, added))
     by_part = all_pieces.groupBy("part", "length").agg(F.count("*").alias("n"))
     # At most `capacity` rows reach the driver, whatever the corpus.
     counts = {r["length"]: r["n"] for r in by_part.groupBy("length").agg(F.sum("n").alias("n")).collect()}

@@ -21,7 +21,7 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    return packing.pack(docs, bpe.load_ranks(docs, _RANKS), public_tokenizers.PATTERN, capacity=2048)
+    return packing.pack(docs, bpe.load_ranks(docs, _RANKS), public_tokenizers.PATTERN, capacity=2048, added=bpe.added_tokens(public_tokenizers.path("byte_bpe_50k.json")))
 
 
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

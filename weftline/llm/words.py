@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 _P = 0x9E3779B97F4A7C15
-_PI = pow(_P, -1, 1 << 64)
-_pow: list[np.ndarray] = []
+#: Low bytes of a lane of eight that a word of so many bytes left fills.
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Bytes from which on a word is hashed by itself, by a cryptographic function.
+_LONG = 128
 
 #: Byte classes. SPACES: words are runs of other bytes. LETTERS_DIGITS: words are runs of a-z, 0-9 and bytes beyond ASCII.
 SPACES = np.zeros(256, bool)
@@ -29,11 +33,22 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _pow or len(_pow[0]) < n:
-        size = max(n, 1 << 19)
-        _pow[:] = [np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(size, base, np.uint64)))) for base in (_P, _PI)]
-    return _pow[0], _pow[1]
+def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each word's bytes: lanes of eight bytes, mixed one after the other, so that no structure of the words carries over."""
+    left = ends - starts
+    lanes = np.ndarray(len(data), "<u8", np.concatenate((data, np.zeros(8, np.uint8))), strides=(1,))
+    out = mix(left.astype(np.uint64) * np.uint64(_P) ^ (lanes[starts] & _MASKS[np.minimum(left, 8)]))
+    at = np.flatnonzero((left > 8) & (left < _LONG))
+    first = starts[at]
+    rest = left[at] - 8
+    while len(at):
+        first = first + 8
+        out[at] = mix(out[at] * np.uint64(_P) ^ (lanes[first] & _MASKS[np.minimum(rest, 8)]))
+        more = rest > 8
+        at, first, rest = at[more], first[more], rest[more] - 8
+    for i in np.flatnonzero(left >= _LONG).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
 def words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SPACES, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -53,13 +68,7 @@ def words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SPACES
     at = at[at >= 0]
     last[at] = is_word[at]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    power, inverse = _powers(n + 1)
-    value = (LOWER[data] if lower else data).astype(np.uint64)
-    value += np.uint64(1)
-    value *= power[:n]
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(value, out=total[1:])
-    return mix((total[ends] - total[starts]) * inverse[starts]), starts, ends, np.searchsorted(starts, offsets)
+    return _hashes(LOWER[data] if lower else data, starts, ends), starts, ends, np.searchsorted(starts, offsets)
 
 
 def grams(h: np.ndarray, k: int) -> np.ndarray:
