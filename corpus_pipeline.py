@@ -23,14 +23,22 @@ def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.filter_documents(docs)
 
 
-def _text_replaced(docs: DataFrame, cleaned: DataFrame) -> DataFrame:
-    left = cleaned.withColumns({"text": F.col("clean_text"), "n_chars": F.length("clean_text").cast("long")})
-    return left.select(*docs.columns)
+def _names(docs: DataFrame, *wanted: str) -> list[str]:
+    """Names for results that no column of ``docs`` has."""
+    prefix = "_"
+    while any(c.startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    return [prefix + w for w in wanted]
+
+
+def _text_replaced(docs: DataFrame, cleaned: DataFrame, clean: str) -> DataFrame:
+    return cleaned.withColumns({"text": F.col(clean), "n_chars": F.length(clean).cast("long")}).select(*docs.columns)
 
 
 def _lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later repeats of a line leave the texts, alone or in a run; all documents stay."""
-    return _text_replaced(docs, line_dedup.remove(docs, window=1))
+    clean, lines, removed = _names(docs, "clean", "lines", "removed")
+    return _text_replaced(docs, line_dedup.remove(docs, window=1, clean=clean, lines=lines, removed=removed), clean)
 
 
 def _near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,11 +48,12 @@ def _near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def _substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words in 50-word passages that stand in a document of smaller id leave the texts; all documents stay."""
-    return _text_replaced(docs, substring.remove(docs, width=50))
+    clean, total, removed = _names(docs, "clean", "total", "removed")
+    return _text_replaced(docs, substring.remove(docs, width=50, clean=clean, total=total, removed=removed), clean)
 
 
 def _packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, bpe.load_ranks(docs, public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN, capacity=2048)
+    return packing.pack(docs, bpe.load_ranks(docs, public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN, capacity=2048, added=bpe.added_tokens(public_tokenizers.path("byte_bpe_50k.json")))
 
 
 STAGES = [("quality_rules", _quality), ("line_dedup", _lines), ("minhash_near_dedup", _near_duplicates), ("substring_dedup", _substrings), ("best_fit_packing", _packing)]
