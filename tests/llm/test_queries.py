@@ -19,6 +19,9 @@ from weftline.llm import bpe, license_scan, queries
 
 FOLDER = "/root/testdata/sf0.001"
 CONTRACTS = {
+    "op11_periodic_runs": "doc_id bigint, n_runs bigint, start bigint, length bigint, period bigint, exponent_milli bigint, runs_sha256 string, collapsed_sha256 string",
+    "op12_html_extraction": "page_id bigint, url string, text string, n_chars bigint",
+    "op13_vector_codes": "vec_id bigint, code string, error bigint, label_error bigint, codebooks_sha256 string",
     "op1_byte_bpe": "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string",
     "op2_best_fit_packing": "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint",
     "op3_chat_format": "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint",
@@ -59,7 +62,7 @@ def test_columns_and_rows(db, results, name):
     types, rows = results(name)
     assert ", ".join(" ".join(t) for t in types) == CONTRACTS[name]
     if name not in ("op2_best_fit_packing", "op3_chat_format"):
-        table, key = ("embeddings", "vec_id") if "op5" in name else ("documents", "doc_id")
+        table, key = ("embeddings", "vec_id") if name[:4] in ("op5_", "op13") else ("pages", "page_id") if "op12" in name else ("documents", "doc_id")
         assert sorted(r[key] for r in rows) == sorted(x for (x,) in db.execute(f"select {key} from {table}").fetchall())
 
 
