@@ -1,14 +1,13 @@
 """Source analysis by regular expressions, and by Python's own parser for Python files.
 
-Native parsers of other languages are not at hand; their declarations are found by patterns, their ends by brackets, by
-``end``, or by indentation. A file is analysed on its own, its first MOST_CHARS characters, as the rule has it; files are
+Native parsers of other languages are not at hand; their declarations are found in the code that a lexical automaton leaves
+(`lexing`), with scopes by brackets, by ``end``, or by indentation (`declarations`). A file is analysed on its own, its first MOST_CHARS characters, as the rule has it; files are
 independent rows.
 """
 
 from __future__ import annotations
 
 import ast
-import bisect
 import re
 from collections.abc import Iterator
 
@@ -18,6 +17,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import paths, tokens
 from weftline.functions.text import _C, col
+from weftline.operators.declarations import Source
 
 _BRACES_TYPE = r"\b(?:class|interface|struct|record|enum|trait|protocol)\s+(\w+)"
 _JS_FUNCTION = r"\bfunction\s+(\w+)"
@@ -31,7 +31,7 @@ PATTERNS = {
     "go": (r"(?m)^type\s+(\w+)\s+(?:struct|interface)", r"(?m)^func\s+(?:\([^)]*\)\s*)?(\w+)\s*\(", r"(?m)^\s*(?:import\s+)?\"([\w./-]+)\"\s*$", r"(\w+)\s*\("),
     "rust": (r"\b(?:struct|trait|enum)\s+(\w+)", r"\bfn\s+(\w+)", r"(?m)^\s*(?:pub\s+)?use\s+([\w:]+)", r"(\w+)\s*\("),
     "java": (_BRACES_TYPE, r"\b(?:public|private|protected|static)\s+[\w<>\[\]]+\s+(\w+)\s*\(", r"(?m)^\s*import\s+(?:static\s+)?([\w.]+)\s*;", r"(\w+)\s*\("),
-    "cpp": (r"\b(?:class|struct)\s+(\w+)", r"(?m)^[\w:<>*&~ \t]+[\s*&](\w+)\s*\([^;{}]*\)\s*(?:const\s*)?\{", r"(?m)^\s*#include\s+[<\"]([^>\"]+)[>\"]", r"(\w+)\s*\("),
+    "cpp": (r"\b(?:class|struct)\s+(\w+)", r"(?m)^[\w:<>*&~ \t]+[\s*&:](\w+)\s*\([^;{}]*\)\s*(?:const\s*)?\{", r"(?m)^\s*#include\s+[<\"]([^>\"]+)[>\"]", r"(\w+)\s*\("),
     "c": (r"\bstruct\s+(\w+)\s*\{", r"(?m)^[\w* \t]+[\s*](\w+)\s*\([^;{}]*\)\s*\{", r"(?m)^\s*#include\s+[<\"]([^>\"]+)[>\"]", r"(\w+)\s*\("),
     "php": (r"\b(?:class|interface|trait)\s+(\w+)", _JS_FUNCTION, r"\b(?:require|include)(?:_once)?\s*\(?\s*['\"]([^'\"]+)['\"]", r"(\w+)\s*\("),
     "ruby": (r"(?m)^\s*(?:class|module)\s+(\w+)", r"(?m)^\s*def\s+(?:self\.)?(\w+[?!]?)", r"(?m)^\s*require(?:_relative)?\s+['\"]([^'\"]+)['\"]", r"(\w+[?!]?)\s*\("),
@@ -72,95 +72,33 @@ def symbols(analysed: DataFrame, path: str = "file_path") -> DataFrame:
     return each("type", "types").unionByName(each("function", "functions"))
 
 
-def _end(text: str, language: str, start: int, head: int) -> int:
-    """Where a declaration that starts at ``start`` ends, its header reaching to ``head``."""
-    if language in ("python", "ruby"):
-        line = text.rfind("\n", 0, start) + 1
-        indent = len(text[line:]) - len(text[line:].lstrip(" \t"))
-        at, last = text.find("\n", head), head
-        while at >= 0:
-            end = text.find("\n", at + 1)
-            row = text[at + 1 : end if end >= 0 else len(text)]
-            if row.strip():
-                deep = len(row) - len(row.lstrip(" \t"))
-                if deep < indent or deep == indent and not (language == "ruby" and row.strip() == "end"):
-                    break
-                last = at + 1 + len(row)
-                if deep == indent:
-                    break
-            at = end
-        return last
-    depth, opened = 0, False
-    for m in re.compile(r"[{};]").finditer(text, head):
-        if m[0] == ";":
-            if not opened:
-                return m.end()
-        else:
-            depth += 1 if m[0] == "{" else -1
-            opened = True
-            if depth <= 0:
-                return m.end()
-    return len(text) if opened else head
-
-
-def _declared(text: str, language: str) -> list[dict]:
-    """The declarations of one text, in the order of their places."""
-    out = []
-    for group, kind in ((0, "type"), (1, "function")):
-        for m in re.finditer(PATTERNS[language][group], text):
-            line = text.rfind("\n", 0, m.start(1)) + 1
-            stop = re.compile({"python": r":\s*(?:#.*)?$", "ruby": r"$"}.get(language, r"[{;]|=>|:\s*$"), re.M).search(text, m.end(1))
-            head = stop.start() if stop else len(text)
-            signature = " ".join(text[line:head].split())
-            before = re.findall(r"\w+", text[line : m.start(1)])
-            word = next((w for w in reversed(before) if w in ("class", "interface", "struct", "record", "enum", "trait", "protocol", "module", "object", "type")), "class")
-            kind_name = "function" if kind == "function" else {"trait": "interface", "protocol": "interface", "module": "class", "object": "class", "type": "class"}.get(word, word)
-            bases = []
-            if kind == "type":
-                rest = re.sub(r"^\s*<[^<>]*>", "", text[m.end(1) : head]) if language != "ruby" else text[m.end(1) : head]
-                named = re.search(r"(?::|\bextends\b|\bimplements\b|\bwith\b|<|\()(.*)", rest, re.S) if language != "go" else None
-                if named and (language == "ruby" or not named[0].startswith("<")):
-                    bases = re.findall(r"[A-Za-z_][\w.]*(?:<[^<>]*>)?", re.sub(r"\b(?:extends|implements|with|public|private|protected|virtual|where)\b", " ", named[1]))
-            marks = []
-            at = line
-            while at > 0:
-                prior = text.rfind("\n", 0, at - 1) + 1
-                row = text[prior : at - 1].strip()
-                if not re.match(r"\[\w|@\w|#\[", row):
-                    break
-                marks.append(row)
-                at = prior
-            out.append({"name": m[1], "kind": kind_name, "signature": signature, "start": m.start(1), "end": _end(text, language, line, m.end(1) if language in ("python", "ruby") else head), "modifiers": [w for w in before if w in MODIFIERS], "bases": bases, "attributes": marks[::-1]})
-    return sorted(out, key=lambda d: d["start"])
+def _source(text: str | None, language: str) -> Source:
+    return Source((text or "")[:MOST_CHARS], language, PATTERNS[language][0], PATTERNS[language][1], MODIFIERS)
 
 
 def analysed_rows(path: str | None, text: str | None, language: str) -> Iterator[tuple]:
     """Rows of one file: a declaration each, then a call each, with the callable around it; none for a language without patterns."""
-    text = (text or "")[:MOST_CHARS]
     if language not in PATTERNS:
         return
-    breaks = [m.start() for m in re.finditer("\n", text)]
-    line = lambda at: bisect.bisect_left(breaks, at) + 1
-    found = _declared(text, language)
-    around = lambda at, kinds: min((d for d in found if d["start"] < at < d["end"] and (d["kind"] == "function") == kinds), key=lambda d: d["end"] - d["start"], default=None)
-    seen = set()
-    for d in found:
-        key = (line(d["start"]), line(d["end"]), d["name"])
+    source, seen = _source(text, language), set()
+    for d in source.declarations:
+        key = (source.line(d.at), source.line(max(d.at, d.end - 1)), d.name)
         if key in seen or len(seen) >= MOST_SYMBOLS:
             continue
         seen.add(key)
-        parent = around(d["start"], False)
-        yield path, language, d["kind"], d["name"], d["signature"], key[0], max(key[0], key[1]), parent["name"] if parent else "", d["modifiers"], d["bases"], d["attributes"], None
-    places, calls = {d["start"] for d in found}, set()
-    for m in re.finditer(PATTERNS[language][3], text):
+        yield path, language, d.kind, d.name, d.signature, key[0], key[1], source.parent(d), d.modifiers, d.bases, d.attributes, None
+    places, calls = {d.at for d in source.declarations}, set()
+    for m in re.finditer(PATTERNS[language][3], source.code):
         if m[1] in NO_CALLS or m.start(1) in places or m[1][0].isdigit():
             continue
-        caller = around(m.start(1), True)
-        if caller and (caller["name"], m[1]) not in calls and len(calls) < MOST_CALLS:
-            calls.add((caller["name"], m[1]))
-            owner = around(caller["start"], False)
-            name = f"{owner['name']}.{caller['name']}" if owner else caller["name"]
-            yield path, language, "call", name, None, line(m.start(1)), line(m.start(1)), None, [], [], [], m[1]
+        caller = source.caller(m.start(1))
+        if caller is None:
+            continue
+        owner = source.parent(caller)
+        name = f"{owner}.{caller.name}" if owner else caller.name
+        if (name, m[1]) not in calls and len(calls) < MOST_CALLS:
+            calls.add((name, m[1]))
+            yield path, language, "call", name, None, source.line(m.start(1)), source.line(m.start(1)), None, [], [], [], m[1]
 
 
 _SYMBOL = "file_path string, language string, kind string, name string, signature string, start_line int, end_line int, parent string, modifiers array<string>, bases array<string>, attributes array<string>, callee string"
@@ -192,6 +130,28 @@ STRATEGY = ("Strategy", 0.85, "strategy|policy|handler|processor", 2)
 SINGLETON, MEDIATOR_FIELDS = ("Singleton", 0.9), 3
 
 
+def source_chunks(files: DataFrame, path: str = "file_path", source: str = "content") -> DataFrame:
+    """AST-04: (file_path, start_line, end_line, label, content): a chunk for each declaration of three lines or more, at most 300 a file.
+
+    A file without any, or in a language without patterns, is cut into windows of CHUNK_LINES lines (label lines), MOST_CHUNKS at
+    most. Null or empty texts give no rows.
+    """
+    names = ["file_path", "start_line", "end_line", "label", "content"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for p, s, g in zip(b["p"], b["s"], b["g"], strict=True):
+                found = _source(s, g).chunks() if s and g in PATTERNS else []
+                lines = (s or "").split("\n")
+                if s and not found:
+                    found = [(i + 1, min(i + CHUNK_LINES, len(lines)), "lines", "\n".join(lines[i : i + CHUNK_LINES])) for i in range(0, len(lines), CHUNK_LINES)][:MOST_CHUNKS]
+                rows += [(p, *x) for x in found]
+            yield pd.DataFrame(rows, columns=names)
+
+    return files.select(F.col(path).alias("p"), F.col(source).alias("s"), _language(path).alias("g")).mapInPandas(run, "file_path string, start_line int, end_line int, label string, content string")
+
+
 def pattern_hints(symbol_rows: DataFrame, files: DataFrame, path: str = "file_path", source: str = "content") -> DataFrame:
     """AST-06: (file_path, pattern, confidence, detail): the seven heuristics, each at most once a file, with the first type it holds for.
 

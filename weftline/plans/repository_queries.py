@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions import jsonx, text, tokens
@@ -168,6 +168,57 @@ def source_symbols(t: Tables) -> DataFrame:
     return rows.withColumns({c: F.array_join(c, " ") for c in ("modifiers", "bases", "attributes")})
 
 
+#: Lines of a source file for each part, in three languages, with strings and comments that look like code; {k} the key, {b} the brand, {g} the key modulo 5.
+_TRICKY = {
+    "cs": ["public class P{k} : {b}", "{{", '    string s = "}}}} class X{k} {{"; // }} void No() {{', "    int Size{k}(int a)", "    {{", '        return Go{g}("(" + a); /* Hid() }} */', "    }}", "}}"],
+    "py": ["class P{k}:", '    """class No{k}: {b}"""', '    def size{k}(self, a=")"):', "        # Hid()", "        return go{g}(a)", "", "X = 'def no(): pass'"],
+    "ts": ["export function run{k}(a: string) {{", "  const t = `}}${{go{g}(a)}} {{`;", "  return t; // }} {b}", "}}"],
+}
+
+
+def _tricky_sources(t: Tables) -> DataFrame:
+    values = {"{k}": F.col("p_partkey").cast("string"), "{b}": F.regexp_replace("p_brand", "\\W", ""), "{g}": (F.col("p_partkey") % 5).cast("string")}
+
+    def text(lines: list[str]) -> Column:
+        out = F.lit("\n".join(lines).replace("{{", "{").replace("}}", "}"))
+        for name, value in values.items():
+            out = F.replace(out, F.lit(name), value)
+        return out
+
+    n, body = F.col("p_partkey") % 3, {k: text(v) for k, v in _TRICKY.items()}
+    end = F.when(n == 0, "cs").when(n == 1, "py").otherwise("ts")
+    return t("part").select(F.concat(F.lit("src/p"), "p_partkey", F.lit("."), end).alias("file_path"), F.when(n == 0, body["cs"]).when(n == 1, body["py"]).otherwise(body["ts"]).alias("content"))
+
+
+def _tricky_text(ext: str, first: int, last: int) -> str:
+    lines = "\n".join(_TRICKY[ext][first - 1 : last]).replace("{{", "{").replace("}}", "}").replace("'", "''")
+    parts = lines.replace("{k}", "'||k||'").replace("{b}", "'||b||'").replace("{g}", "'||g||'").replace("\n", "'||chr(10)||'")
+    return f"'{parts}'"
+
+
+_TRICKY_SQL = "p AS (SELECT p_partkey AS k, regexp_replace(p_brand, '[^0-9A-Za-z_]', '', 'g') AS b, p_partkey % 5 AS g, p_partkey % 3 AS n FROM part)"
+
+
+@query(f"""WITH {_TRICKY_SQL} SELECT 'src/p'||k||'.cs' AS file_path, 'class' AS kind, 'P'||k AS name, 1 AS start_line, 8 AS end_line, '' AS parent FROM p WHERE n = 0
+UNION ALL SELECT 'src/p'||k||'.cs', 'function', 'Size'||k, 4, 7, 'P'||k FROM p WHERE n = 0 UNION ALL SELECT 'src/p'||k||'.py', 'class', 'P'||k, 1, 5, '' FROM p WHERE n = 1
+UNION ALL SELECT 'src/p'||k||'.py', 'function', 'size'||k, 3, 5, 'P'||k FROM p WHERE n = 1 UNION ALL SELECT 'src/p'||k||'.ts', 'function', 'run'||k, 1, 4, '' FROM p WHERE n = 2""")
+def lexed_symbols(t: Tables) -> DataFrame:
+    """Declarations of texts whose strings and comments hold brackets, keywords and calls."""
+    return code.source_symbols(_tricky_sources(t)).where("kind <> 'call'").select("file_path", "kind", "name", "start_line", "end_line", "parent")
+
+
+@query(f"""WITH {_TRICKY_SQL} SELECT CASE n WHEN 0 THEN 'P'||k||'.Size'||k WHEN 1 THEN 'P'||k||'.size'||k ELSE 'run'||k END AS caller, CASE n WHEN 0 THEN 'Go' ELSE 'go' END||g AS callee, CASE n WHEN 0 THEN 6 WHEN 1 THEN 5 ELSE 2 END AS line FROM p""")
+def lexed_calls(t: Tables) -> DataFrame:
+    return code.source_symbols(_tricky_sources(t)).where("kind = 'call'").select(F.col("name").alias("caller"), "callee", F.col("start_line").alias("line"))
+
+
+@query(f"""WITH {_TRICKY_SQL} SELECT 'src/p'||k||'.cs' AS file_path, 1 AS start_line, 8 AS end_line, 'class' AS label, sha256({_tricky_text("cs", 1, 8)}) AS content FROM p WHERE n = 0
+UNION ALL SELECT 'src/p'||k||'.cs', 4, 7, 'function', sha256({_tricky_text("cs", 4, 7)}) FROM p WHERE n = 0 UNION ALL SELECT 'src/p'||k||'.py', 1, 5, 'class', sha256({_tricky_text("py", 1, 5)}) FROM p WHERE n = 1
+UNION ALL SELECT 'src/p'||k||'.py', 3, 5, 'function', sha256({_tricky_text("py", 3, 5)}) FROM p WHERE n = 1 UNION ALL SELECT 'src/p'||k||'.ts', 1, 4, 'function', sha256({_tricky_text("ts", 1, 4)}) FROM p WHERE n = 2""")
+def declaration_chunks(t: Tables) -> DataFrame:
+    return code.source_chunks(_tricky_sources(t)).withColumn("content", F.sha2("content", 256))
+
+
 @query(f"""WITH {_SRC} SELECT 'Supplier'||k||'Repository.Run'||k AS caller_symbol, 'Find'||k AS callee_symbol, file_path AS callee_file_path, CAST(0.9 AS DOUBLE) AS confidence FROM s""")
 def call_edges(t: Tables) -> DataFrame:
     rows = code.source_symbols(_sources(t))
