@@ -55,4 +55,4 @@ def test_contract():
 
 def test_flagship(spark):
     df = entry.entry(spark)
-    assert df.columns == ["item_id", "score", "rank"] and df.count() > 0
+    assert df.columns == ["item_id", "doc_id", "score", "rank"] and df.count() > 0

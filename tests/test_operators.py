@@ -20,14 +20,22 @@ def test_relational_edges(spark):
     assert status == {1: "removed", 2: "same", 3: "changed", 4: "added"}
 
 
-def test_containment_against_loops(spark):
+def test_containment_against_loops(spark, monkeypatch):
     r = random.Random(1)
     hay = [(i, "".join(r.choice("abAB ") for _ in range(r.randint(0, 40)))) for i in range(80)] + [(90, None), (91, "İx")]
     needles = [(i, "".join(r.choice("abAB") for _ in range(r.randint(0, 9)))) for i in range(60)] + [(90, None), (91, "")]
     want = {(i, j) for i, h in hay for j, n in needles if h is not None and n is not None and n.lower() in h.lower()}
     a, b = spark.createDataFrame(hay, "i int, _hay string"), spark.createDataFrame(needles, "j int, _needle string")
-    got = [(x["i"], x["j"]) for x in R.contains_join(a, b, "_hay", "_needle", 3).collect()]
+    got = [(x["i"], x["j"]) for x in R.contains_join(a, b, "_hay", "_needle").collect()]
     assert set(got) == want and len(got) == len(want)
+    monkeypatch.setattr(R, "AUTOMATON_CHARS", 40)
+    monkeypatch.setattr(R, "BROADCAST_NEEDLES", 5)
+    got = [(x["i"], x["j"]) for x in R.contains_join(a, b, "_hay", "_needle").collect()]
+    assert set(got) == want and len(got) == len(want)
+    monkeypatch.undo()
+    many = spark.range(100_000).select(F.concat(F.lit("n"), F.col("id").cast("string"), F.lit(";")).alias("_needle"), F.col("id").alias("j"))
+    text = spark.createDataFrame([(1, "xn7; N99999; n5 n12345;n")], "i int, _hay string")
+    assert sorted(x["j"] for x in R.contains_join(text, many, "_hay", "_needle").collect()) == [7, 12345, 99999]
     assert R.contains_join(a, b.limit(0), "_hay", "_needle").count() == 0 and R.contains_join(a.limit(0), b, "_hay", "_needle").count() == 0
 
 

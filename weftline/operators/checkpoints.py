@@ -28,3 +28,23 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared folder, so that lost executors take nothing with them."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+class Rounds:
+    """The state of an iteration, written as a table in the shared folder each round; the round before goes.
+
+    Unlike a checkpoint, a table that is read again brings its own size: the sizes that Spark estimates for joins of checkpoints
+    multiply from round to round, until planning takes longer than the jobs.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.last = spark, None
+
+    def put(self, df: DataFrame) -> DataFrame:
+        path, before = new_folder(self.spark, "round"), self.last
+        df.write.parquet(path)
+        self.last = path
+        if before:
+            folder = self.spark._jvm.org.apache.hadoop.fs.Path(before)
+            folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+        return self.spark.read.schema(df.schema).parquet(path)

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from weftline.operators.checkpoints import Rounds
 from weftline.operators.checkpoints import cut as _cut
 
 
@@ -20,13 +22,14 @@ def climbed(nodes: DataFrame, node: str, parent: str) -> DataFrame:
     not exist are left out. Each node has one parent at most.
     """
     no_parent = F.col(parent).isNull()
-    state = _cut(nodes.select(F.col(node).alias("node"), F.when(no_parent, F.col(node)).otherwise(F.col(parent)).alias("at"), F.when(no_parent, 0).otherwise(1).alias("distance"), no_parent.alias("done")))
+    rounds = Rounds(nodes.sparkSession)
+    state = rounds.put(nodes.select(F.col(node).alias("node"), F.when(no_parent, F.col(node)).otherwise(F.col(parent)).alias("at"), F.when(no_parent, 0).otherwise(1).alias("distance"), no_parent.alias("done")))
     for _ in range(max(1, state.count()).bit_length() + 1):
         if state.where(~F.col("done")).isEmpty():
             break
         up = state.select(F.col("node").alias("at"), F.col("at").alias("_at"), F.col("distance").alias("_more"), F.col("done").alias("_done"))
         moved = state.where(~F.col("done")).join(up, "at").select("node", F.col("_at").alias("at"), (F.col("distance") + F.col("_more")).alias("distance"), F.col("_done").alias("done"))
-        state = _cut(state.where("done").unionByName(moved))
+        state = rounds.put(state.where("done").unionByName(moved))
     return state
 
 
@@ -36,16 +39,20 @@ def levels(nodes: DataFrame, node: str, parent: str) -> DataFrame:
 
 
 def ancestors(nodes: DataFrame, node: str, parent: str) -> DataFrame:
-    """GRF-08: (node, ancestor, distance) by doubling: paths of up to 2**k edges from two of half the length, until none is new. Nodes of a cycle have each other, and themselves, as ancestors."""
-    reach = _cut(nodes.where(F.col(parent).isNotNull()).select(F.col(node), F.col(parent).alias("ancestor"), F.lit(1).alias("distance")))
-    n = reach.count()
-    while True:
-        far = reach.alias("x").join(reach.alias("y"), F.col("x.ancestor") == F.col(f"y.{node}")).select(F.col(f"x.{node}").alias(node), F.col("y.ancestor").alias("ancestor"), (F.col("x.distance") + F.col("y.distance")).alias("distance"))
-        reach = _cut(reach.unionByName(far).groupBy(node, "ancestor").agg(F.min("distance").alias("distance")))
+    """GRF-08: (node, ancestor, distance) by doubling. Each round joins the paths of the longest length so far, one a node, to the paths so far, so that a path is made once. Nodes of a cycle have each other, and themselves, as ancestors."""
+    step = nodes.where(F.col(parent).isNotNull()).select(F.col(node).alias("node"), F.col(parent).alias("ancestor"), F.lit(1).alias("distance")).distinct()
+    reach, jump = (_cut(step),) * 2
+    seen = -1
+    while not jump.isEmpty():
+        by = jump.select(F.col("node"), F.col("ancestor").alias("via"), F.col("distance").alias("_d"))
+        onward = by.join(reach.select(F.col("node").alias("via"), "ancestor", "distance"), "via").select("node", "ancestor", (F.col("_d") + F.col("distance")).alias("distance"))
+        reach = _cut(reach.unionByName(onward).groupBy("node", "ancestor").agg(F.min("distance").alias("distance")))
         now = reach.count()
-        if now == n:
-            return reach
-        n = now
+        if now == seen:
+            break
+        seen = now
+        jump = _cut(by.join(jump.select(F.col("node").alias("via"), "ancestor", "distance"), "via").select("node", "ancestor", (F.col("_d") + F.col("distance")).alias("distance")))
+    return reach.withColumnRenamed("node", node)
 
 
 def trees(nodes: DataFrame, node: str, parent: str) -> DataFrame:
@@ -55,22 +62,75 @@ def trees(nodes: DataFrame, node: str, parent: str) -> DataFrame:
     return levels(nodes, node, parent).join(lists, node, "left").select(node, F.coalesce("children", none).alias("children"), F.col("level").alias("depth"))
 
 
+def _least_reaching(edges: DataFrame, nodes: DataFrame, start: str, end: str) -> DataFrame:
+    """(node, least): for each node the least (p, node) of itself and all nodes that reach it along ``edges``.
+
+    A node's least also takes over that of the node it names, which reaches it too, so that rounds don't grow with the length
+    of a path but about with its logarithm.
+    """
+    rounds = Rounds(nodes.sparkSession)
+    state = rounds.put(nodes.select("node", F.struct("p", "node").alias("least")))
+    while True:
+        come = edges.join(state.select(F.col("node").alias(start), "least"), start).select(F.col(end).alias("node"), "least")
+        far = state.select(F.col("least.node").alias("_via"), "node").join(state.select(F.col("node").alias("_via"), "least"), "_via").select("node", "least")
+        mine = state.withColumn("_own", F.lit(True)).unionByName(come.unionByName(far).withColumn("_own", F.lit(False)))
+        state = rounds.put(mine.groupBy("node").agg(F.min("least").alias("least"), F.min(F.when(F.col("_own"), F.col("least"))).alias("_old")).select("node", "least", (F.col("least") < F.col("_old")).alias("_moved")))
+        if state.where("_moved").isEmpty():
+            return state.drop("_moved")
+        state = state.drop("_moved")
+
+
+def _without_dead_ends(e: DataFrame) -> DataFrame:
+    """Edges (a, b) without the nodes whose only way on, however long, ends at a node without an edge out."""
+    out = e.groupBy("a").agg(F.count("*").alias("n"), F.min("b").alias("b"))
+    nodes = e.select(F.col("a").alias("node")).union(e.select("b")).distinct()
+    up = climbed(nodes.join(out, F.col("node") == F.col("a"), "left").select("node", F.when(F.col("n") == 1, F.col("b")).alias("up")), "node", "up").where("done")
+    dead = _cut(up.join(e.select(F.col("a").alias("at")).distinct(), "at", "left_anti").select(F.col("node").alias("_n")))
+    return _cut(e.join(dead, F.col("a") == F.col("_n"), "left_anti").join(dead, F.col("b") == F.col("_n"), "left_anti"))
+
+
+def components(edges: DataFrame, a: str, b: str) -> DataFrame:
+    """GRF-02: (node, component) of the nodes on cycles: strongly connected components of two nodes or more, and nodes with an edge to themselves. The component is its least node.
+
+    By forward and backward colouring: a node's colour is the node of least priority that reaches it; of the nodes of one colour
+    those that reach it back are its component. Priorities are hashed anew each round, which halves what is left on average.
+    Chains that lead nowhere, or that nothing leads into, leave at once before that, and single such nodes in each round.
+    """
+    e = _cut(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null").distinct())
+    found = e.where("a = b").select(F.col("a").alias("node"), F.col("a").alias("component"))
+    e, seed = _without_dead_ends(_cut(e.where("a <> b"))), 0
+    e = _without_dead_ends(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).select(F.col("b").alias("a"), F.col("a").alias("b"))
+    while True:
+        for _ in range(2):
+            heads, tails = e.select(F.col("b").alias("_n")).distinct(), e.select(F.col("a").alias("_n")).distinct()
+            e = e.join(heads, F.col("a") == F.col("_n"), "left_semi").join(tails, F.col("b") == F.col("_n"), "left_semi")
+        e = _cut(e)
+        if e.isEmpty():
+            break
+        nodes = e.select(F.col("a").alias("node")).union(e.select("b")).distinct().withColumn("p", F.xxhash64("node", F.lit(seed)))
+        colour = _cut(_least_reaching(e, nodes, "a", "b").select("node", F.col("least.node").alias("c")))
+        by = lambda side: colour.select(F.col("node").alias(side), F.col("c").alias(f"_{side}"))  # noqa: E731, B023
+        inner = _cut(e.join(by("a"), "a").join(by("b"), "b").where("_a = _b").select("a", "b"))
+        back = _least_reaching(inner, nodes, "b", "a").select("node", F.col("least.node").alias("r"))
+        member = _cut(colour.join(back, "node").where("c = r").select("node", "c"))
+        groups = member.groupBy("c").agg(F.count("*").alias("n"), F.min("node").alias("component")).where("n > 1")
+        found = found.unionByName(_cut(member.join(groups, "c").select("node", "component")))
+        gone = member.select(F.col("node").alias("_n"))
+        e, seed = _cut(inner.join(gone, F.col("a") == F.col("_n"), "left_anti").join(gone, F.col("b") == F.col("_n"), "left_anti")), seed + 1
+    return found.groupBy("node").agg(F.min("component").alias("component"))
+
+
 def on_cycle(edges: DataFrame, a: str, b: str) -> DataFrame:
     """GRF-02, GRF-06: nodes on cycles.
 
-    Where each node has one edge out (a parent), these are where the nodes stand that climb without an end. Else nodes without
-    an edge in, or without one out, go again and again until none does; what is left are nodes on cycles or between them.
+    Where each node has one edge out (a parent), these are where the nodes stand that climb without an end; else those of the
+    strongly connected components.
     """
     e = _cut(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null").distinct())
     if e.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
         ends = e.select(F.col("b").alias("a")).join(e.select("a"), "a", "left_anti").distinct().select("a", F.lit(None).cast(e.schema["b"].dataType).alias("b"))
         return climbed(e.unionByName(ends), "a", "b").where(~F.col("done")).select(F.col("at").alias("node")).distinct()
-    n = -1
-    while (now := e.count()) != n:
-        n = now
-        heads, tails = e.select(F.col("b").alias("_n")).distinct(), e.select(F.col("a").alias("_n")).distinct()
-        e = _cut(e.join(heads, F.col("a") == F.col("_n"), "left_semi").join(tails, F.col("b") == F.col("_n"), "left_semi"))
-    return e.select(F.col("a").alias("node")).distinct()
+    return components(e, "a", "b").select("node")
 
 
 def cycles(edges: DataFrame, a: str, b: str, longest: int = 10) -> DataFrame:
@@ -90,18 +150,21 @@ def cycles(edges: DataFrame, a: str, b: str, longest: int = 10) -> DataFrame:
 def longest_path(edges: DataFrame, a: str, b: str, roots: int = 100, deepest: int = 30) -> DataFrame:
     """GRF-03, fixed values 100 and 30: (root, depth): edges on the longest walk from each of the first roots that meets no node twice, up to a depth.
 
-    Without cycles every walk is one, and walks of one root that meet at a node after as many edges are one row: at most roots
-    x nodes rows a step. Only where the roots' graph has cycles are walks kept apart, with their nodes.
+    A walk that has left a strongly connected component never comes back, so only the nodes met inside the present one matter:
+    outside cycles, walks of one root that meet at a node after as many edges are one row, at most roots x nodes rows a step;
+    inside a component walks are kept apart by the set of its nodes that they have met.
     """
     e = _cut(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).distinct())
     starts = e.select(F.col("a").alias("root")).distinct().join(e.select(F.col("b").alias("root")).distinct(), "root", "left_anti").orderBy("root").limit(roots)
-    free = on_cycle(e, "a", "b").isEmpty()
-    front = _cut(starts.select("root", F.col("root").alias("at"), F.array("root").alias("path")))
+    ends = components(e, "a", "b").select(F.col("node").alias("b"), "component")
+    e = _cut(e.join(ends, "b", "left"))
+    none = F.array().cast(T.ArrayType(e.schema["b"].dataType))
+    front = _cut(starts.select("root", F.col("root").alias("at"), F.lit(None).cast(ends.schema["component"].dataType).alias("inside"), none.alias("met")))
     out = front.select("root", F.lit(0).alias("depth"))
     for n in range(1, deepest + 1):
-        far = front.join(e, F.col("at") == F.col("a"))
-        far = far.select("root", F.col("b").alias("at"), "path").dropDuplicates(["root", "at"]) if free else far.where(~F.array_contains("path", F.col("b"))).select("root", F.col("b").alias("at"), F.concat("path", F.array("b")).alias("path"))
-        front = _cut(far)
+        far = front.join(e, F.col("at") == F.col("a")).where(~F.array_contains("met", F.col("b")))
+        met = F.when(F.col("component").isNull(), none).when(F.col("component").eqNullSafe(F.col("inside")), F.array_sort(F.concat("met", F.array("b")))).otherwise(F.array("b"))
+        front = _cut(far.select("root", F.col("b").alias("at"), F.col("component").alias("inside"), met.alias("met")).distinct())
         if front.isEmpty():
             break
         out = out.unionByName(front.select("root", F.lit(n).alias("depth")).distinct())

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: Characters of needles in one automaton (some 50 bytes each in a worker), and needle rows up to which they are broadcast to their matches.
+AUTOMATON_CHARS, BROADCAST_NEEDLES = 4_000_000, 200_000
 
 
 def where_all(df: DataFrame, *predicates: Column | None) -> DataFrame:
@@ -92,24 +98,51 @@ def cascade(df: DataFrame, lookups: list[tuple[DataFrame, list[str], str]], out:
     return df.withColumn(out, F.coalesce(*names)).drop(*names)
 
 
-def contains_join(df: DataFrame, needles: DataFrame, hay: str, needle: str, gram: int = 6) -> DataFrame:
+def contains_join(df: DataFrame, needles: DataFrame, hay: str, needle: str) -> DataFrame:
     """JN-13: rows whose text holds a needle, whatever the case, for any number of needles.
 
-    A needle's first characters, ``gram`` at most, are joined to all pieces of that length of the texts, each once a text; then
-    the whole needle is looked for. Null needles are held by nothing, empty ones by every text.
+    Each text is read once by an Aho-Corasick automaton of all needles, which is broadcast; needles of more characters in all
+    than an automaton takes are cut into shards by their hash, each with its own pass over the texts. Null needles are held by
+    nothing, empty ones by every text.
     """
+    spark = df.sparkSession
     n = needles.select(F.struct("*").alias("_n"), F.lower(needle).alias("_needle")).where("_needle is not null")
-    n = n.withColumn("_gram", F.left("_needle", F.lit(gram)))
-    sizes = sorted(r[0] for r in n.select(F.length("_gram")).distinct().collect())  # at most one for each length up to ``gram``
+    distinct = n.select("_needle").distinct()
+    chars, count = distinct.agg(F.coalesce(F.sum(F.length("_needle")), F.lit(0)), F.count("*")).first()
+    shards = -(-chars // AUTOMATON_CHARS) or 1
     h = df.select(F.struct("*").alias("_h"), F.lower(hay).alias("_hay")).where("_hay is not null")
-
-    def pieces(size: int) -> Column:
-        starts = F.sequence(F.lit(1), F.length("_hay") - (size - 1))
-        return F.when(F.length("_hay") >= size, F.transform(starts, lambda i: F.substr("_hay", i, F.lit(size)))).otherwise(F.array().cast("array<string>"))
-
-    at = [pieces(size) for size in sizes if size]
-    grams = F.array_distinct(F.concat(*at, F.array(F.lit("")))) if at else F.array(F.lit(""))
-    return h.withColumn("_gram", F.explode(grams)).join(n, "_gram").where(F.contains("_hay", "_needle")).select("_h.*", "_n.*")
+    schema = T.StructType([T.StructField("_h", h.schema["_h"].dataType), T.StructField("_needle", T.StringType())])
+
+    def held(words: list[str]) -> DataFrame:
+        shared = spark.sparkContext.broadcast(words)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            import ahocorasick
+
+            automaton, everywhere = ahocorasick.Automaton(ahocorasick.STORE_INTS), [i for i, w in enumerate(shared.value) if not w]
+            for i, w in enumerate(shared.value):
+                if w:
+                    automaton.add_word(w, i)
+            automaton.make_automaton()
+            names = pa.array(shared.value, pa.string())
+            for b in batches:
+                for lo in range(0, b.num_rows, 1024):
+                    part, rows, found = b.slice(lo, 1024), [], []
+                    for k, text in enumerate(part.column(1)):
+                        here = {i for _, i in automaton.iter(text.as_py())} if len(automaton) else set()
+                        rows += [k] * (len(here) + len(everywhere))
+                        found += [*here, *everywhere]
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows, pa.int64())), names.take(pa.array(found, pa.int64()))], names=["_h", "_needle"])
+
+        return h.mapInArrow(run, schema)
+
+    out = None
+    for i in range(shards):
+        mine = distinct.where(F.pmod(F.xxhash64("_needle"), F.lit(shards)) == i) if shards > 1 else distinct
+        found = held([r[0] for r in mine.collect()])  # about AUTOMATON_CHARS characters
+        out = found if out is None else out.unionByName(found)
+    same = n if count > BROADCAST_NEEDLES or needles.count() > BROADCAST_NEEDLES else F.broadcast(n)
+    return out.join(same, "_needle").select("_h.*", "_n.*")
 
 
 def compare(a: DataFrame, b: DataFrame, key: str, content: str) -> DataFrame:

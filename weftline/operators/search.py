@@ -1,27 +1,41 @@
 """Full-text search: postings, BM25, boosts, budgets.
 
-The index is two frames: documents with their tokens, made once and written, and corpus statistics (one row). A query's tokens
-select and weight the tokens of the documents where these lie: with a table of asked tokens that fits a broadcast, checked by
-its number of rows, a document's score for a query is complete in one task, so that one sum a document and query is shuffled,
-and of these the best of each task alone; beyond that size tokens are joined by a shuffle. Token frequency is 1 by default, as
-tokens are made distinct first (Q-01); ``tf="count"`` counts them.
+An index is documents with their tokens, made once and written, and corpus statistics (one row). `with_blocks` adds the inverted
+index: Parquet partitioned by a hash of the token, a row for each token and slot of documents with the documents there, what
+each would add to a score before the token's weight, and the largest of these. A query reads the buckets of its tokens alone.
+Their blocks meet by slot, so that a document's score is complete in one task, whose best k alone are shuffled; within a slot
+tokens are taken by falling bound, and once what is left can't lift a new document into the best k, only documents that can
+still get there are looked up (MaxScore; exact). Without blocks, or for more asked tokens than a broadcast takes, tokens are joined. Token
+frequency is 1 by default, as tokens are made distinct first (Q-01); ``tf="count"`` counts them. Scores are compared to nine
+decimals, so that equal documents are in the order of their keys whatever the order of summation.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass, replace
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from weftline.functions import scoring, tokens
 from weftline.operators import windows
-from weftline.operators.checkpoints import cut
+from weftline.operators.checkpoints import cut, new_folder
 from weftline.sources import sinks
 
-
 #: Asked tokens, with their queries, of up to so many rows are broadcast (about 40 bytes each).
 BROADCAST_TOKENS = 500_000
+#: Documents of a slot, on average: what one posting block holds at most.
+SLOT_DOCS = 2048
+#: Postings of a bucket, on average, and buckets at most.
+BUCKET_POSTINGS, MOST_BUCKETS = 2_000_000, 1024
+#: Decimals to which scores are compared.
+DECIMALS = 9
 
 
 @dataclass
@@ -33,6 +47,9 @@ class Index:
     stats: DataFrame
     key: str
     path: str | None = None
+    blocks: str | None = None
+    slots: int = 0
+    buckets: int = 0
 
     @property
     def postings(self) -> DataFrame:
@@ -41,8 +58,9 @@ class Index:
 
     def drop(self) -> None:
         """SCH-03: the folder of a stored index goes."""
-        if self.path:
-            sinks.delete_folder(self.docs.sparkSession, self.path)
+        for path in (self.path, self.blocks):
+            if path:
+                sinks.delete_folder(self.docs.sparkSession, path)
 
 
 def build(docs: DataFrame, key: str, text: Column, tf: str = "binary", last: list[Column] | None = None, path: str | None = None) -> Index:
@@ -66,6 +84,136 @@ def build(docs: DataFrame, key: str, text: Column, tf: str = "binary", last: lis
     return Index(docs, stored, stats, key, path)
 
 
+def _bucket(token: str | Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(token), F.lit(buckets)).cast("int")
+
+
+def with_blocks(index: Index, path: str | None = None) -> Index:
+    """SCH-01: ``index`` with its posting blocks in a folder of their own, which `Index.drop` removes."""
+    spark = index.docs.sparkSession
+    n, postings = index.tokens.agg(F.count("*"), F.sum(F.size("tokens"))).first()
+    slots, buckets = max(1, -(-n // SLOT_DOCS)), min(MOST_BUCKETS, max(8, (postings or 0) // BUCKET_POSTINGS))
+    each = index.postings.join(F.broadcast(index.stats)).select(
+        _bucket("token", buckets).alias("bucket"), F.pmod(F.xxhash64("doc"), F.lit(slots)).cast("int").alias("slot"), "token", "doc", scoring.saturation("tf", "length", "mean").alias("impact")
+    )
+    blocks = each.repartition("bucket", "slot").groupBy("bucket", "slot", "token").agg(F.collect_list(F.struct("doc", "impact")).alias("p"), F.max("impact").alias("most"), F.count("*").alias("n"))
+    path = path or new_folder(spark, "blocks")
+    blocks.select("bucket", "slot", "token", "n", "most", F.col("p.doc").alias("docs"), F.col("p.impact").alias("impacts")).write.partitionBy("bucket").parquet(path)
+    return replace(index, blocks=path, slots=slots, buckets=buckets)
+
+
+def read_blocks(index: Index, asked: DataFrame) -> DataFrame:
+    """The blocks of the tokens of ``asked`` (token): only the folders of their buckets are read. At most MOST_BUCKETS numbers reach the driver."""
+    numbers = sorted(r[0] for r in asked.select(_bucket("token", index.buckets)).distinct().collect())
+    doc = index.tokens.schema["doc"].dataType
+    fields = {"slot": T.IntegerType(), "token": T.StringType(), "n": T.LongType(), "most": T.DoubleType(), "docs": T.ArrayType(doc), "impacts": T.ArrayType(T.DoubleType()), "bucket": T.IntegerType()}
+    blocks = index.docs.sparkSession.read.schema(T.StructType([T.StructField(*f) for f in fields.items()])).parquet(index.blocks).where(F.col("bucket").isin(numbers))
+    return blocks.join(F.broadcast(asked.select("token").distinct()), "token", "left_semi")
+
+
+def best_of_slot(lists: dict[str, tuple[np.ndarray, np.ndarray]], n: int, order: np.ndarray, asked: list[tuple[str, float]], k: int, allowed: np.ndarray | None, steps: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(documents, scores) of the best k of one slot for one query, by score, then ``order``.
+
+    ``lists``: token -> (documents as numbers below n, in order, and their impacts). Tokens are taken by falling bound; ``steps``
+    counts the postings that were looked at.
+    """
+    known = [(t, w, w * float(lists[t][1].max())) for t, w in asked if t in lists]
+    known.sort(key=lambda x: (-x[2], x[0]))
+    left = np.append(np.cumsum([x[2] for x in known][::-1])[::-1], 0.0)
+    score, pending, alive = np.zeros(n), [], None
+    for i, (t, w, _) in enumerate(known):
+        docs, impacts = lists[t]
+        if alive is None:
+            score[docs] += w * impacts
+            if steps is not None:
+                steps[0] += len(docs)
+            open_ = score if allowed is None else np.where(allowed, score, 0.0)
+            if n > k and left[i + 1] < (kth := float(np.partition(open_, n - k)[n - k])) * (1 - 1e-12):
+                alive = np.flatnonzero((open_ + left[i + 1]) * (1 + 1e-12) + 1e-9 >= kth)
+                pending = known[i + 1 :]
+                break
+    for t, w, _ in pending:
+        docs, impacts = lists[t]
+        at = np.searchsorted(docs, alive)
+        at[at == len(docs)] = 0
+        hit = docs[at] == alive
+        score[alive[hit]] += w * impacts[at[hit]]
+        if steps is not None:
+            steps[0] += len(alive)
+    found = np.flatnonzero(score > 0) if alive is None else alive[score[alive] > 0]
+    if allowed is not None:
+        found = found[allowed[found]]
+    rounded = np.round(score[found], DECIMALS)
+    best = np.lexsort((order[found], -rounded))[:k]
+    return found[best], score[found[best]]
+
+
+def _scored(index: Index, asked: DataFrame, k: int, keep: Column | None) -> DataFrame:
+    """(qid, doc, score) of the best k of each slot and query."""
+    spark = index.docs.sparkSession
+    blocks = read_blocks(index, asked)
+    df = blocks.groupBy("token").agg(F.sum("n").alias("df"))
+    weights = asked.join(F.broadcast(df), "token").join(F.broadcast(index.stats)).select("qid", "token", scoring.idf("n", "df").alias("idf"))
+    by_query: dict = {}
+    for r in weights.collect():  # at most BROADCAST_TOKENS rows
+        by_query.setdefault(r["qid"], []).append((r["token"], r["idf"]))
+    shared = spark.sparkContext.broadcast(by_query)
+    rows, filtered = blocks.select("slot", "token", "docs", "impacts"), keep is not None
+    if keep is not None:
+        kept = index.docs.where(keep).select(F.col(index.key).alias("doc")).where("doc is not null").distinct()
+        slot = F.pmod(F.xxhash64("doc"), F.lit(index.slots)).cast("int").alias("slot")
+        lists = kept.select(slot, "doc").groupBy("slot").agg(F.collect_list("doc").alias("docs"))
+        rows = rows.unionByName(lists.select("slot", F.lit(None).cast("string").alias("token"), "docs", F.array().cast("array<double>").alias("impacts")))
+    qid, doc = asked.schema["qid"].dataType, index.tokens.schema["doc"].dataType
+    schema, kind = T.StructType([T.StructField("qid", qid), T.StructField("doc", doc), T.StructField("score", T.DoubleType())]), to_arrow_type(qid)
+
+    def of_slot(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(parts).combine_chunks()
+        tokens_, docs = table["token"].to_pylist(), table["docs"].combine_chunks()
+        ends = np.concatenate(([0], np.cumsum(docs.value_lengths().to_numpy())))
+        coded = docs.flatten().dictionary_encode()
+        names, numbers = coded.dictionary, coded.indices.to_numpy()
+        order = np.empty(len(names), np.int64)
+        order[np.array(pa.compute.sort_indices(names))] = np.arange(len(names))
+        impacts = table["impacts"].combine_chunks().flatten().to_numpy()
+        lists, allowed, at = {}, np.zeros(len(names), bool) if filtered else None, 0
+        for i, t in enumerate(tokens_):
+            d = numbers[ends[i] : ends[i + 1]]
+            if t is None:
+                allowed[d] = True
+                continue
+            x = impacts[at : at + len(d)]
+            at += len(d)
+            by = np.argsort(d, kind="stable")
+            lists[t] = (d[by], x[by])
+        qids, found, scores = [], [], []
+        for q, wanted in shared.value.items():
+            best, score = best_of_slot(lists, len(names), order, wanted, k, allowed)
+            qids += [q] * len(best)
+            found.append(best)
+            scores.append(score)
+        if qids:
+            yield pa.RecordBatch.from_arrays([pa.array(qids, kind), names.take(pa.array(np.concatenate(found))), pa.array(np.concatenate(scores))], names=["qid", "doc", "score"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, current = [], None
+        for b in batches:
+            slots = b.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(slots)) + 1).tolist(), len(slots)]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                if lo == hi:
+                    continue
+                if parts and slots[lo] != current:
+                    yield from of_slot(parts)
+                    parts = []
+                current = slots[lo]
+                parts.append(b.slice(lo, hi - lo))
+        if parts:
+            yield from of_slot(parts)
+
+    return rows.repartition("slot").sortWithinPartitions("slot").mapInArrow(run, schema)
+
+
 def search(index: Index, queries: DataFrame, query_id: str, query: str, k: int = 20, keep: Column | None = None) -> DataFrame:
     """SCH-02, MTH-03: (query_id, doc, score, rank): the k best documents of each query, by score, then document.
 
@@ -73,15 +221,18 @@ def search(index: Index, queries: DataFrame, query_id: str, query: str, k: int =
     """
     asked = cut(queries.select(F.col(query_id).alias("qid"), F.explode(tokens.search_tokens(query)).alias("token")))
     small = asked.count() <= BROADCAST_TOKENS
-    fit = F.broadcast if small else (lambda df: df)
-    wanted = asked.select("token").distinct()
-    df = index.postings.join(fit(wanted), "token", "left_semi").groupBy("token").agg(F.count("*").alias("df"))
-    weighted = cut(asked.join(df, "token").join(F.broadcast(index.stats)).select("qid", "token", scoring.idf("n", "df").alias("idf"), "mean"))
-    hits = index.postings
-    if keep is not None:
-        hits = hits.join(index.docs.where(keep).select(F.col(index.key).alias("doc")), "doc", "left_semi")
-    scored = hits.join(fit(weighted), "token").groupBy("qid", "doc").agg(F.sum(F.col("idf") * scoring.saturation("tf", "length", "mean")).alias("score"))
-    ranked = windows.ordinal(scored.where("score > 0"), ["qid"], [F.col("score").desc(), F.col("doc")], "rank")
+    if index.blocks and small:
+        scored = _scored(index, asked, k, keep)
+    else:
+        fit = F.broadcast if small else (lambda df: df)
+        wanted = asked.select("token").distinct()
+        df = index.postings.join(fit(wanted), "token", "left_semi").groupBy("token").agg(F.count("*").alias("df"))
+        weighted = cut(asked.join(df, "token").join(F.broadcast(index.stats)).select("qid", "token", scoring.idf("n", "df").alias("idf"), "mean"))
+        hits = index.postings
+        if keep is not None:
+            hits = hits.join(index.docs.where(keep).select(F.col(index.key).alias("doc")), "doc", "left_semi")
+        scored = hits.join(fit(weighted), "token").groupBy("qid", "doc").agg(F.sum(F.col("idf") * scoring.saturation("tf", "length", "mean")).alias("score"))
+    ranked = windows.ordinal(scored.where("score > 0"), ["qid"], [F.round("score", DECIMALS).desc(), F.col("doc")], "rank")
     return ranked.where(F.col("rank") <= k).withColumnRenamed("qid", query_id)
 
 
@@ -99,7 +250,7 @@ def hybrid(index: Index, queries: DataFrame, query_id: str, query: str, boosted:
     first = search(index, queries, query_id, query, 2 * k).drop("rank")
     fields = index.docs.select(F.col(index.key).alias("doc"), F.coalesce(boosted, F.lit(False)).alias("_boost"), cost.alias("_tokens"))
     again = first.join(fields, "doc").withColumn("score", F.col("score") + F.when(F.col("_boost"), boost).otherwise(0.0))
-    best = windows.ordinal(again, [query_id], [F.col("score").desc(), F.col("doc")], "_rank").where(F.col("_rank") <= k)
+    best = windows.ordinal(again, [query_id], [F.round("score", DECIMALS).desc(), F.col("doc")], "_rank").where(F.col("_rank") <= k)
     kept = windows.budget(best, query_id, ["_rank"], "_tokens", "doc", max_tokens)
     return kept.join(best.select(query_id, "doc", "score"), [query_id, "doc"])
 

@@ -17,20 +17,26 @@ s AS (SELECT item_id, doc_id, sum(ln((n-df+0.5)/(df+0.5)+1.0)*2.5/(1+1.5*(0.25+0
 
 
 def _bm25_index(t: Tables) -> search.Index:
-    return search.build(t("documents").select("doc_id", "text", "source", "n_chars"), "doc_id", F.col("text"))
+    return search.with_blocks(search.build(t("documents").select("doc_id", "text", "source", "n_chars"), "doc_id", F.col("text")))
 
 
-@query(BM25 + """ SELECT item_id, round(score,6) AS score, rank FROM (SELECT item_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM s) WHERE rank<=20""")
+@query(BM25 + """ SELECT item_id, doc_id, round(score,6) AS score, rank FROM (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY round(score,9) DESC, doc_id)::INT AS rank FROM s) WHERE rank<=20""")
 def bm25_topk(t: Tables) -> DataFrame:
-    return search.search(_bm25_index(t), t("benchmark"), "item_id", "text", 20).select("item_id", F.round("score", 6).alias("score"), "rank")
+    return search.search(_bm25_index(t), t("benchmark"), "item_id", "text", 20).select("item_id", F.col("doc").alias("doc_id"), F.round("score", 6).alias("score"), "rank")
 
 
-@query(BM25 + """, a AS (SELECT item_id, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS r FROM s) WHERE r<=10),
-b AS (SELECT item_id, score+CASE WHEN source='src0' THEN 2.0 ELSE 0.0 END AS score, ceil(n_chars/4.0)::BIGINT AS cost, row_number() OVER (PARTITION BY item_id ORDER BY score+CASE WHEN source='src0' THEN 2.0 ELSE 0.0 END DESC, doc_id) AS r FROM a JOIN documents USING (doc_id))
-SELECT item_id, round(score,6) AS score, (r-1)::INT AS position FROM b WHERE r<=5""")
+_BOOST = "CASE WHEN contains(source,'rc1') THEN 2.0 ELSE 0.0 END"
+
+
+@query(BM25 + f""", a AS (SELECT item_id, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score,9) DESC, doc_id) AS r FROM s) WHERE r<=10),
+b AS (SELECT item_id, doc_id, score+{_BOOST} AS score, ceil(n_chars/4.0)::BIGINT AS cost, row_number() OVER (PARTITION BY item_id ORDER BY round(score+{_BOOST},9) DESC, doc_id) AS r FROM a JOIN documents USING (doc_id)),
+c AS (SELECT *, list_reduce(list(cost) OVER (PARTITION BY item_id ORDER BY r), lambda used, x: CASE WHEN used+x<=600 THEN used+x ELSE used END) AS used FROM b WHERE r<=5),
+d AS (SELECT *, lag(used, 1, 0::BIGINT) OVER (PARTITION BY item_id ORDER BY r) AS before FROM c)
+SELECT item_id, doc_id, round(score,6) AS score, (row_number() OVER (PARTITION BY item_id ORDER BY r)-1)::INT AS position FROM d WHERE used>before""")
 def hybrid_rerank(t: Tables) -> DataFrame:
-    hits = search.hybrid(_bm25_index(t), t("benchmark"), "item_id", "text", F.col("source") == "src0", F.ceil(F.col("n_chars") / 4.0), k=5, max_tokens=1_000_000)
-    return hits.select("item_id", F.round("score", 6).alias("score"), "position")
+    """Boosts sources whose name holds "rc1"; the budget of 600 tokens leaves out hits that no longer fit."""
+    hits = search.hybrid(_bm25_index(t), t("benchmark"), "item_id", "text", F.contains("source", F.lit("rc1")), F.ceil(F.col("n_chars") / 4.0), k=5, max_tokens=600)
+    return hits.select("item_id", F.col("doc").alias("doc_id"), F.round("score", 6).alias("score"), "position")
 
 
 @query(r"""SELECT doc_id, (ceil(length(text)/4.0))::INT AS tokens_a, CASE WHEN length(text)>0 THEN greatest(1,length(text)//4) ELSE 0 END::INT AS tokens_b, (length(text)//4)::INT AS tokens_c FROM documents""")
