@@ -260,3 +260,11 @@ def test_patterns_and_references(spark):
     pages = spark.createDataFrame([(1, "`UserFactory` and `Ghost`"), (2, "none")], "k int, t string")
     got = {r["k"]: (r["checked"], r["rate"], r["unknown"]) for r in code.authenticity(pages, "k", "t", rows, "name").collect()}
     assert got == {1: (2, 0.5, ["Ghost"]), 2: (0, 1.0, [])}
+
+
+def test_folds_take_items_without_a_cost(spark):
+    from weftline.operators import windows
+
+    df = spark.createDataFrame([("k", 1, 30, True), ("k", 2, None, True), ("k", 3, 80, True), ("k", 4, None, False)], "key string, id int, c int, may boolean")
+    assert {(r["id"], r["action"], r["tokens"]) for r in windows.pack(df, "key", ["id"], "c", "id", 200, "may").collect()} == {(1, "taken", 30), (2, "dropped", 0), (3, "taken", 80), (4, "dropped", 0)}
+    assert {(r["id"], r["batch_no"]) for r in windows.batches(df, "key", ["id"], "c", "id", 100).collect()} == {(1, 1), (2, 1), (3, 2), (4, 3)}

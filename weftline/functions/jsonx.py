@@ -86,7 +86,7 @@ def repair(text: str | None) -> str | None:
 
 
 def repaired(x: _C) -> Column:
-    """JSN-05 as a column: the scan of nested brackets is no regular expression, so it runs over Arrow batches."""
+    """JSN-05 as a column: the scan of nested brackets is no regular expression, so it runs over Arrow batches, and finds nothing to do in valid rows."""
 
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -94,7 +94,7 @@ def repaired(x: _C) -> Column:
             yield s.map(repair, na_action="ignore")
 
     valid = F.try_parse_json(col(x)).isNotNull()
-    return F.when(valid, col(x)).otherwise(run(col(x)))
+    return F.when(valid, col(x)).otherwise(run(F.when(~valid, col(x))))
 
 
 def front_matter_value(x: _C, key: str) -> Column:

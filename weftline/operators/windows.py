@@ -81,15 +81,17 @@ def budget(df: DataFrame, key: str, order: list[str], cost: str, ids: str, limit
 
 
 def pack(df: DataFrame, key: str, order: list[str], cost: str, ids: str, limit: int, may_cut: str, least: int = 100) -> DataFrame:
-    """WIN-08: (id, action, tokens): taken if it fits, cut if that is allowed and over ``least`` remains, else dropped; once nothing remains, the fold ends."""
+    """WIN-08: (id, action, tokens): taken if it fits, cut if that is allowed and over ``least`` remains, else dropped; once nothing remains, the fold ends. An item without a cost is dropped."""
 
     def fresh() -> Callable:
         left = limit
 
-        def step(_: object, c: int, may: bool) -> tuple | None:
+        def step(_: object, c: int | None, may: bool) -> tuple | None:
             nonlocal left
             if left <= 0:
                 return None
+            if c is None:
+                return "dropped", 0
             action, used = ("taken", c) if c <= left else ("cut", left) if may and left > least else ("dropped", 0)
             left -= used
             return action, used
@@ -100,13 +102,14 @@ def pack(df: DataFrame, key: str, order: list[str], cost: str, ids: str, limit:
 
 
 def batches(df: DataFrame, key: str, order: list[str], cost: str, ids: str, capacity: int, fill: float = 0.8) -> DataFrame:
-    """WIN-09, UDF-05: (id, batch_no): a new batch starts where the next item would overflow, or once ``fill`` of the capacity is used. ``cost`` names any column: an estimator is an expression of the caller."""
+    """WIN-09, UDF-05: (id, batch_no): a new batch starts where the next item would overflow, or once ``fill`` of the capacity is used. ``cost`` names any column: an estimator is an expression of the caller. An item without a cost counts as 0."""
 
     def fresh() -> Callable:
         batch, used = 1, 0
 
-        def step(_: object, c: int) -> tuple:
+        def step(_: object, c: int | None) -> tuple:
             nonlocal batch, used
+            c = c or 0
             if used > 0 and (used + c > capacity or used >= int(capacity * fill)):
                 batch, used = batch + 1, 0
             used += c

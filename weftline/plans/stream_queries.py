@@ -37,7 +37,7 @@ def _stream_query(name: str, sql: str, build, mode: str, finish) -> None:
 _stream_query(
     "stream_dedup",
     "SELECT DISTINCT user_id, event_type FROM events",
-    lambda e: e.withColumn("key", F.concat_ws("|", "user_id", "event_type")).withColumn("t", F.col("ts").cast("timestamp")).withWatermark("t", "365 days").dropDuplicatesWithinWatermark(["key"]),
+    lambda e: tasks.deduplicated(e.withColumn("key", F.concat_ws("|", "user_id", "event_type")).withColumn("t", F.col("ts").cast("timestamp")), "key", "t", "365 days"),
     "append",
     lambda out: out.select("user_id", "event_type"),
 )
