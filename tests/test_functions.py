@@ -152,3 +152,12 @@ def test_json_and_xml(spark):
     assert one(spark, jsonx.xml_pages("x"), x=xml) == ["A & B", "C"]
     assert one(spark, jsonx.xml_pages_by_pattern("x"), x="<page><title>A</title><page x=1><title> B </title>") == ["A", "B"]
     assert one(spark, jsonx.bytes_to_floats(jsonx.floats_to_bytes(F.array(F.lit(1.5), F.lit(-2.0)))), x="") == [1.5, -2.0]
+
+
+def test_order_of_a_locale(spark):
+    titles = ["深圳", "上海", "天津", "广州", "北京", None]
+    df = spark.createDataFrame([(t,) for t in titles], "t string")
+    ordered = lambda locale: [r["t"] for r in df.orderBy(text.in_locale("t", locale)).collect()]
+    assert ordered("zh") == [None, "北京", "广州", "上海", "深圳", "天津"]
+    swedish = spark.createDataFrame([(t,) for t in ("öl", "zebra", "ål", "apa")], "t string")
+    assert [r["t"] for r in swedish.orderBy(text.in_locale("t", "sv")).collect()] == ["apa", "zebra", "ål", "öl"]

@@ -196,3 +196,8 @@ def applies(providers: _C, provider: str) -> Column:
     """FLT-09: a null or empty list means any; otherwise membership whatever the case."""
     a = col(providers)
     return a.isNull() | (F.size(a) == 0) | F.exists(a, lambda x: F.lower(x) == provider.lower())
+
+
+def in_locale(x: _C, locale: str) -> Column:
+    """SRT-04: the text as its locale orders it (``zh``: by pinyin, ``sv``: å, ä, ö last), for sorting and comparing."""
+    return F.collate(col(x), locale)
