@@ -1,6 +1,7 @@
 """Windows and ordered folds.
 
 Greedy folds are not associative: the rows of a key stream in order through one task, which holds one batch and a few numbers.
+Keys of more rows than ``hot`` are spread over tasks instead (``hot_folds``), with the same result.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.operators import graph
+from weftline.operators import checkpoints, graph, hot_folds
 
 
 def top_and_rest(df: DataFrame, key: str, order: list[Column], k: int = 3, least: int = 3) -> DataFrame:
@@ -62,9 +63,17 @@ def folded(df: DataFrame, key: str, order: list[str], columns: list[str], fresh:
     return src.mapInArrow(run, schema)
 
 
-def budget(df: DataFrame, key: str, order: list[str], cost: str, ids: str, limit: int) -> DataFrame:
-    """WIN-07: greedy budget that skips what does not fit and goes on; the first item is always kept. One row a kept item: key, id, position."""
+def _hot(df: DataFrame, key: str, cost: str, hot: int) -> tuple[DataFrame, DataFrame | None, int]:
+    """(rows to fold key by key, rows of hot keys or None, their number); costs are longs in ``_cost``."""
+    rows = df.withColumn("_cost", F.col(cost).cast("long"))
+    keys = hot_folds.hot_keys(rows, key, "_cost", hot)
+    if keys is None:
+        return rows, None, 0
+    large, small = hot_folds.split(rows, key, keys)
+    return small, large, keys.agg(F.sum("_n")).first()[0]
+
 
+def _budget_step(limit: int) -> Callable:
     def fresh() -> Callable:
         used = n = 0
 
@@ -77,10 +86,33 @@ def budget(df: DataFrame, key: str, order: list[str], cost: str, ids: str, limit
 
         return step
 
-    return folded(df.withColumn("_cost", F.col(cost).cast("long")), key, [*order, ids, "_cost"], [ids, "_cost"], fresh, "position int").select(key, "position", ids)
+    return fresh
 
 
-def pack(df: DataFrame, key: str, order: list[str], cost: str, ids: str, limit: int, may_cut: str, least: int = 100) -> DataFrame:
+def budget(df: DataFrame, key: str, order: list[str], cost: str, ids: str, limit: int, hot: int = hot_folds.HOT_ROWS, block: int = hot_folds.BLOCK_ROWS) -> DataFrame:
+    """WIN-07: greedy budget that skips what does not fit and goes on; the first item is always kept. One row a kept item: key, id, position."""
+    small, large, n = _hot(df, key, cost, hot)
+    by = [*order, ids, "_cost"]
+    out = folded(small, key, by, [ids, "_cost"], _budget_step(limit), "position int").select(key, "position", ids)
+    if large is None:
+        return out
+    t = hot_folds.placed(large, key, by, n, block)
+    first = checkpoints.cut(t.groupBy(key).agg(F.min_by(F.struct("_m", F.coalesce("_cost", F.lit(0)).alias("_c")), "_m").alias("_f")).select(key, F.col("_f._m").alias("_after"), (F.lit(limit) - F.col("_f._c")).alias("_left")))
+    f = first.select(F.col(key).alias("_fk"), F.col("_after").alias("_first"), F.col("_left").alias("_second_left"))
+    t1 = t.join(F.broadcast(f), t[key].eqNullSafe(f["_fk"])).drop("_fk")
+    see = t1.where("_m = _first").select(key, "_m", "_cost").unionByName(hot_folds.relevant(t, key, first, F.lit(False), 0).select(key, "_m", "_cost"))
+    taken = folded(see, key, ["_m"], ["_m", "_cost"], _budget_step(limit), "position int").select(F.col("_m").alias("_tm"))
+    # Items that cost nothing are kept wherever they stand, unless the first overran the limit.
+    free = (F.col("_cost") == 0) & (F.col("_m") > F.col("_first")) & (F.col("_second_left") >= 0)
+    kept = checkpoints.cut(t1.join(taken, F.col("_m") == F.col("_tm"), "left").where(F.col("_tm").isNotNull() | free).select(key, ids, "_m", "_part"))
+    parts = kept.groupBy(key, "_part").agg(F.count("*").alias("_n"))
+    before = parts.select(F.col(key).alias("_bk"), F.col("_part").alias("_bp"), (F.sum("_n").over(Window.partitionBy(key).orderBy("_part")) - F.col("_n")).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(key, "_part").orderBy("_m"))
+    kept = kept.join(F.broadcast(before), kept[key].eqNullSafe(before["_bk"]) & (kept["_part"] == before["_bp"])).withColumn("position", (F.col("_before") + inside - 1).cast("int"))
+    return out.unionByName(kept.select(key, "position", ids))
+
+
+def pack(df: DataFrame, key: str, order: list[str], cost: str, ids: str, limit: int, may_cut: str, least: int = 100, hot: int = hot_folds.HOT_ROWS, block: int = hot_folds.BLOCK_ROWS) -> DataFrame:
     """WIN-08: (id, action, tokens): taken if it fits, cut if that is allowed and over ``least`` remains, else dropped; once nothing remains, the fold ends. An item without a cost is dropped."""
 
     def fresh() -> Callable:
@@ -98,11 +130,25 @@ def pack(df: DataFrame, key: str, order: list[str], cost: str, ids: str, limit:
 
         return step
 
-    return folded(df.withColumn("_cost", F.col(cost).cast("long")), key, [*order, ids, "_cost"], [ids, "_cost", may_cut], fresh, "action string, tokens long")
-
-
-def batches(df: DataFrame, key: str, order: list[str], cost: str, ids: str, capacity: int, fill: float = 0.8) -> DataFrame:
+    small, large, n = _hot(df, key, cost, hot)
+    by = [*order, ids, "_cost"]
+    out = folded(small, key, by, [ids, "_cost", may_cut], fresh, "action string, tokens long")
+    if large is None:
+        return out
+    t = hot_folds.placed(large, key, by, n, block)
+    start = t.select(key).distinct().select(key, F.lit(-1).cast("long").alias("_after"), F.lit(limit).cast("long").alias("_left"))
+    see = hot_folds.relevant(t, key, start, F.col(may_cut), least)
+    done = checkpoints.cut(folded(see, key, ["_m"], ["_m", "_cost", may_cut], fresh, "action string, tokens long").where("tokens > 0"))
+    end = done.groupBy(key).agg(F.sum("tokens").alias("_sum"), F.max("_m").alias("_end")).where(F.col("_sum") >= limit).select(F.col(key).alias("_ek"), "_end")
+    d = done.select(F.col("_m").alias("_dm"), "action", "tokens")
+    rows = t.join(F.broadcast(end), t[key].eqNullSafe(end["_ek"]), "left").where(F.coalesce(F.col("_m") <= F.col("_end"), F.lit(limit > 0))).join(d, F.col("_m") == F.col("_dm"), "left")
+    action = F.coalesce("action", F.when(F.col("_cost") == 0, "taken"), F.lit("dropped"))
+    return out.unionByName(rows.select(key, ids, action.alias("action"), F.coalesce("tokens", F.lit(0)).cast("long").alias("tokens")))
+
+
+def batches(df: DataFrame, key: str, order: list[str], cost: str, ids: str, capacity: int, fill: float = 0.8, hot: int = hot_folds.HOT_ROWS, block: int = hot_folds.BLOCK_ROWS) -> DataFrame:
     """WIN-09, UDF-05: (id, batch_no): a new batch starts where the next item would overflow, or once ``fill`` of the capacity is used. ``cost`` names any column: an estimator is an expression of the caller. An item without a cost counts as 0."""
+    full = int(capacity * fill)
 
     def fresh() -> Callable:
         batch, used = 1, 0
@@ -110,14 +156,17 @@ def batches(df: DataFrame, key: str, order: list[str], cost: str, ids: str, capa
         def step(_: object, c: int | None) -> tuple:
             nonlocal batch, used
             c = c or 0
-            if used > 0 and (used + c > capacity or used >= int(capacity * fill)):
+            if used > 0 and (used + c > capacity or used >= full):
                 batch, used = batch + 1, 0
             used += c
             return (batch,)
 
         return step
 
-    return folded(df.withColumn("_cost", F.col(cost).cast("long")), key, [*order, ids, "_cost"], [ids, "_cost"], fresh, "batch_no int")
+    small, large, n = _hot(df, key, cost, hot)
+    by = [*order, ids, "_cost"]
+    out = folded(small, key, by, [ids, "_cost"], fresh, "batch_no int")
+    return out if large is None else out.unionByName(hot_folds.batches(large, key, by, ids, n, capacity, full, block, folded))
 
 
 def assigned(modules: DataFrame, entries: DataFrame, module: str, path: str, score: str, each: int = 2, most: int = 30) -> DataFrame:
