@@ -85,11 +85,6 @@ def child_counts(df: DataFrame, children: DataFrame, key: str, child_key: str, n
     return left_lookup(df, n, key, {name: 0})
 
 
-def interval_overlap(a: DataFrame, b: DataFrame, on: str, start: str, end: str, other_start: str, other_end: str) -> DataFrame:
-    """JN-08: equal key and intervals that meet, ends included. The key is an equi-join; the range filters within it."""
-    return a.join(b, on).where((F.col(other_start) <= F.col(end)) & (F.col(other_end) >= F.col(start)))
-
-
 def cascade(df: DataFrame, lookups: list[tuple[DataFrame, list[str], str]], out: str) -> DataFrame:
     """JN-09: the first lookup that has the keys decides. Each lookup (frame, keys, value) must have one row a key."""
     for i, (frame, keys, value) in enumerate(lookups):

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import scoring, text
+from weftline.operators import intervals
 from weftline.operators import relational as R
 from weftline.operators import windows as W
 from weftline.plans.catalogue import Tables, query
@@ -109,7 +110,34 @@ SELECT k, count(*) AS n_overlaps FROM a JOIN b USING (k) WHERE s2<=e AND e2>=s G
 def interval_overlap_join(t: Tables) -> DataFrame:
     a = t("lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("s"), (F.col("l_linenumber") + F.col("l_quantity").cast("int") % 3).alias("e"))
     b = t("lineitem").where("l_returnflag = 'N'").select(F.col("l_orderkey").alias("k"), (F.col("l_linenumber") * 2).alias("s2"), (F.col("l_linenumber") * 2 + 1).alias("e2"))
-    return R.interval_overlap(a, b, "k", "s", "e", "s2", "e2").groupBy("k").agg(F.count("*").alias("n_overlaps"))
+    return intervals.overlap(a, b, "k", "s", "e", "s2", "e2").groupBy("k").agg(F.count("*").alias("n_overlaps"))
+
+
+_SPANS = """a AS (SELECT l_returnflag AS f, l_orderkey AS id, l_linenumber AS n, l_partkey*50+l_suppkey AS s, l_partkey*50+l_suppkey+CAST(l_quantity AS BIGINT) AS e FROM lineitem)"""
+
+
+def _spans(t: Tables) -> DataFrame:
+    """Lines of three keys, each of which holds a third of all rows or more, as intervals of part and supplier."""
+    at = F.col("l_partkey") * 50 + F.col("l_suppkey")
+    return t("lineitem").select(F.col("l_returnflag").alias("f"), F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("n"), at.alias("s"), (at + F.col("l_quantity").cast("long")).alias("e"))
+
+
+@query(f"""WITH {_SPANS}, b AS (SELECT f, s AS s2, e AS e2 FROM a WHERE n=1)
+SELECT f, count(*) AS n_pairs, sum(s2-s)::BIGINT AS shift FROM a JOIN b USING (f) WHERE a.n=2 AND s2<=e AND e2>=s GROUP BY 1""")
+def interval_pairs_by_bins(t: Tables) -> DataFrame:
+    a = _spans(t)
+    b = a.where("n = 1").select("f", F.col("s").alias("s2"), F.col("e").alias("e2"))
+    return intervals.overlap(a.where("n = 2"), b, "f", "s", "e", "s2", "e2", hot=1).groupBy("f").agg(F.count("*").alias("n_pairs"), F.sum(F.col("s2") - F.col("s")).cast("long").alias("shift"))
+
+
+@query(f"""WITH {_SPANS}, c AS (SELECT DISTINCT f, s, e FROM a WHERE n<=2), y AS (SELECT f, id, n, s AS s2, e AS e2 FROM a WHERE n>2),
+m AS (SELECT c.f, c.s, c.e, arg_min(id, (s2,id)) FILTER (WHERE n<=5) AS first_type, arg_min(id, (s2,id)) FILTER (WHERE n>5) AS first_callable FROM c JOIN y ON y.f=c.f AND s2<=c.e AND e2>=c.s GROUP BY 1,2,3)
+SELECT c.f, c.s, c.e, first_type, first_callable FROM c LEFT JOIN m USING (f,s,e)""")
+def first_symbol_of_chunk(t: Tables) -> DataFrame:
+    a = _spans(t)
+    symbols = a.where("n > 2").select("f", "id", "n", F.col("s").alias("s2"), F.col("e").alias("e2"))
+    kinds = {"first_type": F.col("n") <= 5, "first_callable": F.col("n") > 5}
+    return intervals.first_overlap(a.where("n <= 2").select("f", "s", "e").distinct(), symbols, "f", ["s", "e"], "s", "e", "s2", "e2", ["s2"], "id", kinds).select("f", "s", "e", "first_type", "first_callable")
 
 
 @query("""WITH a AS (SELECT c_nationkey AS nk, c_mktsegment AS seg, min(c_custkey) AS v FROM customer GROUP BY 1,2), b AS (SELECT s_nationkey AS nk, min(s_suppkey) AS v FROM supplier GROUP BY 1)
