@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftline import schemas
-from weftline.sources import files, sinks
+from weftline.sources import files, sinks, versions
 from weftline.streaming import tasks
 
 
@@ -66,10 +66,10 @@ def test_sinks(spark, tmp_path):
     assert {(r["k"], r["v"]) for r in sinks.upsert(old, new, ["k"], "t").collect()} == {(1, "a"), (2, "c"), (3, "d")}
     rest, n = sinks.delete(old, F.col("k") == 1)
     assert rest.count() == 1 and n.first()["deleted"] == 1
-    assert sinks.published(spark, f"{tmp_path}/p", "t") is None
-    sinks.publish({"t": old}, f"{tmp_path}/p")
-    sinks.publish({"t": new}, f"{tmp_path}/p")
-    assert sinks.published(spark, f"{tmp_path}/p", "t").count() == 3
+    assert versions.read(spark, f"{tmp_path}/p", "t") is None
+    versions.publish({"t": old}, f"{tmp_path}/p")
+    versions.publish({"t": new}, f"{tmp_path}/p")
+    assert versions.read(spark, f"{tmp_path}/p", "t").count() == 3
     calls = []
     for _ in range(2):
         assert sinks.cached(spark, f"{tmp_path}/c", lambda: calls.append(1) or old).count() == 2

@@ -1,14 +1,12 @@
 """Sinks: append, upsert, delete, versioned publishing, files by key, JSON lines, caches, migrations.
 
 Plain Parquet has no row updates: a change is a new version of the table in a folder of its own, made visible by one small
-pointer file that is written last. Readers follow the pointer, so that they see the old table or the new one. All paths go
-through Spark's own file system layer, so that they may lie in any store that Spark reads.
+pointer file that is written last (``versions``). All paths go through Spark's own file system layer, so that they may lie in any store that Spark reads.
 """
 
 from __future__ import annotations
 
 import json
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -76,22 +74,6 @@ def delete_folder(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
-def publish(frames: dict[str, DataFrame], root: str) -> str:
-    """SNK-07: all tables into a new version's folder, then one pointer: readers see all of them or none. Returns the version."""
-    spark = next(iter(frames.values())).sparkSession
-    version = uuid.uuid4().hex
-    for name, df in frames.items():
-        df.write.parquet(f"{root}/versions/{version}/{name}")
-    write_text(spark, f"{root}/current.json", json.dumps({"version": version, "tables": sorted(frames)}))
-    return version
-
-
-def published(spark: SparkSession, root: str, name: str) -> DataFrame | None:
-    """SNK-07: a table of the version that the pointer names, or None before the first one."""
-    body = _read_text(spark, f"{root}/current.json")
-    return spark.read.parquet(f"{root}/versions/{json.loads(body)['version']}/{name}") if body else None
-
-
 def by_folder(df: DataFrame, key: str, path: str) -> None:
     """SNK-08: JSON in a folder for each key; ids are cut to their first eight characters."""
     df.withColumn("id8", scoring.short_id(F.col(key).cast("string"))).write.mode("overwrite").partitionBy("id8").json(path)
