@@ -18,7 +18,7 @@ from dataclasses import dataclass, replace
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -273,7 +273,7 @@ def symbols(frame: DataFrame, query: str, kind: str | None = None, k: int = 10)
     found = frame.where(F.contains(F.lower("name"), F.lit(query.lower())))
     if kind:
         found = found.where(F.lower("kind") == kind.lower())
-    return found.orderBy("name", "file_path", "start_line").limit(k)
+    return found.orderBy("name", "file_path", "start_line", "kind").limit(k)
 
 
 #: Kinds of symbols that are types.
@@ -288,3 +288,55 @@ def definitions(frame: DataFrame, name: str, k: int = 5) -> DataFrame:
 def definitions_like(index: DataFrame, name: str, exported: str = "exported_symbols", k: int = 5) -> DataFrame:
     """SCH-09: the first files of which an exported symbol contains the name, whatever the case."""
     return index.where(F.exists(exported, lambda s: F.contains(F.lower(s), F.lit(name.lower())))).orderBy("file_path").limit(k)
+
+
+#: Buckets of a gram index; a query reads those of its own grams.
+GRAM_BUCKETS = 64
+
+
+def _grams(text: Column) -> Column:
+    """The distinct runs of three characters of a name in lower case."""
+    low = F.lower(text)
+    starts = F.sequence(F.lit(1), F.greatest(F.length(low) - 2, F.lit(1)))
+    return F.when(F.length(low) >= 3, F.array_distinct(F.transform(starts, lambda i: F.substring(low, i, F.lit(3)))))
+
+
+def _gram_bucket(gram: Column) -> Column:
+    return F.pmod(F.xxhash64(gram), F.lit(GRAM_BUCKETS)).cast("int")
+
+
+def gram_index(frame: DataFrame, path: str) -> DataFrame:
+    """SCH-08: postings (gram, id, the symbol's columns) written in folders by bucket of gram; ``id`` tells repeated symbols apart. Names under three characters, or null, have none."""
+    named = cut(frame.withColumn("_id", F.monotonically_increasing_id()))
+    rows = named.select("*", F.explode(_grams(F.col("name"))).alias("_gram")).withColumn("_bucket", _gram_bucket(F.col("_gram")))
+    # Ranges, so that a gram of very many names is several tasks' work and files are in order of grams.
+    order = ["_bucket", "_gram", "_id"]
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").partitionBy("_bucket").parquet(path)
+    return frame.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def symbols_by_grams(index: DataFrame, query: str, kind: str | None = None, k: int = 10) -> DataFrame:
+    """SCH-08: as ``symbols``, from the postings of the query's grams: those that all of them name, verified. Only the folders of these grams are read, and of their files the row groups that may hold them. A query under three characters has no grams (ValueError): ask ``symbols``."""
+    low = query.lower()
+    grams = sorted({low[i : i + 3] for i in range(len(low) - 2)})
+    if not grams:
+        raise ValueError("a query by grams has three characters or more")
+    spark = index.sparkSession
+    buckets = [r[0] for r in spark.createDataFrame([(g,) for g in grams], "g string").select(_gram_bucket(F.col("g"))).distinct().collect()]
+    hits = index.where(F.col("_bucket").isin(buckets) & F.col("_gram").isin(grams))
+    if kind:
+        hits = hits.where(F.lower("kind") == kind.lower())
+    columns = [c for c in index.columns if c not in ("_id", "_gram", "_bucket")]
+    found = hits.groupBy("_id").agg(F.count("*").alias("_n"), F.first(F.struct(*columns)).alias("_r")).where(F.col("_n") == len(grams)).select("_r.*")
+    return found.where(F.contains(F.lower("name"), F.lit(low))).orderBy("name", "file_path", "start_line", "kind").limit(k)
+
+
+def symbols_for(index: DataFrame, queries: DataFrame, query_id: str, query: str, k: int = 10) -> DataFrame:
+    """SCH-08 for a table of queries: (query_id, name, file_path, start_line, rank) of the first k of each. Queries under three characters find nothing here."""
+    asked = queries.where(F.length(query) >= 3).select(query_id, F.lower(query).alias("_q"), _grams(F.col(query)).alias("_g"))
+    postings = asked.select(query_id, "_q", F.size("_g").alias("_of"), F.explode("_g").alias("_gram")).withColumn("_bucket", _gram_bucket(F.col("_gram")))
+    hits = index.join(postings, ["_bucket", "_gram"])
+    same = hits.groupBy(query_id, "_id").agg(F.count("*").alias("_n"), F.first("_of").alias("_of"), F.first("_q").alias("_q"), F.first(F.struct("name", "file_path", "start_line")).alias("_r"))
+    found = same.where((F.col("_n") == F.col("_of")) & F.contains(F.lower("_r.name"), F.col("_q"))).select(query_id, "_r.*")
+    rank = F.row_number().over(Window.partitionBy(query_id).orderBy("name", "file_path", "start_line"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions import jsonx, paths, scoring, text, tokens
-from weftline.operators import code, search
+from weftline.operators import checkpoints, code, search
 from weftline.plans.catalogue import Tables, query
 
 _SQL_TOKENS = r"""list_distinct(list_concat(list_filter(regexp_split_to_array(lower(X), '[\s.,;:!?()\[\]{}<>"''`/\\|@#$%^&*+=~-]+'), lambda w: length(w)>=2),
@@ -20,6 +20,16 @@ def _bm25_index(t: Tables) -> search.Index:
     return search.with_blocks(search.build(t("documents").select("doc_id", "text", "source", "n_chars"), "doc_id", F.col("text")))
 
 
+@query("""WITH s AS (SELECT p_name||' '||p_brand||' '||p_type AS name, p_brand AS file_path, p_partkey AS start_line FROM part), q AS (SELECT p_partkey AS query, upper(substr(p_name||' '||p_brand, 2, 9)) AS q FROM part WHERE p_size=7)
+SELECT query, name, file_path, start_line, rank FROM (SELECT query, s.*, row_number() OVER (PARTITION BY query ORDER BY name, file_path, start_line)::INT AS rank FROM q JOIN s ON contains(lower(name), lower(q.q))) WHERE rank<=10""")
+def symbols_by_grams(t: Tables) -> DataFrame:
+    """Parts as symbols, searched for pieces of the names of those of one size."""
+    p = t("part")
+    index = search.gram_index(p.select(F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("name"), F.lower("p_type").alias("kind"), F.col("p_brand").alias("file_path"), F.col("p_partkey").alias("start_line")), checkpoints.new_folder(p.sparkSession, "grams"))
+    asked = p.where("p_size = 7").select(F.col("p_partkey").alias("query"), F.upper(F.substring(F.concat_ws(" ", "p_name", "p_brand"), 2, 9)).alias("q"))
+    return search.symbols_for(index, asked, "query", "q").select("query", "name", "file_path", "start_line", "rank")
+
+
 @query(BM25 + """ SELECT item_id, doc_id, round(score,6) AS score, rank FROM (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY round(score,9) DESC, doc_id)::INT AS rank FROM s) WHERE rank<=20""")
 def bm25_topk(t: Tables) -> DataFrame:
     return search.search(_bm25_index(t), t("benchmark"), "item_id", "text", 20).select("item_id", F.col("doc").alias("doc_id"), F.round("score", 6).alias("score"), "rank")
