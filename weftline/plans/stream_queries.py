@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from weftline.operators import checkpoints
 from weftline.plans.catalogue import ORACLE_SQL, QUERIES, Tables, query
-from weftline.sources import files, sinks
-from weftline.streaming import tasks
+from weftline.sources import files, sinks, versions
+from weftline.streaming import machine, tasks
 
 
 _folder = checkpoints.new_folder
@@ -69,9 +69,19 @@ def jsonl_roundtrip(t: Tables) -> DataFrame:
 def versioned_publish(t: Tables) -> DataFrame:
     n = t("nation")
     root = _folder(n.sparkSession, "site")
-    sinks.publish({"nation": n.where("n_regionkey = 0"), "region": t("region")}, root)
-    sinks.publish({"nation": n.where("n_regionkey = 1"), "region": t("region")}, root)
-    return sinks.published(n.sparkSession, root, "nation").select("n_nationkey", "n_name")
+    versions.publish({"nation": n.where("n_regionkey = 0"), "region": t("region")}, root)
+    versions.publish({"nation": n.where("n_regionkey = 1"), "region": t("region")}, root, expected=1)
+    return versions.read(n.sparkSession, root, "nation").select("n_nationkey", "n_name")
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderstatus='P' THEN 'again' WHEN o_orderkey%3=0 THEN 'kept' ELSE o_orderstatus END AS status FROM orders""")
+def bucketed_merge(t: Tables) -> DataFrame:
+    """All orders, then newer rows of some keys, then older ones, which change nothing; three versions."""
+    o = t("orders").select("o_orderkey", F.when(F.col("o_orderkey") % 3 == 0, "kept").otherwise(F.col("o_orderstatus")).alias("status"), F.lit(1).alias("age"), "o_orderstatus")
+    root = _folder(o.sparkSession, "orders")
+    for rows in (o, o.where("o_orderstatus = 'P'").withColumns({"status": F.lit("again"), "age": F.lit(2)}), o.withColumns({"status": F.lit("late"), "age": F.lit(0)})):
+        versions.merge(rows.drop("o_orderstatus"), root, "orders", ["o_orderkey"], "age", 16)
+    return versions.read(o.sparkSession, root, "orders").select("o_orderkey", "status")
 
 
 @query("""SELECT user_id, string_agg(event_type, '' ORDER BY ts, event_id) AS text FROM (SELECT *, count(*) FILTER (WHERE event_type='error') OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)-(event_type='error')::INT AS before FROM events) WHERE before=0 GROUP BY 1""")
@@ -84,3 +94,39 @@ def token_stream_text(t: Tables) -> DataFrame:
 def resume_decisions(t: Tables) -> DataFrame:
     o = t("orders").select("o_orderkey", F.when(F.col("o_orderstatus") == "P", "running").otherwise(F.col("o_orderstatus")).alias("status"), "o_orderpriority", (F.col("o_orderkey") % 5).alias("fails"))
     return tasks.resumable(o, "status", "o_orderpriority", "fails").select("o_orderkey", "status", "resume_from")
+
+
+#: Minutes without news and minutes of a run that suit the events' pace; the delay is all of their time, as one micro-batch takes them.
+_ZOMBIE, _DEADLINE, _DELAY = 2500, 15000, 1440
+
+
+_MACHINE = f"""WITH RECURSIVE w AS (SELECT (epoch_us(max(ts))//1000) - {_DELAY}*60000 AS w FROM events),
+e AS (SELECT user_id, (epoch_us(ts)//1000) AS tm, event_type AS stage, row_number() OVER (PARTITION BY user_id ORDER BY (epoch_us(ts)//1000), event_id::VARCHAR) AS r FROM events, w WHERE (epoch_us(ts)//1000)<=w
+UNION ALL SELECT DISTINCT user_id, w+1, NULL, 1+(SELECT count(*) FROM events x WHERE x.user_id=events.user_id AND (epoch_us(x.ts)//1000)<=w) FROM events, w WHERE (epoch_us(ts)//1000)<=w),
+f AS (SELECT user_id, 0::BIGINT AS r, 'pending' AS status, NULL::VARCHAR AS stage, NULL::VARCHAR AS last_success, 0::BIGINT AS attempts, 0::BIGINT AS resumes, 0::BIGINT AS refused, NULL::VARCHAR AS reason, NULL::BIGINT AS started, NULL::BIGINT AS updated FROM events GROUP BY 1
+UNION ALL SELECT user_id, r, CASE WHEN st='running' OR st='pending' THEN CASE WHEN ev IS NULL THEN st WHEN ev='error' AND value THEN 'failed' ELSE 'running' END ELSE st END, CASE WHEN ev IS NULL OR st NOT IN ('running','pending') THEN stage ELSE ev END,
+CASE WHEN ev='purchase' AND st IN ('running','pending') THEN ev ELSE last_success END, attempts+(ev='signup' AND st IN ('running','pending'))::INT, rs, refused+(ev IS NOT NULL AND st NOT IN ('running','pending'))::INT,
+CASE WHEN ev IS NULL OR st NOT IN ('running','pending') THEN why WHEN ev='error' AND value THEN 'failed' END, CASE WHEN ev IS NOT NULL AND st='pending' THEN tm ELSE started END, CASE WHEN ev IS NOT NULL AND st IN ('running','pending') THEN tm ELSE up END FROM
+(SELECT f.user_id, e.r, e.tm, e.stage AS ev, e.tm%7=0 AS value, f.stage, last_success, attempts, refused, started, due.hit,
+CASE WHEN NOT due.hit THEN f.status WHEN due.t=f.started+{_DEADLINE}*60000 OR f.resumes>=3 THEN 'failed' ELSE 'pending' END AS st,
+CASE WHEN NOT due.hit THEN f.reason WHEN due.t=f.started+{_DEADLINE}*60000 THEN 'deadline' ELSE 'zombie' END AS why,
+f.resumes+(due.hit AND due.t<>f.started+{_DEADLINE}*60000 AND f.resumes<3)::INT AS rs, CASE WHEN due.hit THEN due.t ELSE f.updated END AS up
+FROM f JOIN e ON e.user_id=f.user_id AND e.r=f.r+1, LATERAL (SELECT least(f.updated+{_ZOMBIE}*60000, f.started+{_DEADLINE}*60000) AS t, f.status='running' AND least(f.updated+{_ZOMBIE}*60000, f.started+{_DEADLINE}*60000)<e.tm-(e.stage IS NULL)::INT AS hit) due))
+SELECT user_id::VARCHAR AS key, status, stage AS current_stage, last_success, attempts, resumes, refused AS n_refused, reason, started, updated FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY r DESC) AS last FROM f WHERE r>0) WHERE last=1"""
+
+
+def _task_machine(spark: SparkSession, folder: str) -> DataFrame:
+    """Users' events as the stages of tasks: an error at a millisecond divisible by seven ends one."""
+    kind = F.col("event_type")
+    rules = machine.Rules(zombie=_ZOMBIE * 60_000, deadline=_DEADLINE * 60_000)
+    status = F.when((kind == "error") & (F.unix_millis("at") % 7 == 0), "failed").otherwise("running")
+    machine.prepared(spark)
+
+    def build(e: DataFrame) -> DataFrame:
+        return machine.states(e.withColumn("at", F.col("ts").cast("timestamp")), "user_id", "at", "event_id", kind, status, F.lit(None), kind == "purchase", kind == "signup", rules, f"{_DELAY} minutes")
+
+    out = _streamed(spark, f"{folder}/events.parquet", files.table(spark, folder, "events").schema, build, "update")
+    return machine.latest(out).select("key", "status", "current_stage", "last_success", "attempts", "resumes", "n_refused", "reason", "started", "updated")
+
+
+QUERIES["task_machine"], ORACLE_SQL["task_machine"] = _task_machine, _MACHINE
