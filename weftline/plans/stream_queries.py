@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.operators import checkpoints
 from weftline.plans.catalogue import ORACLE_SQL, QUERIES, Tables, query
-from weftline.sources import files, sinks, versions
+from weftline.sources import captures, files, sinks, versions
 from weftline.streaming import machine, tasks
 
 
@@ -65,6 +65,21 @@ def jsonl_roundtrip(t: Tables) -> DataFrame:
     return files.ndjson(rows.sparkSession.read.text(path), "conv_id bigint, turn bigint, role string, text string")
 
 
+@query("""SELECT user_id, count(*) AS n, sum(event_id)::BIGINT AS ids, count(DISTINCT event_type) AS kinds FROM events GROUP BY 1""")
+def capture_stream(t: Tables) -> DataFrame:
+    """Events written as capture files, read as a stream with offsets in bytes by small partitions, parsed line by line."""
+    e = t("events").select("event_id", "user_id", "event_type")
+    spark, folder, base = e.sparkSession, _folder(e.sparkSession, "captures"), _folder(e.sparkSession, "stream")
+    sinks.json_lines(e, folder)
+    captures.register(spark)
+    lines = spark.readStream.format("captures").option("bytes", 1 << 20).load(folder)
+    q = tasks.run_once(files.ndjson(lines, "event_id bigint, user_id bigint, event_type string"), f"{base}/state", lambda b, i: b.write.mode("overwrite").parquet(f"{base}/out/{i}"))
+    if q.exception():
+        raise q.exception()
+    out = spark.read.option("recursiveFileLookup", True).parquet(f"{base}/out")
+    return out.groupBy("user_id").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"), F.count_distinct("event_type").alias("kinds"))
+
+
 @query("""SELECT n_nationkey, n_name FROM nation WHERE n_regionkey=1""")
 def versioned_publish(t: Tables) -> DataFrame:
     n = t("nation")
