@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from weftline.operators import checkpoints
 
 #: Rows from which on a key is hot, rows of a block, rounds, and candidates of all keys at which no further round is worth its jobs.
-HOT_ROWS, BLOCK_ROWS, ROUNDS, FEW = 1_000_000, 250_000, 16, 100_000
+HOT_ROWS, BLOCK_ROWS, ROUNDS, FEW = 4_000_000, 250_000, 16, 100_000
 
 
 def hot_keys(df: DataFrame, key: str, cost: str, hot: int) -> DataFrame | None:
