@@ -1,6 +1,7 @@
 """Declarations, parents, lines, chunks and calls of 13 languages, over texts whose strings and comments look like code."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from weftline.operators import code
 from weftline.operators.declarations import Source
@@ -134,3 +135,10 @@ def test_chunks_of_files(spark):
     rows = [("a.cs", FIXTURES["csharp"][0]), ("b.txt", "\n".join(str(i) for i in range(200))), ("c.cs", None), ("d.cs", ""), ("e.cs", "int x;")]
     got = code.source_chunks(spark.createDataFrame(rows, "file_path string, content string")).collect()
     assert [(r["file_path"], r["start_line"], r["end_line"], r["label"]) for r in got] == [("a.cs", 3, 20, "class"), ("a.cs", 8, 14, "function"), ("b.txt", 1, 80, "lines"), ("b.txt", 81, 160, "lines"), ("b.txt", 161, 200, "lines"), ("e.cs", 1, 1, "lines")]
+
+
+def test_files_of_one_scan_task_are_dealt_over_all_cores(spark):
+    files = spark.range(0, 4000, 1, 1).selectExpr("concat('f', id, '.py') as file_path", "concat('def f', id, '(a):\n    x = 1\n    return g(a)\n') as content")
+    for rows in (code.source_symbols(files), code.source_chunks(files)):
+        sizes = rows.groupBy(F.spark_partition_id()).count().collect()
+        assert len(sizes) >= 2 * spark.sparkContext.defaultParallelism and max(r["count"] for r in sizes) < 4000
