@@ -268,3 +268,13 @@ def test_folds_take_items_without_a_cost(spark):
     df = spark.createDataFrame([("k", 1, 30, True), ("k", 2, None, True), ("k", 3, 80, True), ("k", 4, None, False)], "key string, id int, c int, may boolean")
     assert {(r["id"], r["action"], r["tokens"]) for r in windows.pack(df, "key", ["id"], "c", "id", 200, "may").collect()} == {(1, "taken", 30), (2, "dropped", 0), (3, "taken", 80), (4, "dropped", 0)}
     assert {(r["id"], r["batch_no"]) for r in windows.batches(df, "key", ["id"], "c", "id", 100).collect()} == {(1, 1), (2, 1), (3, 2), (4, 3)}
+
+
+def test_best_candidate_compares_values_once(spark):
+    """By what condition and score read of a row, nulls too, as by rows."""
+    rows = spark.range(400).selectExpr("id as k", "if(id % 7 = 0, null, cast(id % 5 as int)) as size")
+    cands = spark.range(60).selectExpr("id as cand", "cast(id % 6 as int) as s")
+    args = (cands, F.col("s") == F.col("size") - 1, F.when(F.col("cand") % 3 == F.col("k") % 3, 10).otherwise(5), ["k"], [F.col("cand")])
+    each, once = R.best_candidate(rows, *args), R.best_candidate(rows, *args, by=[F.col("size"), F.col("k") % 3])
+    want = {(k, k % 5, min((c for c in range(60) if c % 6 == k % 5 - 1), key=lambda c: (c % 3 != k % 3, c))) for k in range(400) if k % 7 and k % 5}
+    assert {(r["k"], r["size"], r["cand"]) for r in each.collect()} == {(r["k"], r["size"], r["cand"]) for r in once.collect()} == want

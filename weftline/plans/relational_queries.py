@@ -187,7 +187,7 @@ def best_candidate_parent(t: Tables) -> DataFrame:
     p = t("part").select("p_partkey", "p_size")
     c = t("part").groupBy("p_brand", F.col("p_size").alias("size")).agg(F.min("p_partkey").alias("cand")).drop("p_brand")
     score = F.when(F.col("cand") % 5 == F.col("p_partkey") % 5, 10).otherwise(5)
-    return R.best_candidate(p, c, F.col("size") == F.col("p_size") - 1, score, ["p_partkey"], [F.col("cand")]).select("p_partkey", F.col("cand").alias("parent"))
+    return R.best_candidate(p, c, F.col("size") == F.col("p_size") - 1, score, ["p_partkey"], [F.col("cand")], [F.col("p_size"), F.col("p_partkey") % 5]).select("p_partkey", F.col("cand").alias("parent"))
 
 
 @query("""SELECT d.doc_id, CASE WHEN l.quality=1 THEN 'override '||l.doc_id WHEN l.quality=0 THEN d.source||chr(10)||'override '||l.doc_id ELSE d.source END AS resolved FROM documents d LEFT JOIN labels l USING (doc_id)""")
