@@ -120,16 +120,28 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     return found.groupBy("node").agg(F.min("component").alias("component"))
 
 
-def on_cycle(edges: DataFrame, a: str, b: str) -> DataFrame:
-    """GRF-02, GRF-06: nodes on cycles.
+def _permuted(e: DataFrame) -> DataFrame:
+    """(node): nodes on cycles of edges (a, b), one from each node at most.
 
-    Where each node has one edge out (a parent), these are where the nodes stand that climb without an end; else those of the
-    strongly connected components.
+    Those at which walks of N edges end; with N doubled they only grow fewer, and once they do not, each of them is led to by
+    one of them: a permutation, so that all are on cycles. Rounds grow with the logarithm of the longest way into a cycle.
     """
+    rounds, n = Rounds(e.sparkSession), -1
+    state = rounds.put(e.select(F.col("a").alias("node"), F.col("b").alias("at")))
+    while True:
+        ends = _cut(state.select(F.col("at").alias("node")).distinct())
+        now = ends.count()
+        if now in (0, n):
+            return ends
+        n = now
+        state = rounds.put(state.join(state.select(F.col("node").alias("at"), F.col("at").alias("_at")), "at").select("node", F.col("_at").alias("at")))
+
+
+def on_cycle(edges: DataFrame, a: str, b: str) -> DataFrame:
+    """GRF-02, GRF-06: nodes on cycles: where each node has one edge out (a parent), by doubled walks; else those of the strongly connected components."""
     e = _cut(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null").distinct())
     if e.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
-        ends = e.select(F.col("b").alias("a")).join(e.select("a"), "a", "left_anti").distinct().select("a", F.lit(None).cast(e.schema["b"].dataType).alias("b"))
-        return climbed(e.unionByName(ends), "a", "b").where(~F.col("done")).select(F.col("at").alias("node")).distinct()
+        return _permuted(e)
     return components(e, "a", "b").select("node")
 
 
