@@ -87,3 +87,20 @@ def test_ancestors_of_deep_chains(spark):
     chain = spark.createDataFrame([(i, i - 1 if i else None) for i in range(70)] + [(100, 101), (101, 100)], "id int, p int")
     got = {(r["id"], r["ancestor"]): r["distance"] for r in graph.ancestors(chain, "id", "p").collect()}
     assert got == {(i, j): i - j for i in range(70) for j in range(i)} | {(100, 101): 1, (101, 100): 1, (100, 100): 2, (101, 101): 2}
+
+
+def test_rounds_end_with_the_ways_into_cycles(spark, monkeypatch):
+    """However many nodes there are: the rounds are those of the longest way in."""
+    puts, put = [], graph.Rounds.put
+    monkeypatch.setattr(graph.Rounds, "put", lambda self, df: puts.append(1) or put(self, df))
+    rings = [(i, i - i % 3 + (i + 1) % 3) for i in range(3000)] + [(10000 + i, i) for i in range(500)] + [(20000, 20001), (30000, 30001), (30001, 30001)]
+    assert {r["node"] for r in graph.on_cycle(_frame(spark, rings), "a", "b").collect()} == {*range(3000), 30001}
+    assert len(puts) <= 3
+
+
+def test_only_what_the_roots_reach_is_searched(spark, monkeypatch):
+    seen, components = [], graph.components
+    monkeypatch.setattr(graph, "components", lambda e, a, b: seen.append(e.count()) or components(e, a, b))
+    edges = [(1000 * i + k, 1000 * i + k + 1) for i in range(40) for k in range(4)] + [(2, 0)]
+    got = {r["root"]: r["depth"] for r in graph.longest_path(_frame(spark, edges + edges), "a", "b", roots=2, deepest=3).collect()}
+    assert got == {1000: 3, 2000: 3} and seen == [6]

@@ -159,15 +159,36 @@ def cycles(edges: DataFrame, a: str, b: str, longest: int = 10) -> DataFrame:
     return found
 
 
+#: Nodes up to which one step's are broadcast.
+BROADCAST_NODES = 100_000
+
+
+def _reached(e: DataFrame, front: DataFrame, steps: int) -> DataFrame:
+    """The distinct edges (a, b) that walks of so many steps from the nodes of ``front`` (at) can take."""
+    seen, out = front, e.limit(0)
+    for _ in range(steps):
+        n = front.count()
+        if not n:
+            break
+        step = _cut(e.join(F.broadcast(front) if n <= BROADCAST_NODES else front, F.col("a") == F.col("at"), "left_semi").distinct())
+        out = out.unionByName(step)
+        front = _cut(step.select(F.col("b").alias("at")).where("at is not null").distinct().join(seen, "at", "left_anti"))
+        seen = seen.unionByName(front)
+    return _cut(out)
+
+
 def longest_path(edges: DataFrame, a: str, b: str, roots: int = 100, deepest: int = 30) -> DataFrame:
     """GRF-03, fixed values 100 and 30: (root, depth): edges on the longest walk from each of the first roots that meets no node twice, up to a depth.
 
     A walk that has left a strongly connected component never comes back, so only the nodes met inside the present one matter:
     outside cycles, walks of one root that meet at a node after as many edges are one row, at most roots x nodes rows a step;
-    inside a component walks are kept apart by the set of its nodes that they have met.
+    inside a component walks are kept apart by the set of its nodes that they have met. Only edges that the roots reach in so
+    many steps are looked at for components and walks.
     """
-    e = _cut(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).distinct())
+    e = _cut(edges.select(F.col(a).alias("a"), F.col(b).alias("b")))
     starts = e.select(F.col("a").alias("root")).distinct().join(e.select(F.col("b").alias("root")).distinct(), "root", "left_anti").orderBy("root").limit(roots)
+    starts = _cut(starts)
+    e = _reached(e, starts.select(F.col("root").alias("at")), deepest)
     ends = components(e, "a", "b").select(F.col("node").alias("b"), "component")
     e = _cut(e.join(ends, "b", "left"))
     none = F.array().cast(T.ArrayType(e.schema["b"].dataType))
