@@ -58,3 +58,20 @@ def test_bins_make_up_the_interval(spark):
     rows = spark.createDataFrame([(s, e) for s in range(-9, 10) for e in range(s, 20)], "s long, e long")
     for s, e, bins in rows.select("s", "e", intervals.bins(F.col("s"), F.col("e"))).collect():
         assert sorted(v for p, b in bins for v in range(b << p, (b + 1) << p)) == list(range(s, e + 1))
+
+
+@pytest.mark.parametrize("order", [["s2", "y"], ["y"]])
+def test_first_overlap_over_many_ranges(spark, monkeypatch, order):
+    """One key over all ranges, others in one; rows stay as many as they are where the order begins with the start."""
+    r = random.Random(5)
+    a = [(f, s, s + r.randrange(-1, 40), i) for i in range(400) for f in (r.choice("uuuvw"),) for s in (r.randrange(2000),)] + [(None, 1, 2, 900), ("u", None, 5, 901)]
+    b = [(f, s, s + r.randrange(-1, 60), i, r.choice(["p", "q"])) for i in range(300) for f in (r.choice("uuuv"),) for s in (r.randrange(2000),)]
+    df, other = spark.createDataFrame(a, "f string, s long, e long, x int"), spark.createDataFrame(b, "f string, s2 long, e2 long, y int, kind string")
+    if order[0] == "s2":
+        monkeypatch.setattr(intervals, "bins", None)
+    got = intervals.first_overlap(df, other, "f", ["x"], "s", "e", "s2", "e2", order, "y", {"p": F.col("kind") == "p", "q": F.col("kind") == "q"})
+    want = []
+    for f, s, e, x in a:
+        met = sorted(((y[1], y[3]) if order[0] == "s2" else (y[3],), y[3], y[4]) for y in b if f == y[0] and s is not None and s <= e and y[1] <= y[2] and y[1] <= e and y[2] >= s)
+        want.append((f, s, e, x, *(next((m[1] for m in met if m[2] == k), None) for k in "pq")))
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))

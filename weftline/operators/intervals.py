@@ -8,7 +8,7 @@ intervals is spread over its bins. Bounds are whole numbers; rows where a bound
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.operators import checkpoints
@@ -75,11 +75,43 @@ def overlap(a: DataFrame, b: DataFrame, on: str, start: str, end: str, other_sta
     return met.select(on, *[F.col(f"_a.{c}").alias(c) for c in a.columns if c != on], *[F.col(f"_b.{c}").alias(c) for c in b.columns if c != on])
 
 
+def _first_by_sweep(a: DataFrame, b: DataFrame, on: str, start: str, end: str, other_start: str, other_end: str, order: list[str], value: str, kinds: dict[str, Column]) -> DataFrame:
+    """``first_overlap`` where the order begins with the start.
+
+    Of the rows of ``b`` that end at ``start`` or later the first in order meets the row of ``a``, or none does. So rows of both
+    sides stand by key and falling place, each range in one task, and take the running minimum; what it was at a range's
+    beginning comes from the ranges before it, for the keys that stand in more than one. Rows are neither paired nor multiplied.
+    """
+    spark, names = a.sparkSession, [f"_k{i}" for i in range(len(kinds))]
+    row = F.struct(*a.columns)
+    able = F.col(on).isNotNull() & F.coalesce(F.col(start) <= F.col(end), F.lit(False))
+    spots = a.where(able).select(on, F.col(start).alias("_at"), F.lit(1).alias("_side"), row.alias("_a"))
+    other = [F.when(k, F.struct(*order, F.col(value).alias("_value"))).alias(n) for n, k in zip(names, kinds.values(), strict=True)]
+    marks = b.where(F.col(on).isNotNull() & (F.col(other_start) <= F.col(other_end))).select(on, F.col(other_end).alias("_at"), F.lit(0).alias("_side"), *other)
+    by = [F.col(on), F.col("_at").desc(), F.col("_side")]
+    both = spots.unionByName(marks, allowMissingColumns=True).repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_m", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_m", 33))
+    path = checkpoints.new_folder(spark, "sweep")
+    both.write.parquet(path)
+    placed = spark.read.schema(both.schema).parquet(path)
+    parts = placed.groupBy("_part", on).agg(*[F.min(n).alias(n) for n in names])
+    before = Window.partitionBy(on).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    # At most two rows a range.
+    come = parts.withColumn("_parts", F.count("*").over(Window.partitionBy(on))).where("_parts > 1").select("_part", on, *[F.min(n).over(before).alias(f"{n}_") for n in names])
+    upto = Window.partitionBy("_part", on).orderBy("_m").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    swept = placed.select("_part", on, "_side", "_a", *[F.min(n).over(upto).alias(n) for n in names]).where("_side = 1")
+    least = swept.join(F.broadcast(come), ["_part", on], "left").select("_a", *[F.least(n, f"{n}_").alias(n) for n in names])
+    met = least.select("_a.*", *[F.when(F.col(f"{n}.{order[0]}") <= F.col(f"_a.{end}"), F.col(f"{n}._value")).alias(name) for n, name in zip(names, kinds, strict=True)])
+    none = [F.lit(None).cast(b.schema[value].dataType).alias(name) for name in kinds]
+    return met.unionByName(a.where(~able).select("*", *none))
+
+
 def first_overlap(a: DataFrame, b: DataFrame, on: str, ids: list[str], start: str, end: str, other_start: str, other_end: str, order: list[str], value: str, kinds: dict[str, Column]) -> DataFrame:
     """JN-08: each row of ``a`` with, for each name of ``kinds``, the ``value`` of the first row of ``b`` in ``order`` that meets it and the condition, else null. ``ids`` tell rows of ``a`` apart within a key. Intervals that end before they start meet nothing.
 
-    No pair is built: a bin keeps its first row of each kind, and a row of ``a`` takes the first of its bins.
+    No pair is built: where ``order`` begins with the start, both sides are swept once; else a bin keeps its first row of each kind, and a row of ``a`` takes the first of its bins.
     """
+    if order[0] == other_start:
+        return _first_by_sweep(a, b, on, start, end, other_start, other_end, order, value, kinds)
     best = [F.min(F.when(k, F.struct(*order, F.col(value).alias("_value")))).alias(f"_k{i}") for i, k in enumerate(kinds.values())]
     found, rest = None, a
     a, b = a.where(F.col(start) <= F.col(end)), b.where(F.col(other_start) <= F.col(other_end))
