@@ -22,8 +22,12 @@ def idf(n: _C, df: _C) -> Column:
 
 def saturation(tf: _C, length: _C, mean: _C) -> Column:
     """MTH-03."""
-    t = col(tf)
-    return t * (K1 + 1) / (t + K1 * (1 - B + B * F.greatest(col(length), F.lit(1)) / col(mean)))
+    return damped(col(tf), F.greatest(col(length), F.lit(1)), col(mean))
+
+
+def damped(tf, length, mean):
+    """MTH-03, of columns or arrays; lengths are 1 at least."""
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
 
 
 def cosine(a: _C, b: _C) -> Column:

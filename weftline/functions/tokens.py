@@ -59,16 +59,16 @@ def search_tokens(x: _C) -> Column:
     Camel case is not split, as the text is in lower case by then (Q-03).
     """
     low = F.lower(col(x))
-    parts = F.filter(F.split(low, SEPARATORS), lambda t: F.length(t) >= 2)
+    parts = F.filter(F.array_distinct(F.split(low, SEPARATORS)), lambda t: F.length(t) >= 2)
     snake = F.filter(F.flatten(F.transform(F.filter(parts, lambda t: F.contains(t, F.lit("_"))), lambda t: F.split(t, "_"))), lambda t: F.length(t) >= 2)
     cjk = F.regexp_extract_all(low, F.lit(r"([一-鿿])"), 1)
     pairs = F.transform(F.slice(cjk, 1, F.greatest(F.size(cjk) - 1, F.lit(0))), lambda a, i: F.concat(a, F.get(cjk, i + 1)))
     many = F.size(cjk) >= 2
     none = F.array().cast("array<string>")
     # Most texts have neither, and each costs a pass over the text: bytes as many as characters leave no room for CJK.
-    whole = F.when(F.contains(low, F.lit("_")), F.concat(parts, snake)).otherwise(parts)
-    ascii_only = F.octet_length(col(x)) == F.length(col(x))
-    return F.when(ascii_only, F.array_distinct(whole)).otherwise(F.array_distinct(F.concat(whole, F.when(many, pairs).otherwise(none), F.when(many, cjk).otherwise(none))))
+    whole = F.when(F.contains(low, F.lit("_")), F.array_distinct(F.concat(parts, snake))).otherwise(parts)
+    no_cjk = (F.octet_length(col(x)) == F.length(col(x))) | ~low.rlike(r"[一-鿿]")
+    return F.when(no_cjk, whole).otherwise(F.array_distinct(F.concat(whole, F.when(many, pairs).otherwise(none), F.when(many, cjk).otherwise(none))))
 
 
 def windows(items: Column, size: int, overlap: int) -> Column:
