@@ -104,3 +104,39 @@ def test_only_what_the_roots_reach_is_searched(spark, monkeypatch):
     edges = [(1000 * i + k, 1000 * i + k + 1) for i in range(40) for k in range(4)] + [(2, 0)]
     got = {r["root"]: r["depth"] for r in graph.longest_path(_frame(spark, edges + edges), "a", "b", roots=2, deepest=3).collect()}
     assert got == {1000: 3, 2000: 3} and seen == [6]
+
+
+def test_cycles_of_neighbours_leave_before_the_rounds(spark, monkeypatch):
+    """Rings, apart and in a chain, as numbers and as text: what the rounds see does not grow with them, wherever a chunk ends."""
+    seen, plain = [], graph._without_dead_ends
+    monkeypatch.setattr(graph, "_without_dead_ends", lambda e: seen.append(e.count()) or plain(e))
+    edges = [(i, i - i % 5 + (i + s) % 5) for i in range(4000) for s in (1, 3)] + [(i, i + 6) for i in range(0, 1000, 5)] + [(3000, 3000), (9000, 9000)]
+    got = {x["node"]: x["component"] for x in graph.components(_frame(spark, edges), "a", "b").collect()}
+    assert got == {i: i - i % 5 for i in range(4000)} | {9000: 9000} and seen[0] < 300, seen
+    text = spark.createDataFrame([(f"é{a:05}", f"é{b:05}") for a, b in edges], "a string, b string")
+    assert {x["node"]: x["component"] for x in graph.components(text, "a", "b").collect()} == {f"é{a:05}": f"é{b:05}" for a, b in got.items()}
+
+
+def test_components_wherever_chunks_end(spark, monkeypatch):
+    """Batches of a few edges: each chunk shows but a part of most components."""
+    r = random.Random(11)
+    edges = [(r.randrange(90), r.randrange(90)) for _ in range(100)] + [(7, x) for x in range(0, 90, 4)] + [(x, x) for x in (3, 7, 88)]
+    want = _components(edges)
+    monkeypatch.setattr(graph, "CHUNK_EDGES", 1)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size in ("3", "20"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            assert {x["node"]: x["component"] for x in graph.components(_frame(spark, edges), "a", "b").collect()} == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_strong_components_against_reachability():
+    r = random.Random(5)
+    for _ in range(200):
+        n = r.randrange(1, 9)
+        edges = sorted((r.randrange(n), r.randrange(n)) for _ in range(r.randrange(2 * n)))
+        root = graph.strong([sum(a < v for a, _ in edges) for v in range(n + 1)], [b for _, b in edges])
+        reach = [{v} | _reached(edges, v) for v in range(n)]
+        assert all((root[v] == root[w]) == (v in reach[w] and w in reach[v]) for v in range(n) for w in range(n))

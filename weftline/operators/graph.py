@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -89,16 +93,95 @@ def _without_dead_ends(e: DataFrame) -> DataFrame:
     return _cut(e.join(dead, F.col("a") == F.col("_n"), "left_anti").join(dead, F.col("b") == F.col("_n"), "left_anti"))
 
 
+#: Edges of neighbouring nodes whose cycles are looked for at once, in one task.
+CHUNK_EDGES = 1 << 18
+
+
+def strong(first: list[int], to: list[int]) -> list[int]:
+    """For each node v, whose edges lead to ``to[first[v] : first[v + 1]]``, one node of its strongly connected component (Tarjan's algorithm, without recursion)."""
+    n, clock = len(first) - 1, 0
+    at, low, root, inside, waiting = first[:-1], [0] * n, [-1] * n, [0] * n, []
+    for start in range(n):
+        if inside[start] or root[start] >= 0:
+            continue
+        path = [start]
+        while path:
+            v = path[-1]
+            if not inside[v]:
+                clock += 1
+                inside[v] = low[v] = clock
+                waiting.append(v)
+            if at[v] < first[v + 1]:
+                w = to[at[v]]
+                at[v] += 1
+                if not inside[w]:
+                    path.append(w)
+                elif root[w] < 0 and inside[w] < low[v]:
+                    low[v] = inside[w]
+                continue
+            path.pop()
+            if path and low[v] < low[path[-1]]:
+                low[path[-1]] = low[v]
+            if low[v] == inside[v]:
+                while root[v] < 0:
+                    root[waiting.pop()] = v
+    return root
+
+
+def _nearby(t: pa.Table) -> pa.Table:
+    """From sorted edges (a, b): (a, b, near). Near rows: nodes of cycles inside the chunk, beside the least node of their component there. Others: the edges that are left, from such least nodes and, where the chunk shows it, to them."""
+    ends = pa.chunked_array([*t.column(0).chunks, *t.column(1).chunks]).combine_chunks().dictionary_encode()
+    code, n = ends.indices.to_numpy().astype(np.int64), t.num_rows
+    a, b = code[:n], code[n:]  # starts are numbered in their order
+    whole = (a != a[0]) & (a != a[-1])  # of the first and last start the chunk may hold some edges only, so they stay as they are
+    known = np.zeros(len(ends.dictionary), bool)
+    known[a[whole]] = True
+    inner = whole & known[b] & (a != b)
+    first = np.concatenate(([0], np.cumsum(np.bincount(a[inner], minlength=len(known)))))
+    root = np.array(strong(first.tolist(), b[inner].tolist()), np.int64)
+    least = np.full(len(root), len(root))
+    np.minimum.at(least, root, np.arange(len(root)))
+    to = least[root]
+    node = np.concatenate((np.flatnonzero(np.bincount(to, minlength=len(to))[to] > 1), a[a == b]))
+    rest = np.flatnonzero(to[a] != to[b])
+    x, y = np.concatenate((node, to[a[rest]])), np.concatenate((to[node], to[b[rest]]))
+    return pa.table({"a": ends.dictionary.take(pa.array(x)), "b": ends.dictionary.take(pa.array(y)), "near": np.arange(len(x)) < len(node)})
+
+
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    chunk, n = [], 0
+    for batch in batches:
+        chunk.append(batch)
+        n += batch.num_rows
+        if n >= CHUNK_EDGES:
+            yield from _nearby(pa.Table.from_batches(chunk)).to_batches()
+            chunk, n = [], 0
+    if n:
+        yield from _nearby(pa.Table.from_batches(chunk)).to_batches()
+
+
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """GRF-02: (node, component) of the nodes on cycles: strongly connected components of two nodes or more, and nodes with an edge to themselves. The component is its least node.
 
+    Edges are dealt out and sorted by their nodes; cycles among neighbours in that order are contracted where they lie, in chunks
+    of a bounded size, so that the rounds see only what is left between them.
     By forward and backward colouring: a node's colour is the node of least priority that reaches it; of the nodes of one colour
     those that reach it back are its component. Priorities are hashed anew each round, which halves what is left on average.
     Chains that lead nowhere, or that nothing leads into, leave at once before that, and single such nodes in each round.
     """
-    e = _cut(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null").distinct())
-    found = e.where("a = b").select(F.col("a").alias("node"), F.col("a").alias("component"))
-    e, seed = _without_dead_ends(_cut(e.where("a <> b"))), 0
+    kind = edges.select(a).union(edges.select(b)).schema[0].dataType
+    src = edges.select(F.col(a).cast(kind).alias("a"), F.col(b).cast(kind).alias("b")).where("a is not null and b is not null")
+    if isinstance(kind, (T.IntegralType, T.StringType)):
+        dealt = src.repartitionByRange("a", "b").distinct().sortWithinPartitions("a", "b")
+        parts = Rounds(edges.sparkSession).put(dealt.mapInArrow(_contracted, T.StructType([T.StructField("a", kind), T.StructField("b", kind), T.StructField("near", T.BooleanType())])))
+        near = parts.where("near").select(F.col("a").alias("node"), F.col("b").alias("component"))
+        moved = near.where("node <> component").select(F.col("node").alias("b"), "component")
+        e = _cut(parts.where("not near").select("a", "b").join(moved, "b", "left").select("a", F.coalesce("component", "b").alias("b")).where("a <> b").distinct())
+    else:
+        e = _cut(src.distinct())
+        near, e = e.where("a = b").select(F.col("a").alias("node"), F.col("a").alias("component")), _cut(e.where("a <> b"))
+    found, seed = e.limit(0).toDF("node", "component"), 0
+    e = _without_dead_ends(e)
     e = _without_dead_ends(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).select(F.col("b").alias("a"), F.col("a").alias("b"))
     while True:
         for _ in range(2):
@@ -117,7 +200,9 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         found = found.unionByName(_cut(member.join(groups, "c").select("node", "component")))
         gone = member.select(F.col("node").alias("_n"))
         e, seed = _cut(inner.join(gone, F.col("a") == F.col("_n"), "left_anti").join(gone, F.col("b") == F.col("_n"), "left_anti")), seed + 1
-    return found.groupBy("node").agg(F.min("component").alias("component"))
+    merged = found.select(F.col("node").alias("component"), F.col("component").alias("_c"))
+    near = near.join(merged, "component", "left").select("node", F.coalesce("_c", "component").alias("component"))
+    return near.unionByName(found).groupBy("node").agg(F.min("component").alias("component"))
 
 
 def _permuted(e: DataFrame) -> DataFrame:
