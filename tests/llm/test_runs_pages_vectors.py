@@ -318,3 +318,31 @@ def test_op13_against_brute_force(spark):
     got = queries.op13_vector_codes(spark, FOLDER).collect()
     want, digest = _brute(rows)
     assert sorted((tuple(r)[:4] for r in got), key=str) == want and {r["codebooks_sha256"] for r in got} == {digest}
+
+
+def test_marked_pages_go_through_the_arrays(spark, tmp_path):
+    """Every token of marked pages is sorted with its host's, and shared text of articles stays."""
+    same = prose(900, 40)
+    rows = [(i, f"http://h{i % 3}.example/{i}", f"<nav>{MENU}</nav><article><p>{prose(i, 30)}</p><p>{same}</p></article><p>{NOTICE}</p><footer>{prose(2000 + i, 9)}</footer>") for i in range(40)]
+    rows += [(50, None, "<nav>only</nav>"), (51, "", None), (52, "http://h0.example/0", rows[0][2])]
+    log, plain = str(tmp_path / "tokens"), html_text.suffix_array
+
+    def logged(batches):
+        def counted(tokens, depth=html_text.DEPTH):
+            with open(log, "a") as f:
+                f.write(f"{len(tokens)}\n")
+            return plain(tokens, depth)
+
+        html_text.suffix_array = counted
+        try:
+            yield from html_text._by_chunks(batches)
+        finally:
+            html_text.suffix_array = plain
+
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_text.extract(pages).collect()}
+    assert got == {i: f"{prose(i, 30)}\n{same}" for i in range(40)} | {50: "", 51: "", 52: f"{prose(0, 30)}\n{same}"}
+    F = html_text.F
+    src = pages.select(F.struct("page_id").alias("row"), F.xxhash64(html_text.host(F.col("url"))).alias("host"), F.xxhash64("url", "html").alias("page"), "html")
+    assert src.mapInArrow(logged, "row struct<page_id: long>, page long, decided string").count() == len(rows)
+    assert sum(map(int, open(log))) == sum(len(t.split()) for _, _, x in rows for t, _ in html_text.blocks(x or ""))
