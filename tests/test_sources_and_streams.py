@@ -1,7 +1,9 @@
 import json
 import os
+import time
 
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from weftline import schemas
@@ -108,3 +110,22 @@ def test_streams(spark, tmp_path):
     minutes = []
     tasks.run_once(tasks.progress(tasks.read(spark, src, schema), "k", "ts"), f"{tmp_path}/state3", lambda b, i: minutes.extend(b.collect()), "update")
     assert sum(r["n"] for r in minutes) == 4
+
+
+def test_a_run_that_did_not_end_is_no_result(spark, tmp_path):
+    """Past its deadline a run is stopped and raises, as a failed batch does; the next one from the checkpoint has all rows."""
+    src, seen = f"{tmp_path}/in", []
+    for i in range(2):
+        _write(spark, src, [(f"k{i}",)], "k string")
+    stream = lambda: tasks.read(spark, src, schemas.ddl("k string"), files_a_batch=1)
+
+    def slow(batch, batch_id):
+        time.sleep(4)
+        seen.extend(r["k"] for r in batch.collect())
+
+    with pytest.raises(TimeoutError):
+        tasks.run_once(stream(), f"{tmp_path}/state", slow, seconds=1)
+    with pytest.raises(StreamingQueryException):
+        tasks.run_once(stream(), f"{tmp_path}/state", lambda b, i: 1 / 0)
+    tasks.run_once(stream(), f"{tmp_path}/state", lambda b, i: seen.extend(r["k"] for r in b.collect()))
+    assert set(seen) == {"k0", "k1"}

@@ -77,14 +77,18 @@ def token_text(tokens: DataFrame, key: str, order: str, delta: str, finish: str)
     return tokens.groupBy(key).agg(F.array_join(F.transform(kept, lambda r: F.coalesce(r[delta], F.lit(""))), "").alias("text"))
 
 
-def run_once(df: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None], mode: str = "append", seconds: int = 600) -> StreamingQuery:
-    """SNK-10, STM-05, STM-07, STM-08: everything that is there, through ``each(batch, batch_id)``, then ends; or is stopped at the deadline.
+def run_once(df: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None], mode: str = "append", seconds: int | None = None) -> StreamingQuery:
+    """SNK-10, STM-05, STM-07, STM-08: everything that is there, through ``each(batch, batch_id)``, then ends. A batch's failure is raised.
 
-    A batch that was not committed comes again with its id, so that ``each`` may write by id and be repeated.
+    With ``seconds``, a run that takes longer is stopped and a TimeoutError raised: it is no result. A batch that was not
+    committed comes again with its id when the checkpoint is taken up, so that ``each`` may write by id and be repeated.
     """
     q = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(each).start()
-    if not q.awaitTermination(seconds):
+    if seconds is None:
+        q.awaitTermination()
+    elif not q.awaitTermination(seconds):
         q.stop()
+        raise TimeoutError(f"stopped after {seconds} seconds, before everything was read")
     return q
 
 
