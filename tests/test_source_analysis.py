@@ -142,3 +142,20 @@ def test_files_of_one_scan_task_are_dealt_over_all_cores(spark):
     for rows in (code.source_symbols(files), code.source_chunks(files)):
         sizes = rows.groupBy(F.spark_partition_id()).count().collect()
         assert len(sizes) >= 2 * spark.sparkContext.defaultParallelism and max(r["count"] for r in sizes) < 4000
+
+
+def test_long_files_are_analysed_to_their_end(spark):
+    """Files of over 100,000 characters, 300 declarations, 500 symbols and calls, or 50 windows; one of a single line."""
+    n = 2500
+    long = "".join(f"int F{i}(int a)\n{{\n    return G{i}(a); /* some text about it */\n}}\n" for i in range(n))
+    rows = [("a.c", long), ("b.txt", "\n".join(str(i) for i in range(20_000))), ("c.js", "".join(f"function f{i}(a){{return g(a)}}" for i in range(n)))]
+    assert len(long) > 100_000
+    files = spark.createDataFrame(rows, "file_path string, content string")
+    chunks = code.source_chunks(files).where("file_path <> 'c.js'").collect()
+    lines = long.split("\n")
+    assert [(r["start_line"], r["end_line"], r["content"]) for r in chunks if r["file_path"] == "a.c"] == [(4 * i + 1, 4 * i + 4, "\n".join(lines[4 * i : 4 * i + 4])) for i in range(n)]
+    windows = [r for r in chunks if r["file_path"] == "b.txt"]
+    assert len(windows) == 250 and "\n".join(r["content"] for r in windows) == rows[1][1]
+    found = code.source_symbols(files).collect()
+    assert [(r["kind"], r["name"], r["callee"]) for r in found if r["file_path"] == "a.c"] == [("function", f"F{i}", None) for i in range(n)] + [("call", f"F{i}", f"G{i}") for i in range(n)]
+    assert [r["signature"] for r in found if r["file_path"] == "c.js" and r["kind"] == "function"] == [f"function f{i}(a)" for i in range(n)]
