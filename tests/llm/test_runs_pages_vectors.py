@@ -346,3 +346,22 @@ def test_marked_pages_go_through_the_arrays(spark, tmp_path):
     src = pages.select(F.struct("page_id").alias("row"), F.xxhash64(html_text.host(F.col("url"))).alias("host"), F.xxhash64("url", "html").alias("page"), "html")
     assert src.mapInArrow(logged, "row struct<page_id: long>, page long, decided string").count() == len(rows)
     assert sum(map(int, open(log))) == sum(len(t.split()) for _, _, x in rows for t, _ in html_text.blocks(x or ""))
+
+
+def test_short_blocks_and_pages_of_furniture_alone_but_for_a_line(spark):
+    """Unmarked furniture in blocks of fewer tokens than a run has, and furniture that is over three quarters of its page."""
+    made = lambda i: f"<div>Share this page</div><p>{prose(i, 30)}</p><div>Top</div><h2>{'Summary' if i < 3 else f'Part {i}'}</h2><p>{prose(100 + i, 20)}</p><div>Share this page</div>"
+    want = {i: f"{prose(i, 30)}\n{'Summary' if i < 3 else f'Part {i}'}\n{prose(100 + i, 20)}" for i in range(8)}
+    rows = [(i, f"http://a.example/{i}", made(i)) for i in range(8)]
+    most = f"<p>{prose(300, 90)}</p><p>{prose(301, 60)}</p>"
+    rows += [(20 + i, f"http://b.example/{i}", f"{most}<p>{prose(200 + i, 12)}</p><p>{prose(302, 40)}</p>") for i in range(6)]
+    want |= {20 + i: prose(200 + i, 12) for i in range(6)}
+    # Copies of one text that differ in a few words, and two pages that share most of theirs, keep it.
+    rows += [(40 + i, f"http://c.example/{i}", f"<p>{prose(400, 60)}</p><p>day {i}</p>") for i in range(5)]
+    want |= {40 + i: f"{prose(400, 60)}\nday {i}" for i in range(5)}
+    rows += [(50 + i, f"http://d.example/{i}", f"<p>{prose(500, 60)}</p><p>{prose(501 + i, 9)}</p>") for i in range(2)]
+    want |= {50 + i: f"{prose(500, 60)}\n{prose(501 + i, 9)}" for i in range(2)}
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for chunk in (100, 1 << 18):
+        html_text.CHUNK_TOKENS = chunk
+        assert {r["page_id"]: r["text"] for r in html_text.extract(pages.repartition(3)).collect()} == want
